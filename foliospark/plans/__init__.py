@@ -1,0 +1,22 @@
+"""The registered queries over the test tables, and the SQL that each is held against."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+FLAGSHIP = "q11_page_concat"
+
+
+def q11_page_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of a document in one Markdown text with page markers: counts, length and digest."""
+    pages = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text")
+    body = F.trim(F.replace(F.col("text"), F.lit("\r\n"), F.lit("\n")))
+    number = F.row_number().over(__import__("pyspark.sql.window", fromlist=["Window"]).Window.partitionBy("conv_id").orderBy("turn"))
+    return pages.select("conv_id", number.alias("n"), body.alias("b")).groupBy("conv_id").agg(F.count("n").alias("page_count"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {FLAGSHIP: q11_page_concat}
+ORACLES: dict[str, str] = {}
