@@ -45,10 +45,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def materialize_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
-    """As :func:`materialize`, laid out in sorted buckets of ``key`` so that later joins on it move only their other side."""
+    """As :func:`materialize`, laid out in sorted buckets of ``key`` so that later joins on it move only their other side.
+
+    ``df`` is grouped by ``key``: its partitions already are the buckets.
+    """
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
     n = partitions(spark)
-    (df.repartition(n, key).write.option("path", f"{shared_dir(spark)}/{table}").option("compression", "zstd")
+    (df.write.option("path", f"{shared_dir(spark)}/{table}").option("compression", "zstd")
        .bucketBy(n, key).sortBy(key).format("parquet").saveAsTable(table))
     return spark.table(table)
