@@ -80,10 +80,16 @@ def with_digest(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text")).withColumn("digest", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
 
 
-def distinct_texts(docs: DataFrame) -> DataFrame:
-    """One row per distinct text of :func:`with_digest`: (digest, text, copies), written in buckets of digest."""
-    one = docs.groupBy("digest").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
-    return materialize_bucketed(one, "texts", "digest")
+def distinct_texts(docs: DataFrame, key: str = "digest") -> DataFrame:
+    """One row per distinct text of :func:`with_digest`: (key, text, copies), written in buckets of the key.
+
+    The key is the digest, or a 64-bit hash of it; should two texts ever share a hash, the query fails.
+    """
+    first = [F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")]
+    if key == "digest":
+        return materialize_bucketed(docs.groupBy(key).agg(*first), "texts", key)
+    one = docs.groupBy(key).agg(*first, F.min("digest").alias("d"), F.max("digest").alias("e"))
+    return materialize_bucketed(one.withColumn("text", F.when(F.col("d") == F.col("e"), F.col("text")).otherwise(F.raise_error(F.lit("two texts share a hash")).cast("string"))).drop("d", "e"), "texts", key)
 
 
 def _union_find(edges: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from foliospark.llm.minhash import near_duplicates
+from foliospark.llm.suffix import remove_repeats
 from foliospark.session import prepare
 
 
@@ -36,8 +37,13 @@ SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, coalesce(l.component_id
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least l ON l.doc_id = d.doc_id
 """
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"), min_len=200)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
 }
 ORACLES: dict[str, str] = {
     "op1_minhash_near_dedup": OP1_SQL,
