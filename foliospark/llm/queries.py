@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from foliospark.llm.minhash import near_duplicates
+from foliospark.llm.packing import pack_documents
 from foliospark.llm.suffix import remove_repeats
+from foliospark.llm.tokens import count_tokens
+from foliospark.llm.toxicity import score_toxicity
 from foliospark.session import prepare
 
-
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -41,9 +45,31 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"), min_len=200)
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """The pieces of ``docs`` in sequences of 1024 tokens, with the digest of their ids in place of the ids."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    pieces = pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), ranks=ranks, pattern=public_tokenizers.PATTERN, size=1024, end_id=0)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(_table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op3_token_counts": op3_token_counts,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
+    "op5_packing": op5_packing,
+    "op6_toxicity": op6_toxicity,
 }
 ORACLES: dict[str, str] = {
     "op1_minhash_near_dedup": OP1_SQL,
