@@ -268,17 +268,16 @@ def _scan(min_len: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
                 continue
             start, own = start[pick], own[pick]
             rest = base[own] + size[t][own] - start
-            uid, x, e = [], [], []
+            best = np.zeros(len(start), np.int64)  # the longest repeat that starts at each suffix
             for length, members in maximal_repeats(raw, start, rest, min_len, start > base[own], start):
-                mine = own[members]
-                members = members[a["solid"][t[mine]] == 0]
-                mine = own[members]
-                uid.append(a["uid"][t[mine]])
-                x.append(a["x"][t[mine]] + start[members] - base[mine])
-                e.append(np.full(len(members), length))
-            if uid:
-                s = np.concatenate(x).astype(np.int64)
-                yield pa.record_batch({"uid": np.concatenate(uid), "s": s, "e": s + np.concatenate(e)})
+                best[members] = np.maximum(best[members], length)
+            hit = np.flatnonzero((best > 0) & (a["solid"][t[own]] == 0))
+            if len(hit):
+                at = start[hit] + own[hit]  # one byte between contexts
+                spans = merged(np.stack([at, at + best[hit]], 1))
+                mine = own[hit][np.searchsorted(at, spans[:, 0])]
+                spans += (a["x"][t[mine]].astype(np.int64) - base[mine] - mine)[:, None]
+                yield pa.record_batch({"uid": a["uid"][t[mine]], "s": spans[:, 0], "e": spans[:, 1]})
 
     return scan
 
