@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliospark.llm.media import media_column
 from foliospark.llm.minhash import near_duplicates
 from foliospark.llm.packing import pack_documents
 from foliospark.llm.suffix import remove_repeats
 from foliospark.llm.tokens import count_tokens
 from foliospark.llm.toxicity import score_toxicity
+from foliospark.llm.warc import archive_pages
 from foliospark.session import prepare
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +47,10 @@ def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"), min_len=200)
 
 
+def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_column(_table(spark, sf_dir, "documents"), unit=192)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
@@ -64,12 +70,18 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+def op7_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(_table(spark, sf_dir, "pages"), least=0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_media_columns": op2_media_columns,
     "op3_token_counts": op3_token_counts,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_packing": op5_packing,
     "op6_toxicity": op6_toxicity,
+    "op7_warc_zip": op7_warc_zip,
 }
 ORACLES: dict[str, str] = {
     "op1_minhash_near_dedup": OP1_SQL,
