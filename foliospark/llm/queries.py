@@ -8,12 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliospark.llm.html_extract import main_text
 from foliospark.llm.media import media_column
 from foliospark.llm.minhash import near_duplicates
 from foliospark.llm.packing import pack_documents
 from foliospark.llm.suffix import remove_repeats
 from foliospark.llm.tokens import count_tokens
 from foliospark.llm.toxicity import score_toxicity
+from foliospark.llm.vectors import vector_duplicates
 from foliospark.llm.warc import archive_pages
 from foliospark.session import prepare
 
@@ -74,6 +76,31 @@ def op7_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(_table(spark, sf_dir, "pages"), least=0)
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_duplicates(_table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
+OP10_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+), ok AS (
+  SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v
+  WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE a.norm > 0 AND b.norm > 0 AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.93
+), reach AS (
+  SELECT a AS vec_id, a AS other FROM links UNION SELECT r.vec_id, l.b FROM reach r JOIN links l ON l.a = r.other
+), least AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY vec_id
+), degree AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT v.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, coalesce(l.component_id, v.vec_id) AS component_id, v.vec_id = coalesce(l.component_id, v.vec_id) AS kept
+FROM v LEFT JOIN degree d ON d.vec_id = v.vec_id LEFT JOIN least l ON l.vec_id = v.vec_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_media_columns": op2_media_columns,
@@ -82,7 +109,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_toxicity": op6_toxicity,
     "op7_warc_zip": op7_warc_zip,
+    "op9_html_extraction": op9_html_extraction,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 ORACLES: dict[str, str] = {
     "op1_minhash_near_dedup": OP1_SQL,
+    "op10_embedding_near_dedup": OP10_SQL,
 }
