@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,7 +17,7 @@ from foliospark.session import prepare, shared_dir
 
 #: Characters that the libraries at hand classify alike, whatever their Unicode version.
 _PLAIN = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e\xa1-\xff]")
-_MEMO = 400_000  # words remembered by a task
+_MEMO = 120_000  # words remembered by a task
 
 
 class TokenCounter:
@@ -28,6 +29,7 @@ class TokenCounter:
     """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         import regex
         from tokenizers import Tokenizer
 
@@ -109,8 +111,8 @@ def _counting(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
         for batch in batches:
             counter = counter or TokenCounter(path)
             n = []
-            for i in range(0, batch.num_rows, 256):
-                n += counter.count(batch.column("text").slice(i, 256).to_pylist())
+            for i in range(0, batch.num_rows, 64):
+                n += counter.count(batch.column("text").slice(i, 64).to_pylist())
             yield pa.record_batch({"key": batch.column("key").cast(pa.binary()), "n_tokens": pa.array(n, pa.int64())})
 
     return count
