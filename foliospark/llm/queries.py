@@ -12,6 +12,7 @@ from foliospark.llm.html_extract import main_text
 from foliospark.llm.media import media_column
 from foliospark.llm.minhash import near_duplicates
 from foliospark.llm.packing import pack_documents
+from foliospark.llm.sampling import sample_segmentations
 from foliospark.llm.suffix import remove_repeats
 from foliospark.llm.tokens import count_tokens
 from foliospark.llm.toxicity import score_toxicity
@@ -76,6 +77,11 @@ def op7_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(_table(spark, sf_dir, "pages"), least=0)
 
 
+def op8_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sample_segmentations(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), k=2, with_ids=False)
+    return found.drop("ids")
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(_table(spark, sf_dir, "pages"))
 
@@ -109,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_toxicity": op6_toxicity,
     "op7_warc_zip": op7_warc_zip,
+    "op8_sentencepiece_sampling": op8_sentencepiece_sampling,
     "op9_html_extraction": op9_html_extraction,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
