@@ -36,10 +36,28 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: a cut in the lineage that survives lost executors."""
+_written: list[tuple[str, str | None]] = []  # paths of intermediates, and the tables over them
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the intermediates written so far. Only for callers whose own results no longer read them."""
+    while _written:
+        path, table = _written.pop()
+        if table:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def materialize(df: DataFrame, name: str, *, keep: bool = False) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back: a cut in the lineage that survives lost executors.
+
+    With ``keep``, :func:`release` leaves it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not keep:
+        _written.append((path, None))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -52,6 +70,7 @@ def materialize_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
     n = partitions(spark)
+    _written.append((f"{shared_dir(spark)}/{table}", table))
     (df.write.option("path", f"{shared_dir(spark)}/{table}").option("compression", "zstd")
        .bucketBy(n, key).sortBy(key).format("parquet").saveAsTable(table))
     return spark.table(table)
