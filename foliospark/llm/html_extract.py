@@ -247,6 +247,6 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
     Extra columns are ignored; an empty table gives an empty result.
     """
     prepare(pages.sparkSession)
-    run = F.arrow_udf(_extracting(rules), "string", F.ArrowUDFType.SCALAR_ITER)
+    run = F.arrow_udf(_extracting(rules), "string")
     out = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), run(F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit(""))).alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("bigint"))

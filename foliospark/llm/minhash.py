@@ -2,7 +2,7 @@
 
 Every text gives a set of word shingles and ``coordinates`` MinHash values. A posting is a (coordinate, value)
 pair. Two sets of similarity s agree on a coordinate with probability s, so a pair is a match if it collides on at
-least ``matches`` of them (17 of 32 at the default: a pair of similarity 0.85 has fewer with probability 1e-6).
+least ``matches`` of them (16 of 32 at the default: a pair of similarity 0.85 has fewer with probability 6e-7).
 
 * Prefix: ranked from rare to frequent, two lists with ``matches`` common postings share one among the first
   ``coordinates - matches + 1`` of each. Only those are posted; postings that no other set has are never moved
@@ -269,7 +269,7 @@ def _blocks(df: DataFrame, size: str, block: int) -> DataFrame:
             .withColumn("bi", F.least("home", "other")).withColumn("bj", F.greatest("home", "other")).drop("blocks", "other"))
 
 
-def near_duplicate_classes(texts: DataFrame, *, width: int = 3, percent: int = 85, coordinates: int = 32, matches: int = 17, block: int = 2048, set_block: int = 256) -> DataFrame:
+def near_duplicate_classes(texts: DataFrame, *, width: int = 3, percent: int = 85, coordinates: int = 32, matches: int = 16, block: int = 2048, set_block: int = 256) -> DataFrame:
     """(digest, n_shingles, set_key, root): root is null for sets without links; texts is :func:`distinct_texts`."""
     prepare(texts.sparkSession)
     signed = materialize(texts.select("digest", "text").mapInArrow(_signer(width, coordinates), "digest binary, n_shingles bigint, set_key binary, sig binary, postings array<bigint>"), "signed")
@@ -309,11 +309,31 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     an empty table gives an empty result. Texts of any length are read whole.
     """
     base = with_digest(docs, id_col, text_col)
-    classes = near_duplicate_classes(distinct_texts(base), **options)
-    rows = base.select("doc_id", "digest").join(classes, "digest")
-    alone = F.when(F.col("n_shingles") > 0, F.col("set_key"))
-    rows = rows.select("doc_id", "n_shingles", F.coalesce("root", alone).alias("g"))
+    rows = _grouped(base, **options)
     least = rows.where("g is not null").groupBy("g").agg(F.min("doc_id").alias("least"))
     out = rows.where("g is not null").join(least, "g").select("doc_id", "n_shingles", F.col("least").alias("component_id"))
     out = out.unionByName(rows.where("g is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def _grouped(base: DataFrame, **options: int) -> DataFrame:
+    """(doc_id, digest, n_shingles, g): g is equal for rows of one group, null for texts without shingles."""
+    classes = near_duplicate_classes(distinct_texts(base), **options)
+    alone = F.when(F.col("n_shingles") > 0, F.col("set_key"))
+    return base.select("doc_id", "digest").join(classes, "digest").select("doc_id", "digest", "n_shingles", F.coalesce("root", alone).alias("g"))
+
+
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
+    """The rows and columns of ``docs`` with one row of each group: that of the smallest doc_id (a null one only if all are).
+
+    Rows without shingles stay, as they are linked with nothing. Of repeated rows one stays.
+    """
+    base = with_digest(docs, id_col, text_col)
+    rows = _grouped(base, **options)
+    best = rows.where("g is not null").groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")).alias("m"))
+    stay = best.select(F.col("m.digest").alias("_digest"), F.col("m.doc_id").alias("_id"))
+    blank = rows.where("g is null").select(F.col("digest").alias("_digest")).distinct()
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    marked = docs.withColumn("_digest", F.unhex(F.sha2(text.cast("binary"), 256)))
+    one = marked.join(stay, "_digest").where(F.col(f"`{id_col}`").eqNullSafe(F.col("_id"))).dropDuplicates(["_digest"])
+    return one.select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(marked.join(blank, "_digest", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns)))

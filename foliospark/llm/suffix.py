@@ -348,3 +348,31 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     zero = F.lit(0).cast("bigint")
     return out.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "own").alias("kept_sha256"),
                       *([F.coalesce("kept", "own_bytes").alias("kept")] if keep_bytes else []))
+
+
+def _cut_text(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for text, lists in columns:
+        out = text.to_pylist()
+        for i in np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False)).tolist():
+            raw = np.frombuffer((out[i] or "").encode(), np.uint8)
+            flat = lists[i].values
+            spans = merged(np.stack([flat.field(0).to_numpy(), flat.field(1).to_numpy()], 1))
+            flag = np.zeros(len(raw) + 1, np.int64)
+            flag[spans[:, 0]] += 1
+            flag[spans[:, 1]] -= 1
+            out[i] = raw[np.cumsum(flag[:-1]) == 0].tobytes().decode("utf-8", "ignore")
+        yield pa.array(out, pa.string())
+
+
+def cut_repeats(docs: DataFrame, *, text_col: str = "text", min_len: int = 200) -> DataFrame:
+    """The rows and columns of ``docs``, the text without the bytes that :func:`remove_repeats` cuts (a character cut in part goes whole)."""
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    uid = F.xxhash64(F.unhex(F.sha2(text.cast("binary"), 256)))
+    base = with_digest(docs, text_col, text_col).withColumn("uid", F.xxhash64("digest"))
+    texts = distinct_texts(base, "uid")
+    twice = (F.col("copies") > 1) & (F.octet_length("text") >= min_len)
+    whole = texts.where(twice).select("uid", F.lit(0).cast("bigint").alias("s"), F.octet_length("text").cast("bigint").alias("e"))
+    spans = repeat_spans(texts, min_len=min_len).unionByName(whole).groupBy("uid").agg(F.collect_list(F.struct("s", "e")).alias("_spans"))
+    cut = F.arrow_udf(_cut_text, "string")
+    joined = docs.withColumn("_uid", uid).join(spans.withColumnRenamed("uid", "_uid"), "_uid", "left")
+    return joined.select(*(cut(F.col(f"`{c}`").cast("string"), F.col("_spans")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))

@@ -181,7 +181,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     Repeated rows: a row each. Other columns are ignored; an empty table gives an empty result.
     """
     prepare(docs.sparkSession)
-    scorer = F.arrow_udf(_score(fit(docs, labels, id_col=id_col, text_col=text_col, **options)), "double", F.ArrowUDFType.SCALAR_ITER)
+    scorer = F.arrow_udf(_score(fit(docs, labels, id_col=id_col, text_col=text_col, **options)), "double")
     key = F.col(f"`{id_col}`")
     out = docs.select(key.alias("doc_id"), is_held_out(key).alias("held_out"), scorer(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).alias("score"), *(F.col(f"`{c}`") for c in carry))
     return out.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *(F.col(f"`{c}`") for c in carry))
