@@ -74,6 +74,26 @@ def slices(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]
         i = min(j, n)
 
 
+def packed_rows(bucket: np.ndarray, n: int, **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each bucket, with its values of every column as bytes."""
+    order = np.argsort(bucket, kind="stable")
+    at = np.searchsorted(bucket[order], np.arange(n + 1))
+    has = np.flatnonzero(np.diff(at))
+    arrays = {"bucket": pa.array(has, pa.int32())}
+    for k, v in columns.items():
+        v = v[order]
+        arrays[k] = pa.array([v[at[b] : at[b + 1]].tobytes() for b in has], pa.binary())
+    yield pa.record_batch(arrays)
+
+
+def unpacked_rows(batches: Iterator[pa.RecordBatch], **types: type) -> dict[str, np.ndarray]:
+    got: dict[str, list[bytes]] = {k: [] for k in types}
+    for b in batches:
+        for k in types:
+            got[k] += b.column(k).to_pylist()
+    return {k: np.frombuffer(b"".join(got[k]), t) for k, t in types.items()}
+
+
 def with_digest(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text, digest): null text is empty; any other column is left behind."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))

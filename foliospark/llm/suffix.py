@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import BASE_A, BASE_B, BYTE_A, BYTE_B, U64, distinct_texts, mix, powers, prefix_hash, slices, text_buffer, with_digest
+from foliospark.llm.common import BASE_A, BASE_B, BYTE_A, BYTE_B, U64, distinct_texts, mix, packed_rows, powers, prefix_hash, slices, text_buffer, unpacked_rows, with_digest
 from foliospark.session import materialize, partitions, prepare
 
 _PLACE = U64((1 << 24) - 1)
@@ -107,26 +107,6 @@ def maximal_repeats(strings: np.ndarray, start: np.ndarray, length: np.ndarray,
 _RUNS = "bucket int, uid binary, x binary, m binary, h binary, c binary, f binary"
 
 
-def _packed(bucket: np.ndarray, n: int, **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A row for each bucket, with its values of every column as bytes."""
-    order = np.argsort(bucket, kind="stable")
-    at = np.searchsorted(bucket[order], np.arange(n + 1))
-    has = np.flatnonzero(np.diff(at))
-    arrays = {"bucket": pa.array(has, pa.int32())}
-    for k, v in columns.items():
-        v = v[order]
-        arrays[k] = pa.array([v[at[b] : at[b + 1]].tobytes() for b in has], pa.binary())
-    yield pa.record_batch(arrays)
-
-
-def _unpacked(batches: Iterator[pa.RecordBatch], **types: type) -> dict[str, np.ndarray]:
-    got: dict[str, list[bytes]] = {k: [] for k in types}
-    for b in batches:
-        for k in types:
-            got[k] += b.column(k).to_pylist()
-    return {k: np.frombuffer(b"".join(got[k]), t) for k, t in types.items()}
-
-
 def _find_runs(min_len: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,7 +137,7 @@ def _find_runs(min_len: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]
             bucket = np.concatenate([(h[lead] >> U64(20)).astype(np.int64) % buckets, (h[far] >> U64(20)).astype(np.int64) % buckets])
             take = np.concatenate([lead, far])
             flag = np.concatenate([f, np.full(len(far), 3, np.uint8)])
-            yield from _packed(bucket, buckets, uid=uid[doc[take]], x=x[take], m=m[take], h=h[take], c=c[take], f=flag)
+            yield from packed_rows(bucket, buckets, uid=uid[doc[take]], x=x[take], m=m[take], h=h[take], c=c[take], f=flag)
 
     return find
 
@@ -167,7 +147,7 @@ _CLASSED = "uid bigint, x bigint, m int, h bigint, n bigint, solid boolean, span
 
 def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """span: all windows of the run are repeats. Other rows: a context to fetch; n: contexts of its gram; solid: seen twice."""
-    a = _unpacked(batches, uid=np.int64, x=np.uint32, m=np.uint16, h=np.uint64, c=np.uint64, f=np.uint8)
+    a = unpacked_rows(batches, uid=np.int64, x=np.uint32, m=np.uint16, h=np.uint64, c=np.uint64, f=np.uint8)
     if not len(a["h"]):
         return
     order = np.lexsort((a["c"], a["h"]))
@@ -238,7 +218,7 @@ def _fetch(min_len: int, buckets: int, group: int) -> Callable[[Iterator[pa.Reco
 
 def _scan(min_len: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = _unpacked(batches, uid=np.int64, x=np.uint32, m=np.uint16, h=np.uint64, k=np.uint16, j=np.uint16, solid=np.uint8, bytes=np.uint8)
+        a = unpacked_rows(batches, uid=np.int64, x=np.uint32, m=np.uint16, h=np.uint64, k=np.uint16, j=np.uint16, solid=np.uint8, bytes=np.uint8)
         if not len(a["h"]):
             return
         m, h, j = a["m"].astype(np.int64), a["h"], a["j"]

@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import slices, text_buffer
-from foliospark.session import materialize, prepare
+from foliospark.llm.common import packed_rows, slices, text_buffer, unpacked_rows
+from foliospark.session import materialize, partitions, prepare
 
 ORDERS = range(4, 11)  # bytes in an n-gram, text lowered (A-Z), white space alike
 BITS = 22  # n-grams are hashed into 2**BITS features
@@ -52,20 +52,40 @@ def present(raw: np.ndarray, offsets: np.ndarray, chosen: np.ndarray | None = No
     return k >> BITS, k & ((1 << BITS) - 1)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents with each feature, by label, in this task."""
-    seen = np.zeros((2, 1 << BITS), np.int32)
-    for batch in batches:
-        raw, off = text_buffer(batch.column("text"))
-        toxic = batch.column("toxic").to_numpy().astype(np.int64)
-        for i, j in slices(off):
-            row, f = present(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-            for y in (0, 1):
-                np.add.at(seen[y], f[toxic[i:j][row] == y], 1)
-    f = np.flatnonzero(seen.any(0))
-    for i in range(0, len(f), 200_000):
-        part = f[i : i + 200_000]
-        yield pa.record_batch({"feature": part, "clean": seen[0, part].astype(np.int64), "toxic": seen[1, part].astype(np.int64)})
+_COUNTS = "bucket int, feature binary, clean binary, toxic binary"
+
+
+def _count(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Documents with each feature, by label, in this task; packed by bucket."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((2, 1 << BITS), np.int32)
+        for batch in batches:
+            raw, off = text_buffer(batch.column("text"))
+            toxic = batch.column("toxic").to_numpy().astype(np.int64)
+            for i, j in slices(off, 1 << 18):
+                row, f = present(raw[off[i] : off[j]], off[i : j + 1] - off[i])
+                for y in (0, 1):
+                    np.add.at(seen[y], f[toxic[i:j][row] == y], 1)
+        f = np.flatnonzero(seen.any(0)).astype(np.int32)
+        yield from packed_rows(f % buckets, buckets, feature=f, clean=seen[0, f], toxic=seen[1, f])
+
+    return count
+
+
+def _best(toxic: int, clean: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sums of the counts of a task's buckets, and of its features the ``most`` that tell the classes apart best (chi-squared)."""
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = unpacked_rows(batches, feature=np.int32, clean=np.int32, toxic=np.int32)
+        f, at = np.unique(a["feature"], return_inverse=True)
+        c, t = (np.bincount(at, weights=a[k], minlength=len(f)) for k in ("clean", "toxic"))
+        chi = (t * (clean - c) - c * (toxic - t)) ** 2 / ((c + t) * (clean + toxic - c - t) + 1)
+        keep = np.flatnonzero(c + t > 2)
+        keep = keep[np.lexsort((f[keep], -chi[keep]))][:most]
+        yield pa.record_batch({"feature": f[keep].astype(np.int64), "c": c[keep], "t": t[keep], "chi": chi[keep]})
+
+    return best
 
 
 def _select(chosen: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -86,7 +106,7 @@ def _select(chosen: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     return select
 
 
-def fit_weights(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, penalty: float = 2.0, rounds: int = 200) -> tuple[np.ndarray, float]:
+def fit_weights(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, penalty: float = 2.0, rounds: int = 150) -> tuple[np.ndarray, float]:
     """L2-penalised logistic regression on features of value ratio, by accelerated gradient steps; (weights, bias)."""
     size = np.array([len(r) for r in rows])
     col = np.concatenate(rows) if rows else np.zeros(0, np.int64)
@@ -125,7 +145,7 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 40_000, features: int = 16_384) -> tuple[np.ndarray, np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 16_000, features: int = 16_384) -> tuple[np.ndarray, np.ndarray, float]:
     """(features, weights, bias), learnt from at most ``most_rows`` labelled rows that are not held out.
 
     The rows are those of least hash of their id, so the sample does not depend on order or partitions. Counts of
@@ -142,10 +162,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     none = np.zeros(0, np.int64), np.zeros(0), float(np.log((nt + 1) / (nc + 1)))
     if not nt or not nc:
         return none
-    counts = rows.mapInArrow(_count, "feature bigint, clean bigint, toxic bigint").groupBy("feature").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t"))
-    c, t = F.col("c").cast("double"), F.col("t").cast("double")
-    chi = F.pow(t * (nc - c) - c * (nt - t), F.lit(2)) / ((c + t) * (nc + nt - c - t) + 1)
-    best = counts.where("c + t > 2").orderBy(chi.desc(), "feature").limit(features).select("feature", "c", "t").orderBy("feature").collect()
+    counts = rows.mapInArrow(_count(4 * partitions(docs.sparkSession)), _COUNTS).repartition("bucket").mapInArrow(_best(nt, nc, features), "feature bigint, c double, t double, chi double")
+    best = counts.orderBy(F.desc("chi"), "feature").limit(features).select("feature", "c", "t").orderBy("feature").collect()
     if not best:
         return none
     chosen = np.array([r["feature"] for r in best])
