@@ -107,6 +107,33 @@ SELECT v.vec_id, coalesce(d.n, 0)::BIGINT AS n_links, coalesce(l.component_id, v
 FROM v LEFT JOIN degree d ON d.vec_id = v.vec_id LEFT JOIN least l ON l.vec_id = v.vec_id
 """
 
+OP4_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents
+), windows AS (
+  SELECT r, i, md5(b[i:i + 199]) AS w FROM (SELECT r, b, unnest(range(1, octet_length(b) - 198)) AS i FROM d WHERE octet_length(b) >= 200)
+), twice AS (SELECT w FROM windows GROUP BY w HAVING count(*) > 1
+), starts AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM windows JOIN twice USING (w)
+), runs AS (SELECT r, island, min(i) AS s, max(i) + 200 AS e FROM (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS island FROM starts) GROUP BY ALL
+), gaps AS (
+  SELECT r, s, e - s AS size, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 1) AS a FROM runs
+), cut AS (
+  SELECT g.r, sum(size) AS n_removed, count(*) AS n_spans, string_agg(CASE WHEN g.s > g.a THEN hex(b[g.a:g.s - 1]) ELSE '' END, '' ORDER BY g.s) AS kept, max(s + size) AS last FROM gaps g JOIN d USING (r) GROUP BY g.r
+)
+SELECT d.doc_id, octet_length(d.b)::BIGINT AS n_bytes, coalesce(c.n_removed, 0)::BIGINT AS n_removed, coalesce(c.n_spans, 0)::BIGINT AS n_spans,
+  sha256(CASE WHEN c.r IS NULL THEN d.b ELSE unhex(c.kept || CASE WHEN c.last <= octet_length(d.b) THEN hex(d.b[c.last:]) ELSE '' END) END) AS kept_sha256
+FROM d LEFT JOIN cut c ON c.r = d.r
+"""
+
+OP7_SQL = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(coalesce(html, '')) AS h FROM pages
+), f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS least FROM p)
+SELECT page_id, octet_length(b)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda g: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, (1 + 5 * (g // 4))::INT, 5))::INT >> (15 - 5 * (g % 4))::INT) & 31), 1)), '') AS payload_digest,
+  CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> least THEN least END AS refers_to
+FROM f
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_media_columns": op2_media_columns,
@@ -121,5 +148,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op1_minhash_near_dedup": OP1_SQL,
+    "op4_suffix_array_dedup": OP4_SQL,
+    "op7_warc_zip": OP7_SQL,
     "op10_embedding_near_dedup": OP10_SQL,
 }
