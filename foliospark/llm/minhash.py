@@ -309,16 +309,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     an empty table gives an empty result. Texts of any length are read whole.
     """
     base = with_digest(docs, id_col, text_col)
-    rows = _grouped(base, **options)
+    rows = _grouped(base, distinct_texts(base), **options)
     least = rows.where("g is not null").groupBy("g").agg(F.min("doc_id").alias("least"))
     out = rows.where("g is not null").join(least, "g").select("doc_id", "n_shingles", F.col("least").alias("component_id"))
     out = out.unionByName(rows.where("g is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
-def _grouped(base: DataFrame, **options: int) -> DataFrame:
+def _grouped(base: DataFrame, texts: DataFrame, **options: int) -> DataFrame:
     """(doc_id, digest, n_shingles, g): g is equal for rows of one group, null for texts without shingles."""
-    classes = near_duplicate_classes(distinct_texts(base), **options)
+    classes = near_duplicate_classes(texts, **options)
     alone = F.when(F.col("n_shingles") > 0, F.col("set_key"))
     return base.select("doc_id", "digest").join(classes, "digest").select("doc_id", "digest", "n_shingles", F.coalesce("root", alone).alias("g"))
 
@@ -326,14 +326,18 @@ def _grouped(base: DataFrame, **options: int) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
     """The rows and columns of ``docs`` with one row of each group: that of the smallest doc_id (a null one only if all are).
 
-    Rows without shingles stay, as they are linked with nothing. Of repeated rows one stays.
+    Rows without words stay, as they are linked with nothing. Of repeated rows one stays.
     """
     base = with_digest(docs, id_col, text_col)
-    rows = _grouped(base, **options)
+    texts = distinct_texts(base)
+    rows = _grouped(base, texts, **options)
     best = rows.where("g is not null").groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")).alias("m"))
     stay = best.select(F.col("m.digest").alias("_digest"), F.col("m.doc_id").alias("_id"))
-    blank = rows.where("g is null").select(F.col("digest").alias("_digest")).distinct()
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    marked = docs.withColumn("_digest", F.unhex(F.sha2(text.cast("binary"), 256)))
+    worded = text.rlike(r"[^ \t\n\x0B\f\r]")
+    # the rows without their texts find what stays, and take the texts from the table that is in buckets of digest
+    marked = docs.where(worded).withColumn("_digest", F.unhex(F.sha2(text.cast("binary"), 256))).drop(text_col)
     one = marked.join(stay, "_digest").where(F.col(f"`{id_col}`").eqNullSafe(F.col("_id"))).dropDuplicates(["_digest"])
-    return one.select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(marked.join(blank, "_digest", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns)))
+    back = texts.select(F.col("digest").alias("_digest"), F.col("text").alias("_text"))
+    full = one.join(back, "_digest").select(*(F.col("_text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+    return full.unionByName(docs.where(~worded))
