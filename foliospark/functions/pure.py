@@ -12,6 +12,7 @@ import unicodedata
 #: White space of the page format.
 SPACE = "\t\n\x0b\x0c\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 _S = f"[{SPACE}]"
+LINE_START = "(?:^|(?<=[\n\r\u2028\u2029]))"
 _STRIP = "".join(chr(c) for c in range(0x10000) if re.fullmatch(_S, chr(c)))
 _KEPT = re.compile("[^0-9a-z가-힣]")
 _ENTITY = re.compile("&([a-z]+);", re.I | re.A)
@@ -97,7 +98,7 @@ _COMPARABLE = [
     (re.compile(r"</(?:td|th)>", re.I), " "),
     (re.compile(r"</tr>", re.I), "\n"),
     (re.compile(r"<[^>]+>"), " "),
-    (re.compile(r"^[\t ]{0,3}(?:#{1,6}|[-*+]|[0-9]+\.)[\t ]+", re.M), ""),
+    (re.compile(LINE_START + r"[\t ]{0,3}(?:#{1,6}|[-*+]|[0-9]+\.)[\t ]+"), ""),
     (re.compile(r"[*_`~>|]"), " "),
 ]
 _SPACES = re.compile(_S + "+")

@@ -14,6 +14,8 @@ from foliospark.functions import pure
 #: White space of the page format, for Java patterns.
 S = r"[\s\x{00A0}\x{FEFF}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
+LINE_START = r"(?:^|(?<=[\n\r\x{2028}\x{2029}]))"
+
 
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^{S}+|{S}+$", "")
@@ -63,7 +65,7 @@ def comparable_text(c: Column, *, normalize: bool = True) -> Column:
     """What of Markdown is compared: no markup, NFKC (if ``normalize``), no white space."""
     text = _replaced(decode_entities(c), [
         (r"(?s)<!--.*?-->", " "), (r"!\[([^\]]*)\]\([^)]*\)", " $1 "), (r"\[([^\]]+)\]\([^)]*\)", " $1 "), (r"(?i)</(?:td|th)>", " "), (r"(?i)</tr>", "\n"),
-        (r"<[^>]+>", " "), (r"(?m)^[\t ]{0,3}(?:#{1,6}|[-*+]|\d+\.)[\t ]+", ""), (r"[*_`~>|]", " "),
+        (r"<[^>]+>", " "), (LINE_START + r"[\t ]{0,3}(?:#{1,6}|[-*+]|\d+\.)[\t ]+", ""), (r"[*_`~>|]", " "),
     ])
     return F.regexp_replace(nfkc(text) if normalize else text, f"{S}+", "")
 
@@ -116,7 +118,7 @@ def marker_numbers(c: Column) -> Column:
 
 def marker_place(c: Column, number: Column) -> Column:
     """0-based place of the line that a number marks, -1 without one; it may be the line break before."""
-    pattern = F.concat(F.lit(r"(?:^|\n)[\t ]{0,3}"), number.cast("string"), F.lit(rf"{S}*\\?\)[\t ]*"))
+    pattern = F.concat(F.lit(rf"(?:\n|{LINE_START})[\t ]{{0,3}}"), number.cast("string"), F.lit(rf"{S}*\\?\)[\t ]*"))
     return F.regexp_instr(c, pattern) - 1
 
 

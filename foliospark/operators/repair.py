@@ -102,7 +102,7 @@ def escape_markers(markdown: str) -> str:
 
 
 def marker_place(markdown: str, number: int) -> int:
-    m = re.search(rf"(?:^|\n)[\t ]{{0,3}}{number}{_S}*\\?\)[\t ]*", markdown, re.M)
+    m = re.search(rf"(?:\n|{pure.LINE_START})[\t ]{{0,3}}{number}{_S}*\\?\)[\t ]*", markdown)
     return m.start() if m else -1
 
 
