@@ -90,23 +90,26 @@ def q05_link_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 LATIN = "regexp_replace(lower({0}), '[^0-9a-z]', '', 'g')"
 
 
-@query(f"""SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, round(levenshtein(a.t, b.t)::DOUBLE / length(a.t), 6) AS cer
-FROM (SELECT doc_id, {LATIN.format('text')} AS t FROM documents) a JOIN (SELECT doc_id, {LATIN.format('text')} AS t FROM documents) b
-ON left(a.t, 24) = left(b.t, 24) AND a.doc_id < b.doc_id WHERE length(a.t) >= 24 AND length(b.t) >= 24 AND length(a.t) <= 2000 AND length(b.t) <= 2000""")
+def first_alike(spark: SparkSession, sf_dir: str, prefix: int, most: int) -> DataFrame:
+    """(doc_a, doc_b, t_a, t_b): each document of a page's length and the first one that begins alike; a row per document at most."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.lower("text"), "[^0-9a-z]", "").alias("t")).where(F.length("t").between(prefix, most)).withColumn("k", F.left("t", F.lit(prefix)))
+    first = rows.groupBy("k").agg(F.min_by(F.struct(F.col("doc_id").alias("doc_a"), F.col("t").alias("t_a")), "doc_id").alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("k", "f.*")
+    return rows.join(first, "k").where("doc_a < doc_id").select("doc_a", F.col("doc_id").alias("doc_b"), "t_a", F.col("t").alias("t_b"))
+
+
+FIRST_ALIKE = f"""(SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, a.t AS t_a, b.t AS t_b FROM (SELECT *, min(doc_id) OVER (PARTITION BY left(t, {{0}})) AS least FROM (SELECT doc_id, {LATIN.format('text')} AS t FROM documents) WHERE length(t) BETWEEN {{0}} AND {{1}}) b
+JOIN (SELECT doc_id, {LATIN.format('text')} AS t FROM documents) a ON a.doc_id = b.least AND b.doc_id > b.least)"""
+
+
+@query(f"SELECT doc_a, doc_b, round(levenshtein(t_a, t_b)::DOUBLE / length(t_a), 6) AS cer FROM {FIRST_ALIKE.format(24, 1000)}")
 def q06_character_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that begin alike, as expected and actual text (of 24 to 2000 letters: that of a page)."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.lower("text"), "[^0-9a-z]", "").alias("t")).where(F.length("t").between(24, 2000)).withColumn("k", F.left("t", F.lit(24)))
-    a, b = (rows.select(F.col("doc_id").alias(f"doc_{x}"), F.col("t").alias(f"t_{x}"), "k") for x in "ab")
-    return a.join(b, "k").where("doc_a < doc_b").select("doc_a", "doc_b", F.round(T.character_error_rate(F.col("t_a"), F.col("t_b")), 6).alias("cer"))
+    """Documents of up to 1000 letters (a page) as readings of the first one that begins alike."""
+    return first_alike(spark, sf_dir, 24, 1000).select("doc_a", "doc_b", F.round(T.character_error_rate(F.col("t_a"), F.col("t_b")), 6).alias("cer"))
 
 
-@query(f"""SELECT a.doc_id AS doc_a, b.doc_id AS doc_b FROM (SELECT doc_id, {LATIN.format('text')} AS t FROM documents) a JOIN (SELECT doc_id, {LATIN.format('text')} AS t FROM documents) b
-ON left(a.t, 8) = left(b.t, 8) AND a.doc_id < b.doc_id WHERE length(a.t) BETWEEN 8 AND 1000 AND length(b.t) BETWEEN 8 AND 1000
-AND levenshtein(a.t, b.t) <= floor((1 - 0.65) * greatest(length(a.t), length(b.t)) + 1e-9)""")
+@query(f"SELECT doc_a, doc_b FROM {FIRST_ALIKE.format(8, 500)} WHERE levenshtein(t_a, t_b) <= floor((1 - 0.65) * greatest(length(t_a), length(t_b)) + 1e-9)")
 def q07_similarity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.lower("text"), "[^0-9a-z]", "").alias("t")).where(F.length("t").between(8, 1000)).withColumn("k", F.left("t", F.lit(8)))
-    a, b = (rows.select(F.col("doc_id").alias(f"doc_{x}"), F.col("t").alias(f"t_{x}"), "k") for x in "ab")
-    return a.join(b, "k").where("doc_a < doc_b").where(T.similar(F.col("t_a"), F.col("t_b"), 0.65)).select("doc_a", "doc_b")
+    return first_alike(spark, sf_dir, 8, 500).where(T.similar(F.col("t_a"), F.col("t_b"), 0.65)).select("doc_a", "doc_b")
 
 
 @query(f"""SELECT b.item_id, d.doc_id, count(*)::BIGINT AS n_lines FROM (SELECT item_id, {NORM.format('text')} AS n FROM benchmark) b JOIN (SELECT doc_id, {NORM.format('line')} AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)) d
