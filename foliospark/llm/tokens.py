@@ -17,7 +17,7 @@ from foliospark.session import prepare, shared_dir
 
 #: Characters that the libraries at hand classify alike, whatever their Unicode version.
 _PLAIN = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e\xa1-\xff]")
-_MEMO = 120_000  # words remembered by a task
+_MEMO = 300_000  # words remembered by a task
 
 
 class TokenCounter:
@@ -46,7 +46,7 @@ class TokenCounter:
         self.memo: dict[str, int] = {}
 
     def _encode(self, texts: list[str]) -> list[int]:
-        return [len(x.ids) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+        return [len(x) for x in self.library.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
     def count(self, texts: list[str]) -> list[int]:
         out = [0] * len(texts)
@@ -111,8 +111,8 @@ def _counting(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
         for batch in batches:
             counter = counter or TokenCounter(path)
             n = []
-            for i in range(0, batch.num_rows, 64):
-                n += counter.count(batch.column("text").slice(i, 64).to_pylist())
+            for i in range(0, batch.num_rows, 512):
+                n += counter.count(batch.column("text").slice(i, 512).to_pylist())
             yield pa.record_batch({"key": batch.column("key").cast(pa.binary()), "n_tokens": pa.array(n, pa.int64())})
 
     return count
