@@ -136,19 +136,22 @@ def _union_find(edges: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"node": pa.array(part, pa.binary()), "root": pa.array([root(x) for x in part], pa.binary())})
 
 
-def components(edges: DataFrame, level: int = 0) -> DataFrame:
+def components(edges: DataFrame, level: int = 0, *, few: int = 20_000) -> DataFrame:
     """(node, root) for the nodes of ``edges`` (a, b: binary); root is one node of the component.
 
     Each edge goes to its end of smaller hash, so that a task holds whole neighbourhoods of local minima and
     joins them in memory; a node that several tasks have given roots links these roots, and these links, on a
     constant fraction of the nodes, are solved in the same way. No task holds more than its share of the edges.
+    Once ``few`` edges are left, which are counted, one task solves them.
     """
+    schema = "node binary, root binary"
+    held = materialize(edges.where("a <> b").select("a", "b"), "edges")
+    if held.count() <= few:
+        return materialize(held.coalesce(1).mapInArrow(_union_find, schema), "components")
     ha, hb = (F.xxhash64(F.col(c), F.lit(level)) for c in ("a", "b"))
-    dealt = edges.where("a <> b").repartition(F.when(ha < hb, F.col("a")).otherwise(F.col("b")))
-    found = materialize(dealt.mapInArrow(_union_find, "node binary, root binary"), "components")
+    dealt = held.repartition(F.when(ha < hb, F.col("a")).otherwise(F.col("b")))
+    found = materialize(dealt.mapInArrow(_union_find, schema), "components")
     least = found.groupBy("node").agg(F.min("root").alias("root"), F.max("root").alias("other"))
     links = found.join(least.where("root <> other").select("node", F.col("root").alias("b")), "node").where("root <> b").select(F.col("root").alias("a"), "b").distinct()
-    if links.isEmpty():
-        return least.select("node", "root")
-    up = components(links, level + 1).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    up = components(links, level + 1, few=few).select(F.col("node").alias("root"), F.col("root").alias("top"))
     return least.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
