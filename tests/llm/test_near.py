@@ -110,9 +110,10 @@ def test_components(spark):
     rng.shuffle(path)
     edges = [(nodes[a], nodes[b]) for a, b in zip(path, path[1:])] + [(nodes[200 + i], nodes[250 + i % 3]) for i in range(40)]
     df = spark.createDataFrame(edges, "a BINARY, b BINARY").repartition(7)
-    got = {bytes(r.node): bytes(r.root) for r in components(df).collect()}
-    assert len({got[nodes[i]] for i in path}) == 1
-    assert len({got[nodes[250 + i]] for i in range(3)}) == 3 and len(got) == 243
+    for few in (20_000, 5):
+        got = {bytes(r.node): bytes(r.root) for r in components(df, few=few).collect()}
+        assert len({got[nodes[i]] for i in path}) == 1
+        assert len({got[nodes[250 + i]] for i in range(3)}) == 3 and len(got) == 243
     assert components(spark.createDataFrame([], "a BINARY, b BINARY")).collect() == []
 
 
