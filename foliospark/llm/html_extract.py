@@ -37,7 +37,7 @@ _HINT = re.compile(
 )
 _HINT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(_DROPPED) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>|<[!?/][^>]*>|<[/!?a-zA-Z][^<>]*\Z", re.S | re.I)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _MAIN = frozenset(("article", "main"))
 
 
@@ -61,14 +61,23 @@ class Block(NamedTuple):
     main: bool
 
 
-def _barred(tag: str, attributes: str) -> bool:
+_ABOUT_PAGE = ("has-", "with-", "no-", "without-")  # names of layouts that have or lack a part
+
+
+def _barred(tag: str, attributes: str, main: bool) -> bool:
+    """Whether a container is named as something other than the article. Inside the article, headers are its own."""
     if tag in _ASIDE:
-        return True
+        return not (tag == "header" and main)
     if not attributes or len(attributes) < 4:
         return False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id") and _HINT.search(value) or name == "role" and value.lower() in _HINT_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
+        if name in ("class", "id"):
+            for word in value.split():
+                hint = None if word.lower().startswith(_ABOUT_PAGE) else _HINT.search(word)
+                if hint and not (main and "header" in hint[0].lower()):
+                    return True
+        elif name == "role" and value.lower() in _HINT_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
     return False
 
@@ -125,8 +134,7 @@ def blocks(page: str) -> Iterator[Block]:
             count += 1
             up = stack[-1] if stack else ("", 0, False, False)
             main = up[3] or tag in _MAIN
-            # a header or footer of the article itself is judged by its text alone
-            barred = up[2] or (_barred(tag, m[4]) if tag not in ("html", "body") else False) and not (tag == "header" and up[3])
+            barred = up[2] or tag not in ("html", "body") and _barred(tag, m[4], up[3])
             stack.append((tag, count, barred, main))
             heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
     if at < len(page):
@@ -223,12 +231,12 @@ def extract(page: str | None, rules: Rules = Rules()) -> str:
     if not page:
         return ""
     found = list(blocks(page))
-    inside = [b for b in found if b.main]
-    if any(not b.barred for b in inside):  # the page says where its main text is, and nothing there is bad for its words alone
+    inside = [b for b in found if b.main and not b.barred]
+    if inside:  # the page says where its main text is, and nothing there is bad for its words alone
         found = inside
     first = classify(found, rules)
-    if found is inside:
-        first = ["near" if x == "bad" and not b.barred and b.linked <= rules.links * len(b.text) and "\xa9" not in b.text else x for x, b in zip(first, found, strict=True)]
+    if inside:
+        first = ["near" if x == "bad" and b.linked <= rules.links * len(b.text) and "\xa9" not in b.text else x for x, b in zip(first, found, strict=True)]
     return " ".join(b.text for b, good in zip(found, decide(found, first, rules), strict=True) if good)
 
 

@@ -331,6 +331,7 @@ def test_main_text_by_rules():
         assert other not in text
     assert H.extract(None) == H.extract("") == H.extract("<p></p>") == ""
     assert H.extract("<article><h1>A</h1><p>B c.</p></article><div>D</div>") == "A B c."
+    assert H.extract('<div class="has-sidebar" data-id="menu"><article><div class="article-header"><h1>A</h1></div><p>B c.</p><div class="comments"><p>D</p></div></article></div>') == "A B c."
     assert H.extract("<article><p>one<p>two<b>x<br>y</p>&lt;z&gt;</article") == "one twox y <z>"
 
 
