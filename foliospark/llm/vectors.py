@@ -102,18 +102,17 @@ def _prepare_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _assign(pivots: dict[tuple[str, int], np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            label, dims = batch.column("label").to_pylist(), batch.column("dims").to_pylist()
-            cell, far = [], []
-            for g, d, u in zip(label, dims, batch.column("unit").to_pylist(), strict=True):
-                p = pivots.get((g, d))
-                if p is None:
-                    cell.append(0)
-                    far.append(2.0)
-                    continue
-                dist = 2.0 - 2.0 * (p @ np.frombuffer(u))
-                k = int(np.argmin(dist))
-                cell.append(k)
-                far.append(float(np.sqrt(max(0.0, dist[k]))))
+            units = batch.column("unit").to_pylist()
+            groups: dict[tuple[str, int], list[int]] = {}
+            for i, g in enumerate(zip(batch.column("label").to_pylist(), batch.column("dims").to_pylist(), strict=True)):
+                groups.setdefault(g, []).append(i)
+            cell, far = np.zeros(batch.num_rows, np.int32), np.full(batch.num_rows, 2.0)
+            for g, rows in groups.items():
+                p = pivots.get(g)
+                if p is not None:
+                    dist = 2.0 - 2.0 * (np.frombuffer(b"".join([units[i] for i in rows])).reshape(len(rows), -1) @ p.T)
+                    cell[rows] = dist.argmin(1)
+                    far[rows] = np.sqrt(np.maximum(0.0, dist.min(1)))
             yield pa.record_batch([*batch.columns, pa.array(cell, pa.int32()), pa.array(far, pa.float64())], [*batch.schema.names, "cell", "far"])
 
     return assign
@@ -173,15 +172,14 @@ def vector_links(vectors: DataFrame, *, cosine: float = 0.93, cell: int = 2048,
     than ``cell`` is dealt by hash over several. Two cells meet only if their pivots' distance is within both covering
     radii and the threshold's, so each pair of linked vectors meets once.
     """
-    sizes = {(r["label"], r["dims"]): r["n"] for r in vectors.orderBy(F.xxhash64("key"), "key").limit(sample).groupBy("label", "dims").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = vectors.groupBy("label", "dims").agg(F.count(F.lit(1)).alias("n"))
     counts = {(r["label"], r["dims"]): r["n"] for r in total.orderBy(F.desc("n"), "label", "dims").limit(sample).collect()}
     picked: dict[tuple[str, int], list[np.ndarray]] = {}
     for r in vectors.orderBy(F.xxhash64("key"), "key").limit(sample).select("label", "dims", "unit").collect():
         picked.setdefault((r["label"], r["dims"]), []).append(np.frombuffer(r["unit"]))
     pivots = {}
-    for g in sizes:
-        x = np.array(picked.get(g, []))
+    for g, found in picked.items():
+        x = np.array(found)
         want = min(len(x), -(-counts.get(g, 0) // cell))
         if want < 2:
             continue
@@ -201,14 +199,17 @@ def vector_links(vectors: DataFrame, *, cosine: float = 0.93, cell: int = 2048,
         keys = ["label", "dims"]
         for t in runs(groups, keys):
             at = group_starts(t, keys)
-            label, dims, cells, radius, part = (t.column(c).to_pylist() for c in ("label", "dims", "cell", "radius", "parts"))
+            label, dims, (cells, radius, part) = t.column("label").to_pylist(), t.column("dims").to_pylist(), (t.column(c).to_numpy() for c in ("cell", "radius", "parts"))
             out = []
             for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 p = pivots.get((label[i], dims[i]))
-                for u in range(i, j):
-                    for v in range(i, j):
-                        if u == v or p is None or np.sqrt(max(0.0, 2.0 - 2.0 * float(p[cells[u]] @ p[cells[v]]))) <= radius[u] + radius[v] + reach:
-                            out += [(label[i], dims[i], cells[u], part[u], cells[v], k) for k in range(part[v])]
+                meet = np.ones((j - i, j - i), bool)
+                if p is not None:
+                    c, r = p[cells[i:j]], radius[i:j]
+                    meet = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (c @ c.T))) <= r[:, None] + r[None, :] + reach
+                    np.fill_diagonal(meet, True)
+                for u, v in zip(*(x.tolist() for x in np.nonzero(meet)), strict=True):
+                    out += [(label[i], dims[i], int(cells[i + u]), int(part[i + u]), int(cells[i + v]), k) for k in range(int(part[i + v]))]
             cols = list(zip(*out, strict=True)) or [()] * 6
             kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
             yield pa.record_batch({n: pa.array(c, k) for n, c, k in zip(("label", "dims", "cell", "parts", "other", "other_part"), cols, kinds, strict=True)})
