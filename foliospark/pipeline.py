@@ -113,7 +113,10 @@ def convert(spark: SparkSession, path: str, recognizer: Recognizer, settings: Se
 
 
 def default_recognizer(settings: Settings) -> Recognizer:
-    return ProcessRecognizer(settings.paddle_python or settings.paddle_command, device=settings.device, recovery=settings.watermark_mode == "text-safe", bridge=settings.paddle_python is not None)
+    """The program that the settings name; with a Python of its own, the bundled bridge under it."""
+    bridge = settings.paddle_python is not None
+    script = (os.path.join(os.path.dirname(os.path.abspath(__file__)), "structure_bridge.py"),) if bridge else ()
+    return ProcessRecognizer(settings.paddle_python or settings.paddle_command, script, device=settings.device, recovery=settings.watermark_mode == "text-safe", bridge=bridge)
 
 
 def run(spark: SparkSession, input_path: str, output: str, settings: Settings = Settings(), *, recognizer: Recognizer | None = None, pdf: PdfRenderer | None = None, codec: Codec = decode_png, progress: Progress | None = None) -> dict[str, Any]:

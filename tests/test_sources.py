@@ -230,3 +230,22 @@ def test_process_recognizer():
     assert args[:2] == ["bridge.py", "pp_structurev3"] and args[args.index("--raw_ocr_input") + 1].endswith("raw-input.png") and args[args.index("--use_formula_recognition") + 1] == "False"
     stock = ProcessRecognizer(runner=runner, bridge=False).build("i.png", "o")
     assert "--save_raw_ocr" not in stock and "--raw_ocr_input" not in stock
+
+
+def test_bridge():
+    from foliospark import structure_bridge as SB
+    from foliospark.pipeline import Settings, default_recognizer
+
+    recognizer = default_recognizer(Settings(paddle_python="/venv/python"))
+    args = SB.parser().parse_args(recognizer.build("i.png", "out", "raw.png"))
+    assert (args.input, args.save_path, args.raw_ocr_input, args.save_raw_ocr, args.use_table_recognition, args.use_seal_recognition) == ("i.png", "out", "raw.png", True, True, False)
+    assert recognizer.command == "/venv/python" and recognizer.arguments[0].endswith("structure_bridge.py")
+    assert default_recognizer(Settings()).arguments == ()
+    seen = []
+
+    def predict(path):
+        seen.append(path)
+        return [{"res": {"rec_texts": [path], "rec_boxes": [[0, 0, 1, 1]], "rec_scores": [1]}}, {"rec_texts": ["b"]}]
+
+    assert SB.raw_readings(predict, "i", "r")["overall_ocr_res"]["rec_texts"] == ["r", "b"] and seen == ["r", "i"]
+    assert SB.raw_readings(predict, "i", None)["fallback_ocr_res"]["rec_texts"] == []
