@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,23 @@ BASE_A, BASE_B = (U64(int(x) | 1) for x in _rng.integers(2**40, 2**62, 2))
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def released(work: Batches) -> Batches:
+    """``work``, after which the Python worker, which waits for other tasks, gives its freed memory back to the system."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+            if trim:
+                trim(0)
+
+    return run
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit words."""
     h = h ^ (h >> U64(30))
@@ -147,10 +165,10 @@ def components(edges: DataFrame, level: int = 0, *, few: int = 20_000) -> DataFr
     schema = "node binary, root binary"
     held = materialize(edges.where("a <> b").select("a", "b"), "edges")
     if held.count() <= few:
-        return materialize(held.coalesce(1).mapInArrow(_union_find, schema), "components")
+        return materialize(held.coalesce(1).mapInArrow(released(_union_find), schema), "components")
     ha, hb = (F.xxhash64(F.col(c), F.lit(level)) for c in ("a", "b"))
     dealt = held.repartition(F.when(ha < hb, F.col("a")).otherwise(F.col("b")))
-    found = materialize(dealt.mapInArrow(_union_find, schema), "components")
+    found = materialize(dealt.mapInArrow(released(_union_find), schema), "components")
     least = found.groupBy("node").agg(F.min("root").alias("root"), F.max("root").alias("other"))
     links = found.join(least.where("root <> other").select("node", F.col("root").alias("b")), "node").where("root <> b").select(F.col("root").alias("a"), "b").distinct()
     up = components(links, level + 1, few=few).select(F.col("node").alias("root"), F.col("root").alias("top"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import BYTE_A, U64, components, distinct_texts, mix, powers, prefix_hash, slices, text_buffer, with_digest
+from foliospark.llm.common import BYTE_A, U64, components, distinct_texts, mix, powers, prefix_hash, released, slices, text_buffer, with_digest
 from foliospark.session import materialize, prepare
 
 _IS_SPACE = np.zeros(256, bool)
@@ -272,25 +272,25 @@ def _blocks(df: DataFrame, size: str, block: int) -> DataFrame:
 def near_duplicate_classes(texts: DataFrame, *, width: int = 3, percent: int = 85, coordinates: int = 32, matches: int = 16, block: int = 2048, set_block: int = 256) -> DataFrame:
     """(digest, n_shingles, set_key, root): root is null for sets without links; texts is :func:`distinct_texts`."""
     prepare(texts.sparkSession)
-    signed = materialize(texts.select("digest", "text").mapInArrow(_signer(width, coordinates), "digest binary, n_shingles bigint, set_key binary, sig binary, postings array<bigint>"), "signed")
+    signed = materialize(texts.select("digest", "text").mapInArrow(released(_signer(width, coordinates)), "digest binary, n_shingles bigint, set_key binary, sig binary, postings array<bigint>"), "signed")
     nodes = signed.where("n_shingles > 0").groupBy("set_key").agg(F.min_by(F.struct("digest", "sig", "postings"), "digest").alias("one")).select("one.*")
     posted = nodes.select("digest", F.explode("postings").alias("token"))
     often = posted.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     ranked = posted.join(often, "token").groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("ranked")).where(F.size("ranked") >= matches)
     prefix = ranked.select("digest", F.explode(F.slice("ranked", F.lit(1), F.size("ranked") - (matches - 1))).alias("p")).select("digest", "p.n", "p.token")
     lists = _blocks(prefix.join(nodes.select("digest", "sig"), "digest"), "n", block)
-    matched = lists.repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj").select("token", "bi", "bj", "home", "digest", "sig").mapInArrow(_matcher(matches), "a binary, b binary")
+    matched = lists.repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj").select("token", "bi", "bj", "home", "digest", "sig").mapInArrow(released(_matcher(matches)), "a binary, b binary")
     matched = materialize(matched.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "matched")
     loose = materialize(components(matched).withColumnRenamed("root", "group"), "groups")
     members = materialize(texts.join(loose, F.col("digest") == F.col("node")).select("digest", "text", "group"), "members")
     pairs = matched.join(members.select(F.col("digest").alias("a"), F.col("text").alias("text_a")), "a").join(members.select(F.col("digest").alias("b"), F.col("text").alias("text_b")), "b")
-    sure = materialize(pairs.mapInArrow(_confirmer(width, percent), "a binary, b binary"), "links")
+    sure = materialize(pairs.mapInArrow(released(_confirmer(width, percent)), "a binary, b binary"), "links")
     strict = components(sure)
     parts = loose.join(strict, "node", "left").select(F.col("node").alias("digest"), "group", F.coalesce("root", "node").alias("part"))
     open_groups = parts.groupBy("group").agg(F.count(F.lit(1)).alias("members"), F.min("part").alias("p"), F.max("part").alias("q")).where("members > 2 and p <> q").select("group", "members")
     left = materialize(parts.join(open_groups, "group"), "open")
     dealt = _blocks(left.join(members.select("digest", "text"), "digest"), "members", set_block)
-    more = dealt.repartition("group", "bi", "bj").sortWithinPartitions("group", "bi", "bj").select("group", "bi", "bj", "home", "digest", "part", "text").mapInArrow(_rest(width, percent), "a binary, b binary")
+    more = dealt.repartition("group", "bi", "bj").sortWithinPartitions("group", "bi", "bj").select("group", "bi", "bj", "home", "digest", "part", "text").mapInArrow(released(_rest(width, percent)), "a binary, b binary")
     links = components(materialize(sure.unionByName(more), "links"))
     roots = nodes.select("digest").join(links, F.col("digest") == F.col("node")).select("digest", "root")
     by_set = signed.select("digest", "set_key").join(roots, "digest").select("set_key", "root")

@@ -10,6 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.llm.common import released
 from foliospark.llm.tokens import ByteBpe
 from foliospark.session import prepare
 
@@ -130,4 +131,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, ranks: str | None = None,
     kind = base.schema["doc_id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
-    return base.mapInArrow(_packing((tokenizer, ranks, pattern), size, end_id, to_arrow_type(kind)), _PIECES.format(id=kind.simpleString()))
+    return base.mapInArrow(released(_packing((tokenizer, ranks, pattern), size, end_id, to_arrow_type(kind))), _PIECES.format(id=kind.simpleString()))

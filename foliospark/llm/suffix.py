@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import BASE_A, BASE_B, BYTE_A, BYTE_B, U64, distinct_texts, mix, packed_rows, powers, prefix_hash, slices, text_buffer, unpacked_rows, with_digest
+from foliospark.llm.common import BASE_A, BASE_B, BYTE_A, BYTE_B, U64, distinct_texts, mix, packed_rows, powers, prefix_hash, released, slices, text_buffer, unpacked_rows, with_digest
 from foliospark.session import materialize, partitions, prepare
 
 _PLACE = U64((1 << 24) - 1)
@@ -298,11 +298,11 @@ def repeat_spans(texts: DataFrame, *, min_len: int = 200, group: int = 4000, suf
     """(uid, s, e): byte spans of the distinct ``texts`` (uid, text, copies) that repeats cover; they may overlap."""
     spark = prepare(texts.sparkSession)
     buckets = 4 * partitions(spark)
-    runs = texts.select("uid", "text", "copies").mapInArrow(_find_runs(min_len, buckets), _RUNS)
-    classed = materialize(runs.repartition("bucket").mapInArrow(_classify, _CLASSED), "runs")
+    runs = texts.select("uid", "text", "copies").mapInArrow(released(_find_runs(min_len, buckets)), _RUNS)
+    classed = materialize(runs.repartition("bucket").mapInArrow(released(_classify), _CLASSED), "runs")
     asked = classed.where("not span").groupBy("uid").agg(F.collect_list(F.struct("x", "m", "h", "n", "solid")).alias("asked"))
-    contexts = texts.select("uid", "text").join(asked, "uid").mapInArrow(_fetch(min_len, buckets, group), _CONTEXTS)
-    found = contexts.repartition("bucket").mapInArrow(_scan(min_len, suffixes), "uid bigint, s bigint, e bigint")
+    contexts = texts.select("uid", "text").join(asked, "uid").mapInArrow(released(_fetch(min_len, buckets, group)), _CONTEXTS)
+    found = contexts.repartition("bucket").mapInArrow(released(_scan(min_len, suffixes)), "uid bigint, s bigint, e bigint")
     whole = classed.where("span").select("uid", F.col("x").alias("s"), (F.col("x") + F.col("m") + (min_len - 1)).alias("e"))
     return whole.unionByName(found)
 
@@ -320,7 +320,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     texts = distinct_texts(base, "uid")
     twice = (F.col("copies") > 1) & (F.octet_length("text") >= min_len)
     spans = repeat_spans(texts, min_len=min_len).groupBy("uid").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    some = texts.where(~twice).select("uid", "text").join(spans, "uid").mapInArrow(_cut(keep_bytes), "uid bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    some = texts.where(~twice).select("uid", "text").join(spans, "uid").mapInArrow(released(_cut(keep_bytes)), "uid bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
     nothing = F.lit(b"")
     all_of_it = texts.where(twice).select("uid", F.octet_length("text").cast("bigint").alias("n_removed"), F.lit(1).cast("bigint").alias("n_spans"), F.sha2(nothing, 256).alias("kept_sha256"), nothing.alias("kept"))
     columns = ["doc_id", "uid", F.octet_length("text").cast("bigint").alias("n_bytes"), F.lower(F.hex("digest")).alias("own")] + ([F.col("text").cast("binary").alias("own_bytes")] if keep_bytes else [])

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliospark.llm.common import released
 from foliospark.session import prepare, shared_dir
 
 #: Characters that the libraries at hand classify alike, whatever their Unicode version.
@@ -145,7 +146,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, cache: str | None = None, i
     wanted = base.groupBy("key").agg(F.first("text").alias("text"))
     if _exists(spark, store):
         wanted = wanted.join(spark.read.schema(schema).parquet(store), "key", "left_anti")
-    wanted.mapInArrow(_counting(tokenizer), schema).write.mode("append").parquet(store)
+    wanted.mapInArrow(released(_counting(tokenizer)), schema).write.mode("append").parquet(store)
     known = spark.read.schema(schema).parquet(store)
     rows = base.select("doc_id", "key", F.octet_length("text").cast("bigint").alias("n_bytes"))
     return rows.join(known, "key").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import packed_rows, slices, text_buffer, unpacked_rows
+from foliospark.llm.common import packed_rows, released, slices, text_buffer, unpacked_rows
 from foliospark.session import materialize, partitions, prepare
 
 ORDERS = range(4, 11)  # bytes in an n-gram, text lowered (A-Z), white space alike
@@ -162,13 +162,13 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     none = np.zeros(0, np.int64), np.zeros(0), float(np.log((nt + 1) / (nc + 1)))
     if not nt or not nc:
         return none
-    counts = rows.mapInArrow(_count(4 * partitions(docs.sparkSession)), _COUNTS).repartition("bucket").mapInArrow(_best(nt, nc, features), "feature bigint, c double, t double, chi double")
+    counts = rows.mapInArrow(released(_count(4 * partitions(docs.sparkSession))), _COUNTS).repartition("bucket").mapInArrow(released(_best(nt, nc, features)), "feature bigint, c double, t double, chi double")
     best = counts.orderBy(F.desc("chi"), "feature").limit(features).select("feature", "c", "t").orderBy("feature").collect()
     if not best:
         return none
     chosen = np.array([r["feature"] for r in best])
     ratio = np.log((np.array([r["t"] for r in best]) + 0.5) / (nt + 1)) - np.log((np.array([r["c"] for r in best]) + 0.5) / (nc + 1))
-    model = rows.mapInArrow(_select(chosen), "toxic int, features binary").coalesce(1).mapInArrow(_train(ratio), "weights binary, bias double").first()
+    model = rows.mapInArrow(released(_select(chosen)), "toxic int, features binary").coalesce(1).mapInArrow(released(_train(ratio)), "weights binary, bias double").first()
     return chosen, np.frombuffer(model["weights"], np.float64), float(model["bias"])
 
 
