@@ -106,7 +106,7 @@ def _select(chosen: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator
     return select
 
 
-def fit_weights(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, penalty: float = 2.0, rounds: int = 150) -> tuple[np.ndarray, float]:
+def fit_weights(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, penalty: float, rounds: int = 150) -> tuple[np.ndarray, float]:
     """L2-penalised logistic regression on features of value ratio, by accelerated gradient steps; (weights, bias)."""
     size = np.array([len(r) for r in rows])
     col = np.concatenate(rows) if rows else np.zeros(0, np.int64)
@@ -128,14 +128,14 @@ def fit_weights(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, penalt
     return w, b
 
 
-def _train(ratio: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _train(ratio: np.ndarray, penalty: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, y = [], []
         for batch in batches:
             rows += [np.frombuffer(x, np.uint16).astype(np.int64) for x in batch.column("features").to_pylist()]
             y += batch.column("toxic").to_pylist()
         if rows:
-            w, b = fit_weights(rows, np.array(y, float), ratio)
+            w, b = fit_weights(rows, np.array(y, float), ratio, penalty)
             yield pa.record_batch({"weights": pa.array([(w * ratio).astype(np.float64).tobytes()], pa.binary()), "bias": [b]})
 
     return train
@@ -145,7 +145,7 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 16_000, features: int = 16_384) -> tuple[np.ndarray, np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 16_000, features: int = 4_096, penalty: float = 10.0) -> tuple[np.ndarray, np.ndarray, float]:
     """(features, weights, bias), learnt from at most ``most_rows`` labelled rows that are not held out.
 
     The rows are those of least hash of their id, so the sample does not depend on order or partitions. Counts of
@@ -168,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         return none
     chosen = np.array([r["feature"] for r in best])
     ratio = np.log((np.array([r["t"] for r in best]) + 0.5) / (nt + 1)) - np.log((np.array([r["c"] for r in best]) + 0.5) / (nc + 1))
-    model = rows.mapInArrow(released(_select(chosen)), "toxic int, features binary").coalesce(1).mapInArrow(released(_train(ratio)), "weights binary, bias double").first()
+    model = rows.mapInArrow(released(_select(chosen)), "toxic int, features binary").coalesce(1).mapInArrow(released(_train(ratio, penalty)), "weights binary, bias double").first()
     return chosen, np.frombuffer(model["weights"], np.float64), float(model["bias"])
 
 
@@ -191,7 +191,7 @@ def _score(model: tuple[np.ndarray, np.ndarray, float]) -> Callable[[Iterator[pa
     return score
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, carry: tuple[str, ...] = (), **options: int) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, carry: tuple[str, ...] = (), **options: float) -> DataFrame:
     """Scores whole texts. Returns a row per input row: doc_id, held_out, score, predicted, and the columns in ``carry``.
 
     Labels are learnt from rows that are not held out (crc32 of the id as text, modulo 4, is not 2); scores depend on
