@@ -102,7 +102,7 @@ def character_error_rate(expected: Column, actual: Column) -> Column:
     astral = F.concat(expected, actual).rlike(r"[\x{10000}-\x{10FFFF}]")
     rate = F.arrow_udf(_error_rates, "double")
     plain = F.when(F.length(expected) == 0, F.when(F.length(actual) == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein(expected, actual) / F.length(expected))
-    return F.when(astral, rate(expected, actual)).otherwise(plain)
+    return F.when(astral, rate(F.when(astral, expected), F.when(astral, actual))).otherwise(plain)  # a UDF runs for every row: others give it null
 
 
 def numbered_marker(c: Column) -> Column:

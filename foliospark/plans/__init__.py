@@ -112,6 +112,15 @@ def q07_similarity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first_alike(spark, sf_dir, 8, 500).where(T.similar(F.col("t_a"), F.col("t_b"), 0.65)).select("doc_a", "doc_b")
 
 
+@query()
+def q47_passage_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents, however long, as readings of each passage whose first 24 letters (all, if fewer) they have anywhere."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.lower("text"), "[^0-9a-z]", "").alias("t"))
+    passages = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace(F.lower("text"), "[^0-9a-z]", "").alias("p")).where("p <> ''")
+    held = docs.join(F.broadcast(passages), F.col("t").contains(F.left("p", F.lit(24))))
+    return held.select("item_id", "doc_id", F.round(T.character_error_rate(F.col("p"), F.col("t")), 6).alias("cer"))
+
+
 @query(f"""SELECT b.item_id, d.doc_id, count(*)::BIGINT AS n_lines FROM (SELECT item_id, {NORM.format('text')} AS n FROM benchmark) b JOIN (SELECT doc_id, {NORM.format('line')} AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)) d
 ON left(b.n, 8) = left(d.n, 8) WHERE length(b.n) >= 8 AND length(d.n) >= 8 GROUP BY ALL""")
 def q08_prefix_match_join(spark: SparkSession, sf_dir: str) -> DataFrame:
