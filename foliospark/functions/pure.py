@@ -59,6 +59,34 @@ def distance(a: str, b: str) -> int:
     return int(row[-1])
 
 
+def within(a: str, b: str, most: int) -> bool:
+    """Whether the Levenshtein distance of two texts (in code points) is ``most`` or less: a column of the matrix is one
+    integer of its steps (Myers, Hyyrö), and it is given up where what is left of ``b`` cannot make up for it."""
+    if a == b:
+        return most >= 0
+    if abs(len(a) - len(b)) > most:
+        return False
+    if not a or not b:
+        return True
+    import numpy as np
+
+    x = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), np.uint32)
+    at = {c: int.from_bytes(np.packbits(x == ord(c), bitorder="little").tobytes(), "little") for c in set(a)}
+    full, top = (1 << len(a)) - 1, len(a) - 1
+    up, down, score, slack = full, 0, len(a), most + len(b)
+    for j, c in enumerate(b, 1):
+        eq = at.get(c, 0)
+        flat = (((eq & up) + up) ^ up) | eq
+        right, left = down | (full & ~(flat | up)), up & flat
+        score += (right >> top & 1) - (left >> top & 1)
+        if score + j > slack:
+            return False
+        eq |= down
+        right = (right << 1) | 1
+        up, down = ((left << 1) | ~(eq | right)) & full, right & eq & full
+    return score <= most
+
+
 def similarity(a: str, b: str) -> float:
     """One less the distance of the normalised texts over the longer length; 0 if both are empty."""
     a, b = normalized(a), normalized(b)

@@ -92,6 +92,16 @@ def similar(a: Column, b: Column, least: float) -> Column:
     return (longest > 0) & (F.levenshtein(a, b) <= F.floor((1 - least) * longest + 1e-9))
 
 
+def _within(columns: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for arrays in columns:
+        yield pa.array([None if None in (x := tuple(v.as_py() for v in row)) else pure.within(*x) for row in zip(*arrays, strict=True)], pa.bool_())
+
+
+def within(a: Column, b: Column, most: Column) -> Column:
+    """Whether the distance of two texts is ``most`` or less; a vectorised UDF that gives up beyond it, for texts of any length."""
+    return F.arrow_udf(_within, "boolean")(a, b, most.cast("bigint"))
+
+
 def _error_rates(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for a, b in columns:
         yield pa.array([None if x is None or y is None else pure.error_rate(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())

@@ -121,6 +121,17 @@ def q47_passage_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select("item_id", "doc_id", F.round(T.character_error_rate(F.col("p"), F.col("t")), 6).alias("cer"))
 
 
+@query()
+def q48_whole_similarity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of documents that begin alike (8 letters) and are similar, however long; the pairs grow with the square of a group."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.lower("text"), "[^0-9a-z]", "").alias("t")).where(F.length("t") >= 8)
+    rows = rows.select("doc_id", "t", F.length("t").alias("n"), F.left("t", F.lit(8)).alias("k"))
+    a, b = (rows.select("k", *(F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "t", "n"))) for x in "ab")
+    most = F.floor((1 - 0.65) * F.greatest("n_a", "n_b") + 1e-9)
+    pairs = a.join(b, "k").where((F.col("doc_id_a") < F.col("doc_id_b")) & (F.abs(F.col("n_a") - F.col("n_b")) <= most))
+    return pairs.where(T.within(F.col("t_a"), F.col("t_b"), most)).select(F.col("doc_id_a").alias("doc_a"), F.col("doc_id_b").alias("doc_b"))
+
+
 @query(f"""SELECT b.item_id, d.doc_id, count(*)::BIGINT AS n_lines FROM (SELECT item_id, {NORM.format('text')} AS n FROM benchmark) b JOIN (SELECT doc_id, {NORM.format('line')} AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)) d
 ON left(b.n, 8) = left(d.n, 8) WHERE length(b.n) >= 8 AND length(d.n) >= 8 GROUP BY ALL""")
 def q08_prefix_match_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 from foliospark import plans
+from foliospark.functions import pure
 
 
 def letters(rng, n):
@@ -27,3 +28,30 @@ def test_whole_documents_have_an_error_rate(spark, tmp_path):
     want = {(i, d): round(distance(plain(p), plain(t)) / len(plain(p)), 6) for i, p in passages for d, t in docs if plain(p) and plain(p)[:24] in plain(t)}
     assert {(0, 0), (0, 1), (1, 1), (1, 2), (2, 3)} <= set(want)
     assert {(r.item_id, r.doc_id): r.cer for r in plans.QUERIES["q47_passage_error_rate"](spark, folder).collect()} == want
+
+
+def test_bounded_distance():
+    rng = random.Random(8)
+    for _ in range(2000):
+        a, b = ("".join(rng.choice("ab가😀") for _ in range(rng.randrange(12))) for _ in range(2))
+        most = rng.randrange(12)
+        assert pure.within(a, b, most) == (distance(a, b) <= most), (a, b, most)
+
+
+def test_all_similar_documents_are_found_at_any_length(spark, tmp_path):
+    rng = random.Random(7)
+    texts = []
+    for size in (9, 40, 700, 1300):
+        for _ in range(2):
+            base = "abcdefgh" + letters(rng, size)
+            texts.append(base)
+            for share in (0.0, 0.1, 0.34, 0.5):
+                texts.append(base[:8] + "".join(rng.choice("xyz") if rng.random() < share else c for c in base[8:]))
+    rows = [*enumerate(texts), (100, None), (101, "abcdefg"), (102, "ABC def-gh")]
+    folder = f"file://{tmp_path}"
+    spark.createDataFrame(rows, "doc_id BIGINT, text STRING").write.parquet(f"{folder}/documents.parquet")
+    own = [(d, "".join(c for c in t.lower() if c.isascii() and c.isalnum())) for d, t in rows if t]
+    alike = lambda a, b: len(a) >= 8 and a[:8] == b[:8] and abs(len(a) - len(b)) <= (m := int(0.35 * max(len(a), len(b)) + 1e-9)) and distance(a, b) <= m
+    want = sorted((d, e) for i, (d, a) in enumerate(own) for e, b in own[i + 1 :] if alike(a, b))
+    assert any(texts[d] != texts[e] and len(texts[d]) > 1000 and d not in (30, 35) for d, e in want)
+    assert sorted((r.doc_a, r.doc_b) for r in plans.QUERIES["q48_whole_similarity_gate"](spark, folder).collect()) == want
