@@ -146,7 +146,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def classify(page: list[Block], rules: Rules) -> list[str]:
-    """First pass, each block alone: good, near (good), short or bad."""
+    """First pass, each block alone: good, near (good), short or bad. Inside article or main, few stop words alone are near."""
     out = []
     for b in page:
         words = _WORD.findall(b.text.lower())
@@ -157,7 +157,7 @@ def classify(page: list[Block], rules: Rules) -> list[str]:
             out.append("bad" if b.linked and not b.main else "short")
         elif share >= rules.stop_high:
             out.append("good" if len(b.text) > rules.long else "near")
-        elif share >= rules.stop_low:
+        elif share >= rules.stop_low or b.main:
             out.append("near")
         else:
             out.append("bad")
@@ -178,7 +178,8 @@ def decide(page: list[Block], first: list[str], rules: Rules) -> list[bool]:
 
     Nearest is fewest containers apart, then fewest characters; between equally near neighbours of different labels a
     short block is bad and a nearly good one good. A heading shortly before good text is good. Decided are good and
-    bad blocks, for short ones also nearly good ones that this pass has decided.
+    bad blocks, for short ones also nearly good ones that this pass has decided. For blocks inside article or main only
+    unbarred ones inside count; without any they are good.
     """
     label = [x if x in ("good", "bad") else None for x in first]
     start, total = [], 0
@@ -186,6 +187,8 @@ def decide(page: list[Block], first: list[str], rules: Rules) -> list[bool]:
         start.append(total)
         total += len(b.text)
 
+    inside = [b.main and not b.barred for b in page]
+
     def near(decided: list[str | None]) -> tuple[list[int], list[int]]:
         before, after, last = [-1] * len(page), [-1] * len(page), -1
         for i in range(len(page)):
@@ -200,12 +203,13 @@ def decide(page: list[Block], first: list[str], rules: Rules) -> list[bool]:
         return before, after
 
     for kind, doubt in (("near", "good"), ("short", "bad")):
-        before, after = near(label)
+        everywhere, within = near(label), near([x if k else None for x, k in zip(label, inside, strict=True)])
         new = list(label)
         for i, b in enumerate(page):
             if first[i] != kind:
                 continue
             found = []
+            before, after = within if inside[i] else everywhere
             for j in (before[i], after[i]):
                 if j >= 0:
                     gap = start[i] - start[j] - len(page[j].text) if j < i else start[j] - start[i] - len(b.text)
@@ -220,8 +224,6 @@ def decide(page: list[Block], first: list[str], rules: Rules) -> list[bool]:
                 if len(labels) == 2:
                     labels = {doubt}
                 new[i] = labels.pop()
-            if new[i] == "bad" and b.main and kind == "near":
-                new[i] = "good"
         label = new
     return [x == "good" for x in label]
 
@@ -231,13 +233,7 @@ def extract(page: str | None, rules: Rules = Rules()) -> str:
     if not page:
         return ""
     found = list(blocks(page))
-    inside = [b for b in found if b.main and not b.barred]
-    if inside:  # the page says where its main text is, and nothing there is bad for its words alone
-        found = inside
-    first = classify(found, rules)
-    if inside:
-        first = ["near" if x == "bad" and b.linked <= rules.links * len(b.text) and "\xa9" not in b.text else x for x, b in zip(first, found, strict=True)]
-    return " ".join(b.text for b, good in zip(found, decide(found, first, rules), strict=True) if good)
+    return " ".join(b.text for b, good in zip(found, decide(found, classify(found, rules), rules), strict=True) if good)
 
 
 def _extracting(rules: Rules) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
