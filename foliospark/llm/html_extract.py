@@ -27,7 +27,10 @@ STOP_WORDS = frozenset(
     lo los más me mi mucho muy nada ni no nos o os otra otro para pero por porque que qué quien se ser si sin sobre son su sus también tanto te tiene todo todos
     un una uno unos y ya yo""".split()
 )
-_DROPPED = ("script", "style", "noscript", "template", "iframe", "svg", "object", "canvas", "select", "textarea", "button", "title", "math", "audio", "video", "datalist")
+_RAW = ("script", "style", "noscript", "template", "iframe", "textarea", "title")  # unclosed, they run to the end of the page
+_DROPPED = frozenset((*_RAW, "svg", "object", "canvas", "select", "button", "math", "audio", "video", "datalist"))
+_EMPTY = ("svg", "math", "canvas")  # may be closed in the tag itself
+_CLOSING = {x: re.compile(rf"</{x}\s*>", re.I) for x in _DROPPED}
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr input meta link".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _ASIDE = frozenset("nav header footer aside form menu dialog fieldset search".split())
@@ -36,7 +39,7 @@ _HINT = re.compile(
     re.I,
 )
 _HINT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(_DROPPED) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>|<[!?/][^>]*>|<[/!?a-zA-Z][^<>]*\Z", re.S | re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>|<[!?/][^>]*>|<[/!?a-zA-Z][^<>]*\Z", re.S | re.I)
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _MAIN = frozenset(("article", "main"))
 
@@ -98,28 +101,38 @@ def blocks(page: str) -> Iterator[Block]:
         parts, linked = [], 0
 
     at = 0
-    for m in _TOKEN.finditer(page):
+    unclosed: set[str] = set()  # dropped elements that the rest of the page does not close
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             piece = page[at : m.start()]
             parts.append(piece)
             if in_link:
                 linked += len(piece.strip())
         at = m.end()
-        tag = m[3]
+        tag = m[2]
         if not tag:
-            if m[1] and m[1].lower() not in _INLINE:
-                parts.append(" ")
             continue
         tag = tag.lower()
+        if tag in _DROPPED and (m[3][:1] in ("", "/") or m[3][:1].isspace()):
+            parts.append(" ")
+            if not m[1] and not (tag in _EMPTY and m[3].endswith("/")) and tag not in unclosed:
+                end = _CLOSING[tag].search(page, at)
+                if end:
+                    at = end.end()
+                elif tag in _RAW:
+                    at = len(page)
+                else:
+                    unclosed.add(tag)
+            continue
         if tag == "a":
-            in_link = not m[2]
+            in_link = not m[1]
             continue
         if tag in _INLINE:
             if tag in ("br", "img", "input"):
                 parts.append(" ")
             continue
         yield from flush()
-        if m[2]:
+        if m[1]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     del stack[k:]
@@ -134,7 +147,7 @@ def blocks(page: str) -> Iterator[Block]:
             count += 1
             up = stack[-1] if stack else ("", 0, False, False)
             main = up[3] or tag in _MAIN
-            barred = up[2] or tag not in ("html", "body") and _barred(tag, m[4], up[3])
+            barred = up[2] or tag not in ("html", "body") and _barred(tag, m[3], up[3])
             stack.append((tag, count, barred, main))
             heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
     if at < len(page):

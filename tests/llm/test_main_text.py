@@ -16,3 +16,13 @@ def test_words_decide_outside_and_neighbours_inside_an_article():
     links = "<p><a href=x>Quartz feldspar mica granite</a></p>"
     assert H.extract(f"<article><p>{BODY}</p><section>{links}<p>{DENSE}</p>{links}</section></article>") == BODY
     assert H.extract(f"<nav>{BODY}</nav><article><p>{DENSE}</p></article><footer>{BODY}</footer>") == DENSE
+
+
+def test_dropped_elements_end_where_they_end():
+    for markup in ("<video-js id=a></video-js>", "<button-group>", '<svg width="1"/>', "<math/>", "<canvas />", "<object>", "<button>", "<svg>", "<video src=x>", "<select>"):
+        assert H.extract(f"<article><p>one</p>{markup}<p>two</p></article><footer>three</footer>") == "one two", markup
+    for name in ("svg", "button", "script", "SELECT", "title"):
+        assert H.extract(f"<article><p>one</p><{name} a='b'>x</{name} ><p>two</p></article>") == "one two", name
+    for name in ("script", "style", "template"):
+        assert H.extract(f"<article><p>one</p><{name}>x<p>two</p></article>") == "one", name
+    assert len(H.extract("<article>" + "<button>a" * 50000)) == 99999
