@@ -28,10 +28,11 @@ STOP_WORDS = frozenset(
     un una uno unos y ya yo""".split()
 )
 _RAW = ("script", "style", "noscript", "template", "iframe", "textarea", "title")  # unclosed, they run to the end of the page
-_DROPPED = frozenset((*_RAW, "svg", "object", "canvas", "select", "button", "math", "audio", "video", "datalist"))
-_EMPTY = ("svg", "math", "canvas")  # may be closed in the tag itself
+_DROPPED = frozenset((*_RAW, "svg", "object", "canvas", "select", "button", "audio", "video", "datalist"))
+_EMPTY = ("svg", "canvas")  # may be closed in the tag itself
 _CLOSING = {x: re.compile(rf"</{x}\s*>", re.I) for x in _DROPPED}
-_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr input meta link".split())
+_MATH = "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics annotation annotation-xml"
+_INLINE = frozenset(f"a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr input meta link {_MATH}".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _ASIDE = frozenset("nav header footer aside form menu dialog fieldset search".split())
 _HINT = re.compile(
@@ -164,7 +165,7 @@ def classify(page: list[Block], rules: Rules) -> list[str]:
     for b in page:
         words = _WORD.findall(b.text.lower())
         share = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-        if b.barred or b.linked > rules.links * len(b.text) or "\xa9" in b.text:
+        if b.barred or b.linked > rules.links * len(b.text) or "\xa9" in b.text and len(b.text) < rules.short and not b.main:
             out.append("bad")
         elif len(b.text) < rules.short:
             out.append("bad" if b.linked and not b.main else "short")

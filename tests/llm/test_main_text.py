@@ -26,3 +26,9 @@ def test_dropped_elements_end_where_they_end():
     for name in ("script", "style", "template"):
         assert H.extract(f"<article><p>one</p><{name}>x<p>two</p></article>") == "one", name
     assert len(H.extract("<article>" + "<button>a" * 50000)) == 99999
+
+
+def test_copyright_signs_and_formulas_are_kept():
+    assert H.extract(f"<article><p>{BODY} &copy;</p><p>Photo \xa9 the writer</p></article>") == f"{BODY} \xa9 Photo \xa9 the writer"
+    assert H.extract(f"<div><p>{BODY} &copy;</p><p>\xa9 2020 All rights</p></div>") == f"{BODY} \xa9"
+    assert H.extract(f"<article><p>{BODY} So <math><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow></math> holds.</p></article>") == f"{BODY} So x=2 holds."
