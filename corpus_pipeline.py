@@ -13,10 +13,10 @@ from foliospark.session import materialize, prepare, release
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored toxic (0.5 or more) go; the labels come from the table beside the documents."""
+    """Documents that op6 marks as toxic (0.3 or more) go; the labels come from the table beside the documents."""
     release(prepare(spark))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = score_toxicity(docs, labels, threshold=0.5, carry=tuple(c for c in docs.columns if c != "doc_id"))
+    scored = score_toxicity(docs, labels, threshold=0.3, carry=tuple(c for c in docs.columns if c != "doc_id"))
     return scored.where("predicted = 0").select(*docs.columns)
 
 
