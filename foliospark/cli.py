@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import math
 import os
 import sys
@@ -137,12 +138,12 @@ def main(argv: list[str], *, single: Callable[..., dict] | None = None, folder:
             err.write("an input is needed\n\n" + HELP)
             return 2
         from foliospark import pipeline
-        from foliospark.session import release
+        from foliospark.session import scope
 
         kind = look(options.input_path)
         settings = pipeline.Settings(options.split_ratio, options.page_layout, options.watermark_mode, options.device, options.paddle_command, options.paddle_python)
         spark = session() if session else _session()
-        try:
+        with contextlib.nullcontext() if options.keep_work else scope(spark):
             if kind == "directory":
                 extra = {"one": single} if single else {}
                 result = (folder or pipeline.run_folder)(spark, options.input_path, options.output, settings, progress=show, **extra)
@@ -154,9 +155,6 @@ def main(argv: list[str], *, single: Callable[..., dict] | None = None, folder:
             result = (single or pipeline.run)(spark, options.input_path, options.output, settings, progress=show)
             out.write(f"Markdown: {result['markdown_path']}\nManifest: {result['manifest_path']}\n")
             return 0
-        finally:
-            if spark is not None and not options.keep_work:
-                release(spark)
     except Exception as error:
         found = summary(error)
         err.write(f"[{found['code']}] {found['message']}\n")
