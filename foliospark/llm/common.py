@@ -92,15 +92,16 @@ def slices(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]
         i = min(j, n)
 
 
-def packed_rows(bucket: np.ndarray, n: int, **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """A row for each bucket, with its values of every column as bytes."""
+def packed_rows(bucket: np.ndarray, **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A row for each bucket that has any, with its values of every column as bytes."""
     order = np.argsort(bucket, kind="stable")
-    at = np.searchsorted(bucket[order], np.arange(n + 1))
-    has = np.flatnonzero(np.diff(at))
-    arrays = {"bucket": pa.array(has, pa.int32())}
+    b = bucket[order]
+    lead = np.flatnonzero(np.append(True, b[1:] != b[:-1])) if len(b) else np.zeros(0, np.int64)
+    ends = np.append(lead[1:], len(b)).tolist()
+    arrays = {"bucket": pa.array(b[lead], pa.int32())}
     for k, v in columns.items():
         v = v[order]
-        arrays[k] = pa.array([v[at[b] : at[b + 1]].tobytes() for b in has], pa.binary())
+        arrays[k] = pa.array([v[i:j].tobytes() for i, j in zip(lead.tolist(), ends, strict=True)], pa.binary())
     yield pa.record_batch(arrays)
 
 
@@ -119,15 +120,8 @@ def with_digest(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def distinct_texts(docs: DataFrame, key: str = "digest") -> DataFrame:
-    """One row per distinct text of :func:`with_digest`: (key, text, copies), written in buckets of the key.
-
-    The key is the digest, or a 64-bit hash of it; should two texts ever share a hash, the query fails.
-    """
-    first = [F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")]
-    if key == "digest":
-        return materialize_bucketed(docs.groupBy(key).agg(*first), "texts", key)
-    one = docs.groupBy(key).agg(*first, F.min("digest").alias("d"), F.max("digest").alias("e"))
-    return materialize_bucketed(one.withColumn("text", F.when(F.col("d") == F.col("e"), F.col("text")).otherwise(F.raise_error(F.lit("two texts share a hash")).cast("string"))).drop("d", "e"), "texts", key)
+    """One row per distinct text of :func:`with_digest`: (key, text, copies), written in buckets of the key, which is the digest or 128 bits of it."""
+    return materialize_bucketed(docs.groupBy(key).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")), "texts", key)
 
 
 def _union_find(edges: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

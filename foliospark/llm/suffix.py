@@ -2,19 +2,20 @@
 
 ``maximal_repeats`` is the method: sort suffixes, take the common prefixes of neighbours, scan them with a stack for
 the intervals of the common-prefix tree, and output each interval whose occurrences differ in the byte to their left
-(or start their text): a maximal repeat with all of its occurrences.
+(or start their text): a maximal repeat with all of its occurrences. Nothing else marks a byte; hashes only deal work out.
 
 A corpus is dealt out so that each task sorts a bounded number of suffixes, and equal windows still meet:
 
-1. Every ``min_len``-byte window picks an anchor, the gram of half that length with the least hash in it. Equal windows
-   pick equal grams at equal places, so the windows of one anchor, a run, need only be held against the runs of the
-   same gram. A run's context is the bytes of its windows.
-2. Contexts that are equal are repeats as they stand, whole, however many there are; each task merges its own first.
-   A gram with one context goes no further.
-3. Of other grams, each distinct context is fetched once and goes to the suffix array of its gram. Grams with very
-   many distinct contexts are dealt by window hash over several arrays, so that no task holds an unbounded group.
+1. Every ``min_len``-byte window picks an anchor, the gram with the least hash in it. Equal windows pick equal grams at
+   equal places, so the windows of one anchor, a run, need only be held against the runs of the same gram. A run's
+   context is the bytes of its windows; contexts are told apart by 128-bit digests.
+2. A gram with one run goes no further. Of equal contexts one is sent to the suffix array, where it stands for two; what
+   the tree says of it holds for all. Those that meet in one slice of texts are not even sent to be counted.
+3. A gram with more than ``group`` distinct contexts is split: its runs are cut into shorter ones by their distance from
+   the anchor, dealt by the bytes that all of their windows have, and go through the same steps again; at last by single
+   windows, of which equal ones are one context. A run is cut into a bounded number of parts, however common its gram.
 
-Whole texts that occur twice are merged before all this.
+Texts are known by 128 bits of their SHA-256. Work is held for one bucket of grams at a time, not for a partition.
 """
 
 from __future__ import annotations
@@ -24,14 +25,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.common import BASE_A, BASE_B, BYTE_A, BYTE_B, U64, distinct_texts, mix, packed_rows, powers, prefix_hash, released, slices, text_buffer, unpacked_rows, with_digest
-from foliospark.session import materialize, partitions, prepare
+from foliospark.llm.common import BASE_A, BYTE_A, U64, distinct_texts, mix, packed_rows, powers, prefix_hash, released, slices, text_buffer, with_digest
+from foliospark.session import materialize, partitions, prepare, settled
 
 _PLACE = U64((1 << 24) - 1)
 _LONGEST = 8 << 20  # bytes of one text looked at together; longer texts are cut into overlapping pieces
+_TOGETHER = 8 << 20  # bytes of texts, or of contexts, whose rows are packed together
+_GOLD = U64(0x9E3779B97F4A7C15)
+_FINER = (8, 1)  # windows in the runs of grams that are split, and split again
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -46,13 +52,12 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[: n - w + 1], left[w - 1 : n])
 
 
-def anchor_runs(raw: np.ndarray, offsets: np.ndarray, min_len: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, windows, gram hash, context hash) of each run of windows with the same anchor."""
+def anchor_runs(raw: np.ndarray, offsets: np.ndarray, min_len: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, windows, place of the anchor after it, gram hash) of each run of windows with the same anchor."""
     n = len(raw)
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     if n < min_len:
         return none
-    gram = min_len // 2
     c = prefix_hash(BYTE_A[raw])
     g = mix((c[gram:] - c[:-gram]) * powers(n)[1][: n - gram + 1])
     del c
@@ -66,19 +71,22 @@ def anchor_runs(raw: np.ndarray, offsets: np.ndarray, min_len: int) -> tuple[np.
         return none
     place = (least[x] & _PLACE).astype(np.int64)
     first = np.flatnonzero(np.append(True, (place[1:] != place[:-1]) | (x[1:] != x[:-1] + 1)))
-    size = np.diff(np.append(first, len(x)))
-    start, h = x[first], g[place[first]]
-    c = prefix_hash(BYTE_B[raw], BASE_B)
-    ctx = (c[start + size - 1 + min_len] - c[start]) * powers(n, BASE_B)[1][start]
-    return start, size, h, mix(mix(ctx) + h * U64(0x9E3779B97F4A7C15) + size.astype(np.uint64))
+    return x[first], np.diff(np.append(first, len(x))), place[first] - x[first], g[place[first]]
 
 
-def maximal_repeats(strings: np.ndarray, start: np.ndarray, length: np.ndarray, min_len: int, at: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def digests(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """128-bit digests of raw[start:start + size], as pairs of words."""
+    view, digest = memoryview(np.ascontiguousarray(raw)), xxhash.xxh3_128_digest
+    joined = b"".join([digest(view[i:j]) for i, j in zip(start.tolist(), (start + size).tolist(), strict=True)])
+    return np.frombuffer(joined, np.uint64).reshape(-1, 2)
+
+
+def maximal_repeats(strings: np.ndarray, start: np.ndarray, length: np.ndarray, min_len: int, at: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(length, suffixes) of each maximal repeat of ``min_len`` or more bytes among chosen suffixes.
 
     Suffix i begins at byte start[i] of ``strings`` and has length[i] bytes; at[i] says whether the byte before it
-    belongs to the same string (its left extension); first is the order to break ties. Stack scan over the suffixes in
-    sorted order and the common prefixes of neighbours; an interval is output if its left extensions differ.
+    belongs to the same string (its left extension). Stack scan over the suffixes in sorted order and the common prefixes
+    of neighbours; an interval is output if its left extensions differ.
     """
     n, width = len(start), int(length.max(initial=0))
     if n < 2:
@@ -104,75 +112,114 @@ def maximal_repeats(strings: np.ndarray, start: np.ndarray, length: np.ndarray,
             stack.append((depth, low))
 
 
-_RUNS = "bucket int, uid binary, x binary, m binary, h binary, c binary, f binary"
+_KEY = np.dtype("V16")
+_RUNS = "bucket int, uid binary, x binary, m binary, a binary, h binary, c binary, f binary"
+
+
+def keys_of(column: pa.Array) -> np.ndarray:
+    """A binary column of 16 bytes a row."""
+    return text_buffer(column)[0].view(_KEY)
+
+
+def binary_of(keys: np.ndarray) -> pa.Array:
+    raw = np.ascontiguousarray(keys)
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), raw.nbytes // 16, [None, pa.py_buffer(raw)]).cast(pa.binary())
 
 
-def _find_runs(min_len: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _dealt(buckets: int, uid: np.ndarray, x: np.ndarray, m: np.ndarray, a: np.ndarray, h: np.ndarray, c: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Packed rows of runs by bucket of their gram; of equal contexts one goes there, the others to buckets from ``buckets`` on."""
+    if not len(h):
+        return
+    order = np.lexsort((c[:, 1], c[:, 0]))
+    uid, x, m, a, h, c, f = (v[order] for v in (uid, x, m, a, h, c, f))
+    lead = np.flatnonzero(np.append(True, (c[1:] != c[:-1]).any(1)))
+    far = np.ones(len(h), bool)
+    far[lead] = False
+    rest = np.flatnonzero(far)
+    spare = buckets + int(c[0, 0] % U64(buckets))
+    bucket = np.append((h[lead] >> U64(20)).astype(np.int64) % buckets, np.full(len(rest), spare))
+    take = np.append(lead, rest)
+    seen = np.append(np.minimum(np.add.reduceat(f, lead), 2), np.zeros(len(rest), np.int64))
+    pairs = np.ascontiguousarray(c[take]).view(_KEY).ravel()
+    yield from packed_rows(bucket, uid=uid[take], x=x[take].astype(np.uint32), m=m[take].astype(np.uint16), a=a[take].astype(np.uint16), h=h[take], c=pairs, f=seen.astype(np.uint8))
+
+
+def _find_runs(min_len: int, gram: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = text_buffer(batch.column("text"))
-            uid, copies = batch.column("uid").to_numpy(), batch.column("copies").to_numpy()
-            got = []
-            for i, j in slices(off):
-                for p in range(int(off[i]), int(off[j]), _LONGEST) if j == i + 1 else [int(off[i])]:
-                    end = min(int(off[j]), p + _LONGEST + min_len - 1) if j == i + 1 else int(off[j])
-                    mark = np.array([0, end - p]) if j == i + 1 else off[i : j + 1] - off[i]
-                    x, m, h, c = anchor_runs(raw[p:end], mark, min_len)
-                    doc = i + np.searchsorted(mark, x, "right") - 1
-                    got.append((doc, (x + p - off[doc]).astype(np.uint32), m.astype(np.uint16), h, c))
-            if not got:
-                continue
-            doc, x, m, h, c = (np.concatenate(v) for v in zip(*got, strict=True))
-            order = np.argsort(c, kind="stable")
-            doc, x, m, h, c = doc[order], x[order], m[order], h[order], c[order]
-            if not len(c):
-                continue
-            lead = np.flatnonzero(np.append(True, c[1:] != c[:-1]))
-            total = np.add.reduceat(copies[doc], lead)
-            size = np.diff(np.append(lead, len(c)))
-            again = np.repeat(size > 1, size)  # equal contexts in this batch: repeats, and one of them is sent on
-            again[lead] = False
-            f = np.minimum(total, 2).astype(np.uint8)
-            far = np.flatnonzero(again)
-            bucket = np.concatenate([(h[lead] >> U64(20)).astype(np.int64) % buckets, (h[far] >> U64(20)).astype(np.int64) % buckets])
-            take = np.concatenate([lead, far])
-            flag = np.concatenate([f, np.full(len(far), 3, np.uint8)])
-            yield from packed_rows(bucket, buckets, uid=uid[doc[take]], x=x[take], m=m[take], h=h[take], c=c[take], f=flag)
+            uid, copies = keys_of(batch.column("uid")), np.minimum(batch.column("copies").to_numpy(), 2)
+            for lo, hi in slices(off, _TOGETHER):
+                got = []
+                for i, j in slices(off[lo : hi + 1]):
+                    i, j = lo + i, lo + j
+                    for p in range(int(off[i]), int(off[j]), _LONGEST) if j == i + 1 else [int(off[i])]:
+                        end = min(int(off[j]), p + _LONGEST + min_len - 1) if j == i + 1 else int(off[j])
+                        mark = np.array([0, end - p]) if j == i + 1 else off[i : j + 1] - off[i]
+                        x, m, a, h = anchor_runs(raw[p:end], mark, min_len, gram)
+                        doc = i + np.searchsorted(mark, x, "right") - 1
+                        got.append((uid[doc], x + p - off[doc], m, a, h, digests(raw[p:end], x, m + (min_len - 1)), copies[doc]))
+                if got:
+                    yield from _dealt(buckets, *(np.concatenate(v) for v in zip(*got, strict=True)))
 
     return find
 
 
-_CLASSED = "uid bigint, x bigint, m int, h bigint, n bigint, solid boolean, span boolean"
+def _buckets(batches: Iterator[pa.RecordBatch], **types: object) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+    """The unpacked rows of one bucket after the other; the batches are sorted by bucket."""
+    held: dict[str, list[bytes]] = {k: [] for k in types}
+    last = None
 
+    def taken() -> dict[str, np.ndarray]:
+        out = {k: np.frombuffer(b"".join(v), types[k]) for k, v in held.items()}
+        for v in held.values():
+            v.clear()
+        return out
+
+    for batch in batches:
+        for i, bucket in enumerate(batch.column("bucket").to_pylist()):
+            if last is not None and bucket != last:
+                yield last, taken()
+            last = bucket
+            for k in types:
+                held[k].append(batch.column(k)[i].as_py())
+    if last is not None:
+        yield last, taken()
 
-def _classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """span: all windows of the run are repeats. Other rows: a context to fetch; n: contexts of its gram; solid: seen twice."""
-    a = unpacked_rows(batches, uid=np.int64, x=np.uint32, m=np.uint16, h=np.uint64, c=np.uint64, f=np.uint8)
-    if not len(a["h"]):
-        return
-    order = np.lexsort((a["c"], a["h"]))
-    a = {k: v[order] for k, v in a.items()}
-    h, c = a["h"], a["c"]
-    lead = np.flatnonzero(np.append(True, (c[1:] != c[:-1]) | (h[1:] != h[:-1])))
-    size = np.diff(np.append(lead, len(c)))
-    solid = np.add.reduceat(np.where(a["f"] == 3, 2, a["f"]).astype(np.int64), lead) > 1
-    top = np.flatnonzero(np.append(True, h[lead][1:] != h[lead][:-1]))
-    n = np.diff(np.append(top, len(lead)))
-    n = np.repeat(n, n)
-    ask = lead[n > 1]
-    spans = np.flatnonzero(np.repeat(solid, size))
-    take = np.concatenate([spans, ask])
-    is_span = np.arange(len(take)) < len(spans)
-    count = np.concatenate([np.zeros(len(spans), np.int64), n[n > 1]])
-    firm = np.concatenate([np.ones(len(spans), bool), solid[n > 1]])
-    for i in range(0, len(take), 200_000):
-        t, s = take[i : i + 200_000], slice(i, i + 200_000)
-        yield pa.record_batch({"uid": a["uid"][t], "x": a["x"][t].astype(np.int64), "m": a["m"][t].astype(np.int32), "h": h[t].view(np.int64), "n": count[s], "solid": firm[s], "span": is_span[s]})
-
-
-def _window_hash(raw: np.ndarray, start: np.ndarray, min_len: int) -> np.ndarray:
-    c = prefix_hash(BYTE_A[raw])
-    return mix((c[start + min_len] - c[start]) * powers(len(raw) + 1, BASE_A)[1][start])
+
+_CLASSED = "c binary, uid binary, x bigint, m int, a int, h bigint, n bigint, solid boolean"
+
+
+def _classify(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Runs whose windows may be repeats. n: contexts of the gram, on one run of each context, 0 on others; solid: the context occurs twice."""
+
+    def rows(a: dict[str, np.ndarray], take: np.ndarray, n: np.ndarray, solid: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(take), 100_000):
+            t, s = take[i : i + 100_000], slice(i, i + 100_000)
+            yield pa.record_batch({"c": binary_of(a["c"][t]), "uid": binary_of(a["uid"][t]), "x": a["x"][t].astype(np.int64), "m": a["m"][t].astype(np.int32), "a": a["a"][t].astype(np.int32), "h": a["h"][t].view(np.int64), "n": n[s], "solid": solid[s]})
+
+    def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, a in _buckets(batches, uid=_KEY, x=np.uint32, m=np.uint16, a=np.uint16, h=np.uint64, c=_KEY, f=np.uint8):
+            if bucket >= buckets:
+                yield from rows(a, np.arange(len(a["h"])), np.zeros(len(a["h"]), np.int64), np.ones(len(a["h"]), bool))
+                continue
+            h, c = a["h"], a["c"].view(np.uint64).reshape(-1, 2)
+            order = np.lexsort((c[:, 1], c[:, 0], h))
+            h, c = h[order], c[order]
+            lead = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (c[1:] != c[:-1]).any(1)))
+            size = np.diff(np.append(lead, len(h)))
+            solid = np.add.reduceat(a["f"][order].astype(np.int64), lead) > 1
+            top = np.flatnonzero(np.append(True, h[lead][1:] != h[lead][:-1]))
+            n = np.diff(np.append(top, len(lead)))
+            n = np.repeat(n, n)
+            ask = np.flatnonzero(solid | (n > 1))
+            yield from rows(a, order[lead[ask]], n[ask], solid[ask])
+            other = np.repeat(solid, size)
+            other[lead] = False
+            other = order[np.flatnonzero(other)]
+            yield from rows(a, other, np.zeros(len(other), np.int64), np.ones(len(other), bool))
+
+    return classify
 
 
 def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -181,83 +228,139 @@ def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - at, size) + np.arange(int(size.sum()))
 
 
-_CONTEXTS = "bucket int, uid binary, x binary, m binary, h binary, k binary, j binary, solid binary, bytes binary"
+class Asked:
+    """The asks of a slice of texts, in order of the texts; ``x`` is a place in ``raw``."""
+
+    def __init__(self, batch: pa.RecordBatch, raw: np.ndarray, off: np.ndarray, lo: int, hi: int) -> None:
+        lists = batch.column("asked").slice(lo, hi - lo)
+        at = lists.offsets.to_numpy()
+        flat = lists.values.slice(at[0], at[-1] - at[0])
+        doc = np.repeat(np.arange(hi - lo), np.diff(at))
+        field = lambda k: flat.field(k).to_numpy(zero_copy_only=False)
+        self.uid = keys_of(batch.column("uid").slice(lo, hi - lo))[doc]
+        self.base = (off[lo:hi] - off[lo])[doc]
+        self.x, self.m, self.a = (field(k).astype(np.int64) for k in ("x", "m", "a"))
+        self.h, self.n, self.solid = field("h").view(np.uint64), field("n"), field("solid").astype(bool)
+        self.c = keys_of(flat.field("c"))
+        self.raw = raw[off[lo] : off[hi]]
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[Asked]:
+    for batch in batches:
+        raw, off = text_buffer(batch.column("text"))
+        for lo, hi in slices(off, _TOGETHER // 4):
+            yield Asked(batch, raw, off, lo, hi)
+
+
+_CONTEXTS = "bucket int, uid binary, x binary, m binary, h binary, c binary, solid binary, bytes binary"
 
 
 def _fetch(min_len: int, buckets: int, group: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Contexts with their bytes, by bucket of their gram. Of grams that are split only those that occur twice, each for itself."""
+
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, off = text_buffer(batch.column("text"))
-            asked = batch.column("asked")
-            flat = asked.flatten()
-            count = np.diff(asked.offsets.to_numpy())
-            doc = np.repeat(np.arange(batch.num_rows), count)
-            x, m, h, n, solid = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(5))
-            k = np.maximum(1, -(-n // group))
-            times = np.minimum(k, 4096)
-            rep = np.repeat(np.arange(len(x)), times)
-            j = _spread(np.zeros(len(x), np.int64), times)
-            doc, x, m, h, solid, k = doc[rep], x[rep], m[rep].astype(np.int64), h[rep], solid[rep], times[rep]
-            bucket = (mix(h.view(np.uint64) + j.astype(np.uint64) * U64(0x9E3779B97F4A7C15)) >> U64(20)).astype(np.int64) % buckets
-            uid = batch.column("uid").to_numpy()[doc]
-            order = np.argsort(bucket, kind="stable")
-            size = m + min_len - 1
-            for part in np.array_split(order, max(1, int(size.sum()) >> 23)) if len(order) else []:
-                at = np.searchsorted(bucket[part], np.arange(buckets + 1))
-                has = np.flatnonzero(np.diff(at))
-                cols: dict[str, list[bytes]] = {c: [] for c in ("uid", "x", "m", "h", "k", "j", "solid", "bytes")}
-                for b in has:
-                    t = part[at[b] : at[b + 1]]
-                    for c, v in (("uid", uid), ("x", x.astype(np.uint32)), ("m", m.astype(np.uint16)), ("h", h), ("k", k.astype(np.uint16)), ("j", j.astype(np.uint16)), ("solid", solid.astype(np.uint8))):
-                        cols[c].append(v[t].tobytes())
-                    cols["bytes"].append(raw[_spread(off[doc[t]] + x[t], size[t])].tobytes())
-                yield pa.record_batch({"bucket": pa.array(has, pa.int32()), **{c: pa.array(v, pa.binary()) for c, v in cols.items()}})
+        for s in _asked(batches):
+            take = np.flatnonzero(s.solid | (s.n <= group))
+            own = s.c[take].view(np.uint64).reshape(-1, 2)[:, 0]
+            h = np.where(s.n[take] > group, own, s.h[take])
+            size = s.m[take] + (min_len - 1)
+            done = np.cumsum(size)
+            for part in np.split(np.arange(len(take)), np.searchsorted(done, np.arange(_TOGETHER, done[-1], _TOGETHER)) if len(take) else []):
+                t, key = take[part], h[part]
+                bucket = (key >> U64(20)).astype(np.int64) % buckets
+                order = np.argsort(bucket, kind="stable")
+                bucket, t, key = bucket[order], t[order], key[order]
+                cols = {"uid": s.uid[t], "x": s.x[t].astype(np.uint32), "m": s.m[t].astype(np.uint16), "h": key, "c": s.c[t], "solid": s.solid[t].astype(np.uint8)}
+                (packed,) = packed_rows(bucket, **cols)
+                raw = s.raw[_spread(s.base[t] + s.x[t], s.m[t] + (min_len - 1))]
+                mark = np.append(0, np.cumsum(s.m[t] + (min_len - 1)))[np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(t))]
+                yield packed.append_column("bytes", pa.array([raw[i:j].tobytes() for i, j in zip(mark[:-1].tolist(), mark[1:].tolist(), strict=True)], pa.binary()))
 
     return fetch
 
 
+def _split(min_len: int, buckets: int, windows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Runs cut where the distance of window and anchor is a multiple of ``windows``, dealt by the bytes that all windows of a part would have."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for s in _asked(batches):
+            low = (s.a - s.m + 1) // windows
+            parts = s.a // windows - low + 1
+            done = np.cumsum(parts)
+            most = 200_000
+            for piece in np.split(np.arange(len(parts)), np.searchsorted(done, np.arange(most, done[-1], most)) if len(parts) else []):
+                own = np.repeat(piece, parts[piece])
+                q = _spread(low[piece], parts[piece])
+                a = np.minimum(s.a[own], q * windows + (windows - 1))  # of the part's first window
+                m = a - np.maximum(s.a[own] - s.m[own] + 1, q * windows) + 1
+                x = s.x[own] + s.a[own] - a
+                anchor = s.base[own] + s.x[own] + s.a[own]
+                first, size = anchor - q * windows, min_len - windows + 1
+                c = prefix_hash(BYTE_A[s.raw])
+                h = mix((c[first + size] - c[first]) * powers(len(s.raw) + 1)[1][first]) + mix(s.h[own]) * _GOLD + q.astype(np.uint64)
+                del c
+                yield from _dealt(buckets, s.uid[own], x, m, a, mix(h), digests(s.raw, s.base[own] + x, m + (min_len - 1)), 1 + s.solid[own].astype(np.int64))
+
+    return split
+
+
+_FOUND = "uid binary, s bigint, e bigint, c binary"
+
+
 def _scan(min_len: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = unpacked_rows(batches, uid=np.int64, x=np.uint32, m=np.uint16, h=np.uint64, k=np.uint16, j=np.uint16, solid=np.uint8, bytes=np.uint8)
-        if not len(a["h"]):
-            return
-        m, h, j = a["m"].astype(np.int64), a["h"], a["j"]
-        size = m + min_len - 1
-        begin = np.cumsum(size) - size
-        order = np.lexsort((j, h))
-        lead = np.flatnonzero(np.append(True, (h[order][1:] != h[order][:-1]) | (j[order][1:] != j[order][:-1])))
-        done = np.cumsum(m[order])
-        cuts, last = [0], 0
-        for s in lead[1:].tolist():  # whole groups, about ``most`` windows at a time
-            if done[s - 1] - last > most:
-                cuts.append(s)
-                last = done[s - 1]
-        cuts.append(len(order))
+    """Spans of repeats in contexts; c: the context, where all of it is a repeat that occurs elsewhere too."""
+
+    def chunk(a: dict[str, np.ndarray], t: np.ndarray, begin: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        m, h, solid = a["m"][t].astype(np.int64), a["h"][t], a["solid"][t].astype(bool)
+        size = size[t]
+        raw = a["bytes"][_spread(begin[t], size)]
+        base = np.cumsum(size) - size
+        own = np.repeat(np.arange(len(t)), m)  # the context of each window
+        start = _spread(base, m)
+        c = prefix_hash(BYTE_A[raw])
+        w = mix((c[start + min_len] - c[start]) * powers(len(raw) + 1, BASE_A)[1][start]) ^ mix(h[own] + U64(1))
+        del c
+        _, inv, count = np.unique(w, return_inverse=True, return_counts=True)
+        fresh = np.bincount(inv, weights=~solid[own], minlength=len(count)) > 0
+        pick = np.flatnonzero((count > 1)[inv] & fresh[inv])
+        pick = pick[np.argsort(w[pick], kind="stable")]
+        twice = np.flatnonzero(solid)
+        w, start, own = w[pick], start[pick], own[pick]
+        # equal windows stay together; a context that occurs twice is there twice, from its first byte
+        new = np.flatnonzero(np.append(True, w[1:] != w[:-1])) if len(w) else np.zeros(0, np.int64)
+        cuts = [0, *new[np.flatnonzero(np.diff(new // most)) + 1].tolist(), len(w)]
+        best = np.zeros(len(start), np.int64)  # the longest repeat that starts at each suffix
+        whole = np.zeros(len(t), np.int64)
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            t = order[lo:hi]
-            raw = a["bytes"][_spread(begin[t], size[t])]
-            own = np.repeat(np.arange(len(t)), m[t])  # the context of each window
-            base = np.cumsum(size[t]) - size[t]
-            start = _spread(base, m[t])
-            w = _window_hash(raw, start, min_len)
-            keep = (w % a["k"][t][own].astype(np.uint64)) == j[t][own]
-            _, inv, count = np.unique(w ^ mix(h[t][own] + U64(1)), return_inverse=True, return_counts=True)
-            fresh = np.bincount(inv, weights=keep & (a["solid"][t][own] == 0), minlength=len(count)) > 0
-            pick = np.flatnonzero(keep & (count > 1)[inv] & fresh[inv])
-            if len(pick) < 2:
-                continue
-            start, own = start[pick], own[pick]
-            rest = base[own] + size[t][own] - start
-            best = np.zeros(len(start), np.int64)  # the longest repeat that starts at each suffix
-            for length, members in maximal_repeats(raw, start, rest, min_len, start > base[own], start):
-                best[members] = np.maximum(best[members], length)
-            hit = np.flatnonzero((best > 0) & (a["solid"][t[own]] == 0))
-            if len(hit):
-                at = start[hit] + own[hit]  # one byte between contexts
-                spans = merged(np.stack([at, at + best[hit]], 1))
-                mine = own[hit][np.searchsorted(at, spans[:, 0])]
-                spans += (a["x"][t[mine]].astype(np.int64) - base[mine] - mine)[:, None]
-                yield pa.record_batch({"uid": a["uid"][t[mine]], "s": spans[:, 0], "e": spans[:, 1]})
+            rest = base[own[lo:hi]] + size[own[lo:hi]] - start[lo:hi]
+            for length, members in maximal_repeats(raw, start[lo:hi], rest, min_len, start[lo:hi] > base[own[lo:hi]]):
+                best[lo + members] = np.maximum(best[lo + members], length)
+        for lo in range(0, len(twice), most // 2):
+            two = np.repeat(twice[lo : lo + most // 2], 2)
+            for length, members in maximal_repeats(raw, base[two], size[two], min_len, np.zeros(len(two), bool)):
+                whole[two[members]] = np.maximum(whole[two[members]], length)
+        full = np.flatnonzero(whole >= size)
+        if len(full):
+            x = a["x"][t[full]].astype(np.int64)
+            yield pa.record_batch({"uid": binary_of(a["uid"][t[full]]), "s": x, "e": x + size[full], "c": binary_of(a["c"][t[full]])})
+        hit = np.flatnonzero((best > 0) & ~solid[own])
+        if len(hit):
+            at = start[hit] + own[hit]  # one byte between contexts
+            spans = merged(np.stack([at, at + best[hit]], 1))
+            mine = np.searchsorted(base + np.arange(len(t)), spans[:, 0], "right") - 1
+            spans += (a["x"][t[mine]].astype(np.int64) - base[mine] - mine)[:, None]
+            yield pa.record_batch({"uid": binary_of(a["uid"][t[mine]]), "s": spans[:, 0], "e": spans[:, 1], "c": pa.nulls(len(spans), pa.binary())})
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, a in _buckets(batches, uid=_KEY, x=np.uint32, m=np.uint16, h=np.uint64, c=_KEY, solid=np.uint8, bytes=np.uint8):
+            size = a["m"].astype(np.int64) + (min_len - 1)
+            begin = np.cumsum(size) - size
+            order = np.argsort(a["h"], kind="stable")
+            lead = np.flatnonzero(np.append(True, a["h"][order][1:] != a["h"][order][:-1]))
+            done = np.append(0, np.cumsum(size[order]))[lead]
+            cut = lead[np.flatnonzero(np.diff(done // (_TOGETHER // 2))) + 1].tolist()  # whole groups
+            for lo, hi in zip([0, *cut], [*cut, len(order)], strict=True):
+                yield from chunk(a, order[lo:hi], begin, size)
 
     return scan
 
@@ -270,43 +373,82 @@ def merged(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[new, 0], end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)]], 1)
 
 
+def _kept(raw: np.ndarray, off: np.ndarray, pairs: np.ndarray, at: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which bytes of texts lo to hi no span covers, and the spans of each text that are left when they are merged; rows have the spans pairs[at[i]:at[i + 1]]."""
+    count = np.diff(at[lo : hi + 1])
+    base = off[lo:hi] - off[lo]
+    spans = pairs[at[lo] : at[hi]] + np.repeat(base + np.arange(hi - lo), count)[:, None]  # one byte between texts
+    flag = np.zeros(int(off[hi] - off[lo]) + (hi - lo) + 1, np.int32)
+    np.add.at(flag, spans[:, 0], 1)
+    np.add.at(flag, spans[:, 1], -1)
+    free = np.cumsum(flag, dtype=np.int32) == 0
+    starts = np.flatnonzero(free[:-1] & ~free[1:]) + 1
+    if len(free) and not free[0]:
+        starts = np.append(0, starts)
+    n = np.bincount(np.searchsorted(base + np.arange(hi - lo), starts, "right") - 1, minlength=hi - lo)
+    keep = np.ones(len(free), bool)
+    keep[base[1:] + np.arange(hi - lo - 1)] = False
+    keep[-2:] = False
+    return free[keep], n
+
+
+def _spans_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of all spans of a column of lists, and where each row's begin; null rows have none."""
+    flat = column.flatten()
+    count = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return np.stack([flat.field(0).to_numpy(), flat.field(1).to_numpy()], 1), np.append(0, np.cumsum(count)).astype(np.int64)
+
+
 def _cut(keep_bytes: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = text_buffer(batch.column("text"))
-            lists = batch.column("spans")
-            flat = lists.flatten()
-            pairs = np.stack([flat.field(0).to_numpy(), flat.field(1).to_numpy()], 1)
-            at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            removed, n, sha, kept = [], [], [], []
-            for i in range(batch.num_rows):
-                text, spans = raw[off[i] : off[i + 1]], merged(pairs[at[i] : at[i + 1]])
-                flag = np.zeros(len(text) + 1, np.int8)
-                flag[spans[:, 0]] += 1
-                flag[spans[:, 1]] -= 1
-                rest = text[np.cumsum(flag[:-1], dtype=np.int8) == 0].tobytes()
-                removed.append(len(text) - len(rest))
-                n.append(len(spans))
-                sha.append(hashlib.sha256(rest).hexdigest())
-                kept.append(rest if keep_bytes else None)
-            yield pa.record_batch({"uid": batch.column("uid"), "n_removed": pa.array(removed, pa.int64()), "n_spans": pa.array(n, pa.int64()), "kept_sha256": sha, "kept": pa.array(kept, pa.binary())})
+            pairs, at = _spans_of(batch.column("spans"))
+            for lo, hi in slices(off, _TOGETHER // 2):
+                keep, n = _kept(raw, off, pairs, at, lo, hi)
+                left = np.append(0, np.cumsum(keep))[off[lo : hi + 1] - off[lo]]
+                rest = memoryview(raw[off[lo] : off[hi]][keep])
+                each = [rest[i:j] for i, j in zip(left[:-1].tolist(), left[1:].tolist(), strict=True)]
+                kept = pa.array([bytes(x) for x in each], pa.binary()) if keep_bytes else pa.nulls(hi - lo, pa.binary())
+                yield pa.record_batch({"uid": batch.column("uid").slice(lo, hi - lo).cast(pa.binary()), "n_removed": np.diff(off[lo : hi + 1]) - np.diff(left), "n_spans": n.astype(np.int64), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in each], pa.string()), "kept": kept})
 
     return cut
 
 
-def repeat_spans(texts: DataFrame, *, min_len: int = 200, group: int = 4000, suffixes: int = 60_000) -> DataFrame:
-    """(uid, s, e): byte spans of the distinct ``texts`` (uid, text, copies) that repeats cover; they may overlap."""
-    spark = prepare(texts.sparkSession)
-    buckets = 4 * partitions(spark)
-    runs = texts.select("uid", "text", "copies").mapInArrow(released(_find_runs(min_len, buckets)), _RUNS)
-    classed = materialize(runs.repartition("bucket").mapInArrow(released(_classify), _CLASSED), "runs")
-    asked = classed.where("not span").groupBy("uid").agg(F.collect_list(F.struct("x", "m", "h", "n", "solid")).alias("asked"))
-    contexts = texts.select("uid", "text").join(asked, "uid").mapInArrow(released(_fetch(min_len, buckets, group)), _CONTEXTS)
-    found = contexts.repartition("bucket").mapInArrow(released(_scan(min_len, suffixes)), "uid bigint, s bigint, e bigint")
-    whole = classed.where("span").select("uid", F.col("x").alias("s"), (F.col("x") + F.col("m") + (min_len - 1)).alias("e"))
-    return whole.unionByName(found)
+def _classed(runs: DataFrame, buckets: int, name: str) -> DataFrame:
+    return materialize(runs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(released(_classify(buckets)), _CLASSED), name)
 
 
+def repeat_spans(texts: DataFrame, *, min_len: int = 200, group: int = 1000, suffixes: int = 50_000) -> DataFrame:
+    """(uid, s, e): byte spans of the distinct ``texts`` (uid, text, copies) that repeats cover; they may overlap."""
+    spark = prepare(texts.sparkSession)
+    buckets = 32 * partitions(spark)
+    gram = max(1, min_len * 8 // 25)
+    asks = F.collect_list(F.struct("x", "m", "a", "h", "c", "n", "solid")).alias("asked")
+    held = texts.select("uid", "text")
+    classed = _classed(texts.select("uid", "text", "copies").mapInArrow(released(_find_runs(min_len, gram, buckets)), _RUNS), buckets, "runs")
+    spans = None
+    for windows in (*(min(k, max(1, min_len // 4)) for k in _FINER), 0):
+        asked = classed.where("n > 0").groupBy("uid").agg(asks)
+        contexts = held.join(asked, "uid").mapInArrow(released(_fetch(min_len, buckets, group if windows else 2**62)), _CONTEXTS)
+        found = materialize(contexts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(released(_scan(min_len, suffixes)), _FOUND), "found")
+        same = classed.where("n = 0").join(found.where("c is not null").select("c", (F.col("e") - F.col("s")).alias("size")), "c")
+        here = found.select("uid", "s", "e").unionByName(same.select("uid", F.col("x").alias("s"), (F.col("x") + F.col("size")).alias("e")))
+        spans = here if spans is None else spans.unionByName(here)
+        split = classed.where(F.col("n") > group)
+        if not windows or split.isEmpty():
+            return spans
+        cut = held.join(split.groupBy("uid").agg(asks), "uid").mapInArrow(released(_split(min_len, buckets, windows)), _RUNS)
+        classed = _classed(cut, buckets, "runs")
+    return spans
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    base = with_digest(docs, id_col, text_col).withColumn("uid", F.substring("digest", 1, 16))
+    return base, distinct_texts(base, "uid")
+
+
+@settled
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_len: int = 200, keep_bytes: bool = False) -> DataFrame:
     """Cuts every byte covered by a ``min_len``-byte string that starts anywhere else too, in the same text or another.
 
@@ -314,17 +456,14 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     ``keep_bytes`` kept (binary; a cut may fall inside a character). Strings are judged on the input.
 
     Null text counts as empty; texts under ``min_len`` bytes are kept. Repeated rows are repeats of each other. doc_id
-    may be null or occur twice. Extra columns are ignored; an empty table gives an empty result.
+    may be null or occur twice. Extra columns are ignored; an empty table gives an empty result. A text is held whole by
+    a task that cuts it, with its spans (a span has 16 bytes and stands for one byte at least, mostly for hundreds).
     """
-    base = with_digest(docs, id_col, text_col).withColumn("uid", F.xxhash64("digest"))
-    texts = distinct_texts(base, "uid")
-    twice = (F.col("copies") > 1) & (F.octet_length("text") >= min_len)
+    base, texts = _texts(docs, id_col, text_col)
     spans = repeat_spans(texts, min_len=min_len).groupBy("uid").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
-    some = texts.where(~twice).select("uid", "text").join(spans, "uid").mapInArrow(released(_cut(keep_bytes)), "uid bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
-    nothing = F.lit(b"")
-    all_of_it = texts.where(twice).select("uid", F.octet_length("text").cast("bigint").alias("n_removed"), F.lit(1).cast("bigint").alias("n_spans"), F.sha2(nothing, 256).alias("kept_sha256"), nothing.alias("kept"))
+    some = texts.select("uid", "text").join(spans, "uid").mapInArrow(released(_cut(keep_bytes)), "uid binary, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
     columns = ["doc_id", "uid", F.octet_length("text").cast("bigint").alias("n_bytes"), F.lower(F.hex("digest")).alias("own")] + ([F.col("text").cast("binary").alias("own_bytes")] if keep_bytes else [])
-    out = base.select(*columns).join(some.unionByName(all_of_it), "uid", "left")
+    out = base.select(*columns).join(some, "uid", "left")
     zero = F.lit(0).cast("bigint")
     return out.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "own").alias("kept_sha256"),
                       *([F.coalesce("kept", "own_bytes").alias("kept")] if keep_bytes else []))
@@ -332,27 +471,32 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
 def _cut_text(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for text, lists in columns:
-        out = text.to_pylist()
-        for i in np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False)).tolist():
-            raw = np.frombuffer((out[i] or "").encode(), np.uint8)
-            flat = lists[i].values
-            spans = merged(np.stack([flat.field(0).to_numpy(), flat.field(1).to_numpy()], 1))
-            flag = np.zeros(len(raw) + 1, np.int64)
-            flag[spans[:, 0]] += 1
-            flag[spans[:, 1]] -= 1
-            out[i] = raw[np.cumsum(flag[:-1]) == 0].tobytes().decode("utf-8", "ignore")
-        yield pa.array(out, pa.string())
+        raw, off = text_buffer(text)
+        pairs, at = _spans_of(lists)
+        left, parts, total = [np.zeros(1, np.int64)], [], 0
+        for lo, hi in slices(off, _TOGETHER // 2):
+            keep, _ = _kept(raw, off, pairs, at, lo, hi)
+            part = raw[off[lo] : off[hi]]
+            char = np.flatnonzero((part & 0xC0) != 0x80)
+            if len(char):  # a character that is cut in part goes whole
+                keep = np.repeat(np.logical_and.reduceat(keep, char), np.diff(np.append(char, len(part))))
+            parts.append(part[keep].tobytes())
+            left.append(total + np.append(0, np.cumsum(keep))[off[lo + 1 : hi + 1] - off[lo]])
+            total += len(parts[-1])
+        out = pa.LargeStringArray.from_buffers(len(text), pa.py_buffer(np.concatenate(left)), pa.py_buffer(b"".join(parts))).cast(pa.string())
+        yield pc.if_else(pc.is_valid(text), out, pa.scalar(None, pa.string())) if text.null_count else out
 
 
 def cut_repeats(docs: DataFrame, *, text_col: str = "text", min_len: int = 200) -> DataFrame:
-    """The rows and columns of ``docs``, the text without the bytes that :func:`remove_repeats` cuts (a character cut in part goes whole)."""
+    """The rows and columns of ``docs``, the text without the bytes that :func:`remove_repeats` cuts (a character cut in part goes whole).
+
+    Null texts stay null. Columns may have any names.
+    """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    uid = F.xxhash64(F.unhex(F.sha2(text.cast("binary"), 256)))
-    base = with_digest(docs, text_col, text_col).withColumn("uid", F.xxhash64("digest"))
-    texts = distinct_texts(base, "uid")
-    twice = (F.col("copies") > 1) & (F.octet_length("text") >= min_len)
-    whole = texts.where(twice).select("uid", F.lit(0).cast("bigint").alias("s"), F.octet_length("text").cast("bigint").alias("e"))
-    spans = repeat_spans(texts, min_len=min_len).unionByName(whole).groupBy("uid").agg(F.collect_list(F.struct("s", "e")).alias("_spans"))
+    uid = F.substring(F.unhex(F.sha2(text.cast("binary"), 256)), 1, 16)
+    _, texts = _texts(docs, text_col, text_col)
+    spans = repeat_spans(texts, min_len=min_len).groupBy("uid").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     cut = F.arrow_udf(_cut_text, "string")
-    joined = docs.withColumn("_uid", uid).join(spans.withColumnRenamed("uid", "_uid"), "_uid", "left")
-    return joined.select(*(cut(F.col(f"`{c}`").cast("string"), F.col("_spans")).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    joined = docs.select(row.alias("row"), uid.alias("uid")).join(spans, "uid", "left")
+    return joined.select(*(cut(F.col("row")[c].cast("string"), F.col("spans")).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))

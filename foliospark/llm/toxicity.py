@@ -68,7 +68,7 @@ def _count(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                 for y in (0, 1):
                     np.add.at(seen[y], f[toxic[i:j][row] == y], 1)
         f = np.flatnonzero(seen.any(0)).astype(np.int32)
-        yield from packed_rows(f % buckets, buckets, feature=f, clean=seen[0, f], toxic=seen[1, f])
+        yield from packed_rows(f % buckets, feature=f, clean=seen[0, f], toxic=seen[1, f])
 
     return count
 
