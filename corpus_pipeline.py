@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,45 +12,62 @@ from foliospark.llm.minhash import drop_near_duplicates
 from foliospark.llm.queries import packed
 from foliospark.llm.suffix import cut_repeats
 from foliospark.llm.toxicity import score_toxicity
-from foliospark.session import materialize, prepare, release
+from foliospark.session import Scope, materialize, prepare, settled
+
+_open: dict[str, Scope] = {}  # by input folder: the intermediates of the stage called last
+
+
+@contextlib.contextmanager
+def _stage(spark: SparkSession, sf_dir: str) -> Iterator[None]:
+    """A stage is called once the stage before has been written, whose intermediates then go. Nobody else's do."""
+    if sf_dir in _open:
+        _open.pop(sf_dir).close()
+    _open[sf_dir] = Scope(prepare(spark))
+    with _open[sf_dir].entered():
+        yield
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that op6 marks as toxic (0.3 or more) go; the labels come from the table beside the documents."""
-    release(prepare(spark))
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = score_toxicity(docs, labels, threshold=0.3, carry=tuple(c for c in docs.columns if c != "doc_id"))
-    return scored.where("predicted = 0").select(*docs.columns)
+    with _stage(spark, sf_dir):
+        row = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+        scored = score_toxicity(row, spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.3, carry=("row",))
+        return scored.where("predicted = 0").select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8 or more) the smallest doc_id stays."""
-    release(prepare(spark))
-    return drop_near_duplicates(docs, width=5, percent=80, coordinates=32, matches=14)
+    with _stage(spark, sf_dir):
+        return drop_near_duplicates(docs, width=5, percent=80, coordinates=32, matches=14)
 
 
 def repeat_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every byte covered by a 200-byte string that occurs twice goes; documents stay, if only with an empty text."""
-    release(prepare(spark))
-    return cut_repeats(docs, min_len=200).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    with _stage(spark, sf_dir):
+        cut = cut_repeats(docs, min_len=200)
+        return cut.withColumn("n_chars", F.length("text").cast("bigint")).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left as pieces in sequences of 1024 tokens."""
-    release(prepare(spark))
-    return packed(docs)
+    with _stage(spark, sf_dir):
+        return packed(docs)
 
 
-#: Each stage is called once the stage before has been written: it deletes that one's intermediates.
 STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("repeat_dedup", repeat_dedup), ("packing", packing)]
 
 #: Neither a classifier nor a tokenizer is within SQL; the tests hold the stages against plain Python.
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn, each on the written result of the one before."""
-    docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
+@settled
+def _all(docs: DataFrame, sf_dir: str) -> DataFrame:
+    spark = docs.sparkSession
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name, keep=True)
+        docs = materialize(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn, each on the written result of the one before."""
+    return _all(prepare(spark).read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
