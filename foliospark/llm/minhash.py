@@ -7,12 +7,18 @@ least ``matches`` of them (16 of 32 at the default: a pair of similarity 0.85 ha
 * Prefix: ranked from rare to frequent, two lists with ``matches`` common postings share one among the first
   ``coordinates - matches + 1`` of each. Only those are posted; postings that no other set has are never moved
   twice, and a set with fewer than ``matches`` repeated postings has no partner.
-* Counting: in a posting list the collisions of all coordinates are counted. Of the matches only a forest of the
-  strongest ones leaves the list; lists longer than ``block`` are dealt out by pairs of blocks.
-* Merging with skips: the forest's pairs are confirmed on full sets. Groups of matches that this already joins are
-  skipped; in any other group all pairs of sets from different parts are confirmed, block by block, inside the task
-  (counted through a matrix product over the shingles that several sets of the block hold). No pairs are emitted but
-  links, so a group of n near copies costs n rows for each of its blocks.
+* Counting: the sets of a posting list are posted anew under all their coordinates, and these lists are merged: a
+  pair's count is the number of lists that have both. Pairs that share an earlier posting of their prefixes are skipped,
+  as that one's list counts them; for long lists, the longest of a set's lists are not merged but looked up for the
+  pairs that the others leave within reach.
+* Of the matches only a forest of the strongest ones leaves the list; lists longer than ``block`` are dealt out by pairs
+  of blocks. The forest's pairs are confirmed on their words. Groups of matches that this joins are done; in any other
+  group all pairs of sets from different parts are confirmed, block by block, inside the task (counted through a matrix
+  product over the shingles that several sets of the block hold). No pairs are emitted but links, so a group of n near
+  copies costs n rows for each of its blocks.
+
+Shingles are 64-bit hashes of their words' hashes; words of over 64 bytes are hashed as a whole. Pairs are confirmed on
+the words themselves, and equal sets are known by 128-bit digests.
 """
 
 from __future__ import annotations
@@ -21,17 +27,22 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm.common import BYTE_A, U64, components, distinct_texts, mix, powers, prefix_hash, released, slices, text_buffer, with_digest
-from foliospark.session import materialize, prepare
+from foliospark.session import materialize, prepare, settled
 
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _FOLDED = BYTE_A.copy()
 _FOLDED[65:91] = BYTE_A[97:123]
 _FOLDED[_IS_SPACE] = 0
+_SPACES = bytes(np.flatnonzero(_IS_SPACE).tolist())
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_WHOLE = 64
 _WEIGHTS = (U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9), U64(0x27D4EB2F165667C5), U64(0x85EBCA77C2B2AE63), U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F), U64(0xE7037ED1A0B428DB))
 
 
@@ -51,6 +62,10 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.n
     if len(starts):  # a word ends at its row's end at the latest; the bytes between words weigh nothing
         ends = np.minimum(ends, offsets[row + 1])
     h = mix((c[ends] - c[starts]) * powers(len(raw) + 1)[1][starts])
+    for i in np.flatnonzero(ends - starts > _WHOLE).tolist():  # sums of powers fail for some long words
+        w = raw[starts[i] : ends[i]].tobytes().strip(_SPACES).lower()
+        if len(w) > _WHOLE:
+            h[i] = xxhash.xxh3_64_intdigest(w)
     words = np.bincount(row, minlength=n_rows)
     first = np.concatenate([[0], np.cumsum(words)])
     m = len(h)
@@ -79,6 +94,36 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.n
     return s, np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n_rows))])
 
 
+def exact_shingles(raw: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`shingle_sets`, with numbers in place of hashes: equal ones in these rows are equal shingles, word by word."""
+    n_rows = len(offsets) - 1
+    word = ~_IS_SPACE[raw]
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[offsets] = True
+    starts = np.flatnonzero(word & (edge[:-1] | ~np.append(False, word[:-1])))
+    ends = np.flatnonzero(word & (edge[1:] | ~np.append(word[1:], False))) + 1
+    at = np.append(0, np.cumsum(ends - starts))
+    data = _LOWER[raw[word]]
+    ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(data)]).dictionary_encode().indices.to_numpy().astype(np.int64)
+    row = np.searchsorted(offsets, starts, "right") - 1
+    words = np.bincount(row, minlength=n_rows)
+    full, kinds = max(0, len(ids) - width + 1), int(ids.max(initial=0)) + 1
+    code, live = ids[:full], row[:full] == row[width - 1 : width - 1 + full]
+    for k in range(1, width):
+        code = np.unique(code * kinds + ids[k : k + full], return_inverse=True)[1]
+    code, owner = code[live], row[:full][live]
+    first, few, seen = np.append(0, np.cumsum(words)), np.flatnonzero((words > 0) & (words < width)), {}
+    for i in few.tolist():  # the whole sequence is one shingle
+        seen.setdefault((i, tuple(ids[first[i] : first[i + 1]].tolist())), None)
+    short: dict[tuple, int] = {}
+    numbers = [short.setdefault(s, len(ids) + len(short)) for _, s in seen]
+    code, owner = np.append(code, np.array(numbers, np.int64)), np.append(owner, few)
+    order = np.lexsort((code, owner))
+    code, owner = code[order], owner[order]
+    new = np.append(True, (code[1:] != code[:-1]) | (owner[1:] != owner[:-1])) if len(code) else np.zeros(0, bool)
+    return code[new], np.append(0, np.cumsum(np.bincount(owner[new], minlength=n_rows)))
+
+
 def _coefficients(k: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(97)
     return rng.integers(0, 2**63, k, dtype=np.uint64) | U64(1), rng.integers(0, 2**63, k, dtype=np.uint64)
@@ -95,17 +140,14 @@ def _signer(width: int, k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator
                 size = np.diff(at)
                 has = np.flatnonzero(size)
                 sig = np.zeros((j - i, k), np.uint32)
-                key = np.zeros((j - i, 2), np.uint64)
                 if len(has):
                     lead = at[:-1][has]
                     for c in range(k):
                         sig[has, c] = np.minimum.reduceat((s * mul[c] + add[c]) >> U64(32), lead).astype(np.uint32)
-                    key[has, 0] = np.add.reduceat(s, lead)
-                    key[has, 1] = np.add.reduceat(mix(s), lead)
                 yield pa.record_batch({
                     "digest": batch.column("digest").slice(i, j - i).cast(pa.binary()),
                     "n_shingles": pa.array(size, pa.int64()),
-                    "set_key": pa.array([x.tobytes() for x in key], pa.binary()),
+                    "set_key": pa.array([xxhash.xxh3_128_digest(s[a:b].tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary()),
                     "sig": pa.array([x.tobytes() for x in sig], pa.binary()),
                     "postings": pa.array([x if n else None for x, n in zip((sig.astype(np.int64) | (np.arange(k, dtype=np.int64) << 32)).tolist(), size.tolist(), strict=True)], pa.list_(pa.int64())),
                 })
@@ -148,26 +190,101 @@ def group_starts(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(change) + 1, [table.num_rows]])
 
 
-def _forest(sig: np.ndarray, side: np.ndarray | None, matches: int) -> list[tuple[int, int]]:
-    """Edges of a strongest spanning forest of the pairs with ``matches`` collisions; with sides, of pairs across them."""
-    n = len(sig)
-    if n == 2:
-        return [(0, 1)] if (sig[0] == sig[1]).sum() >= matches and (side is None or side[0] != side[1]) else []
-    best, by, todo, out = np.full(n, -1, np.int16), np.zeros(n, np.int64), np.ones(n, bool), []
+def _runs_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order of keys, and where the runs of two or more equal ones begin in it and how long they are."""
+    order = np.argsort(keys, kind="stable")
+    k = keys[order]
+    lead = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+    size = np.diff(np.append(lead, len(k)))
+    return order, lead[size > 1], size[size > 1]
+
+
+def _tree(n: int, a: np.ndarray, b: np.ndarray, count: np.ndarray) -> list[tuple[int, int]]:
+    """A strongest spanning forest of weighted pairs."""
+    label, out = list(range(n)), []
+
+    def top(x: int) -> int:
+        while label[x] != x:
+            label[x] = label[label[x]]
+            x = label[x]
+        return x
+
+    for i in np.argsort(-count, kind="stable").tolist():
+        x, y = int(a[i]), int(b[i])
+        r, s = top(x), top(y)
+        if r != s:
+            label[s] = r
+            out.append((x, y))
+    return out
+
+
+def merged_counts(sig: np.ndarray, place: np.ndarray, here: np.ndarray, group: np.ndarray, matches: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, count) of the pairs of rows of short lists that collide ``matches`` times and have no earlier posting in common.
+
+    place: the rank of a coordinate's posting in its row's prefix, or 127; here: that of the list's own posting.
+    """
+    n, k = sig.shape
+    coordinate = np.tile(np.arange(k), n)
+    value = np.unique((sig.astype(np.uint64) | (np.arange(k, dtype=np.uint64) << U64(32))).ravel(), return_inverse=True)[1]
+    order, lead, size = _runs_of(group.repeat(k) * (int(value.max(initial=0)) + 1) + value)
+    pairs, ranks = [np.zeros(0, np.int64)], [np.zeros(0, np.int8)]
+    for length in np.unique(size).tolist():  # every pair of each merged list
+        x, y = np.triu_indices(length, 1)
+        at = lead[size == length]
+        i, j = order[(at[:, None] + x).ravel()], order[(at[:, None] + y).ravel()]
+        c = coordinate[i]
+        i, j = i // k, j // k
+        pairs.append(i * n + j)
+        ranks.append(np.where(place[j, c] < 127, place[i, c], 127).astype(np.int8))
+    pair, rank = np.concatenate(pairs), np.concatenate(ranks)
+    if not len(pair):
+        return pair, pair, pair
+    order = np.argsort(pair, kind="stable")
+    pair, rank = pair[order], rank[order]
+    lead = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+    count, first = np.diff(np.append(lead, len(pair))), np.minimum.reduceat(rank, lead)
+    pair = pair[lead]
+    keep = (count >= matches) & (first == here[pair // n])
+    return pair[keep] // n, pair[keep] % n, count[keep]
+
+
+def forest(sig: np.ndarray, place: np.ndarray, here: np.ndarray, side: np.ndarray | None, matches: int) -> list[tuple[int, int]]:
+    """Edges of a strongest spanning forest of the pairs of one long list that collide ``matches`` times and have no earlier
+    posting in common; with sides, of pairs across them. Lists of a row are merged, the longest but looked up."""
+    n, k = sig.shape
+    _, value = np.unique((sig.astype(np.uint64) | (np.arange(k, dtype=np.uint64) << U64(32))).ravel(), return_inverse=True)
+    order = np.argsort(value, kind="stable")
+    owner, at = order // k, np.append(0, np.cumsum(np.bincount(value)))
+    value = value.reshape(n, k)
+    length = np.diff(at)
+    aside = matches // 2  # lists that are looked up
+    best, by, todo, out = np.full(n, -1, np.int64), np.zeros(n, np.int64), np.ones(n, bool), []
     for _ in range(n):
         v = int(np.argmax(np.where(todo, best, -2)))
         if best[v] >= matches:
             out.append((int(by[v]), v))
         todo[v] = False
-        hit = (sig == sig[v]).sum(1).astype(np.int16)
+        lists = value[v][np.argsort(length[value[v]], kind="stable")].tolist()
+        short = [owner[at[x] : at[x + 1]] for x in lists[: k - aside]]
+        count = np.bincount(np.concatenate(short), minlength=n)
+        near = np.flatnonzero(todo & (count >= matches - aside))
         if side is not None:
-            hit[side == side[v]] = -1
-        up = todo & (hit > best) & (hit >= matches)
-        best[up], by[up] = hit[up], v
+            near = near[side[near] != side[v]]
+        for x in lists[k - aside :]:
+            if not len(near):
+                break
+            held = owner[at[x] : at[x + 1]]
+            place_in = np.searchsorted(held, near)
+            count[near] += held[np.minimum(place_in, len(held) - 1)] == near
+        near = near[count[near] >= matches]
+        for c in np.flatnonzero(place[v] < here[v]).tolist():  # earlier postings of the prefix have lists of their own
+            near = near[(sig[near, c] != sig[v, c]) | (place[near, c] == 127)]
+        near = near[count[near] > best[near]]
+        best[near], by[near] = count[near], v
     return out
 
 
-def _matcher(matches: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _matcher(matches: int, short: int = 48, rows: int = 4096) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     keys = ["token", "bi", "bj"]
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,13 +292,28 @@ def _matcher(matches: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
             at = group_starts(t, keys)
             node = t.column("digest").to_pylist()
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(t.num_rows, -1)
-            home, bi, bj = (t.column(c).to_numpy() for c in ("home", "bi", "bj"))
+            home, bi, bj, token = (t.column(c).to_numpy() for c in ("home", "bi", "bj", "token"))
+            prefix = t.column("prefix").combine_chunks()
+            count = prefix.value_lengths().to_numpy()
+            place = np.full(sig.shape, 127, np.int8)
+            own = np.repeat(np.arange(len(count)), count)
+            place[own, prefix.flatten().to_numpy()] = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+            here = place[np.arange(len(token)), token >> 32]
             a, b = [], []
-            for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                if j - i > 1:
-                    for x, y in _forest(sig[i:j], home[i:j] if bi[i] != bj[i] else None, matches):
-                        a.append(node[i + x])
-                        b.append(node[i + y])
+            size = np.diff(at)
+            few = np.flatnonzero((size > 1) & ((size <= short) & (bi == bj)[at[:-1]]))
+            done = np.cumsum(size[few])
+            for part in np.split(few, np.searchsorted(done, np.arange(rows, done[-1], rows)) if len(few) else []):
+                take = np.concatenate([np.arange(at[g], at[g + 1]) for g in part.tolist()]) if len(part) else np.zeros(0, np.int64)
+                x, y, n = merged_counts(sig[take], place[take], here[take], np.repeat(np.arange(len(part)), size[part]), matches)
+                for i, j in _tree(len(take), x, y, n):
+                    a.append(node[take[i]])
+                    b.append(node[take[j]])
+            for g in np.flatnonzero((size > 1) & ~((size <= short) & (bi == bj)[at[:-1]])).tolist():
+                i, j = int(at[g]), int(at[g + 1])
+                for x, y in forest(sig[i:j], place[i:j], here[i:j], home[i:j] if bi[i] != bj[i] else None, matches):
+                    a.append(node[i + x])
+                    b.append(node[i + y])
             yield pa.record_batch({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
     return match
@@ -194,15 +326,17 @@ def _similar(inter: np.ndarray | int, x: np.ndarray | int, y: np.ndarray | int,
 def _confirmer(width: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_sets(*text_buffer(batch.column(c)), width) for c in ("text_a", "text_b")]
-            (s, p), (t, q) = sets
+            (ra, oa), (rb, ob) = (text_buffer(batch.column(c)) for c in ("text_a", "text_b"))
             ok = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                x, y = s[p[i] : p[i + 1]], t[q[i] : q[i + 1]]
-                small, large = min(len(x), len(y)), max(len(x), len(y))
-                if small and 100 * small >= percent * large:
-                    inter = small + large - len(np.unique(np.concatenate([x, y])))
-                    ok[i] = _similar(inter, len(x), len(y), percent)
+            for i, j in slices(oa + ob, 2 << 20):
+                raw = np.concatenate([ra[oa[i] : oa[j]], rb[ob[i] : ob[j]]])
+                code, at = exact_shingles(raw, np.concatenate([oa[i : j + 1] - oa[i], ob[i + 1 : j + 1] - ob[i] + (oa[j] - oa[i])]), width)
+                size = np.diff(at)
+                x, y = size[: j - i], size[j - i :]
+                pair = np.repeat(np.tile(np.arange(j - i), 2), size)
+                key = np.sort(pair * (int(code.max(initial=0)) + 1) + code)
+                both = np.bincount(key[1:][key[1:] == key[:-1]] // (int(code.max(initial=0)) + 1), minlength=j - i)
+                ok[i:j] = _similar(both, x, y, percent) & (both > 0)
             keep = pa.array(ok)
             yield pa.record_batch({"a": batch.column("a").filter(keep).cast(pa.binary()), "b": batch.column("b").filter(keep).cast(pa.binary())})
 
@@ -213,7 +347,7 @@ def links_in_block(sets: list[np.ndarray], part: np.ndarray, home: np.ndarray |
     """A forest of links between sets of different parts (and, with homes, of different homes) that connects what links connect."""
     n = len(sets)
     size = np.array([len(x) for x in sets], np.int64)
-    flat = np.concatenate(sets) if n else np.zeros(0, np.uint64)
+    flat = np.concatenate(sets) if n else np.zeros(0, np.int64)
     owner = np.repeat(np.arange(n), size)
     _, inv, count = np.unique(flat, return_inverse=True, return_counts=True)
     shared = count > 1
@@ -252,7 +386,7 @@ def _rest(width: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
             for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 if j - i < 2 or len(set(part[i:j])) < 2:
                     continue
-                s, p = shingle_sets(*text_buffer(text.slice(i, j - i)), width)
+                s, p = exact_shingles(*text_buffer(text.slice(i, j - i)), width)
                 for x, y in links_in_block([s[p[k] : p[k + 1]] for k in range(j - i)], part[i:j], home[i:j] if bi[i] != bj[i] else None, percent):
                     a.append(node[i + x])
                     b.append(node[i + y])
@@ -277,9 +411,10 @@ def near_duplicate_classes(texts: DataFrame, *, width: int = 3, percent: int = 8
     posted = nodes.select("digest", F.explode("postings").alias("token"))
     often = posted.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     ranked = posted.join(often, "token").groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("ranked")).where(F.size("ranked") >= matches)
-    prefix = ranked.select("digest", F.explode(F.slice("ranked", F.lit(1), F.size("ranked") - (matches - 1))).alias("p")).select("digest", "p.n", "p.token")
+    prefix = ranked.select("digest", F.slice("ranked", F.lit(1), F.size("ranked") - (matches - 1)).alias("p"))
+    prefix = prefix.select("digest", F.transform("p", lambda x: F.shiftright(x["token"], 32).cast("tinyint")).alias("prefix"), F.explode("p").alias("q")).select("digest", "prefix", "q.n", "q.token")
     lists = _blocks(prefix.join(nodes.select("digest", "sig"), "digest"), "n", block)
-    matched = lists.repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj").select("token", "bi", "bj", "home", "digest", "sig").mapInArrow(released(_matcher(matches)), "a binary, b binary")
+    matched = lists.repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj").select("token", "bi", "bj", "home", "digest", "sig", "prefix").mapInArrow(released(_matcher(matches)), "a binary, b binary")
     matched = materialize(matched.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "matched")
     loose = materialize(components(matched).withColumnRenamed("root", "group"), "groups")
     members = materialize(texts.join(loose, F.col("digest") == F.col("node")).select("digest", "text", "group"), "members")
@@ -297,6 +432,7 @@ def near_duplicate_classes(texts: DataFrame, *, width: int = 3, percent: int = 8
     return signed.select("digest", "n_shingles", "set_key").join(by_set, "set_key", "left")
 
 
+@settled
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
     """Groups of documents joined by links of similar shingle sets.
 
@@ -309,8 +445,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     an empty table gives an empty result. Texts of any length are read whole.
     """
     base = with_digest(docs, id_col, text_col)
-    rows = _grouped(base, distinct_texts(base), **options)
-    least = rows.where("g is not null").groupBy("g").agg(F.min("doc_id").alias("least"))
+    rows = materialize(_grouped(base, distinct_texts(base), **options), "grouped")
+    # written, so that both sides of the join are plain exchanges, of which Spark splits a group's
+    least = materialize(rows.where("g is not null").groupBy("g").agg(F.min("doc_id").alias("least")), "least")
     out = rows.where("g is not null").join(least, "g").select("doc_id", "n_shingles", F.col("least").alias("component_id"))
     out = out.unionByName(rows.where("g is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
@@ -332,12 +469,12 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     texts = distinct_texts(base)
     rows = _grouped(base, texts, **options)
     best = rows.where("g is not null").groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")).alias("m"))
-    stay = best.select(F.col("m.digest").alias("_digest"), F.col("m.doc_id").alias("_id"))
+    stay = best.select(F.col("m.digest").alias("digest"), F.col("m.doc_id").alias("id"))
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     worded = text.rlike(r"[^ \t\n\x0B\f\r]")
     # the rows without their texts find what stays, and take the texts from the table that is in buckets of digest
-    marked = docs.where(worded).withColumn("_digest", F.unhex(F.sha2(text.cast("binary"), 256))).drop(text_col)
-    one = marked.join(stay, "_digest").where(F.col(f"`{id_col}`").eqNullSafe(F.col("_id"))).dropDuplicates(["_digest"])
-    back = texts.select(F.col("digest").alias("_digest"), F.col("text").alias("_text"))
-    full = one.join(back, "_digest").select(*(F.col("_text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col))
+    marked = docs.where(worded).select(row.alias("row"), F.col(f"`{id_col}`").alias("own"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"))
+    one = marked.join(stay, "digest").where(F.col("own").eqNullSafe(F.col("id"))).dropDuplicates(["digest"])
+    full = one.join(texts.select("digest", "text"), "digest").select(*(F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
     return full.unionByName(docs.where(~worded))

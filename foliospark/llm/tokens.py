@@ -6,7 +6,6 @@ import hashlib
 import json
 import os
 import re
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm.common import released
-from foliospark.session import prepare, shared_dir
+from foliospark.session import prepare, settled, work_folder
 
 #: Characters that the libraries at hand classify alike, whatever their Unicode version.
 _PLAIN = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e\xa1-\xff]")
@@ -124,6 +123,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+@settled
 def count_tokens(docs: DataFrame, tokenizer: str, *, cache: str | None = None, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:
     """Tokens of each text, through a cache of counts.
 
@@ -136,7 +136,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, cache: str | None = None, i
     (0 tokens). Repeated rows, null or repeated ids: a row each. Extra columns are ignored; an empty table gives none.
     """
     spark = prepare(docs.sparkSession)
-    cache = cache or f"{shared_dir(spark)}/token-counts-{uuid.uuid4().hex}"
+    cache = cache or work_folder(spark, "token-counts")
     version = tokenizer_version(tokenizer)
     store = f"{cache}/tokenizer={version}"
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from foliospark.llm.common import components
 from foliospark.llm.minhash import group_starts, runs
-from foliospark.session import materialize, prepare
+from foliospark.session import materialize, prepare, settled
 
 _SLACK = 1e-9  # added to bounds, so that rounding never prunes a pair; pairs themselves are tested by cosine
 
@@ -222,6 +222,7 @@ def vector_links(vectors: DataFrame, *, cosine: float = 0.93, cell: int = 2048,
     return dealt.repartition("label", "dims", "a_cell", "b_cell").sortWithinPartitions("label", "dims", "a_cell", "b_cell").mapInArrow(_join(cosine, leaf), "key binary, n bigint, a binary, b binary")
 
 
+@settled
 def vector_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = 0.93, **options: int) -> DataFrame:
     """Groups of vectors of equal labels joined by links of cosine (in doubles) of ``cosine`` or more.
 

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.session import materialize, prepare
+from foliospark.session import materialize, prepare, settled
 
 # Signatures of the ZIP format; fixed values.
 _LOCAL, _CENTRAL, _END, _END64, _LOCATOR64 = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
@@ -263,6 +263,7 @@ def read_archives(packages: DataFrame) -> DataFrame:
     return packages.select("content").mapInArrow(_reading, "page_id string, payload_bytes bigint, payload_digest string, record_type string, refers_to string, url string, payload binary")
 
 
+@settled
 def archive_pages(pages: DataFrame, *, id_col: str = "page_id", **options: object) -> DataFrame:
     """Writes pages to packages in the shared folder and reads all records back.
 
