@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -40,7 +41,10 @@ _HINT = re.compile(
     re.I,
 )
 _HINT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>|<[!?/][^>]*>|<[/!?a-zA-Z][^<>]*\Z", re.S | re.I)
+# Patterns are possessive and stop at the next angle bracket: none looks at a character many times.
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:\s++[^\s\"'<>=/]++(?:\s*+=\s*+(?:\"[^\"<>]*+\"|'[^'<>]*+'|[^\s\"'<>=`]++))?+)*+\s*+/?)>")
+_NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*+)")
+_VALUE = re.compile(r"=\s*+([\"'])")
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _MAIN = frozenset(("article", "main"))
 
@@ -49,7 +53,6 @@ class Rules(NamedTuple):
     """Lengths in characters; densities are shares of words."""
 
     short: int = 70
-    long: int = 200
     stop_low: float = 0.10
     stop_high: float = 0.18
     links: float = 0.33
@@ -61,7 +64,8 @@ class Block(NamedTuple):
     linked: int  # characters inside links
     heading: bool
     barred: bool  # inside a menu, footer, advert, ...
-    path: tuple[int, ...]  # the containers it is in
+    depth: int  # of how many containers it is in
+    shared: int  # how many of them hold the block before, too
     main: bool
 
 
@@ -86,158 +90,213 @@ def _barred(tag: str, attributes: str, main: bool) -> bool:
     return False
 
 
+class _Scanner:
+    """Tags of a page in one pass. What is not there (a quote, the end of a comment) is looked for once."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.gone = page, set()
+
+    def find(self, what: str, at: int) -> int:
+        """Where it is next, -1 if it does not come any more."""
+        if what in self.gone:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.gone.add(what)
+        return found
+
+    def tag(self, at: int) -> tuple[int, bool, str, str]:
+        """(end, closing, name, attributes) of what begins at ``at``; end is ``at`` for text, the name is empty for comments and the like."""
+        page = self.page
+        m = _TAG.match(page, at)
+        if m:
+            return m.end(), bool(m[1]), m[2].lower(), m[3]
+        if page.startswith("<!--", at):
+            end = self.find("-->", at + 4)
+            return (len(page) if end < 0 else end + 3), False, "", ""
+        m = _NAME.match(page, at)
+        if not m:
+            if page[at + 1 : at + 2] not in ("!", "?", "/") or len(page) == at + 1:
+                return at, False, "", ""
+            end = self.find(">", at)
+            return (len(page) if end < 0 else end + 1), False, "", ""
+        k = m.end()  # values in quotes may hold angle brackets
+        while True:
+            end = self.find(">", k)
+            if end < 0:
+                return len(page), page[at + 1] == "/", "", ""
+            value = _VALUE.search(page, k, end)
+            close = self.find(value[1], value.end()) if value else -1
+            if close < 0:
+                if value:
+                    k = value.end()
+                    continue
+                return end + 1, page[at + 1] == "/", m[1].lower(), page[m.end() : end]
+            k = close + 1
+
+
 def blocks(page: str) -> Iterator[Block]:
     """The page's blocks of text: runs between the tags of block elements."""
-    stack: list[tuple[str, int, bool, bool]] = []  # tag, number, barred, main
+    scanner = _Scanner(page)
+    stack: list[tuple[str, bool, bool]] = []  # tag, barred, main
+    open_tags: Counter[str] = Counter()
     parts: list[str] = []
-    linked, in_link, heading, count = 0, False, False, 0
+    linked, in_link, heading, low = 0, False, False, 0
 
     def flush() -> Iterator[Block]:
-        nonlocal linked, parts
+        nonlocal linked, parts, low
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                barred, main = (stack[-1][2], stack[-1][3]) if stack else (False, False)
-                yield Block(text, min(linked, len(text)), heading, barred, tuple(x[1] for x in stack), main)
+                barred, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+                yield Block(text, min(linked, len(text)), heading, barred, len(stack), min(low, len(stack)), main)
+                low = len(stack)
         parts, linked = [], 0
 
+    def close(k: int) -> None:
+        nonlocal low
+        open_tags.subtract(x[0] for x in stack[k:])
+        del stack[k:]
+        low = min(low, k)
+
     at = 0
     unclosed: set[str] = set()  # dropped elements that the rest of the page does not close
-    while m := _TOKEN.search(page, at):
-        if m.start() > at:
-            piece = page[at : m.start()]
+    while at < len(page):
+        begin = page.find("<", at)
+        if begin < 0:
+            begin = len(page)
+        end, closing, tag, attributes = scanner.tag(begin) if begin < len(page) else (begin, False, "", "")
+        if end == begin < len(page):  # an angle bracket of the text
+            end = begin + 1
+            piece = page[at:end]
+        else:
+            piece = page[at:begin]
+        if piece:
             parts.append(piece)
             if in_link:
                 linked += len(piece.strip())
-        at = m.end()
-        tag = m[2]
+        at = end
         if not tag:
             continue
-        tag = tag.lower()
-        if tag in _DROPPED and (m[3][:1] in ("", "/") or m[3][:1].isspace()):
+        if tag in _DROPPED:
             parts.append(" ")
-            if not m[1] and not (tag in _EMPTY and m[3].endswith("/")) and tag not in unclosed:
-                end = _CLOSING[tag].search(page, at)
-                if end:
-                    at = end.end()
+            if not closing and not (tag in _EMPTY and attributes.endswith("/")) and tag not in unclosed:
+                over = _CLOSING[tag].search(page, at)
+                if over:
+                    at = over.end()
                 elif tag in _RAW:
                     at = len(page)
                 else:
                     unclosed.add(tag)
             continue
         if tag == "a":
-            in_link = not m[1]
+            in_link = not closing
             continue
         if tag in _INLINE:
             if tag in ("br", "img", "input"):
                 parts.append(" ")
             continue
         yield from flush()
-        if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+        if closing:
+            if open_tags[tag]:
+                k = len(stack) - 1
+                while stack[k][0] != tag:
+                    k -= 1
+                close(k)
             heading = False
         elif tag not in _VOID:
             if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
-                stack.pop()
+                close(len(stack) - 1)
             if tag not in ("p", "html", "body") and stack and stack[-1][0] == "p":
-                stack.pop()
+                close(len(stack) - 1)
             in_link = False
-            count += 1
-            up = stack[-1] if stack else ("", 0, False, False)
-            main = up[3] or tag in _MAIN
-            barred = up[2] or tag not in ("html", "body") and _barred(tag, m[3], up[3])
-            stack.append((tag, count, barred, main))
+            up = stack[-1] if stack else ("", False, False)
+            main = up[2] or tag in _MAIN
+            barred = up[1] or tag not in ("html", "body") and _barred(tag, attributes, up[2])
+            stack.append((tag, barred, main))
+            open_tags[tag] += 1
             heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-    if at < len(page):
-        parts.append(page[at:])
     yield from flush()
 
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def _share(text: str) -> float:
+    """Of stop words among its words."""
+    words = _WORD.findall(text.lower())
+    return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+
+
 def classify(page: list[Block], rules: Rules) -> list[str]:
-    """First pass, each block alone: good, near (good), short or bad. Inside article or main, few stop words alone are near."""
+    """First pass, each block alone: good, near (some stop words), sparse (few), short or bad (links, or the name of its container)."""
     out = []
     for b in page:
-        words = _WORD.findall(b.text.lower())
-        share = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
         if b.barred or b.linked > rules.links * len(b.text) or "\xa9" in b.text and len(b.text) < rules.short and not b.main:
             out.append("bad")
         elif len(b.text) < rules.short:
             out.append("bad" if b.linked and not b.main else "short")
-        elif share >= rules.stop_high:
-            out.append("good" if len(b.text) > rules.long else "near")
-        elif share >= rules.stop_low or b.main:
-            out.append("near")
         else:
-            out.append("bad")
+            share = _share(b.text)
+            out.append("good" if share >= rules.stop_high else "near" if share >= rules.stop_low else "sparse")
     return out
 
 
-def _apart(a: tuple[int, ...], b: tuple[int, ...]) -> int:
-    """Containers that must be left or entered to come from one to the other, without the innermost."""
-    a, b = a[:-1], b[:-1]
-    k = 0
-    while k < len(a) and k < len(b) and a[k] == b[k]:
-        k += 1
-    return len(a) + len(b) - 2 * k
-
-
 def decide(page: list[Block], first: list[str], rules: Rules) -> list[bool]:
-    """Second pass: short and nearly good blocks take the label of the nearest decided neighbour.
+    """Second pass: ambiguous blocks take the label of the nearest decided neighbour.
 
-    Nearest is fewest containers apart, then fewest characters; between equally near neighbours of different labels a
-    short block is bad and a nearly good one good. A heading shortly before good text is good. Decided are good and
-    bad blocks, for short ones also nearly good ones that this pass has decided. For blocks inside article or main only
-    unbarred ones inside count; without any they are good.
+    Nearest is fewest containers apart (those to be left or entered, without the innermost), then fewest characters;
+    between equally near neighbours of different labels a block with some stop words is good, one with few or a short one
+    is bad; outside an article or main that has good text, such blocks are bad. A heading shortly before good text is good. Decided are good and bad blocks; for short ones also the longer
+    ambiguous ones, which this pass decides first. Where no block of the page is good by its words, those inside article or
+    main are, unless bad, and without any all that are not bad, if taken together they have some stop words.
     """
     label = [x if x in ("good", "bad") else None for x in first]
+    if "good" not in label:
+        rest = [i for i, x in enumerate(first) if x != "bad"]
+        inside = [i for i in rest if page[i].main]
+        if not inside and _share(" ".join(page[i].text for i in rest)) >= rules.stop_low:
+            inside = rest
+        for i in inside:
+            label[i] = "good"
+    article = any(b.main and x == "good" for b, x in zip(page, label, strict=True))
     start, total = [], 0
     for b in page:
         start.append(total)
         total += len(b.text)
 
-    inside = [b.main and not b.barred for b in page]
-
-    def near(decided: list[str | None]) -> tuple[list[int], list[int]]:
-        before, after, last = [-1] * len(page), [-1] * len(page), -1
-        for i in range(len(page)):
-            before[i] = last
-            if decided[i]:
-                last = i
-        last = -1
-        for i in range(len(page) - 1, -1, -1):
-            after[i] = last
+    def near(order: Iterable[int], step: int, decided: list[str | None]) -> list[tuple[int, int]]:
+        """The decided block before (after) each one, and how many containers hold both."""
+        out, last, shared = [(-1, 0)] * len(page), -1, 0
+        for i in order:
+            if last >= 0:
+                shared = min(shared, page[i].shared if step > 0 else page[i + 1].shared)
+            out[i] = last, shared
             if decided[i]:
-                last = i
-        return before, after
+                last, shared = i, page[i].depth
+        return out
 
-    for kind, doubt in (("near", "good"), ("short", "bad")):
-        everywhere, within = near(label), near([x if k else None for x, k in zip(label, inside, strict=True)])
+    for kinds, doubt in ((("near", "sparse"), {"near": "good", "sparse": "bad"}), (("short",), {"short": "bad"})):
+        before, after = near(range(len(page)), 1, label), near(range(len(page) - 1, -1, -1), -1, label)
         new = list(label)
         for i, b in enumerate(page):
-            if first[i] != kind:
+            if first[i] not in kinds or label[i]:
                 continue
             found = []
-            before, after = within if inside[i] else everywhere
-            for j in (before[i], after[i]):
+            for j, shared in (before[i], after[i]):
                 if j >= 0:
+                    x, y = b.depth - 1, page[j].depth - 1
                     gap = start[i] - start[j] - len(page[j].text) if j < i else start[j] - start[i] - len(b.text)
-                    found.append((_apart(page[j].path, b.path), gap, label[j]))
-            if not found:
-                new[i] = "good" if kind == "near" or b.main else "bad"
-            elif b.heading and after[i] >= 0 and label[after[i]] == "good" and start[after[i]] - start[i] - len(b.text) <= rules.heading and _apart(page[after[i]].path, b.path) <= 2:
+                    found.append((x + y - 2 * min(shared, x, y), gap, label[j]))
+            last = after[i][0]
+            if not found or article and not b.main and first[i] != "near":
+                new[i] = "bad"
+            elif b.heading and last >= 0 and label[last] == "good" and found[-1][1] <= rules.heading and found[-1][0] <= 2:
                 new[i] = "good"
             else:
                 least = min(f[:2] for f in found)
                 labels = {f[2] for f in found if f[:2] == least}
-                if len(labels) == 2:
-                    labels = {doubt}
-                new[i] = labels.pop()
+                new[i] = labels.pop() if len(labels) == 1 else doubt[first[i]]
         label = new
     return [x == "good" for x in label]
 

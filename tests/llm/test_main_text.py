@@ -1,3 +1,9 @@
+import re
+import time
+
+import pyarrow.parquet as pq
+import pytest
+
 from foliospark.llm import html_extract as H
 
 BODY = "This is a paragraph of the body and it has a good number of the words that are in the list of stop words, so that it is long enough to be seen as good by the rules that we use for it in this test, and it goes on for a while so as to be over the limit."
@@ -32,3 +38,25 @@ def test_copyright_signs_and_formulas_are_kept():
     assert H.extract(f"<article><p>{BODY} &copy;</p><p>Photo \xa9 the writer</p></article>") == f"{BODY} \xa9 Photo \xa9 the writer"
     assert H.extract(f"<div><p>{BODY} &copy;</p><p>\xa9 2020 All rights</p></div>") == f"{BODY} \xa9"
     assert H.extract(f"<article><p>{BODY} So <math><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow></math> holds.</p></article>") == f"{BODY} So x=2 holds."
+
+
+@pytest.mark.parametrize("markup", ["<a " * 300_000, '<p title="' * 100_000, "<div>" * 100_000, "<div>x" * 100_000, "</section>" * 200_000, "<svg>" * 100_000, "<!--" * 100_000, "<" * 200_000, "<a href='x\" " * 50_000, "<div><section></b></p>x" * 50_000])
+def test_hostile_markup_takes_a_time_in_proportion(markup):
+    began = time.process_time()
+    H.extract(markup)
+    assert time.process_time() - began < 10
+
+
+def test_words_decide_where_no_element_is_named_article(monkeypatch):
+    """The pages of a table, each with one article, as they are and with that element's name taken away."""
+    pages = [x or "" for x in pq.read_table("/root/testdata/sf0.01/pages.parquet").column("html").to_pylist()]
+    bare = [re.sub(r"(</?)(article|main)\b", r"\1div", x) for x in pages]
+    whole = [H.extract(x) for x in pages]
+    assert sum(H.extract(x) == y for x, y in zip(bare, whole, strict=True)) > 0.95 * len(pages)
+    monkeypatch.setattr(H, "STOP_WORDS", frozenset())
+    assert sum(H.extract(x) == y for x, y in zip(bare, whole, strict=True)) < 0.05 * len(pages)
+
+
+def test_quotes_and_comments():
+    assert H.extract(f'<article><p title="a > b">{BODY}</p><p data-x=\'<p>\'>one</p><!-- <p>two</p> --><?php x ?><p class="c>three</p></article>') == f"{BODY} one three"
+    assert H.extract(f"<article><p>{BODY} 1 < 2 <3</p></article>") == f"{BODY} 1 < 2 <3"
