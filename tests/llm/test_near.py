@@ -174,3 +174,32 @@ def test_dual_traversal_prunes_and_misses_nothing():
         seen[np.ix_(a, b)] = True
         tested += len(a) * len(b)
     assert seen[x @ x.T >= 0.95].all() and tested < 0.3 * len(x) ** 2
+
+
+def test_nodes_cover_their_members_and_unrelated_vectors_are_not_compared():
+    rng = np.random.default_rng(5)
+    x = np.concatenate([c + rng.normal(size=(200, 64)) * 0.02 for c in rng.normal(size=(5, 64))] + [rng.normal(size=(300, 64))])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+
+    def check(node):
+        assert V.angles(x[node.members] @ node.center).max() <= node.radius + V._SLACK
+        assert not node.children or sorted(np.concatenate([c.members for c in node.children])) == sorted(node.members)
+        for c in node.children:
+            check(c)
+
+    tree, tally = V.cover_tree(x), V.Tally()
+    check(tree)
+    linked = sum(len(a) * len(b) for a, b in V.dual_traversal(x, tree, x, tree, 0.93, tally, once=True))
+    everything = len(x) * (len(x) - 1) // 2
+    # 305 centers meet each other; of 1300 vectors only those of one group are compared
+    assert tally.centers < 0.1 * everything and linked == tally.pairs < 0.3 * everything
+
+
+def test_what_is_tested_is_reported(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(v) for v in c + rng.normal(size=16) * 0.01], 0) for i, c in enumerate(np.repeat(rng.normal(size=(40, 16)), 10, 0))]
+    df = spark.createDataFrame([(*r, "clash", 3) for r in rows], VEC)
+    unit = df.select("vec_id", "embedding", "label").mapInArrow(V._prepare_rows, "vec_id bigint, label string, dims int, key binary, unit binary")
+    assert unit.where("key is not null").count() == 400
+    said = V.vector_links(unit.select("label", "dims", "key", "unit", V.F.lit(1).cast("bigint").alias("copies")), cosine=0.93, cell=50, sample=100).where("key is null").groupBy().sum("n", "centers", "pairs").first()
+    assert 0 < said["sum(pairs)"] < 0.3 * 400 * 399 / 2 and said["sum(n)"] <= 400 * 399 / 2
