@@ -10,24 +10,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm.common import packed_rows, released, slices, text_buffer, unpacked_rows
-from foliospark.session import materialize, partitions, prepare
+from foliospark.session import materialize, prepare, scope
 
-ORDERS = range(4, 11)  # bytes in an n-gram, text lowered (A-Z), white space alike
+ORDERS = range(4, 9)  # characters in an n-gram, letters lowered, white space alike
 BITS = 22  # n-grams are hashed into 2**BITS features
+_BUCKETS = 32  # tasks that sum counts; there are no more than 2**BITS counts, however large the corpus
 _rng = np.random.default_rng(11)
-_CODE = _rng.integers(1, 2**32, 256, dtype=np.uint32) | np.uint32(1)
-_CODE[65:91] = _CODE[97:123]
-_CODE[9:14] = _CODE[32]
 _STEP = [np.uint32(int(x) | 1) for x in _rng.integers(2**20, 2**32, max(ORDERS))]
+_LOWER = np.array([ord(chr(i).lower()) if len(chr(i).lower()) == 1 else i for i in range(0x600)], np.uint32)  # Latin, Greek, Cyrillic
+_LOWER[[*range(9, 14), 0x85, 0xA0]] = 32
+
+
+def _code(chars: np.ndarray) -> np.ndarray:
+    h = chars.astype(np.uint32) * np.uint32(0x9E3779B1)
+    h ^= h >> np.uint32(15)
+    return h * np.uint32(0x85EBCA77) | np.uint32(1)
+
+
+_PLAIN = _code(_LOWER[:128])
+
+
+def characters(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A random word for each character of UTF-8 texts, the same for upper and lower case; and the texts' offsets in them."""
+    if not len(raw) or raw.max() < 128:
+        return _PLAIN[raw], offsets
+    before = np.append(0, np.cumsum((raw & 0xC0) != 0x80))
+    chars = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32).copy()
+    low = chars < len(_LOWER)
+    chars[low] = _LOWER[chars[low]]
+    return _code(chars), before[offsets]
 
 
 def grams(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(feature, row) of every n-gram of each order."""
-    v = _CODE[raw]
+    v, offsets = characters(raw, offsets)
     row = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
-    sums = np.zeros(len(raw), np.uint32)
+    sums = np.zeros(len(v), np.uint32)
     for n in range(1, max(ORDERS) + 1):
-        m = len(raw) - n + 1
+        m = len(v) - n + 1
         if m <= 0:
             return
         sums = sums[:m] + v[n - 1 :] * _STEP[n - 1]
@@ -38,42 +58,54 @@ def grams(raw: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np
             yield (h >> np.uint32(32 - BITS))[inside], row[:m][inside]
 
 
+_PIECE = 4 << 20
+
+
 def present(raw: np.ndarray, offsets: np.ndarray, chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, feature) pairs, of the chosen features only if given, sorted."""
-    keys = [np.zeros(0, np.int64)]
-    for f, r in grams(raw, offsets):
-        if chosen is not None:
-            hit = np.flatnonzero(chosen[f])
-            f, r = f[hit], r[hit]
-        keys.append((r.astype(np.int64) << BITS) | f)
-    k = np.concatenate(keys)
-    k.sort()
-    k = k[np.append(True, k[1:] != k[:-1])] if len(k) else k
-    return k >> BITS, k & ((1 << BITS) - 1)
+    """Distinct (row, feature) pairs, of the chosen features only if given, sorted. A long text alone is looked at in overlapping pieces."""
+    pieces = [(raw, offsets)]
+    if len(offsets) == 2 and len(raw) > _PIECE:
+        starts = np.arange(0, len(raw), _PIECE)
+        pieces = []
+        for i in starts.tolist():
+            j = min(len(raw), i + _PIECE + 4 * max(ORDERS))
+            while i and raw[i] & 0xC0 == 0x80:  # from the beginning of a character, which the piece before has too
+                i -= 1
+            while j < len(raw) and raw[j] & 0xC0 == 0x80:
+                j -= 1
+            pieces.append((raw[i:j], np.array([0, j - i])))
+    keys = np.zeros(0, np.int64)
+    for part, off in pieces:
+        found = [keys]
+        for f, r in grams(part, off):
+            if chosen is not None:
+                hit = np.flatnonzero(chosen[f])
+                f, r = f[hit], r[hit]
+            found.append((r.astype(np.int64) << BITS) | f)
+        k = np.concatenate(found)
+        k.sort()
+        keys = k[np.append(True, k[1:] != k[:-1])] if len(k) else k
+    return keys >> BITS, keys & ((1 << BITS) - 1)
 
 
 _COUNTS = "bucket int, feature binary, clean binary, toxic binary"
 
 
-def _count(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents with each feature, by label, in this task; packed by bucket."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((2, 1 << BITS), np.int32)
-        for batch in batches:
-            raw, off = text_buffer(batch.column("text"))
-            toxic = batch.column("toxic").to_numpy().astype(np.int64)
-            for i, j in slices(off, 1 << 18):
-                row, f = present(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-                for y in (0, 1):
-                    np.add.at(seen[y], f[toxic[i:j][row] == y], 1)
-        f = np.flatnonzero(seen.any(0)).astype(np.int32)
-        yield from packed_rows(f % buckets, feature=f, clean=seen[0, f], toxic=seen[1, f])
-
-    return count
-
-
-def _best(toxic: int, clean: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    seen = np.zeros((2, 1 << BITS), np.int32)
+    for batch in batches:
+        raw, off = text_buffer(batch.column("text"))
+        toxic = batch.column("toxic").to_numpy().astype(np.int64)
+        for i, j in slices(off, 1 << 18):
+            row, f = present(raw[off[i] : off[j]], off[i : j + 1] - off[i])
+            for y in (0, 1):
+                np.add.at(seen[y], f[toxic[i:j][row] == y], 1)
+    f = np.flatnonzero(seen.any(0)).astype(np.int32)
+    yield from packed_rows(f % _BUCKETS, feature=f, clean=seen[0, f], toxic=seen[1, f])
+
+
+def _best(toxic: int, clean: int, most: int, least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Sums of the counts of a task's buckets, and of its features the ``most`` that tell the classes apart best (chi-squared)."""
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +113,7 @@ def _best(toxic: int, clean: int, most: int) -> Callable[[Iterator[pa.RecordBatc
         f, at = np.unique(a["feature"], return_inverse=True)
         c, t = (np.bincount(at, weights=a[k], minlength=len(f)) for k in ("clean", "toxic"))
         chi = (t * (clean - c) - c * (toxic - t)) ** 2 / ((c + t) * (clean + toxic - c - t) + 1)
-        keep = np.flatnonzero(c + t > 2)
+        keep = np.flatnonzero(c + t >= least)
         keep = keep[np.lexsort((f[keep], -chi[keep]))][:most]
         yield pa.record_batch({"feature": f[keep].astype(np.int64), "c": c[keep], "t": t[keep], "chi": chi[keep]})
 
@@ -145,31 +177,32 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 16_000, features: int = 4_096, penalty: float = 10.0) -> tuple[np.ndarray, np.ndarray, float]:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 16_000, features: int = 4_096, least: int = 3, penalty: float = 10.0) -> tuple[np.ndarray, np.ndarray, float]:
     """(features, weights, bias), learnt from at most ``most_rows`` labelled rows that are not held out.
 
     The rows are those of least hash of their id, so the sample does not depend on order or partitions. Counts of
-    documents with each n-gram are summed over it; the ``features`` that tell the classes apart best (chi-squared) are
-    scaled by their log-count ratio. All that is sent about has a fixed bound: the sample's ids, the chosen features.
+    documents with each n-gram are summed over it; of those in ``least`` documents or more, the ``features`` that tell the
+    classes apart best (chi-squared) are scaled by their log-count ratio. All that is sent about has a fixed bound: the sample's ids, the chosen features.
     Null labels are ignored. Without rows of both classes the weights are 0.
     """
     key = F.col(f"`{id_col}`")
-    sample = labels.where(key.isNotNull() & F.col("toxic").isin(0, 1) & ~is_held_out(key)).select(key.alias("id"), F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(most_rows)
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    rows = materialize(docs.select(key.alias("id"), text.alias("text")).join(F.broadcast(sample), "id").select("toxic", "text"), "labelled")
-    total = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    nt, nc = total.get(1, 0), total.get(0, 0)
-    none = np.zeros(0, np.int64), np.zeros(0), float(np.log((nt + 1) / (nc + 1)))
-    if not nt or not nc:
-        return none
-    counts = rows.mapInArrow(released(_count(4 * partitions(docs.sparkSession))), _COUNTS).repartition("bucket").mapInArrow(released(_best(nt, nc, features)), "feature bigint, c double, t double, chi double")
-    best = counts.orderBy(F.desc("chi"), "feature").limit(features).select("feature", "c", "t").orderBy("feature").collect()
-    if not best:
-        return none
-    chosen = np.array([r["feature"] for r in best])
-    ratio = np.log((np.array([r["t"] for r in best]) + 0.5) / (nt + 1)) - np.log((np.array([r["c"] for r in best]) + 0.5) / (nc + 1))
-    model = rows.mapInArrow(released(_select(chosen)), "toxic int, features binary").coalesce(1).mapInArrow(released(_train(ratio, penalty)), "weights binary, bias double").first()
-    return chosen, np.frombuffer(model["weights"], np.float64), float(model["bias"])
+    with scope(docs.sparkSession):
+        sample = labels.where(key.isNotNull() & F.col("toxic").isin(0, 1) & ~is_held_out(key)).select(key.alias("id"), F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(most_rows)
+        text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+        rows = materialize(docs.select(key.alias("id"), text.alias("text")).join(F.broadcast(sample), "id").select("toxic", "text"), "labelled")
+        total = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+        nt, nc = total.get(1, 0), total.get(0, 0)
+        none = np.zeros(0, np.int64), np.zeros(0), float(np.log((nt + 1) / (nc + 1)))
+        if not nt or not nc:
+            return none
+        counts = rows.mapInArrow(released(_count), _COUNTS).repartition("bucket").mapInArrow(released(_best(nt, nc, features, least)), "feature bigint, c double, t double, chi double")
+        best = counts.orderBy(F.desc("chi"), "feature").limit(features).select("feature", "c", "t").orderBy("feature").collect()
+        if not best:
+            return none
+        chosen = np.array([r["feature"] for r in best])
+        ratio = np.log((np.array([r["t"] for r in best]) + 0.5) / (nt + 1)) - np.log((np.array([r["c"] for r in best]) + 0.5) / (nc + 1))
+        model = rows.mapInArrow(released(_select(chosen)), "toxic int, features binary").coalesce(1).mapInArrow(released(_train(ratio, penalty)), "weights binary, bias double").first()
+        return chosen, np.frombuffer(model["weights"], np.float64), float(model["bias"])
 
 
 def _score(model: tuple[np.ndarray, np.ndarray, float]) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
