@@ -67,22 +67,38 @@ class Packer:
         return top - int(np.argmin(cost[::-1]))
 
     def close(self) -> Iterator[tuple]:
-        """The windows still open, run together and cut anew: full windows, then one for each power of two in the rest."""
-        left = [p for at in reversed(self.open) for _, pieces in at for p in pieces]
-        total = sum(len(p[2]) for p in left)
-        sizes = [self.size] * (total // self.size)
-        rest = total % self.size
-        sizes += [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
-        room, window, offset = 0, 0, 0
-        sizes.reverse()
-        for doc, start, ids, tokens, _, _ in left:
-            at = 0
-            while at < len(ids):
-                if not room:
-                    room, window, offset = sizes.pop(), self._window(), 0
-                n = min(room, len(ids) - at)
-                yield doc, start + at, ids[at : at + n], tokens, window, offset
-                at, room, offset = at + n, room - n, offset + n
+        """The windows still open: the emptiest are cut up to fill the fullest, which keep what the rule put there.
+
+        What is left over at last is cut into windows of a power of two, one for each in its size.
+        """
+        left = [[level, window, pieces] for level, at in enumerate(self.open) for window, pieces in at]  # by rising level
+        low = 0
+        while low < len(left) - 1:
+            level, window, pieces = left.pop()
+            while level < self.size and low < len(left):
+                giver = left[low]
+                doc, start, ids, tokens, _, _ = giver[2].pop()
+                n = min(self.size - level, len(ids))
+                pieces.append((doc, start + len(ids) - n, ids[len(ids) - n :], tokens, window, level))
+                if n < len(ids):
+                    giver[2].append((doc, start, ids[: len(ids) - n], tokens, None, None))
+                level, giver[0] = level + n, giver[0] - n
+                low += not giver[0]
+            if level < self.size:
+                left.append([level, window, pieces])
+                break
+            yield from pieces
+        for level, _, pieces in left[low:]:
+            sizes = [1 << b for b in range(level.bit_length()) if level >> b & 1]
+            room = window = offset = 0
+            for doc, start, ids, tokens, _, _ in pieces:
+                at = 0
+                while at < len(ids):
+                    if not room:
+                        room, window, offset = sizes.pop(), self._window(), 0
+                    n = min(room, len(ids) - at)
+                    yield doc, start + at, ids[at : at + n], tokens, window, offset
+                    at, room, offset = at + n, room - n, offset + n
         self.open = [[] for _ in range(self.size + 1)]
         self.levels[:] = 0
 
@@ -119,8 +135,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, ranks: str | None = None,
     """Packs all documents into sequences of at most ``size`` tokens.
 
     Each partition packs its own documents in one pass and nothing is shuffled; sequence ids hold the partition's
-    number, so a task that runs again gives the same ids. Windows still open at its end are cut anew into full windows
-    and powers of two, which need no padding.
+    number, so a task that runs again gives the same ids. Of windows still open at its end the emptiest are cut up to fill
+    the others, and the last one gives windows of powers of two, so that nothing is padded.
 
     Returns a row per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens (with ``end_id``,
     which ends every document), sequence_id, offset. Null text counts as empty and gives the end id alone. Repeated

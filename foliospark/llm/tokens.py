@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliospark.llm.common import released
-from foliospark.session import prepare, settled, work_folder
+from foliospark.session import materialize, prepare, settled, work_folder
 
 #: Characters that the libraries at hand classify alike, whatever their Unicode version.
 _PLAIN = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e\xa1-\xff]")
@@ -130,7 +130,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, cache: str | None = None, i
     A count is kept under the tokenizer's version digest and the digest of the normalised content (runs of ASCII white
     space as one space, which word-splitting tokenizers do not tell apart; other tokenizers use the text as it is).
     Distinct contents that the cache lacks are encoded, once each, and appended to it; then rows are joined to it.
-    ``cache`` is a folder that all executors share; without one, a new one is made for this call.
+    ``cache`` is a folder that all executors share; without one, a new one is made for this call. A key that it has
+    several times, as callers at the same time may leave it, counts once.
 
     Returns a row per input row: doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit). Null text counts as empty
     (0 tokens). Repeated rows, null or repeated ids: a row each. Extra columns are ignored; an empty table gives none.
@@ -147,6 +148,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, cache: str | None = None, i
     if _exists(spark, store):
         wanted = wanted.join(spark.read.schema(schema).parquet(store), "key", "left_anti")
     wanted.mapInArrow(released(_counting(tokenizer)), schema).write.mode("append").parquet(store)
-    known = spark.read.schema(schema).parquet(store)
-    rows = base.select("doc_id", "key", F.octet_length("text").cast("bigint").alias("n_bytes"))
+    rows = materialize(base.select("doc_id", "key", F.octet_length("text").cast("bigint").alias("n_bytes")), "rows")
+    # callers at the same time may have appended a count each; written, so that both sides of the join are plain exchanges, of which Spark splits a key's
+    known = spark.read.schema(schema).parquet(store).groupBy("key").agg(F.max("n_tokens").alias("n_tokens"))
+    known = materialize(known.join(rows.select("key").distinct(), "key", "left_semi"), "known")
     return rows.join(known, "key").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

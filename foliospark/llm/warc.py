@@ -1,4 +1,9 @@
-"""WARC records in ZIP packages: a writer, and a reader that range-reads records through directories and indexes."""
+"""WARC records in ZIP packages: a writer, and a reader that range-reads records through directories and indexes.
+
+Packages are files of a store that Python can open by URI; a reader opens the end of the file, the directories, the index
+and the ranges that it names, and nothing else. Where a package has no index its WARC files are read in order. Whatever is
+broken is a row with an error, and all else is read.
+"""
 
 from __future__ import annotations
 
@@ -10,13 +15,15 @@ import struct
 import zlib
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
+from urllib.parse import urlsplit
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.session import materialize, prepare, settled
+from foliospark.session import materialize, prepare, settled, work_folder
 
 # Signatures of the ZIP format; fixed values.
 _LOCAL, _CENTRAL, _END, _END64, _LOCATOR64 = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
@@ -66,7 +73,10 @@ class Package:
 
     def __init__(self, read: Callable[[int, int], bytes], length: int) -> None:
         self._read, self.length = read, length
-        self.members = {m.name: m for m in self._directory()}
+        try:
+            self.members = {m.name: m for m in self._directory()}
+        except struct.error as error:
+            raise PackageError("a directory breaks off") from error
 
     def range(self, start: int, size: int) -> bytes:
         if start < 0 or size < 0 or start + size > self.length:
@@ -117,7 +127,10 @@ class Package:
     def read(self, member: Member, offset: int = 0, size: int | None = None) -> bytes:
         """A range of a stored member; a deflated one only whole."""
         if member.method == 8 and offset == 0 and size is None:
-            return zlib.decompressobj(-15).decompress(self.range(self.start(member), member.packed))
+            try:
+                return zlib.decompressobj(-15).decompress(self.range(self.start(member), member.packed))
+            except zlib.error as error:
+                raise PackageError("a member cannot be decompressed") from error
         if member.method != 0:
             raise PackageError("ranges need a stored member")
         size = member.size - offset if size is None else size
@@ -188,27 +201,77 @@ def _clean(url: str | None) -> str:
     return "".join(c for c in url or "" if c not in "\r\n")
 
 
-def _writing(most: int, level: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def opened(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The store of a path or URI, and the path in it."""
+    return pyarrow.fs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri)
+
+
+def url_key(url: str) -> str:
+    """A URL by which an index is sorted: the host backwards, then the rest."""
+    try:
+        parts = urlsplit(url)
+        host = ",".join(reversed((parts.hostname or "").split(".")))
+    except ValueError:
+        return url.replace(" ", "%20")
+    return (f"{host}){parts.path or '/'}" + (f"?{parts.query}" if parts.query else "")).lower().replace(" ", "%20")
+
+
+class Entry(NamedTuple):
+    filename: str
+    offset: int
+    length: int
+
+
+def index_lines(text: str) -> Iterator[Entry]:
+    """The ranges of an index: lines of key, time and JSON, or of fields that a header line names by letters."""
+    order: list[str] = []
+    for line in text.splitlines():
+        if not line.strip() or line.startswith("!"):
+            continue
+        if line.lstrip().startswith("CDX "):
+            order = line.split()[1:]
+            continue
+        brace = line.find("{")
+        try:
+            if brace >= 0:
+                at = json.loads(line[brace:])
+                yield Entry(str(at["filename"]), int(at["offset"]), int(at["length"]))
+            else:
+                at = dict(zip(order or list("NbamskrMSVg"), line.split(), strict=False))
+                yield Entry(at["g"], int(at["V"]), int(at["S"]))
+        except (ValueError, KeyError, TypeError) as error:
+            raise PackageError(f"broken index line: {line[:80]}") from error
+
+
+def _writing(folder: str, most: int, level: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, count = TaskContext.get().partitionId(), 0
+        task, count = TaskContext.get(), 0
         warc, index = io.BytesIO(), []
+        store, path = opened(folder)
+        store.create_dir(path, recursive=True)
 
         def package() -> pa.RecordBatch:
             nonlocal warc, index, count
-            lines = "\n".join(json.dumps(x, separators=(",", ":")) for x in index) + "\n"
+            lines = "\n".join(f"{key} {time} {json.dumps(x, separators=(',', ':'))}" for key, time, x in sorted(index, key=lambda x: x[:2])) + "\n"
             data = write_package([("archive/data.warc.gz", warc.getvalue()), ("indexes/index.cdxj", lines.encode()), ("datapackage.json", b'{"profile":"data-package","wacz_version":"1.1.1"}')])
-            name = f"crawl-{task:06d}-{count:06d}.wacz"
+            # a task that runs again writes other files, and only those of the one that ends are listed
+            name = f"crawl-{task.partitionId():06d}-{count:06d}-{task.taskAttemptId()}.wacz"
+            with store.open_output_stream(f"{path}/{name}") as out:
+                out.write(data)
+            n = len(index)
             warc, index, count = io.BytesIO(), [], count + 1
-            return pa.record_batch({"package": [name], "content": pa.array([data], pa.large_binary())})
+            return pa.record_batch({"package": [f"{folder}/{name}"], "length": pa.array([len(data)], pa.int64()), "records": pa.array([n], pa.int64())})
 
         for batch in batches:
             ids, urls, first = (batch.column(c).to_pylist() for c in ("page_id", "url", "first"))
             for i in range(batch.num_rows):
                 payload = batch.column("payload")[i].as_py() or b""
                 refers = first[i] if first[i] is not None and first[i] != ids[i] else None
+                url, digest = _clean(urls[i]), payload_digest(payload)
                 record = zlib.compressobj(level, zlib.DEFLATED, 31)
-                data = record.compress(write_record(ids[i], _clean(urls[i]), payload, payload_digest(payload), refers)) + record.flush()
-                index.append({"id": ids[i], "filename": "data.warc.gz", "offset": warc.tell(), "length": len(data)})
+                data = record.compress(write_record(ids[i], url, payload, digest, refers)) + record.flush()
+                kind = "text/html" if refers is None else "warc/revisit"
+                index.append((url_key(url), "19700101000000", {"url": url, "mime": kind, "status": "200", "digest": f"sha1:{digest}", "length": str(len(data)), "offset": str(warc.tell()), "filename": "data.warc.gz"}))
                 warc.write(data)
                 if warc.tell() >= most:
                     yield package()
@@ -218,49 +281,175 @@ def _writing(most: int, level: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
     return write
 
 
-def write_archives(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, most: int = 8 << 20, level: int = 1) -> DataFrame:
-    """(package, content): ZIP packages of about ``most`` bytes with gzipped WARC records and an index of their ranges.
+def write_archives(pages: DataFrame, folder: str | None = None, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, most: int = 8 << 20, level: int = 1) -> DataFrame:
+    """(package, length, records): ZIP packages of about ``most`` bytes, written to ``folder``, with gzipped WARC records and a sorted index of their ranges.
 
     Of records with equal payloads of at least ``least`` bytes that with the smallest id is a response, the others
-    revisit it. Only digests that occur under several ids are joined back, so pages are not moved for them.
+    revisit it. Pages are moved once, by their digests, to learn which it is. Without a folder one is made in the shared
+    folder. A record is in memory as a whole, and a package.
     """
-    prepare(pages.sparkSession)
+    spark = prepare(pages.sparkSession)
+    folder = folder.rstrip("/") if folder else work_folder(spark, "packages")
     payload = F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).cast("binary")
     base = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("sha"))
     again = base.where(F.octet_length("payload") >= least).groupBy("sha").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n"), F.count("page_id").alias("named")).where("first <> last or n > named").select("sha", "first")
-    rows = base.join(again, "sha", "left").select("page_id", "url", "payload", F.when(F.octet_length("payload") >= least, F.col("first")).alias("first"))
-    return rows.mapInArrow(_writing(most, level), "package string, content binary")
+    # written, so that both sides of the join are plain exchanges, of which Spark splits a digest's
+    rows = base.join(materialize(again, "again"), "sha", "left").select("page_id", "url", "payload", F.when(F.octet_length("payload") >= least, F.col("first")).alias("first"))
+    return materialize(rows.mapInArrow(_writing(folder, most, level), "package string, length bigint, records bigint"), "packages")
+
+
+_ROW = {"package": pa.string(), "page_id": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.string(), "url": pa.string(), "payload": pa.binary(), "error": pa.string()}
+_RANGE = 4 << 20  # bytes that are read at once where ranges lie side by side
+
+
+def _row(package: str, raw: bytes) -> tuple:
+    """A record's row, or None for records of other kinds."""
+    record = read_record(raw)
+    kind = record.headers.get("warc-type")
+    if kind not in ("response", "revisit"):
+        return ()
+    body = record.body
+    size = int(record.http.get("content-length", len(body)))
+    digest = record.headers.get("warc-payload-digest", f"sha1:{payload_digest(body)}").removeprefix("sha1:")
+    if kind == "response" and (payload_digest(body) != digest or len(body) != size):
+        raise PackageError("a payload differs from its digest")
+    ident, refers = (record.headers[k].removeprefix("<urn:page:").removesuffix(">") if k in record.headers else None for k in ("warc-record-id", "warc-refers-to"))
+    return package, None if ident == "None" else ident, size, digest, kind, refers, record.headers.get("warc-target-uri"), body, None
+
+
+def _whole(raw: bytes) -> bytes:
+    try:
+        return zlib.decompress(raw, 31) if raw[:2] == b"\x1f\x8b" else raw
+    except zlib.error as error:
+        raise PackageError("a record cannot be decompressed") from error
+
+
+def _in_order(package: Package, member: Member) -> Iterator[bytes]:
+    """The records of a WARC file without an index, read in ranges; gzipped ones have a member each."""
+    at, held, zipped = 0, b"", None
+    inflate, out = None, []
+
+    def more() -> bool:
+        nonlocal at, held
+        n = min(_RANGE, member.size - at)
+        if n <= 0:
+            return False
+        held += package.read(member, at, n)
+        at += n
+        return True
+
+    while held or more():
+        if zipped is None:
+            zipped = held[:2] == b"\x1f\x8b"
+        if zipped:
+            inflate = inflate or zlib.decompressobj(31)
+            try:
+                out.append(inflate.decompress(held))
+            except zlib.error as error:
+                raise PackageError("a record cannot be decompressed") from error
+            held = inflate.unused_data
+            if inflate.eof:
+                yield b"".join(out)
+                inflate, out = None, []
+            continue
+        held = held.lstrip(b"\r\n")
+        while (end := held.find(b"\r\n\r\n")) < 0 and more():
+            pass
+        if not held:
+            continue
+        if end < 0:
+            raise PackageError("the record breaks off")
+        need = end + 4 + int(_headers(held[:end]).get("content-length", 0))
+        while len(held) < need and more():
+            pass
+        yield held[:need]
+        held = held[need:]
+    if inflate:
+        raise PackageError("the record breaks off")
+
+
+def _records(package: Package) -> Iterator[bytes | PackageError]:
+    """The records that a package's indexes name; without one, all of its WARC files'."""
+    names = sorted(n for n in package.members if n.startswith("indexes/") and n.removesuffix(".gz").endswith((".cdxj", ".cdx")))
+    entries: set[Entry] = set()
+    for name in names:
+        entries.update(index_lines(_whole(package.read(package.members[name])).decode("utf-8", "replace")))
+    if not names:
+        for name in sorted(n for n in package.members if n.startswith("archive/") and n.endswith((".warc", ".warc.gz"))):
+            yield from _in_order(package, package.members[name])
+        return
+    held, start, filename = b"", 0, None
+    todo = sorted(entries)
+    for k, at in enumerate(todo):
+        try:
+            if at.filename != filename or not start <= at.offset or at.offset + at.length > start + len(held):
+                member = package.members.get("archive/" + at.filename.removeprefix("archive/"))
+                if member is None:
+                    raise PackageError(f"no {at.filename}")
+                end = at.offset + at.length
+                for other in todo[k + 1 :]:  # those that lie beside it
+                    if other.filename != at.filename or other.offset != end or end + other.length - at.offset > _RANGE:
+                        break
+                    end += other.length
+                held, start, filename = package.read(member, at.offset, min(end, member.size) - at.offset), at.offset, at.filename
+            raw = held[at.offset - start : at.offset - start + at.length]
+            if len(raw) < at.length:
+                raise PackageError("range outside the member")
+            yield _whole(raw)
+        except PackageError as error:
+            yield error
+
+
+def package_rows(name: str, read: Callable[[int, int], bytes], length: int) -> Iterator[tuple]:
+    """Rows of a package's records; what is broken is a row with an error."""
+
+    def failed(error: Exception) -> tuple:
+        return name, None, None, None, None, None, None, None, str(error)
+
+    try:
+        for raw in _records(Package(read, length)):
+            try:
+                if isinstance(raw, PackageError):
+                    raise raw
+                row = _row(name, raw)
+                if row:
+                    yield row
+            except (PackageError, ValueError) as error:
+                yield failed(error)
+    except (PackageError, OSError) as error:
+        yield failed(error)
 
 
 def _reading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True)) or [()] * len(_ROW)
+        return pa.record_batch({n: pa.array(c, k) for (n, k), c in zip(_ROW.items(), cols, strict=True)})
+
     for batch in batches:
-        for content in batch.column("content"):
-            view = memoryview(content.as_buffer())
-            package = Package(lambda start, size, view=view: bytes(view[start : start + size]), len(view))
-            rows = []
-            for name, member in package.members.items():
-                if not name.startswith("indexes/"):
-                    continue
-                for line in package.read(member).decode().splitlines():
-                    at = json.loads(line)
-                    data = package.read(package.members["archive/" + at["filename"]], at["offset"], at["length"])
-                    record = read_record(zlib.decompress(data, 31))
-                    kind, size = record.headers["warc-type"], int(record.http.get("content-length", len(record.body)))
-                    digest = record.headers["warc-payload-digest"].removeprefix("sha1:")
-                    if kind == "response" and (payload_digest(record.body) != digest or len(record.body) != size):
-                        raise PackageError("a payload differs from its digest")
-                    ident, refers = (record.headers[k].removeprefix("<urn:page:").removesuffix(">") if k in record.headers else None for k in ("warc-record-id", "warc-refers-to"))
-                    rows.append((None if ident == "None" else ident, size, digest, kind, refers, record.headers["warc-target-uri"], record.body))
-            cols = list(zip(*rows, strict=True)) or [()] * 7
-            kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary())
-            names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload")
-            yield pa.record_batch({n: pa.array(c, k) for n, c, k in zip(names, cols, kinds, strict=True)})
+        for uri in batch.column("package").to_pylist():
+            rows, held = [], 0
+            try:
+                store, path = opened(uri)
+                with store.open_input_file(path) as file:
+                    for row in package_rows(uri, lambda start, size, file=file: file.read_at(size, start), file.size()):
+                        rows.append(row)
+                        held += len(row[7] or b"")
+                        if held > _RANGE:
+                            yield batch_of(rows)
+                            rows, held = [], 0
+            except (OSError, pa.ArrowException) as error:
+                rows.append((uri, *[None] * 7, str(error)))
+            yield batch_of(rows)
 
 
 def read_archives(packages: DataFrame) -> DataFrame:
-    """A row per record of (package, content): ids as text, payload size and digest, record type, refers_to, url, payload (empty for revisits)."""
+    """A row per record of packages (package: a path or URI): package, page_id (as text), payload_bytes, payload_digest, record_type, refers_to, url, payload (empty for revisits), error.
+
+    Indexes may be of JSON lines or of fields, gzipped or not; without one the WARC files are read in order. A record or
+    package that cannot be read is a row with an error. Records other than responses and revisits are passed over.
+    """
     prepare(packages.sparkSession)
-    return packages.select("content").mapInArrow(_reading, "page_id string, payload_bytes bigint, payload_digest string, record_type string, refers_to string, url string, payload binary")
+    return packages.select("package").mapInArrow(_reading, "package string, page_id string, payload_bytes bigint, payload_digest string, record_type string, refers_to string, url string, payload binary, error string")
 
 
 @settled
@@ -272,5 +461,6 @@ def archive_pages(pages: DataFrame, *, id_col: str = "page_id", **options: objec
     are responses, or revisits if a row with an id has their payload. Extra columns are ignored; no pages, no records.
     """
     kind = pages.schema[id_col].dataType.simpleString()
-    records = read_archives(materialize(write_archives(pages, id_col=id_col, **options), "packages"))
-    return records.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+    records = read_archives(write_archives(pages, id_col=id_col, **options))
+    size = F.when(F.col("error").isNull(), F.col("payload_bytes")).otherwise(F.raise_error(F.col("error")).cast("bigint"))
+    return records.select(F.col("page_id").cast(kind).alias("page_id"), size.alias("payload_bytes"), "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))

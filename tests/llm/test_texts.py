@@ -179,6 +179,35 @@ def test_cache_is_filled_and_used(spark, tmp_path):
     assert spark.read.parquet(store).count() == 4
 
 
+def test_counts_that_the_cache_has_twice_count_once(spark, tmp_path):
+    path, cache = P.path("word_bpe_49k.json"), f"file://{tmp_path}/cache"
+    rows = [(1, "a b  c"), (2, "a b c"), (3, "d")]
+    TK.count_tokens(docs(spark, rows), path, cache=cache)
+    store = f"{cache}/tokenizer={TK.tokenizer_version(path)}"
+    spark.read.parquet(store).write.mode("append").parquet(f"{cache}/copy")
+    spark.read.parquet(f"{cache}/copy").write.mode("append").parquet(store)
+    assert spark.read.parquet(store).count() == 4
+    assert sorted((r.doc_id, r.n_tokens) for r in TK.count_tokens(docs(spark, rows), path, cache=cache).collect()) == [(1, 3), (2, 3), (3, 1)]
+
+
+def test_windows_keep_what_the_rule_put_there():
+    rng = random.Random(9)
+    packer, put, out = PK.Packer(1024), 0, []
+    for k in range(400):
+        out += packer.add(k, np.arange(rng.randrange(1, 1500), dtype="<u4"))
+    left = {w: [p[:3] for p in pieces] for at in packer.open for w, pieces in at}
+    closed = list(packer.close())
+    by = {}
+    for doc, start, ids, tokens, window, offset in [*out, *closed]:
+        by.setdefault(window, []).append((offset, len(ids)))
+        assert ids[0] == start
+    for own in by.values():
+        total = sum(n for _, n in own)
+        assert total == 1024 or total & (total - 1) == 0
+    kept = sum((doc, start) in {(d, s) for d, s, _ in left.get(window, [])} for doc, start, _, _, window, _ in closed)
+    assert kept >= 0.5 * sum(map(len, left.values())) or len(left) < 8
+
+
 def test_packing_places_every_id_once(spark):
     rng = random.Random(6)
     rows = [(i if i else None, " ".join(rng.choice(["alpha", "beta", "Überß", "x1"]) for _ in range(rng.choice([0, 1, 50, 900, 3000])))) for i in range(80)] + [(5, "again"), (5, "again"), (6, None)]
@@ -311,6 +340,46 @@ def test_records_come_back(spark):
     assert W.archive_pages(df, least=11).where("record_type = 'revisit'").count() == 0
 
 
+def test_archives_of_others_and_broken_ones(spark, tmp_path):
+    import gzip
+
+    pages = [(i, f"http://b.example/{i}", f"<p>{i}</p>" * 50) for i in range(5)]
+    plain = [W.write_record(i, u, h.encode(), W.payload_digest(h.encode())) for i, u, h in pages]
+    zipped = [gzip.compress(x) for x in plain]
+    at = np.append(0, np.cumsum([len(x) for x in zipped])).tolist()
+    info = b"WARC/1.1\r\nWARC-Type: warcinfo\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    lines = " CDX N b a m s k r M S V g\n" + "".join(f"example,b)/{i} 2020 u text/html 200 X - - {at[i + 1] - at[i]} {at[i]} data.warc.gz\n" for i in range(5))
+    cdxj = "!meta {}\n" + "".join(f'example,b)/{i} 2020 {{"filename":"data.warc.gz","offset":"{at[i]}","length":{at[i + 1] - at[i]}}}\n' for i in reversed(range(5)))
+    whole, warc = {r[0] for r in pages}, b"".join(zipped)
+    kinds = {
+        "plain": [("archive/a.warc", info + b"".join(plain))], "gz": [("archive/a.warc.gz", gzip.compress(info) + warc)], "cdx": [("archive/data.warc.gz", warc), ("indexes/index.cdx.gz", gzip.compress(lines.encode()))],
+        "cdxj": [("archive/data.warc.gz", warc), ("indexes/index.cdxj", cdxj.encode())], "lost": [("indexes/index.cdxj", cdxj.encode())], "bad": [("archive/data.warc.gz", warc[: at[2] + 5] + b"\0" * (at[3] - at[2] - 5) + warc[at[3] :]), ("indexes/index.cdxj", cdxj.encode())],
+    }
+    for name, members in kinds.items():
+        (tmp_path / name).write_bytes(W.write_package(members, zip64=name == "cdx"))
+    (tmp_path / "cut").write_bytes(W.write_package(kinds["cdxj"])[:-40])
+    (tmp_path / "empty").write_bytes(b"")
+    names = [*kinds, "cut", "empty", "none"]
+    got = {}
+    for r in W.read_archives(spark.createDataFrame([(f"file://{tmp_path}/{n}",) for n in names], "package STRING")).collect():
+        got.setdefault(r.package.rsplit("/", 1)[1], []).append(r)
+    for name in ("plain", "gz", "cdx", "cdxj"):
+        assert {int(r.page_id) for r in got[name]} == whole and all(r.error is None and bytes(r.payload).decode() == pages[int(r.page_id)][2] for r in got[name]), name
+    assert len(got["lost"]) == 5 and all(r.error for r in got["lost"])
+    assert {int(r.page_id) for r in got["bad"] if not r.error} == whole - {2} and sum(bool(r.error) for r in got["bad"]) == 1
+    assert all(len(got[n]) == 1 and got[n][0].error for n in ("cut", "empty", "none"))
+
+
+def test_only_named_ranges_are_read():
+    big = [W.write_record(i, "u", b"x" * 100_000, W.payload_digest(b"x" * 100_000)) for i in range(200)]
+    at = np.append(0, np.cumsum([len(x) for x in big])).tolist()
+    index = f'k 1 {{"filename":"a.warc","offset":{at[150]},"length":{at[151] - at[150]}}}\n'
+    data = W.write_package([("archive/a.warc", b"".join(big)), ("indexes/index.cdxj", index.encode())])
+    read = []
+    rows = list(W.package_rows("p", lambda s, n: read.append(n) or data[s : s + n], len(data)))
+    assert [r[1] for r in rows] == ["150"] and sum(read) < 200_000 < len(data) // 50
+
+
 # --- pages
 
 PAGE = """<html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
