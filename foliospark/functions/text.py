@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -55,10 +55,21 @@ def _nfkc(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.array([None if x is None else unicodedata.normalize("NFKC", x) for x in column.to_pylist()], pa.string())
 
 
-def nfkc(c: Column) -> Column:
-    """NFKC; a vectorised UDF, and only for texts that are not ASCII."""
-    normalize = F.arrow_udf(_nfkc, "string")
-    return F.when(c.rlike(r"^\p{ASCII}*$"), c).otherwise(normalize(c))
+def is_ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.length(c)
+
+
+def guarded(f: Callable[[Column], Column], c: Column, plain: Column, else_: Column | None = None) -> Column:
+    """``f``, a UDF, of ``c`` for rows that are not ``plain``; those have ``else_``, or ``c`` as it is.
+
+    A UDF runs for every row whatever stands around it; plain rows give it null, which it returns at once.
+    """
+    return F.when(plain, c if else_ is None else else_).otherwise(f(F.when(~plain, c)))
+
+
+def nfkc(c: Column, plain: Column | None = None) -> Column:
+    """NFKC; a vectorised UDF, and only for texts that are not ASCII (or not ``plain``, where that is cheaper to know)."""
+    return guarded(F.arrow_udf(_nfkc, "string"), c, is_ascii(c) if plain is None else plain)
 
 
 def comparable_text(c: Column, *, normalize: bool = True) -> Column:
@@ -67,7 +78,8 @@ def comparable_text(c: Column, *, normalize: bool = True) -> Column:
         (r"(?s)<!--.*?-->", " "), (r"!\[([^\]]*)\]\([^)]*\)", " $1 "), (r"\[([^\]]+)\]\([^)]*\)", " $1 "), (r"(?i)</(?:td|th)>", " "), (r"(?i)</tr>", "\n"),
         (r"<[^>]+>", " "), (LINE_START + r"[\t ]{0,3}(?:#{1,6}|[-*+]|\d+\.)[\t ]+", ""), (r"[*_`~>|]", " "),
     ])
-    return F.regexp_replace(nfkc(text) if normalize else text, f"{S}+", "")
+    # what replaces anything is ASCII, so an ASCII text stays one
+    return F.regexp_replace(nfkc(text, is_ascii(c)) if normalize else text, f"{S}+", "")
 
 
 def cell_text(c: Column) -> Column:
@@ -201,7 +213,7 @@ def _encode_uri(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 def encode_uri(c: Column) -> Column:
     """Percent escapes for all but URI characters; a vectorised UDF only where there is something to escape."""
-    return F.when(c.rlike(r"^[A-Za-z0-9;,/?:@&=+$\-_.!~*'()#]*$"), c).otherwise(F.arrow_udf(_encode_uri, "string")(c))
+    return guarded(F.arrow_udf(_encode_uri, "string"), c, c.rlike(r"^[A-Za-z0-9;,/?:@&=+$\-_.!~*'()#]*$"))
 
 
 def image_references(c: Column) -> Column:

@@ -90,26 +90,30 @@ def q05_link_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 LATIN = "regexp_replace(lower({0}), '[^0-9a-z]', '', 'g')"
 
 
-def first_alike(spark: SparkSession, sf_dir: str, prefix: int, most: int) -> DataFrame:
-    """(doc_a, doc_b, t_a, t_b): each document of a page's length and the first one that begins alike; a row per document at most."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.lower("text"), "[^0-9a-z]", "").alias("t")).where(F.length("t").between(prefix, most)).withColumn("k", F.left("t", F.lit(prefix)))
-    first = rows.groupBy("k").agg(F.min_by(F.struct(F.col("doc_id").alias("doc_a"), F.col("t").alias("t_a")), "doc_id").alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1").select("k", "f.*")
-    return rows.join(first, "k").where("doc_a < doc_id").select("doc_a", F.col("doc_id").alias("doc_b"), "t_a", F.col("t").alias("t_b"))
+def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, turn, said, read, next): each turn's letters, what a poor reading makes of them, and the next turn's."""
+    w = Window.partitionBy("conv_id").orderBy("turn", "text")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.regexp_replace(F.lower("text"), "[^0-9a-z]", "").alias("said"))
+    return rows.select("conv_id", "turn", "said", F.replace(F.replace(F.replace("said", F.lit("rn"), F.lit("m")), F.lit("h"), F.lit("")), F.lit("e"), F.lit("c")).alias("read"), F.coalesce(F.lead("said").over(w), F.lit("")).alias("next"))
 
 
-FIRST_ALIKE = f"""(SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, a.t AS t_a, b.t AS t_b FROM (SELECT *, min(doc_id) OVER (PARTITION BY left(t, {{0}})) AS least FROM (SELECT doc_id, {LATIN.format('text')} AS t FROM documents) WHERE length(t) BETWEEN {{0}} AND {{1}}) b
-JOIN (SELECT doc_id, {LATIN.format('text')} AS t FROM documents) a ON a.doc_id = b.least AND b.doc_id > b.least)"""
+READINGS = f"""(SELECT conv_id, turn, said, replace(replace(replace(said, 'rn', 'm'), 'h', ''), 'e', 'c') AS read, coalesce(lead(said) OVER (PARTITION BY conv_id ORDER BY turn, text), '') AS next
+FROM (SELECT conv_id, turn, text, {LATIN.format('text')} AS said FROM conversations))"""
+RATE = "round(CASE WHEN length({0}) = 0 THEN (length({1}) > 0)::INT ELSE levenshtein({0}, {1}) / length({0}) END, 6)::DOUBLE"
+GATE = "greatest(length({0}), length({1})) > 0 AND levenshtein({0}, {1}) <= floor((1 - 0.65) * greatest(length({0}), length({1})) + 1e-9)"
 
 
-@query(f"SELECT doc_a, doc_b, round(levenshtein(t_a, t_b)::DOUBLE / length(t_a), 6) AS cer FROM {FIRST_ALIKE.format(24, 1000)}")
+@query(f"SELECT conv_id, turn, {RATE.format('said', 'read')} AS cer, {RATE.format('said', 'next')} AS cer_next FROM {READINGS}")
 def q06_character_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of up to 1000 letters (a page) as readings of the first one that begins alike."""
-    return first_alike(spark, sf_dir, 24, 1000).select("doc_a", "doc_b", F.round(T.character_error_rate(F.col("t_a"), F.col("t_b")), 6).alias("cer"))
+    """Every turn, whole, against a poor reading of it and against the next turn."""
+    rate = lambda a, b: F.round(T.character_error_rate(F.col(a), F.col(b)), 6)
+    return readings(spark, sf_dir).select("conv_id", "turn", rate("said", "read").alias("cer"), rate("said", "next").alias("cer_next"))
 
 
-@query(f"SELECT doc_a, doc_b FROM {FIRST_ALIKE.format(8, 500)} WHERE levenshtein(t_a, t_b) <= floor((1 - 0.65) * greatest(length(t_a), length(t_b)) + 1e-9)")
+@query(f"SELECT conv_id, turn, {GATE.format('said', 'read')} AS same, {GATE.format('said', 'next')} AS same_next FROM {READINGS}")
 def q07_similarity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return first_alike(spark, sf_dir, 8, 500).where(T.similar(F.col("t_a"), F.col("t_b"), 0.65)).select("doc_a", "doc_b")
+    gate = lambda a, b: T.similar(F.col(a), F.col(b), 0.65)
+    return readings(spark, sf_dir).select("conv_id", "turn", gate("said", "read").alias("same"), gate("said", "next").alias("same_next"))
 
 
 @query()
@@ -121,17 +125,6 @@ def q47_passage_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select("item_id", "doc_id", F.round(T.character_error_rate(F.col("p"), F.col("t")), 6).alias("cer"))
 
 
-@query()
-def q48_whole_similarity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of documents that begin alike (8 letters) and are similar, however long; the pairs grow with the square of a group."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.lower("text"), "[^0-9a-z]", "").alias("t")).where(F.length("t") >= 8)
-    rows = rows.select("doc_id", "t", F.length("t").alias("n"), F.left("t", F.lit(8)).alias("k"))
-    a, b = (rows.select("k", *(F.col(c).alias(f"{c}_{x}") for c in ("doc_id", "t", "n"))) for x in "ab")
-    most = F.floor((1 - 0.65) * F.greatest("n_a", "n_b") + 1e-9)
-    pairs = a.join(b, "k").where((F.col("doc_id_a") < F.col("doc_id_b")) & (F.abs(F.col("n_a") - F.col("n_b")) <= most))
-    return pairs.where(T.within(F.col("t_a"), F.col("t_b"), most)).select(F.col("doc_id_a").alias("doc_a"), F.col("doc_id_b").alias("doc_b"))
-
-
 @query(f"""SELECT b.item_id, d.doc_id, count(*)::BIGINT AS n_lines FROM (SELECT item_id, {NORM.format('text')} AS n FROM benchmark) b JOIN (SELECT doc_id, {NORM.format('line')} AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)) d
 ON left(b.n, 8) = left(d.n, 8) WHERE length(b.n) >= 8 AND length(d.n) >= 8 GROUP BY ALL""")
 def q08_prefix_match_join(spark: SparkSession, sf_dir: str) -> DataFrame:
