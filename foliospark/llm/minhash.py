@@ -2,7 +2,8 @@
 
 Every text gives a set of word shingles and ``coordinates`` MinHash values. A posting is a (coordinate, value)
 pair. Two sets of similarity s agree on a coordinate with probability s, so a pair is a match if it collides on at
-least ``matches`` of them (16 of 32 at the default: a pair of similarity 0.85 has fewer with probability 6e-7).
+least ``matches`` of them (27 of 48 at the default: a pair of similarity 0.85 has fewer with probability 4e-7, one of 0.5
+has as many with 0.24, one of 0.4 with 0.02).
 
 * Prefix: ranked from rare to frequent, two lists with ``matches`` common postings share one among the first
   ``coordinates - matches + 1`` of each. Only those are posted; postings that no other set has are never moved
@@ -403,7 +404,7 @@ def _blocks(df: DataFrame, size: str, block: int) -> DataFrame:
             .withColumn("bi", F.least("home", "other")).withColumn("bj", F.greatest("home", "other")).drop("blocks", "other"))
 
 
-def near_duplicate_classes(texts: DataFrame, *, width: int = 3, percent: int = 85, coordinates: int = 32, matches: int = 16, block: int = 2048, set_block: int = 256) -> DataFrame:
+def near_duplicate_classes(texts: DataFrame, *, width: int = 3, percent: int = 85, coordinates: int = 48, matches: int = 27, block: int = 1024, set_block: int = 256) -> DataFrame:
     """(digest, n_shingles, set_key, root): root is null for sets without links; texts is :func:`distinct_texts`."""
     prepare(texts.sparkSession)
     signed = materialize(texts.select("digest", "text").mapInArrow(released(_signer(width, coordinates)), "digest binary, n_shingles bigint, set_key binary, sig binary, postings array<bigint>"), "signed")

@@ -72,3 +72,38 @@ def test_each_stage_does_its_work_on_what_is_left(spark, tmp_path):
     pieces = kept["packing"].collect()
     assert sum(p.length for p in pieces) == total and {p.doc_id for p in pieces} == {r.doc_id for r in got}
     assert sum(r.length for r in C.run(spark, folder).collect()) == total
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    tables(spark, folder)
+    names = ["score", "predicted", "held_out", "_digest", "_id", "_text", "_spans", "digest", "uid", "row", "spans", "own", "id", "g"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("*", *(f"doc_id % 3 AS `{n}`" for n in names))
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns
+        out.write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+        assert docs.where(" or ".join(f"`{n}` <> doc_id % 3" for n in names)).count() == 0 < docs.count()
+    assert C.STAGES[-1][1](spark, docs, folder).count() > 0
+
+
+def test_results_outlive_others_and_nothing_else_is_left(spark, tmp_path):
+    import os
+
+    from foliospark.llm.minhash import near_duplicates
+    from foliospark.session import scope, shared_dir
+
+    folder = f"file://{tmp_path}"
+    tables(spark, folder)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    shared = shared_dir(spark).removeprefix("file://")
+    with scope(spark):
+        before = set(os.listdir(shared)) if os.path.isdir(shared) else set()
+        held = near_duplicates(docs)
+        assert len(set(os.listdir(shared)) - before) == 1
+        pieces = C.run(spark, folder)
+        assert len(set(os.listdir(shared)) - before) == 2
+        assert held.count() == docs.count() and pieces.count() > 0
+        assert spark.sql("SHOW TABLES IN foliospark_work").where("tableName like 'texts%'").count() == 0
+    assert set(os.listdir(shared)) == before

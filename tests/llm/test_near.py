@@ -203,3 +203,56 @@ def test_what_is_tested_is_reported(spark):
     assert unit.where("key is not null").count() == 400
     said = V.vector_links(unit.select("label", "dims", "key", "unit", V.F.lit(1).cast("bigint").alias("copies")), cosine=0.93, cell=50, sample=100).where("key is null").groupBy().sum("n", "centers", "pairs").first()
     assert 0 < said["sum(pairs)"] < 0.3 * 400 * 399 / 2 and said["sum(n)"] <= 400 * 399 / 2
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_long_words_that_sums_of_powers_confuse_differ(spark):
+    word = thue_morse(2048)
+    other = word.translate(str.maketrans("ab", "ba"))
+    raw = np.frombuffer((word + other).encode(), np.uint8)
+    sets, at = M.shingle_sets(raw, np.array([0, 2048, 4096]), 3)
+    assert len(sets) == 2 and sets[0] != sets[1]
+    rows = [(0, word), (1, other), (2, word.upper() + " \n"), (3, f"{word} x y"), (4, f"{other} x y")]
+    got = M.near_duplicates(spark.createDataFrame([(*r, 1) for r in rows], "doc_id BIGINT, text STRING, g INT"))
+    assert {r.doc_id: r.component_id for r in got.collect()} == {0: 0, 1: 1, 2: 0, 3: 3, 4: 4}
+
+
+def test_exact_shingles_are_those_of_words():
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["a", "B", "b", "cé", "cÉ", "\tx"]) for _ in range(rng.randrange(0, 12))) for _ in range(200)] + ["", " \n", "one", "one two", "ONE  two "]
+    raw = [t.encode() for t in texts]
+    off = np.append(0, np.cumsum([len(r) for r in raw]))
+    for width in (1, 3, 5):
+        code, at = M.exact_shingles(np.frombuffer(b"".join(raw), np.uint8), off, width)
+        words = [[w for w in re.split(rb"[ \t-\r]+", r.lower()) if w] for r in raw]
+        sets = [{tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set() for w in words]
+        mine = [set(code[at[i] : at[i + 1]].tolist()) for i in range(len(raw))]
+        assert [len(s) for s in sets] == [len(s) for s in mine]
+        for i in range(0, len(raw), 7):
+            for j in range(len(raw)):
+                assert len(sets[i] & sets[j]) == len(mine[i] & mine[j])
+
+
+def test_counts_of_merged_lists_are_collisions():
+    rng = np.random.default_rng(1)
+    sig = rng.integers(0, 3, (60, 12)).astype(np.uint32)
+    group = np.repeat([0, 1, 2], 20)
+    place = np.full(sig.shape, 127, np.int8)
+    place[:, 0], here = 0, np.zeros(60, np.int8)
+    sig[:, 0] = 7  # the list's own posting
+    a, b, n = M.merged_counts(sig, place, here, group, 5)
+    want = {(i, j): int((sig[i] == sig[j]).sum()) for i in range(60) for j in range(i + 1, 60) if group[i] == group[j]}
+    assert {(i, j): c for i, j, c in zip(a.tolist(), b.tolist(), n.tolist())} == {k: c for k, c in want.items() if c >= 5}
+    edges = M.forest(sig[:20], place[:20], here[:20], None, 5)
+    label = list(range(20))
+    for i, j in edges:
+        assert want[min(i, j), max(i, j)] >= 5 and label[i] != label[j]
+        label = [label[i] if x == label[j] else x for x in label]
+    assert all(label[i] == label[j] for (i, j), c in want.items() if c >= 5 and j < 20)
+    place[:, 1] = 0  # an earlier posting in common: that one's list has the pair
+    here[:], place[:, 0] = 1, 1
+    a, b, _ = M.merged_counts(sig, place, here, group, 5)
+    assert all(sig[i, 1] != sig[j, 1] for i, j in zip(a.tolist(), b.tolist()))

@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -483,3 +484,68 @@ def test_segmentations_of_a_table(spark):
     assert all(r.decodes and r.log_inclusion <= 0 and zlib.crc32(r.ids) == r.ids_crc32 for r in got)
     assert sorted((r.doc_id or 0, r.sample) for r in got) == sorted([(1, k) for k in range(3)] * 2 + [(d, k) for d in (0, 4) for k in range(3)])
     assert len({bytes(r.ids) for r in got if r.doc_id == 1}) == 3
+
+
+# --- what hashes alone would not decide
+
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_only_the_interval_tree_marks_bytes(spark, monkeypatch):
+    texts = ["x" * 50 + "one passage that two documents share" * 3, "y" * 20 + "one passage that two documents share" * 3, "z" * 300, "twin " * 40, "twin " * 40]
+    df = docs(spark, list(enumerate(texts)))
+    assert SF.remove_repeats(df, min_len=60).groupBy().sum("n_removed").first()[0] > 500
+    raw = np.frombuffer(("".join(texts)).encode(), np.uint8)
+    off = np.append(0, np.cumsum([len(t) for t in texts]))
+    uid = np.arange(5, dtype=np.uint64).repeat(2).view(SF._KEY)
+
+    def spans():
+        batch = pa.record_batch({"uid": SF.binary_of(uid), "text": pa.array(texts), "copies": pa.array([1] * 5, pa.int64())})
+        runs = pa.Table.from_batches(list(SF._find_runs(60, 19, 4)(iter([batch])))).sort_by("bucket").to_batches()
+        found = [r for b in SF._classify(4)(iter(runs)) for r in b.to_pylist() if r["n"]]
+        asked = [[{k: r[k] for k in ("x", "m", "a", "h", "c", "n", "solid")} for r in found if r["uid"] == uid[i].tobytes()] for i in range(5)]
+        kind = pa.list_(pa.struct([("x", pa.int64()), ("m", pa.int32()), ("a", pa.int32()), ("h", pa.int64()), ("c", pa.binary()), ("n", pa.int64()), ("solid", pa.bool_())]))
+        fetched = SF._fetch(60, 4, 10)(iter([pa.record_batch({"uid": SF.binary_of(uid), "text": pa.array(texts), "asked": pa.array(asked, kind)})]))
+        held = pa.Table.from_batches(list(fetched)).sort_by("bucket").to_batches()
+        return sum(b.num_rows for b in SF._scan(60, 1000)(iter(held)))
+
+    assert len(raw) == off[-1] and spans() > 0
+    monkeypatch.setattr(SF, "maximal_repeats", lambda *a: iter(()))
+    assert spans() == 0
+
+
+@pytest.mark.parametrize("group", [1000, 3, 1])
+def test_grams_of_many_contexts_are_split(spark, group):
+    rng = random.Random(4)
+    word = lambda k: "".join(rng.choice("abcdefgh") for _ in range(k))
+    shared = [word(k) for k in (39, 40, 41, 90)]
+    texts = [word(rng.randrange(20)) + rng.choice(shared)[rng.randrange(3) :] + word(rng.randrange(20)) for _ in range(60)] + [thue_morse(2048), thue_morse(2048).translate(str.maketrans("ab", "ba"))]
+    base, held = SF._texts(docs(spark, list(enumerate(texts))), "doc_id", "text")
+    covered = {}
+    for r in SF.repeat_spans(held, min_len=40, group=group, suffixes=50).collect():
+        covered.setdefault(bytes(r.uid), set()).update(range(r.s, r.e))
+    uid = {r.doc_id: bytes(r.uid) for r in base.collect()}
+    assert [len(covered.get(uid[i], ())) for i in range(len(texts))] == [w[1] for w in brute_repeats(texts, 40)]
+
+
+def test_confused_words_have_lattices_of_their_own(vocabulary):
+    word = thue_morse(1024)
+    texts = [word, word.translate(str.maketrans("ab", "ba"))]
+    for d, _, ids, *_ in samples(vocabulary, texts, [0, 1], 2):
+        assert vocabulary.decode(ids) == texts[d].encode()
+
+
+def test_deep_siblings_are_drawn_when_near_ones_do_not_suffice(vocabulary, monkeypatch):
+    texts, keys = ["some longer text with words in it, and more of them", "ab", "x"], list(range(3))
+    want = [(d, n, ids.tolist(), lp, key) for d, n, ids, lp, key, _ in samples(vocabulary, texts, keys, 40)]
+    assert sum(d == 0 for d, *_ in want) == 40
+    monkeypatch.setattr(SP, "_NEAR", 0.5)
+    assert [(d, n, ids.tolist(), lp, key) for d, n, ids, lp, key, _ in samples(vocabulary, texts, keys, 40)] == want
+
+
+def test_sampling_finds_every_segmentation(vocabulary):
+    for text in ("the", "ab c", "x\ny"):
+        law = segmentations(vocabulary, text)
+        got = samples(vocabulary, [text], [1], len(law) + 5)
+        assert {tuple(ids.tolist()) for _, _, ids, *_ in got} == set(law) and len(got) == len(law) and all(inc == 0 for *_, inc in got)
