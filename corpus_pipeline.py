@@ -38,7 +38,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8 or more) the smallest doc_id stays."""
     with _stage(spark, sf_dir):
-        return drop_near_duplicates(docs, width=5, percent=80, coordinates=32, matches=14)
+        return drop_near_duplicates(docs, width=5, percent=80, coordinates=48, matches=24)
 
 
 def repeat_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
