@@ -21,11 +21,16 @@ def merged_cell_has(markdown: Column, attribute: str, phrase: str) -> Column:
     return F.exists(inner, lambda t: t.contains(pure.comparable(phrase)))
 
 
+def _once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed once, however often they are used; a plain projection would be written into each use."""
+    return rows.select("*", F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))))
+
+
 def evaluated(pairs: DataFrame, *, actual: str = "actual", expected: str = "expected", stamp: str | None = None, markers: tuple[str, ...] = MARKERS) -> DataFrame:
     """Adds criteria, metrics and passed to rows of actual and expected Markdown. ``stamp``: a column with the watermark's text."""
     md = F.col(actual)
-    rows = pairs.withColumn("_a", T.comparable_text(md)).withColumn("_e", T.comparable_text(F.col(expected)))
-    rows = rows.withColumn("_cer", T.character_error_rate(F.col("_e"), F.col("_a")))
+    rows = _once(pairs, _a=T.comparable_text(md), _e=T.comparable_text(F.col(expected)))
+    rows = _once(rows, _cer=T.character_error_rate(F.col("_e"), F.col("_a")))
     wanted = F.array(*(F.struct(F.lit(m).alias("m"), F.lit(pure.comparable(m)).alias("c")) for m in markers))
     stamps = F.filter(F.array(F.lit(STAMP), F.coalesce(F.col(stamp), F.lit("")) if stamp else F.lit("")), lambda s: s != "")
     rows = rows.withColumn("_hit", F.transform(F.filter(wanted, lambda x: F.col("_a").contains(x["c"])), lambda x: x["m"]))

@@ -9,8 +9,13 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_left
+from collections.abc import Iterator
 from typing import Any
 
+import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from foliospark.functions import pure
 from foliospark.operators.layout import valid
 
@@ -138,3 +143,25 @@ def aligned(lines: list[Line], blocks: list[dict]) -> list[Line]:
         shift = mapped(middle(x), points) - middle(x)
         out.append({**x, "box": [x0, y0 + shift, x1, y1 + shift]})
     return out
+
+
+def _rows_of(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for column in columns:
+        kept = ([x for x in page or [] if text_of(x) and valid(x.get("box"))] for page in column.to_pylist())
+        yield pa.array([visual_rows(sorted(page, key=lambda x: (middle(x), x["box"][0]))) for page in kept], pa.list_(pa.string()))
+
+
+def rows_of(lines: Column) -> Column:
+    """The visual rows of a page's lines, from top to bottom; lines without text or a box are left out."""
+    return F.arrow_udf(_rows_of, "array<string>")(lines)
+
+
+def _numbered_of(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    kind = pa.list_(pa.struct([("number", pa.int32()), ("text", pa.string())]))
+    for column in columns:
+        yield pa.array([[{"number": n, "text": t} for n, t in numbered_paragraphs(page)] for page in column.to_pylist()], kind)
+
+
+def numbered_of(lines: Column) -> Column:
+    """:func:`numbered_paragraphs` of a page's lines."""
+    return F.arrow_udf(_numbered_of, "array<struct<number: int, text: string>>")(lines)

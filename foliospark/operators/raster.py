@@ -228,6 +228,22 @@ def suppressed(image: Column, mode: str, **overrides: float) -> Column:
     return _each(lambda a: suppress(a, mode, **overrides))(image)
 
 
+def split_columns(image: Column, ratio: float | None = None) -> Column:
+    """Where :func:`split_column` cuts a raster column; null where it cannot be cut."""
+
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            out = []
+            for v in column.to_pylist():
+                try:
+                    out.append(None if v is None else split_column(checked(v["width"], v["height"], v["data"]), ratio))
+                except FolioError:
+                    out.append(None)
+            yield pa.array(out, pa.int32())
+
+    return F.arrow_udf(run, "int")(image)
+
+
 def cropped(image: Column, left: int, top: int, width: int, height: int) -> Column:
     return _each(lambda a: crop(a, left, top, width, height))(image)
 

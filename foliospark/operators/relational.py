@@ -86,3 +86,26 @@ def folder_names(files: DataFrame, name: str, index: str) -> DataFrame:
     base = files.withColumn("_base", F.when(again, F.concat(s, F.lit("-"), e)).otherwise(s))
     k = F.row_number().over(Window.partitionBy(F.lower("_base")).orderBy(index))
     return base.withColumn("folder", F.when(k == 1, F.col("_base")).otherwise(F.concat("_base", F.lit("-"), k.cast("string")))).drop("_base")
+
+
+def from_top(boxes: DataFrame, page: list[str], box: str, *ties: str) -> DataFrame:
+    """Adds position: boxes of a page from top to bottom, those of equal tops from left to right."""
+    b = F.col(box)
+    return boxes.withColumn("position", F.row_number().over(Window.partitionBy(*page).orderBy(b[1], b[0], *ties)))
+
+
+def words(c: Column) -> Column:
+    """Distinct Latin words of two letters or more, in lower case."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{2,}"), F.lit(0)))
+
+
+def shared_words(left: DataFrame, key: str, text: str, right: DataFrame, other: str) -> DataFrame:
+    """(key, word): the words of each left text that any right text has too."""
+    theirs = right.select(F.explode(words(F.col(other))).alias("word")).distinct()
+    return left.select(key, F.explode(words(F.col(text))).alias("word")).join(theirs, "word", "left_semi")
+
+
+def with_presence(references: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds present: whether a reference's file is there."""
+    there = files.select(*keys).distinct().withColumn("present", F.lit(True))
+    return references.join(there, keys, "left").withColumn("present", F.col("present").isNotNull())
