@@ -159,11 +159,28 @@ def _unfiltered(raw: bytes, height: int, stride: int, step: int) -> np.ndarray:
     return out[1:]
 
 
+#: First column, first row and steps of the seven passes of an interlaced PNG.
+PASSES = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
+
+
+def _samples(raw: bytes, at: int, width: int, height: int, channels: int, depth: int, color: int) -> tuple[np.ndarray, int]:
+    """height x width x channels of 8 bits from filtered rows that begin at ``at``, and where they end."""
+    stride = (width * channels * depth + 7) // 8
+    rows = _unfiltered(raw[at : at + height * (stride + 1)], height, stride, max(1, channels * depth // 8))
+    if depth == 16:
+        rows = rows.reshape(height, -1, 2)[:, :, 0]
+    elif depth < 8:
+        rows = np.unpackbits(rows, axis=1).reshape(height, -1, depth) @ (1 << np.arange(depth - 1, -1, -1))
+        rows = rows[:, : width * channels]
+        rows = rows if color == 3 else rows * (255 // ((1 << depth) - 1))
+    return rows.reshape(height, -1, channels)[:, :width].astype(np.uint8), at + height * (stride + 1)
+
+
 def decode_png(data: bytes) -> np.ndarray:
-    """PNG of any bit depth, without interlace, to RGB; transparency is dropped."""
+    """PNG of any bit depth, interlaced or not, to RGB; transparency is dropped."""
     if data[:8] != b"\x89PNG\r\n\x1a\n":
         raise FolioError("IMAGE_DECODE_FAILED", "not a PNG")
-    at, packed, palette, head = 8, b"", None, None
+    at, packed, palette, head = 8, [], None, None
     try:
         while at + 8 <= len(data):
             size, kind = struct.unpack_from(">I4s", data, at)
@@ -173,30 +190,29 @@ def decode_png(data: bytes) -> np.ndarray:
             elif kind == b"PLTE":
                 palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
             elif kind == b"IDAT":
-                packed += body
+                packed.append(body)
             elif kind == b"IEND":
                 break
             at += size + 12
         width, height, depth, color, _, _, interlace = head
         channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[color]
-        if interlace or not width or not height:
-            raise FolioError("IMAGE_DECODE_FAILED", "interlaced or empty PNG")
-        stride = (width * channels * depth + 7) // 8
-        rows = _unfiltered(zlib.decompress(packed), height, stride, max(1, channels * depth // 8))
+        if interlace > 1 or not width or not height:
+            raise FolioError("IMAGE_DECODE_FAILED", "empty PNG, or interlaced in an unknown way")
+        raw, end = zlib.decompress(b"".join(packed)), 0
+        if interlace:
+            pixels = np.zeros((height, width, channels), np.uint8)
+            for x, y, across, down in PASSES:
+                w, h = -(-(width - x) // across), -(-(height - y) // down)
+                if w > 0 and h > 0:
+                    pixels[y::down, x::across], end = _samples(raw, end, w, h, channels, depth, color)
+        else:
+            pixels, _ = _samples(raw, 0, width, height, channels, depth, color)
     except (struct.error, zlib.error, KeyError, TypeError, ValueError) as error:
         raise FolioError("IMAGE_DECODE_FAILED", "broken PNG") from error
-    if depth == 16:
-        rows = rows.reshape(height, -1, 2)[:, :, 0]
-    elif depth < 8:
-        rows = np.unpackbits(rows, axis=1).reshape(height, -1, depth) @ (1 << np.arange(depth - 1, -1, -1))
-        rows = rows[:, : width * channels]
-        rows = rows if color == 3 else rows * (255 // ((1 << depth) - 1))
-    pixels = rows.reshape(height, -1, channels)[:, :width]
     if color == 3:
         if palette is None or pixels.max() >= len(palette):
             raise FolioError("IMAGE_DECODE_FAILED", "no palette")
         return palette[pixels[..., 0]]
-    pixels = pixels.astype(np.uint8)
     return np.repeat(pixels[..., :1], 3, -1) if channels < 3 else pixels[..., :3].copy()
 
 
@@ -253,14 +269,15 @@ def upscaled(image: Column, factor: int) -> Column:
 
 
 def decoded(content: Column) -> Column:
-    """PNG bytes to a raster column."""
+    """Bytes of images of any supported kind to a raster column."""
+    from foliospark.operators.codecs import decode_image
 
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
             out = []
             for value in column:
                 try:
-                    out.append(decode_png(value.as_py() or b""))
+                    out.append(decode_image(value.as_py() or b""))
                 except FolioError as error:
                     out.append(summary(error))
             yield _raster_struct(out)

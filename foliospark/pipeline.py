@@ -11,13 +11,15 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliospark.errors import FolioError, summary
 from foliospark.operators import batch as B
 from foliospark.operators.assemble import documents, folder_names, manifests, materialized
-from foliospark.operators.raster import decode_png, encode_png, split_pages, suppress
+from foliospark.operators.codecs import decode_image
+from foliospark.operators.raster import encode_png, split_pages, suppress
 from foliospark.recognize import ProcessRecognizer, Recognizer, recognized
 from foliospark.schemas import ERROR
 from foliospark.session import materialize, prepare
@@ -71,7 +73,7 @@ def sheet_pages(sheet: dict[str, Any], settings: Settings, codec: Codec) -> Iter
         }
 
 
-def prepared(sheets: DataFrame, settings: Settings = Settings(), codec: Codec = decode_png) -> DataFrame:
+def prepared(sheets: DataFrame, settings: Settings = Settings(), codec: Codec = decode_image) -> DataFrame:
     """Sheets to numbered, preprocessed pages; a sheet that fails is one page with its error. One image is in memory at a time."""
     prepare(sheets.sparkSession)
 
@@ -90,25 +92,28 @@ def prepared(sheets: DataFrame, settings: Settings = Settings(), codec: Codec =
                 for row in rows:
                     yield pa.RecordBatch.from_arrays([pa.array([row.get(k)], t) for k, t in _PAGE.items()], list(_PAGE))
 
-    found = sheets.mapInArrow(run, PAGES)
-    return found.withColumn("page_number", F.row_number().over(Window.partitionBy("doc_id").orderBy("sheet_number", "side_index")))
+    # written once, so that numbering looks at keys alone and no picture goes through the window
+    found = materialize(sheets.mapInArrow(run, PAGES), "prepared")
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("sheet_number", "side_index"))
+    keys = found.select("doc_id", "sheet_number", "side_index", number.alias("page_number"))
+    return found.join(keys, ["doc_id", "sheet_number", "side_index"], "left")
 
 
-def final_pages(sheets: DataFrame, recognizer: Recognizer, settings: Settings = Settings(), codec: Codec = decode_png) -> DataFrame:
+def final_pages(sheets: DataFrame, recognizer: Recognizer, settings: Settings = Settings(), codec: Codec = decode_image) -> DataFrame:
     """All stages up to final pages. Preprocessed pages are written first: recognition is dear, and a lost task repeats only its own pages."""
-    pages = materialize(prepared(sheets, settings, codec), "pages")
+    pages = prepared(sheets, settings, codec)
     spread = pages.repartition("doc_id", "page_number")  # a page is a task's unit of work, whatever file it came from
     return materialized(materialize(recognized(spread, recognizer), "recognized"))
 
 
-def convert(spark: SparkSession, path: str, recognizer: Recognizer, settings: Settings = Settings(), *, pdf: PdfRenderer | None = None, codec: Codec = decode_png) -> dict[str, DataFrame]:
-    """Every file at a path (a file, a folder, a pattern; any store): tables pages, documents and manifests."""
+def convert(spark: SparkSession, path: str | list[str], recognizer: Recognizer, settings: Settings = Settings(), *, pdf: PdfRenderer | None = None, codec: Codec = decode_image) -> dict[str, DataFrame]:
+    """Every file at a path or paths (a file, a folder, a pattern; any store): tables pages, documents and manifests."""
     prepare(spark)
     started = datetime.now(timezone.utc)
     found = files(spark, path)
     pages = materialize(final_pages(sheets(found, pdf), recognizer, settings, codec), "final")
     stamp = lambda t: F.lit(t.isoformat(timespec="milliseconds").replace("+00:00", "Z"))
-    inputs = found.select(F.col("path").alias("doc_id"), "path", F.sha2("content", 256).alias("sha256"), stamp(started).alias("started_at"), stamp(datetime.now(timezone.utc)).alias("completed_at"))
+    inputs = found.select(F.col("path").alias("doc_id"), F.regexp_replace("path", "^file:/+", "/").alias("path"), F.sha2("content", 256).alias("sha256"), stamp(started).alias("started_at"), stamp(datetime.now(timezone.utc)).alias("completed_at"))
     return {"pages": pages, "documents": documents(pages), "manifests": manifests(pages, inputs, settings.recorded())}
 
 
@@ -119,80 +124,161 @@ def default_recognizer(settings: Settings) -> Recognizer:
     return ProcessRecognizer(settings.paddle_python or settings.paddle_command, script, device=settings.device, recovery=settings.watermark_mode == "text-safe", bridge=bridge)
 
 
-def run(spark: SparkSession, input_path: str, output: str, settings: Settings = Settings(), *, recognizer: Recognizer | None = None, pdf: PdfRenderer | None = None, codec: Codec = decode_png, progress: Progress | None = None) -> dict[str, Any]:
-    """One input to its Markdown, manifest and assets in a local folder. A failed page fails the input."""
+def local_path(path: str) -> str:
+    """A path as the driver knows it: without the scheme of local files."""
+    return "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
+
+
+def _store(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    return pyarrow.fs.FileSystem.from_uri(folder) if "://" in folder else (pyarrow.fs.LocalFileSystem(), os.path.abspath(folder))
+
+
+def _written(store: pyarrow.fs.FileSystem, path: str, data: bytes) -> None:
+    store.create_dir(os.path.dirname(path), recursive=True)
+    with store.open_output_stream(path) as out:
+        out.write(data)
+
+
+def write_assets(pages: DataFrame, output: str) -> DataFrame:
+    """Writes the assets of (doc_id, folder, asset_paths, assets) under ``output``/folder; (doc_id, written) per page. An asset is in memory at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = _store(output)
+        for batch in batches:
+            written = []
+            for k in range(batch.num_rows):
+                targets, assets = (batch.column(c)[k] for c in ("asset_paths", "assets"))
+                n = len(targets) if targets.is_valid else 0
+                for i in range(n):
+                    asset = assets[i].as_py()
+                    content = asset["content"]
+                    if content is None:
+                        with open(asset["source_path"], "rb") as file:
+                            content = file.read()
+                    _written(store, os.path.join(base, batch.column("folder")[k].as_py(), targets[i].as_py()), content)
+                written.append(n)
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "written": pa.array(written, pa.int64())})
+
+    return pages.select("doc_id", "folder", "asset_paths", "assets").mapInArrow(run, "doc_id string, written bigint")
+
+
+def write_texts(documents: DataFrame, output: str) -> DataFrame:
+    """Writes the Markdown and the manifest of (doc_id, folder, markdown, manifest); (doc_id, markdown, manifest): where they are under ``output``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = _store(output)
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                stem = os.path.splitext(os.path.basename(row["doc_id"]))[0]
+                names = [os.path.join(row["folder"], stem + e) for e in (".md", ".manifest.json")]
+                for name, text in zip(names, (row["markdown"], json_text(row["manifest"])), strict=True):
+                    _written(store, os.path.join(base, name), text.encode())
+                rows.append((row["doc_id"], *(n.replace(os.sep, "/") for n in names)))
+            yield pa.record_batch({n: pa.array([r[k] for r in rows], pa.string()) for k, n in enumerate(("doc_id", "markdown", "manifest"))})
+
+    return documents.select("doc_id", "folder", "markdown", "manifest").mapInArrow(run, "doc_id string, markdown string, manifest string")
+
+
+def write_outputs(tables: dict[str, DataFrame], folders: DataFrame, output: str) -> DataFrame:
+    """(doc_id, folder, markdown, manifest, error): every document that did not fail, written by the executors to its folder in any store.
+
+    ``folders``: (doc_id, folder). Files are written once more, with the same content, where a task runs again.
+    """
+    prepare(folders.sparkSession)
+    good = tables["documents"].where("error is null").select("doc_id", "markdown").join(folders, "doc_id").join(tables["manifests"], "doc_id")
+    pages = tables["pages"].select("doc_id", "asset_paths", "assets").where(F.size("asset_paths") > 0).join(good.select("doc_id", "folder"), "doc_id")
+    materialize(write_assets(pages, output), "assets")
+    texts = materialize(write_texts(good, output), "texts")
+    return tables["documents"].select("doc_id", "error").join(folders, "doc_id").join(texts, "doc_id", "left")
+
+
+def json_text(value: Any) -> str:
+    return json.dumps(value, indent=2, ensure_ascii=False) + "\n"
+
+
+def now() -> str:
+    return datetime.now(timezone.utc).isoformat(timespec="milliseconds").replace("+00:00", "Z")
+
+
+def run(spark: SparkSession, input_path: str, output: str, settings: Settings = Settings(), *, recognizer: Recognizer | None = None, pdf: PdfRenderer | None = None, codec: Codec = decode_image, progress: Progress | None = None) -> dict[str, Any]:
+    """One input to its Markdown, manifest and assets in a folder. A failed page fails the input."""
     say = progress or (lambda event: None)
     input_path, output = os.path.abspath(input_path), os.path.abspath(output)
     say({"type": "input:start", "input_path": input_path})
     if not os.path.isfile(input_path):
         raise FolioError("INPUT_READ_FAILED", f"cannot read {input_path}")
     tables = convert(spark, input_path, recognizer or default_recognizer(settings), settings, pdf=pdf or PdfRenderer(settings.paddle_python or "python"), codec=codec)
-    document = tables["documents"].first()
+    document = tables["documents"].select("doc_id", "error").first()
     if document["error"]:
         raise FolioError(document["error"]["code"], document["error"]["message"])
-    rows = tables["pages"].select("page_number", "sheet_number", "side", "asset_paths", "assets").orderBy("page_number")
-    say({"type": "input:complete", "sheet_count": rows.select("sheet_number").distinct().count()})
-    os.makedirs(output, exist_ok=True)
-    for row in rows.toLocalIterator():
-        say({"type": "page:start", "page_number": row["page_number"], "side": row["side"]})
-        for target, asset in zip(row["asset_paths"] or [], row["assets"] or [], strict=True):
-            write_asset(os.path.join(output, target), asset)
-        say({"type": "page:complete", "page_number": row["page_number"], "asset_count": len(row["asset_paths"] or [])})
-    stem = os.path.splitext(os.path.basename(input_path))[0]
-    markdown, manifest = (os.path.join(output, stem + e) for e in (".md", ".manifest.json"))
-    with open(markdown, "w", encoding="utf-8", newline="") as file:
-        file.write(document["markdown"])
-    found = tables["manifests"].first()["manifest"].asDict(recursive=True)
-    found["input"]["path"] = input_path
-    write_json(manifest, found)
+    pages = tables["pages"].select("page_number", "sheet_number", "side", F.coalesce(F.size("asset_paths"), F.lit(0)).alias("n")).orderBy("page_number").collect()
+    say({"type": "input:complete", "sheet_count": len({p["sheet_number"] for p in pages})})
+    done = write_outputs(tables, tables["documents"].select("doc_id", F.lit("").alias("folder")), output).first()
+    for page in pages:
+        say({"type": "page:start", "page_number": page["page_number"], "side": page["side"]})
+        say({"type": "page:complete", "page_number": page["page_number"], "asset_count": max(0, page["n"])})
+    markdown, manifest = (os.path.join(output, done[c]) for c in ("markdown", "manifest"))
+    with open(manifest, encoding="utf-8") as file:
+        found = json.load(file)
     say({"type": "complete", "markdown_path": markdown, "manifest_path": manifest})
     return {"markdown_path": markdown, "manifest_path": manifest, "manifest": found}
 
 
-def write_asset(path: str, asset: Any) -> None:
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    content = asset["content"]
-    if content is None:
-        with open(asset["source_path"], "rb") as file:
-            content = file.read()
-    with open(path, "wb") as file:
-        file.write(content)
-
-
-def write_json(path: str, value: Any) -> None:
-    with open(path, "w", encoding="utf-8") as file:
-        file.write(json.dumps(value, indent=2, ensure_ascii=False) + "\n")
-
+def run_folder(spark: SparkSession, folder: str, output: str, settings: Settings = Settings(), *, one: Callable[..., dict[str, Any]] | None = None, recognizer: Recognizer | None = None, pdf: PdfRenderer | None = None, codec: Codec = decode_image, progress: Progress | None = None) -> dict[str, Any]:
+    """The images of a folder, all in one job, each to a folder of its own; a failed file is a result, and the others go on.
 
-def run_folder(spark: SparkSession, folder: str, output: str, settings: Settings = Settings(), *, one: Callable[..., dict[str, Any]] = run, progress: Progress | None = None, **options: Any) -> dict[str, Any]:
-    """Each image of a folder to a folder of its own; a failed file is a result, and the others go on."""
+    With ``one``, a function like :func:`run`, files are done one after the other by it.
+    """
     say = progress or (lambda event: None)
     folder, output = os.path.abspath(folder), os.path.abspath(output)
-    started = datetime.now(timezone.utc).isoformat(timespec="milliseconds").replace("+00:00", "Z")
+    started = now()
     found = image_files(folder)
+    names = folder_names(found)
     os.makedirs(output, exist_ok=True)
     say({"type": "batch:start", "file_count": len(found)})
+    if one:
+        results = _one_by_one(spark, found, names, output, settings, one, say)
+    else:
+        tables = convert(spark, found, recognizer or default_recognizer(settings), settings, pdf=pdf, codec=codec)
+        own = spark.createDataFrame(list(zip(found, names, strict=True)), "path string, folder string")
+        ids = tables["documents"].select("doc_id", F.regexp_replace("doc_id", "^file:/+", "/").alias("path"))
+        done = {local_path(r["doc_id"]): r for r in write_outputs(tables, ids.join(own, "path").select("doc_id", "folder"), output).collect()}
+        results = []
+        for k, (path, name) in enumerate(zip(found, names, strict=True), 1):
+            here, row = {"file_number": k, "file_count": len(found), "input_path": path}, done.get(path)
+            result = {"input": os.path.basename(path), "status": "succeeded", "outputDirectory": name, "markdown": row and row["markdown"], "manifest": row and row["manifest"]}
+            error = summary(FolioError("INPUT_READ_FAILED", f"cannot read {path}")) if row is None else row["error"] and row["error"].asDict()
+            if error:
+                result |= {"status": "failed", "error": error}
+            say({"type": "batch:file:start", **here})
+            say({"type": "batch:file:error", **here, "error": error} if error else {"type": "batch:file:complete", **here})
+            results.append(result)
+    schema = f"file_number INT, input_directory STRING, input STRING, status STRING, markdown STRING, manifest STRING, error {ERROR}"
+    table = spark.createDataFrame([(k, folder, r["input"], r["status"], r["markdown"], r["manifest"], (r["error"]["code"], r["error"]["message"]) if "error" in r else None) for k, r in enumerate(results, 1)], schema)
+    row = B.summaries(table, ["input_directory"]).first()
+    totals = {k: row[k] for k in ("discovered", "succeeded", "failed")}
+    whole = {"schemaVersion": 1, "inputDirectory": folder, "outputDirectory": output, "startedAt": started, "completedAt": now(), "totals": totals, "results": results}
+    paths = [os.path.join(output, n) for n in ("batch-summary.md", "batch-summary.json")]
+    for path, text in zip(paths, (row["summary"], json_text(whole)), strict=True):
+        with open(path, "w", encoding="utf-8", newline="") as file:
+            file.write(text)
+    say({"type": "batch:complete", "summary": whole})
+    return {"summary_markdown_path": paths[0], "summary_json_path": paths[1], "summary": whole, "has_failures": totals["failed"] > 0}
+
+
+def _one_by_one(spark: SparkSession, found: list[str], names: list[str], output: str, settings: Settings, one: Callable[..., dict[str, Any]], say: Progress) -> list[dict[str, Any]]:
     results: list[dict[str, Any]] = []
-    for k, (path, name) in enumerate(zip(found, folder_names(found), strict=True), 1):
+    for k, (path, name) in enumerate(zip(found, names, strict=True), 1):
         here = {"file_number": k, "file_count": len(found), "input_path": path}
         say({"type": "batch:file:start", **here})
         result: dict[str, Any] = {"input": os.path.basename(path), "status": "succeeded", "outputDirectory": name, "markdown": None, "manifest": None}
         try:
-            done = one(spark, path, os.path.join(output, name), settings, progress=lambda e, here=here: say({**e, "batch": here}), **options)
+            done = one(spark, path, os.path.join(output, name), settings, progress=lambda e, here=here: say({**e, "batch": here}))
             result |= {k: os.path.relpath(done[p], output).replace(os.sep, "/") for k, p in (("markdown", "markdown_path"), ("manifest", "manifest_path"))}
             say({"type": "batch:file:complete", **here})
         except Exception as error:  # one file's failure is its result
             result |= {"status": "failed", "error": summary(error)}
             say({"type": "batch:file:error", **here, "error": result["error"]})
         results.append(result)
-    schema = f"file_number INT, input_directory STRING, input STRING, status STRING, markdown STRING, manifest STRING, error {ERROR}"
-    table = spark.createDataFrame([(k, folder, r["input"], r["status"], r["markdown"], r["manifest"], (r["error"]["code"], r["error"]["message"]) if "error" in r else None) for k, r in enumerate(results, 1)], schema)
-    row = B.summaries(table, ["input_directory"]).first()
-    totals = {k: row[k] for k in ("discovered", "succeeded", "failed")}
-    whole = {"schemaVersion": 1, "inputDirectory": folder, "outputDirectory": output, "startedAt": started, "completedAt": datetime.now(timezone.utc).isoformat(timespec="milliseconds").replace("+00:00", "Z"), "totals": totals, "results": results}
-    paths = [os.path.join(output, n) for n in ("batch-summary.md", "batch-summary.json")]
-    with open(paths[0], "w", encoding="utf-8", newline="") as file:
-        file.write(row["summary"])
-    write_json(paths[1], whole)
-    say({"type": "batch:complete", "summary": whole})
-    return {"summary_markdown_path": paths[0], "summary_json_path": paths[1], "summary": whole, "has_failures": totals["failed"] > 0}
+    return results

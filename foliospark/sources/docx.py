@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import posixpath
-import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
+from xml.parsers import expat
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -16,9 +16,7 @@ from foliospark.functions.pure import natural_key
 
 BODY, LINKS, MEDIA = "word/document.xml", "word/_rels/document.xml.rels", "word/media/"
 IMAGES = frozenset((".png", ".jpg", ".jpeg", ".webp", ".tif", ".tiff", ".bmp"))
-_ATTRIBUTE = re.compile(r"([:\w.-]+)\s*=\s*(?:\"(.*?)\"|'(.*?)')", re.S | re.A)
-_LINK = re.compile(r"<Relationship\b[^>]*>", re.I | re.A)
-_REFERENCE = re.compile(r"\b(?:r:embed|r:id)\s*=\s*(?:\"(.*?)\"|'(.*?)')", re.I | re.A)
+RELATIONS = "/relationships"  # how the namespace of relationship ids ends, in either edition of the format
 
 
 class Entry(NamedTuple):
@@ -82,32 +80,58 @@ class Archive:
         return out
 
 
-def xml_text(value: str) -> str:
-    for name, by in (("&quot;", '"'), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
-        value = value.replace(name, by)
-    return value
+def elements(xml: bytes, found: Callable[[str, list[tuple[str, str, str]]], None]) -> None:
+    """Calls ``found`` with the local name of each element and its attributes (namespace, local name, value), in order."""
 
+    def split(name: str) -> tuple[str, str]:
+        space, _, local = name.rpartition(" ")
+        return space, local
 
-def attributes(tag: str) -> dict[str, str]:
-    return {m[1]: xml_text(m[2] if m[2] is not None else m[3]) for m in _ATTRIBUTE.finditer(tag)}
+    def start(name: str, pairs: list[str]) -> None:
+        found(split(name)[1], [(*split(k), v) for k, v in zip(pairs[::2], pairs[1::2], strict=True)])
 
+    parser = expat.ParserCreate(namespace_separator=" ")
+    parser.ordered_attributes = True
+    parser.StartElementHandler = start
+    try:
+        parser.Parse(xml, True)
+    except expat.ExpatError as error:
+        raise FolioError("INPUT_INVALID_DOCX", f"broken XML: {error}") from error
 
-def image_links(xml: str) -> dict[str, str]:
-    """Targets of internal image relationships by id."""
-    found = (attributes(m[0]) for m in _LINK.finditer(xml))
-    return {a["Id"]: a["Target"] for a in found if a.get("Id") and a.get("Target") and a.get("Type", "").lower().endswith("/image") and a.get("TargetMode", "").lower() != "external"}
 
+class Links:
+    """The image relationships of a document's body that stay inside the document: id to member of the archive."""
 
-def references(xml: str) -> list[str]:
-    """Relationship ids in the order of the body, repeats kept; links to other things are among them."""
-    return [xml_text(m[1] if m[1] is not None else m[2]) for m in _REFERENCE.finditer(xml)]
+    def __init__(self, xml: bytes) -> None:
+        self.member: dict[str, str] = {}
+        elements(xml, self._add)
 
+    def _add(self, name: str, attributes: list[tuple[str, str, str]]) -> None:
+        at = {local: value for space, local, value in attributes if not space}
+        inside = at.get("TargetMode", "").lower() != "external"
+        if name == "Relationship" and at.get("Id") and at.get("Target") and inside and at.get("Type", "").lower().endswith("/image"):
+            self.member[at["Id"]] = at["Target"]  # the last of an id holds
 
-def target_path(target: str) -> str:
-    path = posixpath.normpath(posixpath.join("word", target.replace("\\", "/")))
-    if not path.startswith("word/") or "../" in path:
-        raise FolioError("INPUT_UNSAFE_RELATIONSHIP", f"a path out of the document: {target}")
-    return path
+    def path(self, ident: str) -> str:
+        """Where a target lies; targets count from the body's folder, and may not leave it."""
+        inside: list[str] = []
+        for step in self.member[ident].replace("\\", "/").split("/"):
+            if step == ".." and not inside:
+                raise FolioError("INPUT_UNSAFE_RELATIONSHIP", f"a path out of the document: {self.member[ident]}")
+            if step == "..":
+                inside.pop()
+            elif step not in ("", "."):
+                inside.append(step)
+        if not inside:
+            raise FolioError("INPUT_UNSAFE_RELATIONSHIP", f"not a member of the document: {self.member[ident]}")
+        return posixpath.join(posixpath.dirname(BODY), *inside)
+
+
+def references(xml: bytes) -> list[str]:
+    """Relationship ids in the order of the body, repeats kept; those of links to other things are among them."""
+    out: list[str] = []
+    elements(xml, lambda name, attributes: out.extend(v for space, local, v in attributes if local in ("embed", "id") and space.endswith(RELATIONS)))
+    return out
 
 
 def is_image(name: str) -> bool:
@@ -119,8 +143,8 @@ def scans(data: bytes, source: str = "document.docx") -> list[tuple[str, str, by
     archive = Archive(data)
     if BODY not in archive.entries or LINKS not in archive.entries:
         raise FolioError("INPUT_INVALID_DOCX", "no document body or relationships")
-    links = image_links(archive.read(LINKS).decode("utf-8", "replace"))
-    paths = [target_path(links[r]) for r in references(archive.read(BODY).decode("utf-8", "replace")) if r in links]
+    links = Links(archive.read(LINKS))
+    paths = [links.path(r) for r in references(archive.read(BODY)) if r in links.member]
     for path in paths:
         if path not in archive.entries:
             raise FolioError("INPUT_IMAGE_MISSING", f"no such image: {path}")

@@ -44,8 +44,8 @@ def image_files(folder: str) -> list[str]:
     return [os.path.join(folder, n) for n in sorted(names, key=lambda n: (pure.natural_key(n, fold=True), n))]
 
 
-def files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content) of the files at a path of any store that Spark reads."""
+def files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, content) of the files at a path, or paths, of any store that Spark reads."""
     return spark.read.format("binaryFile").schema(BINARY_FILE).load(path).select("path", "content")
 
 

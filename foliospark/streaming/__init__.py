@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from foliospark.pipeline import Codec, Settings, final_pages
-from foliospark.operators.raster import decode_png
+from foliospark.operators.codecs import decode_image
 from foliospark.recognize import Recognizer
 from foliospark.sources.loader import BINARY_FILE, sheets
 from foliospark.sources.pdf import PdfRenderer
@@ -19,7 +19,7 @@ def watch(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.format("binaryFile").schema(BINARY_FILE).load(folder)
 
 
-def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, recognizer: Recognizer, settings: Settings = Settings(), *, pdf: PdfRenderer | None = None, codec: Codec = decode_png, each: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, recognizer: Recognizer, settings: Settings = Settings(), *, pdf: PdfRenderer | None = None, codec: Codec = decode_image, each: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
     """Converts all files that are there and not yet done, and stops; pages are appended to Parquet at ``out``.
 
     A batch that runs again after a failure replaces its own part, so pages are written once.

@@ -26,10 +26,17 @@ def rels(*pairs, extra=""):
     return "<Relationships>" + "".join(f'<Relationship Id="{i}" Type="http://x/image" Target="{t}"/>' for i, t in pairs) + extra + "</Relationships>"
 
 
+NAMES = 'xmlns:w="urn:w" xmlns:a="urn:a" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+
+
+def body(ids):
+    return f"<w:document {NAMES}><w:body>" + "".join(f'<w:p><a:blip r:embed="{i}"/></w:p>' for i in ids) + "</w:body></w:document>"
+
+
 def docx(ids=("rId2", "rId1"), links=None, media=(("first.png", b"FIRST"), ("second.png", b"SECOND")), **parts):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
-        z.writestr(D.BODY, "".join(f'<a:blip r:embed="{i}"/>' for i in ids))
+        z.writestr(D.BODY, body(ids))
         z.writestr(D.LINKS, links or rels(("rId1", "media/first.png"), ("rId2", "media/second.png")))
         for n, c in media:
             z.writestr(D.MEDIA + n, c)
@@ -86,12 +93,16 @@ def test_archives():
     assert D.Archive(patched(central + 16, "<I", 0)).read("a") == b"abc" * 100  # checksums are not looked at
 
 
-def test_xml():
-    assert D.attributes("<R Id='a&amp;b' x:y = \"c\nd\" Id=\"last\">") == {"Id": "last", "x:y": "c\nd"}
-    assert D.xml_text("&amp;lt;&quot;") == '&lt;"'
+def test_relationships_by_namespace():
     external = '<Relationship Id="e" Type="t/image" Target="http://x" TargetMode="EXTERNAL"/><Relationship Id="h" Type="t/hyperlink" Target="y"/>'
-    assert D.image_links(rels(("a", "m/1.png"), ("a", "m/2.png"), extra=external)) == {"a": "m/2.png"}
-    assert D.references("<x r:id='1' R:EMBED=\"2\" ar:id='3'/>")[:2] == ["1", "2"]
+    assert D.Links(rels(("a", "m/1.png"), ("a", "m/&amp;2.png"), extra=external).encode()).member == {"a": "m/&2.png"}
+    other = f'<w:document {NAMES} xmlns:z="http://purl.oclc.org/ooxml/officeDocument/relationships" xmlns:q="urn:q"><w:x z:id="1" q:embed="no" id="no"/><a:y r:embed="2&amp;" r:link="no"/></w:document>'
+    assert D.references(other.encode("utf-16")) == ["1", "2&"]
+    links = D.Links(rels(("up", "media/../media/./a.png"), ("out", "../a.png"), ("deep", "x/../../a.png"), ("none", "./"), ("back", "media\\\\b.png")).encode())
+    assert links.path("up") == "word/media/a.png" and links.path("back") == "word/media/b.png"
+    assert [code(links.path, k) for k in ("out", "deep", "none")] == ["INPUT_UNSAFE_RELATIONSHIP"] * 3
+    for broken in (b"", b"<a><b></a>", b"<w:x/>", b"text"):
+        assert code(D.references, broken) == "INPUT_INVALID_DOCX"
 
 
 def test_relational_form_of_references(spark):
@@ -232,20 +243,42 @@ def test_process_recognizer():
     assert "--save_raw_ocr" not in stock and "--raw_ocr_input" not in stock
 
 
-def test_bridge():
+def test_bridge(tmp_path):
     from foliospark import structure_bridge as SB
     from foliospark.pipeline import Settings, default_recognizer
 
     recognizer = default_recognizer(Settings(paddle_python="/venv/python"))
-    args = SB.parser().parse_args(recognizer.build("i.png", "out", "raw.png"))
-    assert (args.input, args.save_path, args.raw_ocr_input, args.save_raw_ocr, args.use_table_recognition, args.use_seal_recognition) == ("i.png", "out", "raw.png", True, True, False)
     assert recognizer.command == "/venv/python" and recognizer.arguments[0].endswith("structure_bridge.py")
     assert default_recognizer(Settings()).arguments == ()
-    seen = []
-
-    def predict(path):
-        seen.append(path)
-        return [{"res": {"rec_texts": [path], "rec_boxes": [[0, 0, 1, 1]], "rec_scores": [1]}}, {"rec_texts": ["b"]}]
-
-    assert SB.raw_readings(predict, "i", "r")["overall_ocr_res"]["rec_texts"] == ["r", "b"] and seen == ["r", "i"]
-    assert SB.raw_readings(predict, "i", None)["fallback_ocr_res"]["rec_texts"] == []
+    out = tmp_path / "out"
+    job = SB.Job.of(recognizer.build("i.png", str(out), "raw.png"))
+    assert (job.image, job.recovery, job.plain, job.options["model"]["use_table_recognition"], job.options["model"]["use_seal_recognition"]) == ("i.png", "raw.png", True, True, False)
+
+    class Page:
+        def save_to_markdown(self, folder):
+            (out / "page.md").write_text(folder)
+
+        def save_to_json(self, folder):
+            (out / "page_res.json").write_text("{}")
+
+    class Models:
+        def __init__(self):
+            self.seen = []
+
+        def lines(self, image):
+            self.seen.append(image)
+            return [{"res": {"rec_texts": [image], "rec_boxes": [[0, 0, 1, 1]], "rec_scores": [1]}}, {"rec_texts": ["b"]}]
+
+        def pages(self, image, **options):
+            self.seen.append((image, options["use_chart_recognition"]))
+            yield Page()
+
+    models = Models()
+    SB.work(job, models)
+    assert models.seen == ["raw.png", "i.png", ("i.png", False)]
+    raw = json.loads((out / "raw_ocr.json").read_text())
+    assert {k: v["rec_texts"] for k, v in raw.items()} == {"overall_ocr_res": ["raw.png", "b"], "fallback_ocr_res": ["i.png", "b"]} and (out / "page.md").read_text() == str(out)
+    for recovery in (None, "i.png"):
+        models = Models()
+        SB.work(SB.Job("i.png", str(out), recovery, True, options={"model": {}, "page": {"use_chart_recognition": True}}), models)
+        assert models.seen == ["i.png", ("i.png", True)] and json.loads((out / "raw_ocr.json").read_text())["fallback_ocr_res"]["rec_texts"] == []
