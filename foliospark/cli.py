@@ -103,21 +103,26 @@ def parse(argv: list[str]) -> Options:
     return options
 
 
+#: What is said at each event; events that are not here are not shown.
+LINES = {
+    "batch:start": "{file_count} images",
+    "batch:file:start": "{file_number} of {file_count}: {name}",
+    "batch:file:complete": "{file_number} of {file_count}: {name} is done",
+    "batch:file:error": "{file_number} of {file_count}: {name} failed, {code}",
+    "input:complete": "{sheet_count} sheets",
+    "page:start": "page {page_number}, {side}",
+    "page:complete": "page {page_number} is done, {asset_count} pictures",
+}
+
+
 def progress_line(event: dict[str, Any]) -> str | None:
-    """An event as a line, None for those that are not shown."""
-    kind = event["type"]
-    if kind.startswith("batch:file:"):
-        at = f"파일 {event['file_number']}/{event['file_count']}"
-        name = os.path.basename(event["input_path"])
-        return {"start": f"{at} 처리 중: {name}", "complete": f"{at} 완료: {name}", "error": f"{at} 실패: {name} ({event.get('error', {}).get('code')})"}[kind.rpartition(":")[2]]
-    lead = f"[파일 {event['batch']['file_number']}/{event['batch']['file_count']}] " if event.get("batch") else ""
-    shown = {
-        "batch:start": lambda: f"폴더 입력 확인: 이미지 {event['file_count']}개",
-        "input:complete": lambda: f"{lead}입력 확인: {event['sheet_count']}장",
-        "page:start": lambda: f"{lead}페이지 {event['page_number']} OCR 처리 중 ({event['side']})",
-        "page:complete": lambda: f"{lead}페이지 {event['page_number']} 완료 (그림 {event['asset_count']}개)",
-    }
-    return shown[kind]() if kind in shown else None
+    """An event as a line, None for those that are not shown; events of a file in a batch say which file it is."""
+    line = LINES.get(event["type"])
+    if line is None:
+        return None
+    batch = event.get("batch")
+    lead = "({file_number} of {file_count}) ".format(**batch) if batch else ""
+    return lead + line.format(**event, name=os.path.basename(event.get("input_path", "")), code=(event.get("error") or {}).get("code"))
 
 
 def main(argv: list[str], *, single: Callable[..., dict] | None = None, folder: Callable[..., dict] | None = None, look: Callable[[str], str] = inspect, session: Callable[[], Any] | None = None, stdout: TextIO | None = None, stderr: TextIO | None = None) -> int:
@@ -148,7 +153,7 @@ def main(argv: list[str], *, single: Callable[..., dict] | None = None, folder:
                 extra = {"one": single} if single else {}
                 result = (folder or pipeline.run_folder)(spark, options.input_path, options.output, settings, progress=show, **extra)
                 t = result["summary"]["totals"]
-                out.write(f"일괄 처리: 전체 {t['discovered']}, 성공 {t['succeeded']}, 실패 {t['failed']}\n요약 Markdown: {result['summary_markdown_path']}\n요약 JSON: {result['summary_json_path']}\n")
+                out.write(f"{t['discovered']} files, {t['succeeded']} done, {t['failed']} failed\n{result['summary_markdown_path']}\n{result['summary_json_path']}\n")
                 if result["has_failures"]:
                     err.write("[BATCH_PARTIAL_FAILURE] some images failed\n")
                 return int(result["has_failures"])

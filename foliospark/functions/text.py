@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+# Fixed values throughout: the patterns of markers, entities, references and markup define the results of the page format.
+
 from collections.abc import Callable, Iterator
 from functools import reduce
 

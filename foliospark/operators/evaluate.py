@@ -38,6 +38,7 @@ def evaluated(pairs: DataFrame, *, actual: str = "actual", expected: str = "expe
     at = lambda phrase: F.instr(F.col("_a"), pure.comparable(phrase))
     recall = F.size("_hit") / len(markers)
     pages, tables = F.regexp_count(md, F.lit(r"(?i)<!--\s*page:\s*\d+\s*-->")), F.regexp_count(md, F.lit(r"(?i)<table\b"))
+    # fixed values: the names of criteria and metrics, and their bounds
     criteria = {
         "twoPages": pages == 2,
         "textCerAtMost25Percent": F.col("_cer") <= 0.25,

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,25 +70,56 @@ def anchor_segments(anchors: DataFrame, group: list[str], at: str, to: str) -> D
     return seg.withColumn("lo", F.when(F.col("_k") == 1, -infinity).otherwise(F.col("x0").cast("double"))).withColumn("hi", F.when(F.col("_k") >= F.col("_n") - 1, infinity).otherwise(F.col("x1").cast("double"))).drop("_k", "_n")
 
 
-def unique_names(files: DataFrame, group: list[str], name: str, index: str) -> DataFrame:
-    """Adds unique_name: names that occur before, in any case, get -2, -3, ... before their extension.
+_NUMBERED = r"(?:-\d+)+$"
+
+
+def _reserved(files: DataFrame, group: list[str], base: Column, ext: Column, index: str, out: str) -> DataFrame:
+    """Adds ``out``: base and extension, or base-2, base-3, ... where that is taken, in any case and in the order of ``index``.
 
-    Numbers count repeats of a name; should a numbered name meet a name of its own, the fold of
-    :func:`foliospark.operators.assemble.reserve` is needed, which writers use.
+    A numbered name can only meet names that are alike but for such numbers; those are decided together, so names may
+    meet whatever files come with, and a group holds the names that are alike, not the folder's.
     """
-    k = F.row_number().over(Window.partitionBy(*group, F.lower(name)).orderBy(index))
+    kind = files.schema[index].dataType
+    alike = F.struct(F.lower(F.regexp_replace(base, _NUMBERED, "")).alias("stem"), F.lower(ext).alias("ext"))
+    keyed = files.select(F.struct(*(F.col(f"`{c}`") for c in files.columns)).alias("row"), *(F.col(c).alias(f"g{i}") for i, c in enumerate(group)), alike.alias("alike"), F.col(index).alias("at"), base.alias("base"), ext.alias("ext"))
+    keys = [*(f"g{i}" for i in range(len(group))), "alike"]
+    names = keyed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "base", "ext"))).alias("n")).select(*keys, "n", _reserving(F.col("n")).alias("free"))
+    pairs = names.select(*keys, F.posexplode(F.arrays_zip("n", "free")).alias("k", "p")).select(*keys, F.col("p.n.at").cast(kind).alias("at"), F.col("p.n.base").alias("base"), F.col("p.n.ext").alias("ext"), F.col("p.free").alias("free"))
+    return keyed.join(pairs, [*keys, "at", "base", "ext"]).select("row.*", F.col("free").alias(out))
+
+
+def _reserving(names: Column) -> Column:
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            out = []
+            for group in column.to_pylist():
+                used: set[str] = set()
+                found = []
+                for name in group:
+                    free, k = name["base"] + name["ext"], 2
+                    while free.lower() in used:
+                        free, k = f"{name['base']}-{k}{name['ext']}", k + 1
+                    used.add(free.lower())
+                    found.append(free)
+                out.append(found)
+            yield pa.array(out, pa.list_(pa.string()))
+
+    return F.arrow_udf(run, "array<string>")(names)
+
+
+def unique_names(files: DataFrame, group: list[str], name: str, index: str) -> DataFrame:
+    """Adds unique_name: names that are taken, in any case, get -2, -3, ... before their extension until they are free. ``index`` is unique in a group."""
     ext = F.regexp_extract(F.col(name), r".(\.[^.]*)$", 1)
-    plain = F.expr(f"left(`{name}`, length(`{name}`) - length(regexp_extract(`{name}`, '.([.][^.]*)$', 1)))")
-    return files.withColumn("unique_name", F.when(k == 1, F.col(name)).otherwise(F.concat(plain, F.lit("-"), k.cast("string"), ext)))
+    base = F.expr(f"left(`{name}`, length(`{name}`) - length(regexp_extract(`{name}`, '.([.][^.]*)$', 1)))")
+    return _reserved(files, group, base, ext, index, "unique_name")
 
 
 def folder_names(files: DataFrame, name: str, index: str) -> DataFrame:
-    """Adds folder: a file's stem, with its extension where stems repeat in any case, numbered where those repeat too."""
+    """Adds folder: a file's stem, with its extension where stems repeat in any case, numbered where those are taken. ``index`` is unique."""
     s, e = T.stem(F.col(name)), F.regexp_replace(T.extension(F.col(name)), r"^\.", "")
     again = F.count(F.lit(1)).over(Window.partitionBy(F.lower(s))) > 1
     base = files.withColumn("_base", F.when(again, F.concat(s, F.lit("-"), e)).otherwise(s))
-    k = F.row_number().over(Window.partitionBy(F.lower("_base")).orderBy(index))
-    return base.withColumn("folder", F.when(k == 1, F.col("_base")).otherwise(F.concat("_base", F.lit("-"), k.cast("string")))).drop("_base")
+    return _reserved(base, [], F.col("_base"), F.lit(""), index, "folder").drop("_base")
 
 
 def from_top(boxes: DataFrame, page: list[str], box: str, *ties: str) -> DataFrame:
