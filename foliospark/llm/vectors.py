@@ -24,6 +24,7 @@ from foliospark.session import materialize, prepare, settled
 _SLACK = 1e-6  # added to bounds, so that rounding never prunes a pair; pairs themselves are tested by cosine
 
 _PART = 1024
+_BLOCK = 256
 
 
 def angles(cosines: np.ndarray) -> np.ndarray:
@@ -35,13 +36,15 @@ class Node(NamedTuple):
     radius: float  # the largest angle of a member from the center
     members: np.ndarray
     children: list
-    centers: np.ndarray  # of the children, by row
+    centers: np.ndarray  # of the children, or its own if it is a leaf, by row
     radii: np.ndarray
+    single: np.ndarray  # whether a child is one vector
 
 
 def _node(center: np.ndarray, radius: float, members: np.ndarray, children: list) -> Node:
-    centers = np.array([c.center for c in children]) if children else center[None, :]
-    return Node(center, radius, members, children, centers, np.array([c.radius for c in children]) if children else np.array([radius]))
+    if not children:
+        return Node(center, radius, members, children, center[None, :], np.array([radius]), np.array([len(members) == 1]))
+    return Node(center, radius, members, children, np.array([c.center for c in children]), np.array([c.radius for c in children]), np.array([len(c.members) == 1 for c in children]))
 
 
 def cover_tree(x: np.ndarray, leaf: int = 64) -> Node:
@@ -59,14 +62,19 @@ def cover_tree(x: np.ndarray, leaf: int = 64) -> Node:
         if radius <= 0.1:  # too near each other for links to be ruled out; in parts, for memory
             parts = [slice(i, i + _PART) for i in range(0, len(members), _PART)]
             return _node(center, radius, members, [_node(center, float(far[s].max()), members[s], []) for s in parts] if len(parts) > 1 else [])
-        children, rest = [], members
+        children, rest, half = [], members, np.cos(radius / 2)
         while len(rest):
-            c = x[rest[0]]
-            apart = angles(x[rest] @ c)
-            near = apart <= radius / 2
-            near[0] = True
-            children.append(build(c, rest[near], apart[near]))
-            rest = rest[~near]
+            first = x[rest[:_BLOCK]]  # the next centers, unless an earlier one takes them
+            cosines, free = first @ x[rest].T, np.ones(len(rest), bool)
+            for k, c in enumerate(first):
+                if free[k]:
+                    near = cosines[k] >= half
+                    near &= free
+                    near[k] = True
+                    taken = np.flatnonzero(near)
+                    children.append(build(c, rest[taken], angles(cosines[k][taken])))
+                    free[taken] = False
+            rest = rest[free]
         return _node(center, radius, members, children)
 
     everything = np.arange(len(x))
@@ -101,8 +109,8 @@ def _pairs(a: Node, b: Node, reach: float, tally: Tally, once: bool) -> Iterator
             yield p.members, q.members
             continue
         # the children of one or both against each other, in one product
-        left, lr, ls = (p.centers, p.radii, p.children) if p.children else (p.center[None, :], np.array([p.radius]), [p])
-        right, rr, rs = (q.centers, q.radii, q.children) if q.children else (q.center[None, :], np.array([q.radius]), [q])
+        left, lr, ls = p.centers, p.radii, p.children or [p]
+        right, rr, rs = q.centers, q.radii, q.children or [q]
         itself = same and p is q
         for lo in range(0, len(left), 512):
             meet = angles(left[lo : lo + 512] @ right.T) <= lr[lo : lo + 512, None] + rr[None, :] + reach
@@ -111,7 +119,7 @@ def _pairs(a: Node, b: Node, reach: float, tally: Tally, once: bool) -> Iterator
             tally.centers += meet.size // (2 if itself else 1)
             i, j = np.nonzero(meet)
             i += lo
-            lone = (lr[i] == 0.0) & (rr[j] == 0.0) & np.fromiter((not ls[u].children and not rs[v].children and len(ls[u].members) == len(rs[v].members) == 1 for u, v in zip(i.tolist(), j.tolist(), strict=True)), bool, len(i))
+            lone = p.single[i] & q.single[j]
             if itself:
                 lone &= i != j
             for u in np.unique(i[lone]).tolist():  # single vectors, those of one together
