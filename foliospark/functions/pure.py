@@ -156,3 +156,19 @@ def natural_key(name: str, fold: bool = False) -> tuple:
 def cell_text(html: str) -> str:
     """Text of a table cell: entities first, then tags, which therefore may have been entities."""
     return strip(_SPACES.sub(" ", re.sub("<[^>]+>", " ", decode_entities(html))))
+
+
+def anchors(text: bytes, width: int, gram: int) -> list[int]:
+    """Of each ``width`` bytes the hash of the gram that has the least one, once each; a shorter text has those of its own grams."""
+    import numpy as np
+
+    raw = np.frombuffer(text, np.uint8)
+    if len(raw) < gram:
+        return []
+    windows = np.lib.stride_tricks.sliding_window_view(raw, gram)
+    words = sum(windows[:, i].astype(np.uint64) * np.uint64(pow(0x9E3779B97F4A7C15, i + 1, 2**64)) for i in range(gram))
+    words ^= words >> np.uint64(29)
+    words *= np.uint64(0xBF58476D1CE4E5B9)
+    span = min(width, len(raw)) - gram + 1
+    least = np.lib.stride_tricks.sliding_window_view(words, span).min(1)
+    return np.unique(least).view(np.int64).tolist()

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-# Fixed values throughout: the patterns of markers, entities, references and markup define the results of the page format.
-
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -13,6 +11,8 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import pure
 
+# Fixed values throughout: the patterns of markers, entities, references and markup define the results of the page format.
+
 #: White space of the page format, for Java patterns.
 S = r"[\s\x{00A0}\x{FEFF}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
@@ -239,3 +239,19 @@ def safe_entry(c: Column) -> Column:
 
 def round_half_up(c: Column) -> Column:
     return F.floor(c + 0.5)
+
+
+def _anchors(width: int, gram: int):
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            yield pa.array([None if x is None else pure.anchors(x.encode(), width, gram) for x in column.to_pylist()], pa.list_(pa.int64()))
+
+    return run
+
+
+def anchors(c: Column, width: int = 24, gram: int = 8) -> Column:
+    """Hashes of grams such that any two texts that share ``width`` bytes share one; about two for each ``width`` - ``gram`` bytes.
+
+    Of each window of ``width`` bytes the gram of least hash is taken, so what is looked up is an equi-join, not a search.
+    """
+    return F.arrow_udf(_anchors(width, gram), "array<bigint>")(c)

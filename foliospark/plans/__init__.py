@@ -121,9 +121,16 @@ def q07_similarity_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q47_passage_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents, however long, as readings of each passage whose first 24 letters (all, if fewer) they have anywhere."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.lower("text"), "[^0-9a-z]", "").alias("t"))
-    passages = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace(F.lower("text"), "[^0-9a-z]", "").alias("p")).where("p <> ''")
-    held = docs.join(F.broadcast(passages), F.col("t").contains(F.left("p", F.lit(24))))
-    return held.select("item_id", "doc_id", F.round(T.character_error_rate(F.col("p"), F.col("t")), 6).alias("cer"))
+    passages = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace(F.lower("text"), "[^0-9a-z]", "").alias("p")).where("p <> ''").withColumn("lead", F.left("p", F.lit(24)))
+    # a document that has a passage's 24 letters has their anchor; passages that are shorter share a first letter with it
+    whole, short = passages.where("length(lead) = 24"), passages.where("length(lead) < 24")
+    theirs = whole.select("item_id", F.explode(T.anchors(F.col("lead"))).alias("anchor"))
+    pairs = docs.select("doc_id", F.explode(T.anchors(F.col("t"))).alias("anchor")).join(theirs, "anchor").select("doc_id", "item_id").distinct()
+    held = pairs.join(docs, "doc_id").join(whole, "item_id").where(F.col("t").contains(F.col("lead")))
+    few = docs.select("doc_id", F.explode(F.array_distinct(F.split("t", ""))).alias("c"))
+    letter = short.withColumn("c", F.left("p", F.lit(1))).join(few, "c").join(docs, "doc_id").where(F.col("t").contains(F.col("lead")))
+    found = held.select("item_id", "doc_id", "p", "t").unionByName(letter.select("item_id", "doc_id", "p", "t"))
+    return found.select("item_id", "doc_id", F.round(T.character_error_rate(F.col("p"), F.col("t")), 6).alias("cer"))
 
 
 @query(f"""SELECT b.item_id, d.doc_id, count(*)::BIGINT AS n_lines FROM (SELECT item_id, {NORM.format('text')} AS n FROM benchmark) b JOIN (SELECT doc_id, {NORM.format('line')} AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)) d

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 from typing import NamedTuple
 from xml.parsers import expat
 
+import pyarrow.fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from foliospark.errors import FolioError, as_folio_error, summary
@@ -155,38 +156,45 @@ def scans(data: bytes, source: str = "document.docx") -> list[tuple[str, str, by
     return [(posixpath.basename(p), source, archive.read(p)) for p in paths]
 
 
+def _store(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The store of a path or URI, and the path in it."""
+    return pyarrow.fs.FileSystem.from_uri(path) if "://" in path else (pyarrow.fs.LocalFileSystem(), path)
+
+
 class _File(InputPartition):
-    def __init__(self, path: str) -> None:
-        self.path = path
+    def __init__(self, path: str, name: str) -> None:
+        self.path, self.name = path, name
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
-        import glob
-
-        path = options.get("path", "").removeprefix("file://")
-        import os
-
-        self.files = sorted(glob.glob(os.path.join(path, "*.docx")), key=natural_key) if os.path.isdir(path) else [path]
+        self.path = options.get("path", "")
 
     def partitions(self) -> list[_File]:
-        return [_File(f) for f in self.files]
+        store, path = _store(self.path)
+        info = store.get_file_info(path)
+        if info.type == pyarrow.fs.FileType.Directory:
+            names = [f.path for f in store.get_file_info(pyarrow.fs.FileSelector(path)) if f.is_file and f.base_name.lower().endswith(".docx")]
+        else:
+            names = [path]
+        return [_File(self.path, n) for n in sorted(names, key=natural_key)]
 
     def read(self, partition: _File) -> Iterator[tuple]:
-        name = posixpath.basename(partition.path)
+        name = posixpath.basename(partition.name)
         try:
-            with open(partition.path, "rb") as file:
+            store, _ = _store(partition.path)
+            with store.open_input_file(partition.name) as file:
                 found = scans(file.read(), name)
         except (FolioError, OSError) as error:
-            e = summary(as_folio_error(error, "INPUT_READ_FAILED", f"cannot read {partition.path}"))
-            yield partition.path, 0, None, name, None, None, None, (e["code"], e["message"])
+            e = summary(as_folio_error(error, "INPUT_READ_FAILED", f"cannot read {partition.name}"))
+            yield partition.name, 0, None, name, None, None, None, (e["code"], e["message"])
             return
         for i, (image, source, content) in enumerate(found, 1):
-            yield partition.path, i, image, source, content, None, None, None
+            yield partition.name, i, image, source, content, None, None, None
 
 
 class DocxSource(DataSource):
-    """``spark.read.format("docx_scans")``: a partition per file of a local or mounted folder. Other stores: :func:`foliospark.sources.loader.sheets`."""
+    """``spark.read.format("docx_scans")``: a partition per file of a folder in any store that Python opens by URI, or one file. Spark's own stores: :func:`foliospark.sources.loader.sheets`."""
 
     @classmethod
     def name(cls) -> str:
