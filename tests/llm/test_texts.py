@@ -549,3 +549,62 @@ def test_sampling_finds_every_segmentation(vocabulary):
         law = segmentations(vocabulary, text)
         got = samples(vocabulary, [text], [1], len(law) + 5)
         assert {tuple(ids.tolist()) for _, _, ids, *_ in got} == set(law) and len(got) == len(law) and all(inc == 0 for *_, inc in got)
+
+
+# --- the classifier against plain Python
+
+def test_features_are_those_of_character_grams():
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abÄé 日\n😀Z") for _ in range(rng.randrange(0, 60))) for _ in range(60)] + ["", "abc", "ÄÉ Z", "äé z", "  \t "]
+    raw = [t.encode() for t in texts]
+    row, f = TX.present(np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(r) for r in raw])))
+    mine = [set(f[row == i].tolist()) for i in range(len(texts))]
+    fold = lambda t: "".join(" " if c in "\t\n\x0b\x0c\r\x85\xa0" else c.lower() for c in t)
+    grams = [{t[i : i + n] for n in TX.ORDERS for i in range(len(t) - n + 1)} for t in map(fold, texts)]
+    assert all(0 <= len(g) - len(m) <= 1 for g, m in zip(grams, mine)) and mine[-2] == mine[-3]
+    more = [len(mine[i] & mine[j]) - len(grams[i] & grams[j]) for i in range(len(texts)) for j in range(i)]
+    assert min(more) == 0 and sum(more) < 0.02 * len(more)  # some of four million features stand for two
+
+
+def test_long_texts_have_the_features_of_the_whole(monkeypatch):
+    rng = random.Random(6)
+    text = "".join(rng.choice("abcdé日") for _ in range(3000)).encode()
+    raw, off = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    whole = TX.present(raw, off)
+    monkeypatch.setattr(TX, "_PIECE", 500)
+    assert all((a == b).all() for a, b in zip(whole, TX.present(raw, off)))
+
+
+def test_weights_are_at_the_least_loss():
+    rng = np.random.default_rng(4)
+    n, k, penalty = 300, 12, 3.0
+    x = rng.random((n, k)) < 0.3
+    ratio = rng.normal(size=k) + 0.5
+    y = (x @ rng.normal(size=k) + rng.normal(size=n) * 0.5 > 0).astype(float)
+    w, b = TX.fit_weights([np.flatnonzero(r) for r in x], y, ratio, penalty, rounds=4000)
+    z = x * ratio @ w + b
+    residual = 1 / (1 + np.exp(-z)) - y
+    gradient = np.append((x * ratio).T @ residual + penalty * w, residual.sum())
+    assert np.abs(gradient).max() < 1e-3 * n
+    early, bias = TX.fit_weights([np.flatnonzero(r) for r in x], y, ratio, penalty)
+    loss = lambda w, b: np.logaddexp(0, (1 - 2 * y) * (x * ratio @ w + b)).sum() + penalty / 2 * w @ w
+    assert loss(early, bias) < loss(w, b) + 0.02 * n
+
+
+def test_main_text_of_marked_pages():
+    """Pages put together from marked parts: what is marked as the article comes back, and nothing else."""
+    rng = random.Random(8)
+    stop = ["the", "and", "of", "that", "it", "was", "with", "for", "on", "they"]
+    word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(rng.randrange(1, 4)))
+    prose = lambda n: " ".join(rng.choice(stop) if rng.random() < 0.4 else word() for _ in range(n)).capitalize() + "."
+    for case in range(60):
+        parts = [prose(rng.randrange(20, 90)) for _ in range(rng.randrange(3, 9))]
+        short = prose(4)
+        parts.insert(rng.randrange(1, len(parts)), short)
+        tag = rng.choice(["article", "main", "div", "section"])
+        menu = "".join(f"<li><a href=/{i}>{word()} {word()}</a></li>" for i in range(6))
+        links = f'<div class="{rng.choice(["related", "teasers", "x"])}">' + "".join(f"<p><a href=/{i}>{prose(8)}</a></p>" for i in range(4)) + "</div>"
+        page = f'<html><head><title>x</title></head><body><header><p>{prose(12)}</p></header><nav><ul>{menu}</ul></nav><{tag}><h1>{word()} {word()}</h1>' + "".join(f"<p>{p}</p>" for p in parts) + f'</{tag}>{links}<div id="comments"><p>{prose(40)}</p></div><footer>{prose(10)}</footer></body></html>'
+        got = H.extract(page)
+        assert all(p in got for p in parts), (case, tag)
+        assert got.split(" ", 2)[2] == " ".join(parts), (case, tag)
