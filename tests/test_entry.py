@@ -54,13 +54,14 @@ def test_flagship(spark):
 
 def test_repaired_pages_are_those_of_plain_python(spark):
     lines = {}
-    for r in plans.page_lines(spark, SF).orderBy("l_orderkey", "i").collect():
-        lines.setdefault(r.l_orderkey, []).append((r.i, r.t))
-    for r in plans.QUERIES["q43_repair_markdown"](spark, SF).collect():
-        own = lines[r.l_orderkey]
-        md = "\n\n".join(t for _, t in own if not t[0].isdigit() or ")" not in t.split(" ")[0])
-        raw = [{"text": t, "box": [100.0, 40.0 * i, 900.0, 40.0 * i + 30]} for i, t in own]
-        assert r.markdown == R.repair(md, raw)
+    for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").collect():
+        lines.setdefault(r.l_orderkey, []).append(r[1:])
+    found = plans.QUERIES["q43_repair_markdown"](spark, SF).collect()
+    assert len(found) == len(lines)
+    for r in found:
+        own = [(n, part, f"{n}) part {part}") for n, (_, part, *_) in enumerate(sorted(lines[r.l_orderkey]), 1)]
+        md = "\n\n".join(t for _, part, t in own if part % 3)
+        assert r.markdown == R.repair(md, [{"text": t, "box": [100.0, 50.0 * n, 900.0, 50.0 * n + 30]} for n, _, t in own])
 
 
 def test_scans_are_cut_in_the_middle(spark):
