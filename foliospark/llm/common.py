@@ -124,40 +124,63 @@ def distinct_texts(docs: DataFrame, key: str = "digest") -> DataFrame:
     return materialize_bucketed(docs.groupBy(key).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies")), "texts", key)
 
 
-def _union_find(edges: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parent: dict[bytes, bytes] = {}
-
-    def root(x: bytes) -> bytes:
+class _Sets:
+    """Joined sets of nodes; a set's root is its least node."""
+
+    def __init__(self, edges: Iterator[pa.RecordBatch]) -> None:
+        self.parent: dict[bytes, bytes] = {}
+        for batch in edges:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                self.parent.setdefault(a, a)
+                self.parent.setdefault(b, b)
+                a, b = self.root(a), self.root(b)
+                if a != b:
+                    self.parent[max(a, b)] = min(a, b)
+
+    def root(self, x: bytes) -> bytes:
         top = x
-        while parent[top] != top:
-            top = parent[top]
-        while parent[x] != top:
-            parent[x], x = top, parent[x]
+        while self.parent[top] != top:
+            top = self.parent[top]
+        while self.parent[x] != top:
+            self.parent[x], x = top, self.parent[x]
         return top
 
-    for batch in edges:
-        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-            parent.setdefault(a, a)
-            parent.setdefault(b, b)
-            a, b = root(a), root(b)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-    nodes = list(parent)
-    for i in range(0, len(nodes), 20_000):
-        part = nodes[i : i + 20_000]
-        yield pa.record_batch({"node": pa.array(part, pa.binary()), "root": pa.array([root(x) for x in part], pa.binary())})
+
+def _pairs(a: str, b: str, pairs: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(pairs), 20_000):
+        part = pairs[i : i + 20_000]
+        yield pa.record_batch({a: pa.array([x for x, _ in part], pa.binary()), b: pa.array([y for _, y in part], pa.binary())})
+
+
+def _union_find(edges: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sets = _Sets(edges)
+    yield from _pairs("node", "root", [(x, sets.root(x)) for x in list(sets.parent)])
+
+
+def _chains(edges: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a task's edges join, as chains: no node has more than two, however many it had."""
+    sets = _Sets(edges)
+    last: dict[bytes, bytes] = {}
+    out = []
+    for x in list(sets.parent):
+        root = sets.root(x)
+        if root in last:
+            out.append((last[root], x))
+        last[root] = x
+    yield from _pairs("a", "b", out)
 
 
 def components(edges: DataFrame, level: int = 0, *, few: int = 20_000) -> DataFrame:
     """(node, root) for the nodes of ``edges`` (a, b: binary); root is one node of the component.
 
+    What each task's edges join goes on as chains, so that a node with very many links is no hot key.
     Each edge goes to its end of smaller hash, so that a task holds whole neighbourhoods of local minima and
     joins them in memory; a node that several tasks have given roots links these roots, and these links, on a
     constant fraction of the nodes, are solved in the same way. No task holds more than its share of the edges.
     Once ``few`` edges are left, which are counted, one task solves them.
     """
     schema = "node binary, root binary"
-    held = materialize(edges.where("a <> b").select("a", "b"), "edges")
+    held = materialize(edges.where("a <> b").select("a", "b").mapInArrow(released(_chains), "a binary, b binary"), "edges")
     if held.count() <= few:
         return materialize(held.coalesce(1).mapInArrow(released(_union_find), schema), "components")
     ha, hb = (F.xxhash64(F.col(c), F.lit(level)) for c in ("a", "b"))

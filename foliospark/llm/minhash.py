@@ -13,10 +13,10 @@ has as many with 0.24, one of 0.4 with 0.02).
   as that one's list counts them; for long lists, the longest of a set's lists are not merged but looked up for the
   pairs that the others leave within reach.
 * Of the matches only a forest of the strongest ones leaves the list; lists longer than ``block`` are dealt out by pairs
-  of blocks. The forest's pairs are confirmed on their words. Groups of matches that this joins are done; in any other
-  group all pairs of sets from different parts are confirmed, block by block, inside the task (counted through a matrix
-  product over the shingles that several sets of the block hold). No pairs are emitted but links, so a group of n near
-  copies costs n rows for each of its blocks.
+  of blocks. The forest's pairs are confirmed on their words. Groups of matches that this joins are done. In any other
+  group all pairs of sets from different parts are decided inside tasks (counted through a matrix product over the
+  shingles that several sets hold): in blocks of the group, up to ``dense`` sets, which a set is then copied to at most
+  ``dense / set_block`` times, and in larger groups in the lists of the rarest shingles. No pairs are emitted but links.
 
 Shingles are 64-bit hashes of their words' hashes; words of over 64 bytes are hashed as a whole. Pairs are confirmed on
 the words themselves, and equal sets are known by 128-bit digests.
@@ -396,6 +396,59 @@ def _rest(width: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
     return confirm
 
 
+def _sets(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, off = text_buffer(batch.column("text"))
+            for i, j in slices(off):
+                s, at = shingle_sets(raw[off[i] : off[j]], off[i : j + 1] - off[i], width)
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(s.view(np.int64)))
+                yield pa.record_batch([*(batch.column(c).slice(i, j - i).cast(pa.binary()) for c in ("digest", "group", "part")), lists], ["digest", "group", "part", "shingles"])
+
+    return run
+
+
+def _listed(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    keys = ["group", "s", "bi", "bj"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, keys):
+            at = group_starts(t, keys)
+            node, part = t.column("digest").to_pylist(), np.array(t.column("part").to_pylist(), object)
+            home, bi, bj = (t.column(c).to_numpy() for c in ("home", "bi", "bj"))
+            lists = t.column("shingles").combine_chunks()
+            flat, off = lists.flatten().to_numpy(), np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
+            a, b = [], []
+            for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                if len(set(part[i:j])) > 1:
+                    for x, y in links_in_block([flat[off[k] : off[k + 1]] for k in range(i, j)], part[i:j], home[i:j] if bi[i] != bj[i] else None, percent):
+                        a.append(node[i + x])
+                        b.append(node[i + y])
+            yield pa.record_batch({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    return run
+
+
+def links_by_lists(left: DataFrame, *, width: int, percent: int, set_block: int) -> DataFrame:
+    """(a, b): links between the parts of groups, for groups of very many sets; ``left`` has digest, text, group and part.
+
+    Two sets that are similar share one of the rarest shingles of each, as many as may be missing and one. Only shingles that
+    several parts have are posted; a set whose own shingles alone fill its share has no partner. Sets go to the lists of these
+    shingles, so a set is copied no more often than it has of them, however large its group.
+    """
+    sets = materialize(left.select("digest", "group", "part", "text").mapInArrow(released(_sets(width)), "digest binary, group binary, part binary, shingles array<bigint>"), "sets")
+    posted = sets.select("digest", "group", "part", F.explode("shingles").alias("s"))
+    shared = posted.groupBy("group", "s").agg(F.count(F.lit(1)).alias("c"), F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("group", "s", "c")
+    own = posted.select("digest", "group", "s").join(shared, ["group", "s"]).groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("shared"))
+    n = F.size("shingles")
+    share = n - F.ceil(n * percent / 100.0 - 1e-9) + 1 - (n - F.size("shared"))
+    few = sets.join(own, "digest").withColumn("share", share.cast("int")).where("share > 0").select("digest", "group", "part", F.explode(F.slice("shared", F.lit(1), F.col("share"))).alias("x")).select("digest", "group", "part", "x.s")
+    lists = few.join(few.groupBy("group", "s").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), ["group", "s"])
+    dealt = _blocks(lists.join(sets.select("digest", "shingles"), "digest"), "n", set_block)
+    order = ["group", "s", "bi", "bj"]
+    return dealt.repartition(*order).sortWithinPartitions(*order).select(*order, "home", "digest", "part", "shingles").mapInArrow(released(_listed(percent)), "a binary, b binary")
+
+
 def _blocks(df: DataFrame, size: str, block: int) -> DataFrame:
     """home: a row's block, by hash; a row is dealt to each pair of blocks that has its own."""
     blocks = F.greatest(F.lit(1), F.ceil(F.col(size) / block)).cast("int")
@@ -404,7 +457,12 @@ def _blocks(df: DataFrame, size: str, block: int) -> DataFrame:
             .withColumn("bi", F.least("home", "other")).withColumn("bj", F.greatest("home", "other")).drop("blocks", "other"))
 
 
-def near_duplicate_classes(texts: DataFrame, *, width: int = 3, percent: int = 85, coordinates: int = 48, matches: int = 27, block: int = 1024, set_block: int = 256) -> DataFrame:
+def _with_texts(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    side = lambda c: members.select(F.col("digest").alias(c), F.col("text").alias(f"text_{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b")
+
+
+def near_duplicate_classes(texts: DataFrame, *, width: int = 3, percent: int = 85, coordinates: int = 48, matches: int = 27, block: int = 1024, set_block: int = 256, dense: int = 16_384) -> DataFrame:
     """(digest, n_shingles, set_key, root): root is null for sets without links; texts is :func:`distinct_texts`."""
     prepare(texts.sparkSession)
     signed = materialize(texts.select("digest", "text").mapInArrow(released(_signer(width, coordinates)), "digest binary, n_shingles bigint, set_key binary, sig binary, postings array<bigint>"), "signed")
@@ -419,14 +477,18 @@ def near_duplicate_classes(texts: DataFrame, *, width: int = 3, percent: int = 8
     matched = materialize(matched.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "matched")
     loose = materialize(components(matched).withColumnRenamed("root", "group"), "groups")
     members = materialize(texts.join(loose, F.col("digest") == F.col("node")).select("digest", "text", "group"), "members")
-    pairs = matched.join(members.select(F.col("digest").alias("a"), F.col("text").alias("text_a")), "a").join(members.select(F.col("digest").alias("b"), F.col("text").alias("text_b")), "b")
-    sure = materialize(pairs.mapInArrow(released(_confirmer(width, percent)), "a binary, b binary"), "links")
+    sure = materialize(_with_texts(matched, members).mapInArrow(released(_confirmer(width, percent)), "a binary, b binary"), "links")
     strict = components(sure)
     parts = loose.join(strict, "node", "left").select(F.col("node").alias("digest"), "group", F.coalesce("root", "node").alias("part"))
     open_groups = parts.groupBy("group").agg(F.count(F.lit(1)).alias("members"), F.min("part").alias("p"), F.max("part").alias("q")).where("members > 2 and p <> q").select("group", "members")
     left = materialize(parts.join(open_groups, "group"), "open")
-    dealt = _blocks(left.join(members.select("digest", "text"), "digest"), "members", set_block)
+    texts_of = lambda which: left.where(which).join(members.select("digest", "text"), "digest")
+    dealt = _blocks(texts_of(F.col("members") <= dense), "members", set_block)
     more = dealt.repartition("group", "bi", "bj").sortWithinPartitions("group", "bi", "bj").select("group", "bi", "bj", "home", "digest", "part", "text").mapInArrow(released(_rest(width, percent)), "a binary, b binary")
+    if not left.where(F.col("members") > dense).isEmpty():
+        found = links_by_lists(texts_of(F.col("members") > dense), width=width, percent=percent, set_block=set_block)
+        found = materialize(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "listed")
+        more = more.unionByName(_with_texts(found, members).mapInArrow(released(_confirmer(width, percent)), "a binary, b binary"))
     links = components(materialize(sure.unionByName(more), "links"))
     roots = nodes.select("digest").join(links, F.col("digest") == F.col("node")).select("digest", "root")
     by_set = signed.select("digest", "set_key").join(roots, "digest").select("set_key", "root")

@@ -256,3 +256,22 @@ def test_counts_of_merged_lists_are_collisions():
     here[:], place[:, 0] = 1, 1
     a, b, _ = M.merged_counts(sig, place, here, group, 5)
     assert all(sig[i, 1] != sig[j, 1] for i, j in zip(a.tolist(), b.tolist()))
+
+
+def test_groups_too_large_for_blocks_are_decided_by_lists(spark):
+    rng = random.Random(17)
+    word = lambda: f"w{rng.randrange(4000)}"
+    rows = []
+    template = [word() for _ in range(60)]
+    for k in range(12):  # sets of one template that match but are no links, and chains of links among them
+        text = list(template)
+        for i in rng.sample(range(60), 12):
+            text[i] = word()
+        for _ in range(6):
+            rows.append((len(rows), " ".join(text)))
+            text[rng.randrange(60)] = word()
+    rows += [(1000, rows[3][1]), (1001, None), (None, rows[5][1])]
+    want = sorted(((d, n, c, k) for d, n, c, k in brute(rows)), key=str)
+    for options in ({"dense": 0, "set_block": 4, "block": 8}, {"dense": 0}, {}):
+        got = M.near_duplicates(spark.createDataFrame([(*r, "clash", 1) for r in rows], DOCS), matches=12, coordinates=32, **options).collect()
+        assert sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got), key=str) == want
