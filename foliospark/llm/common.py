@@ -94,9 +94,11 @@ def slices(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]
 
 def packed_rows(bucket: np.ndarray, **columns: np.ndarray) -> Iterator[pa.RecordBatch]:
     """A row for each bucket that has any, with its values of every column as bytes."""
+    if not len(bucket):
+        return
     order = np.argsort(bucket, kind="stable")
     b = bucket[order]
-    lead = np.flatnonzero(np.append(True, b[1:] != b[:-1])) if len(b) else np.zeros(0, np.int64)
+    lead = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
     ends = np.append(lead[1:], len(b)).tolist()
     arrays = {"bucket": pa.array(b[lead], pa.int32())}
     for k, v in columns.items():

@@ -608,3 +608,10 @@ def test_main_text_of_marked_pages():
         got = H.extract(page)
         assert all(p in got for p in parts), (case, tag)
         assert got.split(" ", 2)[2] == " ".join(parts), (case, tag)
+
+
+def test_tasks_without_labelled_rows(spark):
+    rows = [(i, f"text {'odious' if i % 2 else 'kind'} {i}") for i in range(12)]
+    lab = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id BIGINT, toxic INT")
+    few = docs(spark, rows).repartition(9).unionByName(docs(spark, [(100 + i, "others") for i in range(20)]).repartition(5))
+    assert TX.score_toxicity(few, lab).count() == 32
