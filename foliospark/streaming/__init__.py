@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from foliospark.pipeline import Codec, Settings, final_pages
 from foliospark.operators.codecs import decode_image
+from foliospark.pipeline import Codec, Settings, final_pages
 from foliospark.recognize import Recognizer
+from foliospark.session import scope
 from foliospark.sources.loader import BINARY_FILE, sheets
 from foliospark.sources.pdf import PdfRenderer
 
@@ -26,8 +27,9 @@ def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, recogniz
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        pages = final_pages(sheets(batch.select("path", "content"), pdf), recognizer, settings, codec)
-        pages.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        with scope(batch.sparkSession):  # a batch's intermediates go with it
+            pages = final_pages(sheets(batch.select("path", "content"), pdf), recognizer, settings, codec)
+            pages.write.mode("overwrite").parquet(f"{out}/batch={number}")
         if each:
             each(batch, number)
 
