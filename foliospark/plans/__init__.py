@@ -676,3 +676,6 @@ def q46_star_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
     rows = table(spark, sf_dir, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
     return rows.groupBy("n_name").agg(F.count(F.lit(1)).alias("orders"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"))
+
+
+from foliospark.plans import documents  # noqa: E402, F401  registers its queries
