@@ -26,7 +26,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in parts:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *parts])
-    if spark.sparkContext.getConf().get(_BATCH, None) is None:
+    if not spark._jsparkSession.sessionState().conf().contains(_BATCH):  # unless the session says otherwise
         spark.conf.set(_BATCH, 16 << 20)
     return spark
 
@@ -150,7 +150,7 @@ def materialize_bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     spark = df.sparkSession
     folder = f"{name}_{uuid.uuid4().hex}"
     path, table = f"{shared_dir(spark)}/{folder}", f"{_DATABASE}.{folder}"
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {_DATABASE}")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {_DATABASE} LOCATION '{shared_dir(spark)}/{_DATABASE}'")
     _holder(spark).add(path, table)
     (df.write.option("path", path).option("compression", "zstd")
        .bucketBy(partitions(spark), key).sortBy(key).format("parquet").saveAsTable(table))
