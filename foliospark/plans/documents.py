@@ -206,3 +206,86 @@ def q66_converted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     scans = table(spark, sf_dir, "supplier").select("s_suppkey").mapInArrow(_scans, SHEETS)
     return documents(final_pages(scans, PageNumbers())).select("doc_id", "page_count", F.col("error.code").alias("code"), "markdown")
 
+
+
+SCOPE = "'2.1 Scope', '1) ' || p_name || ' valves open on loss of pressure at any time', '2) ' || p_brand || ' valves close then and stay closed for good'"
+ROWS = "<tr><td>c</td><td>d</td></tr><tr><td>e</td><td>f</td></tr>"
+
+
+@query(f"""SELECT p_partkey, '<table><tr><td>a</td><td>b</td></tr>{ROWS}</table>' || chr(10) || chr(10) || replace(array_to_string([{SCOPE}], chr(10) || chr(10)), ') ', '\\) ') AS markdown FROM part""")
+def q67_text_beside_tables_from_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A garbled text in a surplus cell gives way to what the page's lines say beside the table, in either reading."""
+    from foliospark.operators.repair import repaired
+
+    first = F.concat(F.lit("1) "), "p_name", F.lit(" valves open on loss of pressure at any time"))
+    second = F.concat(F.lit("2) "), "p_brand", F.lit(" valves close then and stay closed for good"))
+    garbled = F.concat(F.lit("2.1 Sc0pe "), F.replace(first, F.lit("loss of"), F.lit("l0s 0f")), F.lit(" "), F.replace(second, F.lit("stay closed"), F.lit("stay c1osed")))
+    md = F.concat(F.lit('<table><tr><td>a</td><td>b</td><td rowspan="3">'), garbled, F.lit(f"</td></tr>{ROWS}</table>"))
+    at = lambda text, x, y, w: F.struct(text.alias("text"), F.array(*(F.lit(float(v)) for v in (x, y, x + w, y + 30))).alias("box"), F.lit(None).cast("double").alias("score"))
+    lines = F.array(at(F.lit("a"), 60, 110, 60), at(F.lit("Scope"), 690, 152, 90), at(F.lit("2.1"), 620, 150, 50), at(F.element_at(F.split(first, " valves "), 1), 620, 200, 200), at(F.concat(F.lit("valves "), F.element_at(F.split(first, " valves "), 2)), 620, 240, 300), at(second, 620, 300, 300), at(F.lit("below"), 620, 700, 90))
+    cells = F.array(*(F.array(*map(F.lit, b)) for b in ((50.0, 100.0, 200.0, 120.0), (200.0, 100.0, 350.0, 120.0), (50.0, 120.0, 200.0, 140.0), (600.0, 90.0, 960.0, 360.0))))
+    empty = lambda kind: F.array().cast(f"ARRAY<{kind}>")
+    even, none = F.col("p_size") % 2 == 0, empty(LINE)
+    one = F.lit(1.0)
+    rows = table(spark, sf_dir, "part").withColumn("lines", lines.cast(f"ARRAY<{LINE}>"))
+    return rows.select("p_partkey", repaired(md, F.when(even, F.col("lines")).otherwise(none), F.when(even, none).otherwise(F.col("lines")), empty(BLOCK), cells, one, one).alias("markdown"))
+
+
+@query("SELECT p_partkey, 'alpha beta gamma delta' || chr(10) || chr(10) || p_name || ' in between' || chr(10) || chr(10) || 'omega sigma theta kappa' AS markdown FROM part")
+def q68_aligned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that stand somewhere else than their blocks, and in another scale: those of known text are anchors for those between."""
+    low, wide = F.col("p_size") * 7.0, F.col("p_partkey") % 5 + 1.0
+    middle = F.concat("p_name", F.lit(" in between"))
+    block = lambda text, y: F.struct(F.lit("text").alias("label"), F.lit(text).alias("content"), F.array(*map(F.lit, (70.0, y, 710.0, y + 48.0))).alias("bbox"))
+    blocks = F.array(block("alpha beta gamma delta", 100.0), block("&%", 200.0), block("omega sigma theta kappa", 300.0))
+    lines = F.array(_line(F.lit("omega sigma theta kappa"), low + 200 * wide), _line(F.lit("alpha beta gamma delta"), low), _line(middle, low + 100 * wide))
+    md = F.lit("alpha beta gamma delta\n\n&%\n\nomega sigma theta kappa")
+    return table(spark, sf_dir, "part").select("p_partkey", _repaired(md, lines, None, blocks).alias("markdown"))
+
+
+@query("SELECT p_partkey, '전원 스위치가 ' || CASE WHEN p_size % 2 = 0 THEN 'Off' ELSE 'Of' END || ' 위치에 있으면 ' || p_brand || ' 점등' AS markdown FROM part")
+def q69_consensus_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A word that lacks a letter is corrected where both readings have it whole."""
+    text = lambda word: F.concat(F.lit("전원 스위치가 "), word, F.lit(" 위치에 있으면 "), "p_brand", F.lit(" 점등"))
+    said, first, second = text(F.lit("Of")), text(F.lit("Off")), text(F.when(F.col("p_size") % 2 == 0, "Off").otherwise("On"))
+    block = F.struct(F.lit("text").alias("label"), said.alias("content"), F.array(*map(F.lit, (70.0, 100.0, 710.0, 148.0))).alias("bbox"))
+    return table(spark, sf_dir, "part").select("p_partkey", _repaired(said, F.array(_line(first, 100.0)), F.array(_line(second, 100.0)), F.array(block)).alias("markdown"))
+
+
+@query(f"""SELECT s_suppkey, (2 * x + i)::INT AS x, (2 * y + j)::INT AS y, CASE WHEN greatest(red, green, blue) - least(red, green, blue) > 18 THEN red WHEN red * 0.2126::DOUBLE + green * 0.7152::DOUBLE + blue * 0.0722::DOUBLE <= 150 THEN 0 ELSE 255 END::INT AS red,
+CASE WHEN greatest(red, green, blue) - least(red, green, blue) > 18 THEN blue WHEN red * 0.2126::DOUBLE + green * 0.7152::DOUBLE + blue * 0.0722::DOUBLE <= 150 THEN 0 ELSE 255 END::INT AS blue
+FROM (SELECT s_suppkey, x, y, (x * 60 + y * 23 + s_suppkey) % 256 AS red, (x * 60 + y * 23 + s_suppkey) % 256 AS green, least(255, (x * 60 + y * 23 + s_suppkey) % 256 + s_suppkey % 40) AS blue FROM supplier, range(0, 4) a(x), range(0, 3) b(y)), (VALUES (0), (1)) a(i), (VALUES (0), (1)) b(j)""")
+def q70_text_safe_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neutral pixels become black or white, tinted ones stay, and small rasters are doubled."""
+    from foliospark.operators.raster import suppressed
+
+    two = lambda v: F.lpad(F.hex(v.cast("int")), 2, "0")
+    base = lambda i: ((i % 4) * 60 + F.floor(i / 4) * 23 + F.col("s_suppkey")) % 256
+    data = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.concat(two(base(i)), two(base(i)), two(F.least(F.lit(255), base(i) + F.col("s_suppkey") % 40)))), ""))
+    image = F.struct(F.lit(4).alias("width"), F.lit(3).alias("height"), data.alias("data"))
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", suppressed(image, "text-safe").alias("image"))
+    return pixels(rows, "image", "s_suppkey").select("s_suppkey", "x", "y", "red", "blue")
+
+
+class CountedPages:
+    """A PDF renderer that gives as many pages as the file has bytes; none is an error."""
+
+    def pages(self, path: str, folder: str | None = None) -> list[tuple[str, bytes]]:
+        import os
+
+        from foliospark.errors import FolioError
+
+        n = os.path.getsize(path)
+        if not n:
+            raise FolioError("PDF_NO_PAGES", "no pages")
+        return [(f"page-{i:04d}.png", bytes(i)) for i in range(1, n + 1)]
+
+
+@query("""SELECT '/in/' || s_suppkey || '.pdf' AS doc_id, i::INT AS sheet_number, i::INT AS size, i > 0 AS read, coalesce(CASE WHEN i > 0 THEN 'page-000' || i || '.png' END, '') AS name, CASE WHEN i = 0 THEN 'PDF_NO_PAGES' ELSE '' END AS code
+FROM supplier, range(0, 6) t(i) WHERE CASE WHEN s_suppkey % 6 = 0 THEN i = 0 ELSE i BETWEEN 1 AND s_suppkey % 6 END""")
+def q71_pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "supplier").select(F.concat(F.lit("/in/"), F.col("s_suppkey").cast("string"), F.lit(".pdf")).alias("path"), F.repeat(F.lit("%"), (F.col("s_suppkey") % 6).cast("int")).cast("binary").alias("content"))
+    found = sheets(files, CountedPages())
+    single = (F.col("page_layout") == "single") & (F.col("pdf_page_number") == F.col("sheet_number"))
+    none = F.lit("")
+    return found.select("doc_id", "sheet_number", F.coalesce(F.octet_length("content"), F.lit(0)).alias("size"), F.coalesce(single, F.lit(False)).alias("read"), F.coalesce("name", none).alias("name"), F.coalesce("error.code", none).alias("code"))
