@@ -241,7 +241,7 @@ def round_half_up(c: Column) -> Column:
     return F.floor(c + 0.5)
 
 
-def _anchors(width: int, gram: int):
+def _anchors(width: int, gram: int) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
             yield pa.array([None if x is None else pure.anchors(x.encode(), width, gram) for x in column.to_pylist()], pa.list_(pa.int64()))
