@@ -8,16 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliospark.llm.codes import vector_codes
 from foliospark.llm.html_extract import main_text
 from foliospark.llm.media import media_column
 from foliospark.llm.minhash import near_duplicates
 from foliospark.llm.packing import pack_documents
+from foliospark.llm.rolling import rolling_features
 from foliospark.llm.sampling import sample_segmentations
 from foliospark.llm.suffix import remove_repeats
 from foliospark.llm.tokens import count_tokens
 from foliospark.llm.toxicity import score_toxicity
 from foliospark.llm.vectors import vector_duplicates
 from foliospark.llm.warc import archive_pages
+from foliospark.llm.winnow import decontaminate
 from foliospark.session import prepare, settled, work_folder
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -142,6 +145,81 @@ SELECT page_id, octet_length(b)::BIGINT AS payload_bytes,
 FROM f
 """
 
+def op11_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), item_windows AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS s FROM (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)
+), sizes AS (SELECT DISTINCT n FROM item_windows
+), places AS (
+  SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS s FROM (SELECT r, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)
+), found AS (SELECT p.r, p.n, p.i, t.item_id FROM places p JOIN item_windows t ON t.n = p.n AND t.s = p.s
+), hits AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS k FROM (SELECT DISTINCT r, n, i FROM found)) GROUP BY r
+), listed AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id::VARCHAR AS item_id FROM found WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_hit, coalesce(l.n_items, 0)::BIGINT AS n_items, sha256(coalesce(l.ids, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits h ON h.r = d.r LEFT JOIN listed l ON l.r = d.r
+"""
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(_table(spark, sf_dir, "embeddings"), scale=4096, parts=8, entries=16, rounds=6)
+
+
+def _op12_sql(rounds: int = 6) -> str:
+    """The rounds one after another, each an assignment and the new means."""
+    nearest = "SELECT r, p, min(struct_pack(d := list_sum(list_transform(range(1, len(v) + 1), lambda i: (v[i] - c[i]) * (v[i] - c[i])))::BIGINT, e := e)) AS best FROM parts JOIN {book} USING (p) GROUP BY r, p"
+    steps = []
+    for k in range(rounds):
+        steps.append(f"a{k} AS MATERIALIZED ({nearest.format(book=f'b{k}')})")
+        sums = f"SELECT p, best.e AS e, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM (SELECT p, best, v, unnest(range(1, len(v) + 1)) AS i FROM a{k} JOIN parts USING (r, p)) GROUP BY ALL"
+        means = f"SELECT p, e, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM ({sums}) GROUP BY p, e"
+        steps.append(f"b{k + 1} AS MATERIALIZED (SELECT p, e, coalesce(m.c, b.c) AS c FROM b{k} b LEFT JOIN ({means}) m USING (p, e))")
+    last = f"b{rounds}"
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+  SELECT r, p, x[(p * len(x)) // 8 + 1:((p + 1) * len(x)) // 8] AS v FROM kept, range(8) t(p)
+), b0 AS (SELECT p, r - 1 AS e, v AS c FROM parts WHERE r <= 16
+), {", ".join(steps)}, coded AS (
+  SELECT r, string_agg(lpad(lower(to_hex(best.e)), 2, '0'), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM ({nearest.format(book=last)}) GROUP BY r
+), digest AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, e)) AS h FROM {last}
+)
+SELECT k.vec_id, c.code, c.error, (sum(c.error) OVER (PARTITION BY k.label))::BIGINT AS label_error, h AS codebooks_sha256 FROM kept k JOIN coded c USING (r), digest
+"""
+
+
+OP12_SQL = _op12_sql()
+
+
+def op13_rolling_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's time is made up from its id: 60 * floor((doc_id + crc32 mod 1000) / 6)."""
+    at = F.col("doc_id") + F.crc32(F.col("doc_id").cast("string").cast("binary")) % 1000
+    return rolling_features(_table(spark, sf_dir, "documents"), (at - F.pmod(at, F.lit(6))) * 10, windows=(1800, 86400))
+
+
+OP13_SQL = r"""
+WITH crc AS (
+  SELECT source, lang, doc_id, length(text) AS n, xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1))), 4294967295) AS h FROM documents
+), e AS (SELECT *, (60 * floor((doc_id + h % 1000) / 6))::BIGINT AS event_s FROM crc
+), w AS (
+  SELECT *, 1800 AS window_s, count(*) OVER a AS n_events, sum(n) OVER a AS s, list(n) OVER a AS ns, list(lang) OVER a AS langs FROM e WINDOW a AS (PARTITION BY source ORDER BY event_s RANGE BETWEEN 1800 PRECEDING AND 1 PRECEDING)
+  UNION ALL
+  SELECT *, 86400, count(*) OVER a, sum(n) OVER a, list(n) OVER a, list(lang) OVER a FROM e WINDOW a AS (PARTITION BY source ORDER BY event_s RANGE BETWEEN 86400 PRECEDING AND 1 PRECEDING)
+), o AS (SELECT *, list_sort(list_filter(coalesce(ns, []), lambda x: x IS NOT NULL)) AS q FROM w)
+SELECT doc_id, window_s::BIGINT AS window_s, event_s, n_events::BIGINT AS n_events, coalesce(s, 0)::BIGINT AS sum_chars, len(list_distinct(list_filter(coalesce(langs, []), lambda x: x IS NOT NULL)))::BIGINT AS n_langs,
+  q[(len(q) + 1) // 2]::BIGINT AS median_chars, q[(99 * len(q) + 99) // 100]::BIGINT AS high_chars
+FROM o
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_media_columns": op2_media_columns,
@@ -153,10 +231,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece_sampling": op8_sentencepiece_sampling,
     "op9_html_extraction": op9_html_extraction,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
+    "op11_winnowing_decontamination": op11_winnowing_decontamination,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_rolling_features": op13_rolling_features,
 }
 ORACLES: dict[str, str] = {
     "op1_minhash_near_dedup": OP1_SQL,
     "op4_suffix_array_dedup": OP4_SQL,
     "op7_warc_zip": OP7_SQL,
     "op10_embedding_near_dedup": OP10_SQL,
+    "op11_winnowing_decontamination": OP11_SQL,
+    "op12_vector_codes": OP12_SQL,
+    "op13_rolling_features": OP13_SQL,
 }
