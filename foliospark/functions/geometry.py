@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from foliospark.operators.spatial import points_in_rectangles
+
 
 def finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
@@ -51,17 +53,8 @@ def vertical_overlap(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(a[3], b[3]) - F.greatest(a[1], b[1])) / F.least(height(a), height(b))
 
 
-def inside(box: Column, region: Column, left: float, right: float, above: float, below: float) -> Column:
-    """Whether a box's center is in a region widened on each side."""
-    return center_x(box).between(region[0] - left, region[2] + right) & center_y(box).between(region[1] - above, region[3] + below)
-
-
-def in_region(box: Column, region: Column) -> Column:
-    return inside(box, region, 8, 8, 12, 24)
-
-
-def in_block(box: Column, region: Column, tolerance: float = 4) -> Column:
-    return inside(box, region, tolerance, tolerance, tolerance, tolerance)
+def widened(region: Column, left: float, right: float, above: float, below: float) -> tuple[Column, Column, Column, Column]:
+    return region[0] - left, region[1] - above, region[2] + right, region[3] + below
 
 
 def tall_regions(cells: DataFrame, page: list[str], box: str = "box") -> DataFrame:
@@ -71,10 +64,19 @@ def tall_regions(cells: DataFrame, page: list[str], box: str = "box") -> DataFra
     return found.where((height(b) >= F.greatest(F.lit(80.0), 2.5 * F.col("_median"))) & (width(b) >= 60)).drop("_median")
 
 
-def lines_in_regions(lines: DataFrame, regions: DataFrame, page: list[str], *, box: str = "box", region: str = "region") -> DataFrame:
-    """Lines with a text and a box whose center is in a region of their page: an equi-join on the page, the rest a filter on it."""
+def lines_in_regions(lines: DataFrame, regions: DataFrame, page: list[str], *, box: str = "box", region: str = "region", tested: Observation | None = None) -> DataFrame:
+    """Lines with a text and a box whose center is in a table region of their page, a little widened."""
     text = lines.where(valid_box(F.col(box)) & (F.trim(F.coalesce("text", F.lit(""))) != ""))
-    return text.join(regions, page).where(in_region(F.col(box), F.col(region)))
+    return _held(text, regions, page, box, widened(F.col(region), 8, 8, 12, 24), tested)
+
+
+def lines_in_blocks(lines: DataFrame, blocks: DataFrame, page: list[str], *, box: str = "box", block: str = "block", tolerance: float = 4, tested: Observation | None = None) -> DataFrame:
+    """Lines whose box has its center in a block of their page, or within ``tolerance`` of it."""
+    return _held(lines.where(F.size(box) == 4), blocks, page, box, widened(F.col(block), tolerance, tolerance, tolerance, tolerance), tested)
+
+
+def _held(lines: DataFrame, rectangles: DataFrame, page: list[str], box: str, sides: tuple[Column, Column, Column, Column], tested: Observation | None) -> DataFrame:
+    return points_in_rectangles(lines, rectangles, page, (center_x(F.col(box)), center_y(F.col(box))), sides, tested)
 
 
 def interpolated(y: Column, y0: Column, y1: Column, to0: Column, to1: Column) -> Column:

@@ -1,7 +1,7 @@
 """Lines of a page: visual rows, paragraphs, numbered paragraphs, and alignment with the structure's coordinates.
 
-Page-level folds, whose next step depends on running values; a page has some hundred lines. The parts of them that are
-relational also have DataFrame forms in :mod:`foliospark.operators.relational`.
+Page-level folds, whose next step depends on running values. Rows and numbered paragraphs are expressions over an array of
+lines (``rows_of``, ``numbered_of``); the Python forms serve the steps of a page's repair, and are what tests hold them against.
 """
 
 from __future__ import annotations
@@ -9,14 +9,16 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable
 from typing import Any
 
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from foliospark.functions import pure
+from foliospark.functions.fold import let, runs, scan
+from foliospark.functions.geometry import center_y, finite_box, height, valid_box
+from foliospark.functions.text import numbered_marker, strip
 from foliospark.operators.layout import valid
 
 _S = f"[{pure.SPACE}]"
@@ -145,23 +147,49 @@ def aligned(lines: list[Line], blocks: list[dict]) -> list[Line]:
     return out
 
 
-def _rows_of(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for column in columns:
-        kept = ([x for x in page or [] if text_of(x) and valid(x.get("box"))] for page in column.to_pylist())
-        yield pa.array([visual_rows(sorted(page, key=lambda x: (middle(x), x["box"][0]))) for page in kept], pa.list_(pa.string()))
+def _texts(lines: Column, keep: Callable[[Column], Column]) -> Column:
+    """Lines with a text and a box that ``keep`` allows: text stripped, box, and the place among all."""
+    return F.filter(F.transform(lines, lambda x, i: F.struct(strip(F.coalesce(x["text"], F.lit(""))).alias("text"), x["box"].alias("box"), i.alias("i"))), lambda x: (x["text"] != "") & keep(x["box"]))
 
 
 def rows_of(lines: Column) -> Column:
-    """The visual rows of a page's lines, from top to bottom; lines without text or a box are left out."""
-    return F.arrow_udf(_rows_of, "array<string>")(lines)
+    """The visual rows of a page's lines, from top to bottom, with the rule of :func:`visual_rows`; lines without text or a box are left out."""
+    placed = F.transform(_texts(lines, valid_box), lambda x: F.struct(center_y(x["box"]).cast("double").alias("y"), x["box"][0].cast("double").alias("x"), x["i"].alias("i"), height(x["box"]).cast("double").alias("h"), x["text"].alias("text")))
+    start = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("total"), F.lit(0.0).alias("tallest"))
 
+    def begins(s: Column, x: Column) -> Column:
+        return (s["n"] == 0) | (F.abs(x["y"] - s["total"] / F.greatest(s["n"], F.lit(1))) > F.greatest(F.lit(10.0), 0.6 * F.least(x["h"], s["tallest"])))
 
-def _numbered_of(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    kind = pa.list_(pa.struct([("number", pa.int32()), ("text", pa.string())]))
-    for column in columns:
-        yield pa.array([[{"number": n, "text": t} for n, t in numbered_paragraphs(page)] for page in column.to_pylist()], kind)
+    def after(s: Column, x: Column) -> Column:
+        return let(begins(s, x), lambda new: F.struct(F.when(new, 1).otherwise(s["n"] + 1).alias("n"), F.when(new, x["y"]).otherwise(s["total"] + x["y"]).alias("total"), F.when(new, x["h"]).otherwise(F.greatest(s["tallest"], x["h"])).alias("tallest")))
+
+    def rows(sorted_lines: Column) -> Column:
+        beside = lambda row: F.array_sort(F.transform(row, lambda x, k: F.struct(x["x"].alias("x"), k.alias("k"), x["text"].alias("text"))))
+        return F.transform(runs(sorted_lines, scan(sorted_lines, start, after, begins, "boolean")), lambda row: F.array_join(F.transform(beside(row), lambda x: x["text"]), " "))
+
+    return F.coalesce(let(F.array_sort(placed), rows), F.array().cast("array<string>"))
 
 
 def numbered_of(lines: Column) -> Column:
-    """:func:`numbered_paragraphs` of a page's lines."""
-    return F.arrow_udf(_numbered_of, "array<struct<number: int, text: string>>")(lines)
+    """Numbered paragraphs of a page's lines, with the rule of :func:`numbered_paragraphs`."""
+    placed = F.transform(_texts(lines, finite_box), lambda x: F.struct(x["box"][1].cast("double").alias("y"), x["box"][0].cast("double").alias("x"), x["i"].alias("i"), x["box"][3].cast("double").alias("bottom"), x["text"].alias("text"), numbered_marker(x["text"]).alias("number")))
+    start = F.struct(F.lit(0.0).alias("left"), F.lit(0.0).alias("bottom"), F.lit(True).alias("ended"))
+    beside = lambda s, x: F.abs(x["x"] - s["left"]) <= 100
+    far = lambda s, x: x["y"] - s["bottom"] > 90
+
+    def after(s: Column, x: Column) -> Column:
+        begun = F.struct(x["x"].alias("left"), x["bottom"].alias("bottom"), F.lit(False).alias("ended"))
+        longer = F.struct(s["left"].alias("left"), F.greatest(s["bottom"], x["bottom"]).alias("bottom"), F.lit(False).alias("ended"))
+        over = F.struct(s["left"].alias("left"), s["bottom"].alias("bottom"), F.lit(True).alias("ended"))
+        return F.when(x["number"].isNotNull(), begun).when(s["ended"], s).when(far(s, x), over).when(beside(s, x), longer).otherwise(s)
+
+    taken = lambda s, x: x["number"].isNotNull() | (~s["ended"] & ~far(s, x) & beside(s, x))
+
+    def paragraphs_in(sorted_lines: Column) -> Column:
+        kept = F.filter(F.arrays_zip(sorted_lines.alias("x"), scan(sorted_lines, start, after, taken, "boolean").alias("taken")), lambda z: z["taken"])
+        parts = let(F.transform(kept, lambda z: z["x"]), lambda own: runs(own, F.transform(own, lambda x: x["number"].isNotNull())))
+        return F.transform(parts, lambda p: F.struct(p[0]["number"].cast("int").alias("number"), F.array_join(F.transform(p, lambda x: x["text"]), " ").alias("text")))
+
+    none = F.array().cast("array<struct<number: int, text: string>>")
+    marks = lambda placed: F.size(F.filter(placed, lambda x: x["number"].isNotNull()))
+    return F.coalesce(let(F.array_sort(placed), lambda p: F.when(marks(p) >= 3, paragraphs_in(p)).otherwise(none)), none)

@@ -18,6 +18,7 @@ from foliospark.operators import batch as B
 from foliospark.operators import layout as L
 from foliospark.operators import relational as R
 from foliospark.operators import lines as N
+from foliospark.operators.ordered import last_known, matches_in_order
 from foliospark.operators.raster import binarized, light_of, pixels, split_columns, suppressed, tone_lift
 from foliospark.session import prepare
 
@@ -260,7 +261,7 @@ FROM {TALL_SQL} r JOIN {BOXES_SQL} l ON l.l_orderkey = r.l_orderkey AND (l.x0 +
 def q20_block_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = boxes(spark, sf_dir)
     blocks = G.tall_regions(b, ["l_orderkey"]).select("l_orderkey", F.col("l_linenumber").alias("block_line"), F.col("l_partkey").alias("block_part"), F.col("box").alias("block"))
-    found = b.join(blocks, "l_orderkey").where(G.in_block(F.col("box"), F.col("block")))
+    found = G.lines_in_blocks(b, blocks, ["l_orderkey"])
     order = (F.col("box")[1].alias("a"), F.col("box")[0].alias("b"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_extendedprice"))
     return found.groupBy("l_orderkey", "block_line", "block_part").agg(R.ordered_concat(F.col("l_partkey").cast("string"), " ", *order).alias("text"))
 
@@ -328,8 +329,22 @@ def q27_anchor_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     anchors = e.where("event_type = 'purchase'").groupBy("user_id", F.col("at").alias("x")).agg(F.max(F.round(F.col("value") * 10, 0)).alias("y"))
     seg = R.anchor_segments(anchors, ["user_id"], "x", "y")
     views = e.where("event_type = 'view'").select("event_id", "user_id", F.col("at").alias("q"))
-    hit = views.join(seg, "user_id").where((F.col("q") > F.col("lo")) & (F.col("q") <= F.col("hi")))
-    return hit.select("event_id", F.round(G.interpolated(F.col("q"), F.col("x0"), F.col("x1"), F.col("to0"), F.col("to1")), 3).alias("mapped"))
+    hit = last_known(views, seg, ["user_id"], "q", "lo").where("known is not null")
+    return hit.select("event_id", F.round(G.interpolated(F.col("q"), *(F.col(f"known.{c}") for c in ("x0", "x1", "to0", "to1"))), 3).alias("mapped"))
+
+
+MATCH_SQL = """(SELECT l_orderkey, l_partkey % 5 AS k, l_suppkey % 2 AS side, row_number() OVER (PARTITION BY l_orderkey, l_suppkey % 2 ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS i FROM lineitem)"""
+
+
+@query(f"""WITH RECURSIVE b AS MATERIALIZED (SELECT l_orderkey, i, k FROM {MATCH_SQL} WHERE side = 0), l AS MATERIALIZED (SELECT l_orderkey, i, k FROM {MATCH_SQL} WHERE side = 1),
+s AS (SELECT DISTINCT l_orderkey, -1::BIGINT AS block, NULL::BIGINT AS line, 0::BIGINT AS at FROM b UNION ALL
+SELECT * FROM (SELECT s.l_orderkey, s.block + 1 AS block, min(l.i) AS line, coalesce(min(l.i) + 1, s.at) AS at FROM s JOIN b ON b.l_orderkey = s.l_orderkey AND b.i = s.block + 1 LEFT JOIN l ON l.l_orderkey = s.l_orderkey AND l.k = b.k AND l.i >= s.at GROUP BY s.l_orderkey, s.block, s.at))
+SELECT l_orderkey, block::INT AS block, line::INT AS line FROM s WHERE line IS NOT NULL""")
+def q72_matches_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of an order from one half of the suppliers as blocks, those from the other half as lines, matched in order by a key that repeats."""
+    rows = table(spark, sf_dir, "lineitem").withColumn("k", F.col("l_partkey") % 5)
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    return matches_in_order(rows.where("l_suppkey % 2 = 0"), rows.where("l_suppkey % 2 = 1"), ["l_orderkey"], "k", order, order)
 
 
 @query("""WITH f AS (SELECT p_partkey, p_brand || CASE p_partkey % 3 WHEN 0 THEN '.png' WHEN 1 THEN '.jpg' ELSE '.PNG' END AS name FROM part), s AS (SELECT *, regexp_replace(name, '\\.[^.]*$', '') AS stem, lower(regexp_extract(name, '\\.([^.]*)$', 1)) AS ext FROM f),
