@@ -11,11 +11,11 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliospark.errors import FolioError, summary
+from foliospark.functions import text as T
 from foliospark.operators import batch as B
 from foliospark.operators.assemble import documents, folder_names, manifests, materialized
 from foliospark.operators.codecs import decode_image
@@ -23,6 +23,7 @@ from foliospark.operators.raster import encode_png, split_pages, suppress
 from foliospark.recognize import ProcessRecognizer, Recognizer, recognized
 from foliospark.schemas import ERROR
 from foliospark.session import materialize, prepare
+from foliospark.sinks import write_files
 from foliospark.sources.loader import files, image_files, sheets
 from foliospark.sources.pdf import PdfRenderer
 
@@ -129,68 +130,34 @@ def local_path(path: str) -> str:
     return "/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path
 
 
-def _store(folder: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    return pyarrow.fs.FileSystem.from_uri(folder) if "://" in folder else (pyarrow.fs.LocalFileSystem(), os.path.abspath(folder))
+def _manifest_text(column: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for manifests_ in column:
+        yield pa.array([json_text(m) for m in manifests_.to_pylist()], pa.string())
 
 
-def _written(store: pyarrow.fs.FileSystem, path: str, data: bytes) -> None:
-    store.create_dir(os.path.dirname(path), recursive=True)
-    with store.open_output_stream(path) as out:
-        out.write(data)
-
-
-def write_assets(pages: DataFrame, output: str) -> DataFrame:
-    """Writes the assets of (doc_id, folder, asset_paths, assets) under ``output``/folder; (doc_id, written) per page. An asset is in memory at a time."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = _store(output)
-        for batch in batches:
-            written = []
-            for k in range(batch.num_rows):
-                targets, assets = (batch.column(c)[k] for c in ("asset_paths", "assets"))
-                n = len(targets) if targets.is_valid else 0
-                for i in range(n):
-                    asset = assets[i].as_py()
-                    content = asset["content"]
-                    if content is None:
-                        with open(asset["source_path"], "rb") as file:
-                            content = file.read()
-                    _written(store, os.path.join(base, batch.column("folder")[k].as_py(), targets[i].as_py()), content)
-                written.append(n)
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "written": pa.array(written, pa.int64())})
-
-    return pages.select("doc_id", "folder", "asset_paths", "assets").mapInArrow(run, "doc_id string, written bigint")
-
-
-def write_texts(documents: DataFrame, output: str) -> DataFrame:
-    """Writes the Markdown and the manifest of (doc_id, folder, markdown, manifest); (doc_id, markdown, manifest): where they are under ``output``."""
+def output_files(tables: dict[str, DataFrame], folders: DataFrame) -> DataFrame:
+    """(path, content, source_path) of every document that did not fail: its Markdown, its manifest and its assets, in its folder."""
+    good = tables["documents"].where("error is null").select("doc_id", "markdown").join(folders, "doc_id").join(tables["manifests"], "doc_id")
+    text = lambda ending, c: F.struct(F.concat(_inside("folder"), T.stem(F.col("doc_id")), F.lit(ending)).alias("path"), c.cast("binary").alias("content"))
+    both = F.array(text(".md", F.col("markdown")), text(".manifest.json", F.arrow_udf(_manifest_text, "string")(F.col("manifest"))))
+    texts = good.select(F.explode(both).alias("f")).select("f.path", "f.content", F.lit(None).cast("string").alias("source_path"))
+    own = tables["pages"].where(F.size("asset_paths") > 0).select("doc_id", "asset_paths", "assets").join(good.select("doc_id", "folder"), "doc_id")
+    assets = own.select("folder", F.explode(F.arrays_zip("asset_paths", "assets")).alias("a")).select(F.concat(_inside("folder"), F.col("a.asset_paths")).alias("path"), F.col("a.assets.content").alias("content"), F.col("a.assets.source_path").alias("source_path"))
+    return texts.unionByName(assets)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = _store(output)
-        for batch in batches:
-            rows = []
-            for row in batch.to_pylist():
-                stem = os.path.splitext(os.path.basename(row["doc_id"]))[0]
-                names = [os.path.join(row["folder"], stem + e) for e in (".md", ".manifest.json")]
-                for name, text in zip(names, (row["markdown"], json_text(row["manifest"])), strict=True):
-                    _written(store, os.path.join(base, name), text.encode())
-                rows.append((row["doc_id"], *(n.replace(os.sep, "/") for n in names)))
-            yield pa.record_batch({n: pa.array([r[k] for r in rows], pa.string()) for k, n in enumerate(("doc_id", "markdown", "manifest"))})
 
-    return documents.select("doc_id", "folder", "markdown", "manifest").mapInArrow(run, "doc_id string, markdown string, manifest string")
+def _inside(folder: str) -> Column:
+    return F.when(F.col(folder) == "", "").otherwise(F.concat(folder, F.lit("/")))
 
 
 def write_outputs(tables: dict[str, DataFrame], folders: DataFrame, output: str) -> DataFrame:
-    """(doc_id, folder, markdown, manifest, error): every document that did not fail, written by the executors to its folder in any store.
+    """(doc_id, folder, markdown, manifest, error): every document that did not fail, written by the executors to its folder.
 
-    ``folders``: (doc_id, folder). Files are written once more, with the same content, where a task runs again.
+    ``folders``: (doc_id, folder). Files come into being all together, when the job commits; a job that fails leaves none.
     """
-    prepare(folders.sparkSession)
-    good = tables["documents"].where("error is null").select("doc_id", "markdown").join(folders, "doc_id").join(tables["manifests"], "doc_id")
-    pages = tables["pages"].select("doc_id", "asset_paths", "assets").where(F.size("asset_paths") > 0).join(good.select("doc_id", "folder"), "doc_id")
-    materialize(write_assets(pages, output), "assets")
-    texts = materialize(write_texts(good, output), "texts")
-    return tables["documents"].select("doc_id", "error").join(folders, "doc_id").join(texts, "doc_id", "left")
+    write_files(output_files(tables, folders), output)
+    name = lambda ending: F.when(F.col("error").isNull(), F.concat(_inside("folder"), T.stem(F.col("doc_id")), F.lit(ending)))
+    return tables["documents"].select("doc_id", "error").join(folders, "doc_id").select("doc_id", "error", "folder", name(".md").alias("markdown"), name(".manifest.json").alias("manifest"))
 
 
 def json_text(value: Any) -> str:

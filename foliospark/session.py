@@ -17,7 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 _DATABASE = "foliospark_work"
-_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_OURS = {  # unless the session says otherwise: what Python is given at a time, and filters that reach sources written in it
+    "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20,
+    "spark.sql.python.filterPushdown.enabled": True,
+}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -26,8 +29,10 @@ def prepare(spark: SparkSession) -> SparkSession:
     parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in parts:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *parts])
-    if not spark._jsparkSession.sessionState().conf().contains(_BATCH):  # unless the session says otherwise
-        spark.conf.set(_BATCH, 16 << 20)
+    said = spark._jsparkSession.sessionState().conf()
+    for name, value in _OURS.items():
+        if not said.contains(name):
+            spark.conf.set(name, value)
     return spark
 
 

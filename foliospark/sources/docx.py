@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import operator
 import posixpath
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 from typing import NamedTuple
 from xml.parsers import expat
 
 import pyarrow.fs
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual, StringEndsWith, StringStartsWith
 
 from foliospark.errors import FolioError, as_folio_error, summary
 from foliospark.functions.pure import natural_key
+from foliospark.schemas import SHEETS
+from foliospark.sources.store import Held, Ranges, opened
 
 BODY, LINKS, MEDIA = "word/document.xml", "word/_rels/document.xml.rels", "word/media/"
 IMAGES = frozenset((".png", ".jpg", ".jpeg", ".webp", ".tif", ".tiff", ".bmp"))
@@ -28,26 +32,35 @@ class Entry(NamedTuple):
     header: int
 
 
+_TAIL = 65557  # of a file: the end record with the longest comment
+
+
 class Archive:
-    """A ZIP archive in memory, members by name in directory order; a name that comes again replaces the first.
+    """A ZIP archive, members by name in directory order; a name that comes again replaces the first.
 
-    Sizes are taken from the central directory and checked, checksums are not. ZIP64 and encryption are refused.
+    Only the end record, the directory and the members asked for are read. Sizes are taken from the directory and
+    checked, checksums are not; a member is inflated to its size and no further. ZIP64 and encryption are refused.
     """
 
-    def __init__(self, data: bytes) -> None:
-        self.data = data
-        end = data.rfind(b"PK\x05\x06", max(0, len(data) - 65557))
-        if end < 0 or end + 22 > len(data):
+    def __init__(self, data: bytes | Ranges) -> None:
+        self.file = Held(data) if isinstance(data, bytes) else data
+        tail_at = max(0, self.file.size - _TAIL)
+        tail = self.file.at(tail_at, _TAIL)
+        end = tail.rfind(b"PK\x05\x06")
+        if end < 0 or end + 22 > len(tail):
             raise FolioError("INPUT_INVALID_ZIP", "no end of the central directory")
-        count, _, at = struct.unpack_from("<HII", data, end + 10)
+        count, size, at = struct.unpack_from("<HII", tail, end + 10)
         if count == 0xFFFF or at == 0xFFFFFFFF:
             raise FolioError("INPUT_UNSUPPORTED_ZIP64", "ZIP64 is not supported")
+        if at + size > tail_at + end:
+            raise FolioError("INPUT_INVALID_ZIP", "broken central directory")
+        directory, at = self.file.at(at, size), 0
         self.entries: dict[str, Entry] = {}
         for _ in range(count):
-            if data[at : at + 4] != b"PK\x01\x02" or at + 46 > len(data):
+            if directory[at : at + 4] != b"PK\x01\x02" or at + 46 > len(directory):
                 raise FolioError("INPUT_INVALID_ZIP", "broken central directory")
-            flags, method, _, _, _, packed, size, name, extra, note, _, _, _, header = struct.unpack_from("<4H3I5H2I", data, at + 8)
-            self.entries[self.safe(data[at + 46 : at + 46 + name].decode("utf-8" if flags & 0x800 else "latin-1", "replace"))] = Entry(flags, method, packed, size, header)
+            flags, method, _, _, _, packed, size, name, extra, note, _, _, _, header = struct.unpack_from("<4H3I5H2I", directory, at + 8)
+            self.entries[self.safe(directory[at + 46 : at + 46 + name].decode("utf-8" if flags & 0x800 else "latin-1", "replace"))] = Entry(flags, method, packed, size, header)
             at += 46 + name + extra + note
 
     @staticmethod
@@ -63,17 +76,16 @@ class Archive:
             raise FolioError("INPUT_ZIP_ENTRY_MISSING", f"no such entry: {name}")
         if entry.flags & 1:
             raise FolioError("INPUT_ENCRYPTED_ZIP", f"encrypted entry: {name}")
-        head = self.data[entry.header : entry.header + 30]
+        head = self.file.at(entry.header, 30)
         if head[:4] != b"PK\x03\x04" or len(head) < 30:
             raise FolioError("INPUT_INVALID_ZIP", f"broken local header: {name}")
-        start = entry.header + 30 + sum(struct.unpack_from("<HH", head, 26))
-        packed = self.data[start : start + entry.packed]
+        packed = self.file.at(entry.header + 30 + sum(struct.unpack_from("<HH", head, 26)), entry.packed)
         if len(packed) < entry.packed:
             raise FolioError("INPUT_INVALID_ZIP", f"the archive breaks off in {name}")
         if entry.method not in (0, 8):
             raise FolioError("INPUT_UNSUPPORTED_ZIP_METHOD", f"method {entry.method}: {name}")
         try:
-            out = packed if entry.method == 0 else zlib.decompressobj(-15).decompress(packed)
+            out = packed if entry.method == 0 else zlib.decompressobj(-15).decompress(packed, entry.size + 1)  # at least one byte: 0 would be no bound
         except zlib.error as error:
             raise FolioError("INPUT_INVALID_ZIP", f"broken entry: {name}") from error
         if len(out) != entry.size:
@@ -139,9 +151,8 @@ def is_image(name: str) -> bool:
     return posixpath.splitext(name)[1].lower() in IMAGES
 
 
-def scans(data: bytes, source: str = "document.docx") -> list[tuple[str, str, bytes]]:
-    """(name, source, content) of each embedded scan in reading order; all media in natural order if the body shows none."""
-    archive = Archive(data)
+def scan_members(archive: Archive) -> list[str]:
+    """The members that are a document's scans, in reading order; all media in natural order if the body shows none."""
     if BODY not in archive.entries or LINKS not in archive.entries:
         raise FolioError("INPUT_INVALID_DOCX", "no document body or relationships")
     links = Links(archive.read(LINKS))
@@ -153,57 +164,119 @@ def scans(data: bytes, source: str = "document.docx") -> list[tuple[str, str, by
         paths = sorted((n for n in archive.entries if n.startswith(MEDIA) and is_image(n)), key=natural_key)
     if not paths:
         raise FolioError("INPUT_NO_IMAGES", "no scans in the document")
-    return [(posixpath.basename(p), source, archive.read(p)) for p in paths]
+    return paths
+
+
+def scans(data: bytes, source: str = "document.docx") -> list[tuple[str, str, bytes]]:
+    """(name, source, content) of each embedded scan in reading order."""
+    archive = Archive(data)
+    return [(posixpath.basename(p), source, archive.read(p)) for p in scan_members(archive)]
 
 
-def _store(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    """The store of a path or URI, and the path in it."""
-    return pyarrow.fs.FileSystem.from_uri(path) if "://" in path else (pyarrow.fs.LocalFileSystem(), path)
+_PART = 128 << 20
 
 
-class _File(InputPartition):
-    def __init__(self, path: str, name: str) -> None:
-        self.path, self.name = path, name
+@dataclass
+class Part(InputPartition):
+    """Every ``of``-th scan of a file, from ``part`` on."""
 
+    path: str
+    part: int
+    of: int
 
-class _Reader(DataSourceReader):
-    def __init__(self, options: dict[str, str]) -> None:
-        self.path = options.get("path", "")
 
-    def partitions(self) -> list[_File]:
-        store, path = _store(self.path)
+_COMPARED = {EqualTo: operator.eq, LessThan: operator.lt, LessThanOrEqual: operator.le, GreaterThan: operator.gt, GreaterThanOrEqual: operator.ge}
+
+
+def _test(f: Filter, column: str) -> Callable[[object], bool] | None:
+    """A pushed filter on one of this source's columns as a test of its value, or None."""
+    if getattr(f, "attribute", None) != (column,):
+        return None
+    if isinstance(f, In):
+        return lambda v: v in f.value
+    if isinstance(f, IsNotNull):
+        return lambda v: v is not None
+    if isinstance(f, StringStartsWith):
+        return lambda v: v is not None and v.startswith(f.value)
+    if isinstance(f, StringEndsWith):
+        return lambda v: v is not None and v.endswith(f.value)
+    compare = _COMPARED.get(type(f))
+    return None if compare is None else lambda v: v is not None and compare(v, f.value)
+
+
+class ScanReader(DataSourceReader):
+    """Filters on doc_id choose files, those on sheet_number choose members; others are not read."""
+
+    def __init__(self, options: dict[str, str]) -> None:
+        self.folder, self.part_bytes = options.get("path", ""), int(options.get("partBytes", _PART))
+        self.filters: dict[str, list[Filter]] = {"doc_id": [], "sheet_number": []}
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802
+        for f in filters:
+            for column, own in self.filters.items():
+                if _test(f, column):
+                    own.append(f)
+                    break
+            else:
+                yield f
+
+    def _wanted(self, column: str, value: object) -> bool:
+        return all(_test(f, column)(value) for f in self.filters[column])
+
+    def partitions(self) -> list[Part]:
+        """A file is one partition, or one for each ``partBytes`` of it; no file is opened for this."""
+        store, path = opened(self.folder)
         info = store.get_file_info(path)
+        found = [info]
         if info.type == pyarrow.fs.FileType.Directory:
-            names = [f.path for f in store.get_file_info(pyarrow.fs.FileSelector(path)) if f.is_file and f.base_name.lower().endswith(".docx")]
-        else:
-            names = [path]
-        return [_File(self.path, n) for n in sorted(names, key=natural_key)]
+            found = [f for f in store.get_file_info(pyarrow.fs.FileSelector(path)) if f.is_file and f.base_name.lower().endswith(".docx")]
+        found = sorted((f for f in found if self._wanted("doc_id", f.path)), key=lambda f: natural_key(f.path))
+        parts = [(f.path, max(1, -(-(f.size or 0) // self.part_bytes))) for f in found]
+        return [Part(name, k, of) for name, of in parts for k in range(of)]
+
+    def read(self, partition: Part) -> Iterator[tuple]:
+        name = posixpath.basename(partition.path)
+        store, _ = opened(self.folder)
+        at, member = 0, None
+        try:
+            with store.open_input_file(partition.path) as file:
+                archive = Archive(Ranges(file))
+                for at, member in enumerate(scan_members(archive), 1):
+                    if at % partition.of == partition.part and self._wanted("sheet_number", at):
+                        yield self._sheet(archive, partition.path, at, member)
+        except (FolioError, OSError) as error:
+            if partition.part == 0 and self._wanted("sheet_number", 0):  # of the file, so once
+                yield partition.path, 0, None, name, None, None, None, _error(error, partition.path)
 
-    def read(self, partition: _File) -> Iterator[tuple]:
-        name = posixpath.basename(partition.name)
+    @staticmethod
+    def _sheet(archive: Archive, path: str, at: int, member: str) -> tuple:
+        head = path, at, posixpath.basename(member), posixpath.basename(path)
         try:
-            store, _ = _store(partition.path)
-            with store.open_input_file(partition.name) as file:
-                found = scans(file.read(), name)
+            return *head, archive.read(member), None, None, None
         except (FolioError, OSError) as error:
-            e = summary(as_folio_error(error, "INPUT_READ_FAILED", f"cannot read {partition.name}"))
-            yield partition.name, 0, None, name, None, None, None, (e["code"], e["message"])
-            return
-        for i, (image, source, content) in enumerate(found, 1):
-            yield partition.name, i, image, source, content, None, None, None
+            return *head, None, None, None, _error(error, path)
+
+
+def _error(error: Exception, path: str) -> tuple[str, str]:
+    e = summary(as_folio_error(error, "INPUT_READ_FAILED", f"cannot read {path}"))
+    return e["code"], e["message"]
 
 
 class DocxSource(DataSource):
-    """``spark.read.format("docx_scans")``: a partition per file of a folder in any store that Python opens by URI, or one file. Spark's own stores: :func:`foliospark.sources.loader.sheets`."""
+    """``spark.read.format("docx_scans")``: the scans of the files of a folder, or of one file, in any store that Python opens by URI.
+
+    A scan is a row; a file that cannot be read is one row with its error and sheet_number 0, a broken scan is a row with its
+    own. Only directories, bodies and the scans asked for are read, one scan at a time; filters on doc_id and sheet_number
+    are pushed here. ``partBytes`` (128 MB): a longer file is read by several tasks. Spark's own stores:
+    :func:`foliospark.sources.loader.sheets`.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "docx_scans"
 
     def schema(self) -> str:
-        from foliospark.schemas import SHEETS
-
         return SHEETS
 
     def reader(self, schema: object) -> DataSourceReader:
-        return _Reader(dict(self.options))
+        return ScanReader(dict(self.options))
