@@ -40,16 +40,22 @@ def decode_entities(text: str) -> str:
 
 
 def distance(a: str, b: str) -> int:
-    """Levenshtein distance, in UTF-16 units."""
+    """Levenshtein distance, in UTF-16 units: by diagonals while it is small beside the lengths, else row by row."""
     if a == b:
         return 0
     import numpy as np
 
+    from foliospark.functions.distance import diagonals
+
     x, y = (np.frombuffer(s.encode("utf-16-le", "surrogatepass"), np.uint16) for s in (a, b))
     if len(x) > len(y):
         x, y = y, x
     if not len(x):
         return len(y)
+    if len(y) >= 1000:
+        near = diagonals(x, y, max(len(y) - len(x), int((len(x) * len(y)) ** 0.5) // 16))
+        if near is not None:
+            return near
     # along one row at a time: insertions within the row are a running minimum
     steps = np.arange(len(x) + 1)
     row = steps.copy()

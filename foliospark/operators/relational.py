@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+import operator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from foliospark.functions import text as T
 
@@ -76,35 +79,45 @@ _NUMBERED = r"(?:-\d+)+$"
 def _reserved(files: DataFrame, group: list[str], base: Column, ext: Column, index: str, out: str) -> DataFrame:
     """Adds ``out``: base and extension, or base-2, base-3, ... where that is taken, in any case and in the order of ``index``.
 
-    A numbered name can only meet names that are alike but for such numbers; those are decided together, so names may
-    meet whatever files come with, and a group holds the names that are alike, not the folder's.
+    A numbered name can only meet names that are alike but for such numbers. Where all of these are equal, as most are, the
+    n-th one gets n, by a window. Others, whose numbered names may meet what files come with, are gone through in order,
+    as a stream of sorted rows: a task holds the different names that are taken, and of each the number that is next.
     """
-    kind = files.schema[index].dataType
     alike = F.struct(F.lower(F.regexp_replace(base, _NUMBERED, "")).alias("stem"), F.lower(ext).alias("ext"))
-    keyed = files.select(F.struct(*(F.col(f"`{c}`") for c in files.columns)).alias("row"), *(F.col(c).alias(f"g{i}") for i, c in enumerate(group)), alike.alias("alike"), F.col(index).alias("at"), base.alias("base"), ext.alias("ext"))
     keys = [*(f"g{i}" for i in range(len(group))), "alike"]
-    names = keyed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "base", "ext"))).alias("n")).select(*keys, "n", _reserving(F.col("n")).alias("free"))
-    pairs = names.select(*keys, F.posexplode(F.arrays_zip("n", "free")).alias("k", "p")).select(*keys, F.col("p.n.at").cast(kind).alias("at"), F.col("p.n.base").alias("base"), F.col("p.n.ext").alias("ext"), F.col("p.free").alias("free"))
-    return keyed.join(pairs, [*keys, "at", "base", "ext"]).select("row.*", F.col("free").alias(out))
-
-
-def _reserving(names: Column) -> Column:
-    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in columns:
+    keyed = files.select(F.struct(*(F.col(f"`{c}`") for c in files.columns)).alias("row"), *(F.col(c).alias(f"g{i}") for i, c in enumerate(group)), alike.alias("alike"), F.col(index).alias("at"), base.alias("base"), ext.alias("ext"))
+    kinds = keyed.groupBy(*keys).agg((F.min(F.lower("base")) == F.max(F.lower("base"))).alias("_one")).select(*(F.col(k).alias(f"_{k}") for k in keys), "_one")
+    together = functools.reduce(operator.and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    keyed = keyed.join(kinds, together).drop(*(f"_{k}" for k in keys))
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy("at"))
+    plain = keyed.where("_one").withColumn("_n", n).select("row", F.concat("base", F.when(F.col("_n") > 1, F.concat(F.lit("-"), F.col("_n").cast("string"))).otherwise(""), "ext").alias("free"))
+    rows = keyed.where("not _one").select(F.xxhash64(*keys).alias("_key"), *keys, "at", "base", "ext", "row")
+    schema = StructType([rows.schema["row"], StructField("free", StringType())])
+    met = rows.repartition("_key").sortWithinPartitions("_key", *keys, "at").mapInArrow(_reserving(keys), schema)
+    return plain.unionByName(met).select("row.*", F.col("free").alias(out))
+
+
+def _reserving(keys: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, used, following = None, set(), {}
+        for batch in batches:
             out = []
-            for group in column.to_pylist():
-                used: set[str] = set()
-                found = []
-                for name in group:
-                    free, k = name["base"] + name["ext"], 2
-                    while free.lower() in used:
-                        free, k = f"{name['base']}-{k}{name['ext']}", k + 1
-                    used.add(free.lower())
-                    found.append(free)
-                out.append(found)
-            yield pa.array(out, pa.list_(pa.string()))
-
-    return F.arrow_udf(run, "array<string>")(names)
+            columns = [batch.column(k).to_pylist() for k in keys]
+            for *key, base, ext in zip(*columns, batch.column("base").to_pylist(), batch.column("ext").to_pylist(), strict=True):
+                if key != group:
+                    group, used, following = key, set(), {}
+                free = base + ext
+                if free.lower() in used:
+                    k = following.get(free.lower(), 2)  # all numbers below it are taken
+                    while f"{base}-{k}{ext}".lower() in used:
+                        k += 1
+                    following[free.lower()] = k + 1
+                    free = f"{base}-{k}{ext}"
+                used.add(free.lower())
+                out.append(free)
+            yield pa.record_batch({"row": batch.column("row"), "free": pa.array(out, pa.string())})
+
+    return run
 
 
 def unique_names(files: DataFrame, group: list[str], name: str, index: str) -> DataFrame:

@@ -176,3 +176,41 @@ def test_a_page_with_one_key_costs_a_search_a_block(spark):
     began = time.time()
     got = df.select(O.in_order(F.col("b"), F.col("l")).alias("m")).first().m
     assert got == list(range(20_000, 40_000)) and time.time() - began < 90
+
+
+# --- names
+
+
+def test_names_are_those_of_the_loop_over_all_of_a_group(spark):
+    from foliospark.operators import assemble as A
+    from foliospark.operators import relational as R
+
+    rng = random.Random(21)
+    names, rows = {}, []
+    for g in (1, 2, None):
+        for i in rng.sample(range(1000), 120):
+            name = rng.choice(["plan", "Plan", "map", "fig"]) + "".join(rng.choice(["", "", "-2", "-3", "-2-2"]) for _ in range(2)) + rng.choice([".png", ".PNG", ".jpg"])
+            names.setdefault(g, []).append((i, name))
+            rows.append((g, i, name, "kept"))
+    df = spark.createDataFrame(rows, "g INT, i INT, n STRING, base STRING").repartition(5)
+    got = {}
+    for r in R.unique_names(df, ["g"], "n", "i").collect():
+        assert r.base == "kept"
+        got.setdefault(r.g, []).append((r.i, r.unique_name))
+    for g, own in names.items():
+        own.sort()
+        assert sorted(got[g]) == list(zip([i for i, _ in own], A.reserve(n for _, n in own), strict=True))
+
+
+def test_a_million_equal_names_are_numbered_by_a_window(spark):
+    from foliospark.operators import relational as R
+
+    n = 1_000_000
+    df = spark.range(n).select(F.col("id").alias("i"), F.lit("scan.png").alias("n"))
+    got = R.unique_names(df, [], "n", "i")
+    assert "collect_list" not in plan_of(got)
+    began = time.time()
+    assert got.where(F.col("unique_name") != F.when(F.col("i") == 0, "scan.png").otherwise(F.concat(F.lit("scan-"), (F.col("i") + 1).cast("string"), F.lit(".png")))).count() == 0
+    met = R.unique_names(df.unionByName(spark.createDataFrame([(n, "scan-7.png")], "i BIGINT, n STRING")), [], "n", "i")  # one name that meets a numbered one
+    assert met.select(F.count_distinct(F.lower("unique_name"))).first()[0] == n + 1 and met.where(f"i = {n}").first().unique_name == "scan-7-2.png"
+    assert time.time() - began < 120

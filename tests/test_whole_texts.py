@@ -1,5 +1,7 @@
 import random
+import time
 
+import numpy as np
 import pyarrow as pa
 
 from foliospark import plans
@@ -56,3 +58,49 @@ def test_udfs_see_no_rows_that_are_guarded(spark):
     for f in (T.nfkc, T.encode_uri, T.comparable_text):
         kept = [r.t for r in df.select(f(F.col("t")).alias("t")).collect()]
         assert kept[0] == "plain" and kept[2] is None and kept[3] == ""
+
+
+def edited(rng, text, edits, alphabet):
+    out = list(text)
+    for _ in range(edits):
+        at, kind = rng.randrange(len(out) + 1), rng.randrange(3)
+        if kind == 0 or at == len(out):
+            out.insert(at, rng.choice(alphabet))
+        elif kind == 1:
+            del out[at]
+        else:
+            out[at] = rng.choice(alphabet)
+    return "".join(out)
+
+
+def test_diagonals_give_the_distance_of_random_pairs():
+    from foliospark.functions.distance import diagonals
+
+    rng = random.Random(12)
+    codes = lambda s: np.array([ord(c) for c in s], np.uint16)
+    for _ in range(400):
+        alphabet = rng.choice(["a", "ab", "abcdefgh"])
+        a = "".join(rng.choice(alphabet) for _ in range(rng.randrange(60)))
+        b = edited(rng, a, rng.randrange(25), alphabet) if rng.random() < 0.7 else "".join(rng.choice(alphabet) for _ in range(rng.randrange(60)))
+        want = distance(a, b)
+        assert diagonals(codes(a), codes(b)) == want, (a, b)
+        for most in {0, want - 1, want, want + 3} - {-1}:
+            assert diagonals(codes(a), codes(b), most) == (want if want <= most else None)
+
+
+def test_long_texts_cost_their_length_times_their_distance(spark):
+    from pyspark.sql import functions as F
+
+    from foliospark.functions import text as T
+
+    rng = random.Random(13)
+    text = "".join(rng.choice("abcdefghij klmnop") for _ in range(1_000_000))
+    other = edited(rng, text, 1000, "XYZ")
+    began = time.time()
+    found = pure.distance(text, other)
+    assert 950 <= found <= 1000 and time.time() - began < 20
+    rows = [(1, text, other), (2, text[:1500], other[:1500]), (3, text[:3000], text[5000:8000]), (4, "", text), (5, text, ""), (6, None, text)]
+    got = {r.i: r.r for r in spark.createDataFrame(rows, "i INT, a STRING, b STRING").select("i", T.character_error_rate(F.col("a"), F.col("b")).alias("r")).collect()}
+    assert got[1] == found / 1_000_000 and got[2] == pure.distance(text[:1500], other[:1500]) / 1500 and got[3] > 0.5 and (got[4], got[5], got[6]) == (1.0, 1.0, None)
+    far = text[:2000], "".join(rng.choice("abc") for _ in range(2000))
+    assert pure.distance(*far) == distance(*far)  # beyond what diagonals are for
