@@ -20,7 +20,8 @@ from foliospark.operators import relational as R
 from foliospark.operators import lines as N
 from foliospark.operators.ordered import last_known, matches_in_order
 from foliospark.operators.raster import binarized, light_of, pixels, split_columns, suppressed, tone_lift
-from foliospark.session import prepare
+from foliospark.schemas import ERROR
+from foliospark.session import prepare, work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -159,15 +160,38 @@ def q10_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), every.alias("all_long"), some.alias("any_system"), F.count_if(F.length("text") > 200).alias("n_long"), (every & ~some).alias("pass"))
 
 
-@query(r"""SELECT conv_id, count(*)::BIGINT AS page_count, length(md)::BIGINT AS md_len, sha256(md) AS md_sha256 FROM (
+CONCAT_SQL = r"""SELECT conv_id, count(*)::BIGINT AS page_count, length(md)::BIGINT AS md_len, sha256(md) AS md_sha256 FROM (
 SELECT conv_id, n, string_agg('<!-- page: ' || n || ' -->' || chr(10) || chr(10) || trim(replace(text, chr(13) || chr(10), chr(10)), ' ' || chr(9) || chr(10) || chr(13)), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY n) OVER (PARTITION BY conv_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) || chr(10) AS md
-FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)) GROUP BY conv_id, md""")
+FROM (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)) GROUP BY conv_id, md"""
+
+
+@query(CONCAT_SQL)
 def q11_page_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: pages of each document in one Markdown text with page marks."""
     found = R.concatenated(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
     return found.select("conv_id", "page_count", F.length("markdown").cast("bigint").alias("md_len"), F.sha2("markdown", 256).alias("md_sha256"))
 
 
+@query(CONCAT_SQL)
+def q73_streamed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same documents out of a stream of their pages that come in three batches, each put out when its last page has come."""
+    from foliospark.streaming.assemble import assembled
+
+    rows = table(spark, sf_dir, "conversations")
+    counts = rows.groupBy("conv_id").agg(F.count(F.lit(1)).cast("int").alias("page_count"))
+    sent = rows.join(counts, "conv_id").select(F.col("conv_id").cast("string").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page_number"), "page_count", F.timestamp_seconds(F.lit(1_704_067_200)).alias("seen_at"), F.col("text").alias("markdown"), F.lit(None).cast(ERROR).alias("error"))
+    came = work_folder(spark, "pages")
+    for k in range(3):
+        sent.where(F.pmod("page_number", F.lit(3)) == (k + 1) % 3).write.mode("append").parquet(f"{came}/batch={k}")
+    pages = spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", 1).parquet(f"{came}/*")
+    out, state = work_folder(spark, "stream"), work_folder(spark, "stream-state")
+    query = assembled(pages).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    done = spark.read.schema(f"doc_id STRING, page_count INT, markdown STRING, error {ERROR}").parquet(out)
+    return done.select(F.col("doc_id").cast(rows.schema["conv_id"].dataType).alias("conv_id"), F.col("page_count").cast("bigint").alias("page_count"), F.length("markdown").cast("bigint").alias("md_len"), F.sha2("markdown", 256).alias("md_sha256"))
+
+
+
 @query("SELECT l_suppkey, count(DISTINCT l_orderkey)::BIGINT AS sheet_count, count(*)::BIGINT AS page_count, count(*) FILTER (WHERE l_linenumber % 2 = 0)::BIGINT AS right_pages FROM lineitem GROUP BY l_suppkey")
 def q12_manifest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as pages, orders as sheets, of a document for each supplier: the counts of its manifest."""
