@@ -523,21 +523,25 @@ def _grouped(base: DataFrame, texts: DataFrame, **options: int) -> DataFrame:
     return base.select("doc_id", "digest").join(classes, "digest").select("doc_id", "digest", "n_shingles", F.coalesce("root", alone).alias("g"))
 
 
+@settled
+def _staying(docs: DataFrame, id_col: str, text_col: str, **options: int) -> DataFrame:
+    """(digest, id): of each group of texts the one that stays."""
+    base = with_digest(docs, id_col, text_col)
+    rows = _grouped(base, distinct_texts(base), **options)
+    best = rows.where("g is not null").groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")).alias("m"))
+    return best.select(F.col("m.digest").alias("digest"), F.col("m.doc_id").alias("id"))
+
+
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
     """The rows and columns of ``docs`` with one row of each group: that of the smallest doc_id (a null one only if all are).
 
-    Rows without words stay, as they are linked with nothing. Of repeated rows one stays.
+    Rows without words stay, as they are linked with nothing. Of repeated rows one stays. What is kept meanwhile are the
+    digests of the texts that stay; the rows come from ``docs``.
     """
-    base = with_digest(docs, id_col, text_col)
-    texts = distinct_texts(base)
-    rows = _grouped(base, texts, **options)
-    best = rows.where("g is not null").groupBy("g").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest")).alias("m"))
-    stay = best.select(F.col("m.digest").alias("digest"), F.col("m.doc_id").alias("id"))
+    stay = _staying(docs, id_col, text_col, **options)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     worded = text.rlike(r"[^ \t\n\x0B\f\r]")
-    # the rows without their texts find what stays, and take the texts from the table that is in buckets of digest
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col))
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     marked = docs.where(worded).select(row.alias("row"), F.col(f"`{id_col}`").alias("own"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"))
     one = marked.join(stay, "digest").where(F.col("own").eqNullSafe(F.col("id"))).dropDuplicates(["digest"])
-    full = one.join(texts.select("digest", "text"), "digest").select(*(F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
-    return full.unionByName(docs.where(~worded))
+    return one.select("row.*").unionByName(docs.where(~worded))

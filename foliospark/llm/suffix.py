@@ -8,12 +8,15 @@ A corpus is dealt out so that each task sorts a bounded number of suffixes, and
 
 1. Every ``min_len``-byte window picks an anchor, the gram with the least hash in it. Equal windows pick equal grams at
    equal places, so the windows of one anchor, a run, need only be held against the runs of the same gram. A run's
-   context is the bytes of its windows; contexts are told apart by 128-bit digests.
-2. A gram with one run goes no further. Of equal contexts one is sent to the suffix array, where it stands for two; what
-   the tree says of it holds for all. Those that meet in one slice of texts are not even sent to be counted.
-3. A gram with more than ``group`` distinct contexts is split: its runs are cut into shorter ones by their distance from
-   the anchor, dealt by the bytes that all of their windows have, and go through the same steps again; at last by single
-   windows, of which equal ones are one context. A run is cut into a bounded number of parts, however common its gram.
+   context is the bytes of its windows.
+2. Contexts with one 128-bit digest are a class. A class is a guess that the tree has to prove: every context of it goes
+   into a suffix array with its own bytes, beside those of others of the class, and is done if the tree finds all of it to
+   be a repeat. Classes within a slice of texts are proved there and then; of others up to 1,000 contexts meet in one
+   array, the first one of the class in each. Contexts that the tree does not find equal are taken one by one.
+3. The first contexts of a gram's classes meet in one array, where parts of them may be repeats. A gram with one
+   class goes no further. A gram with more than ``group`` classes is split: its runs are cut into shorter ones by their
+   distance from the anchor, dealt by the bytes that all of their windows have, and go through the same steps again; at last
+   by single windows. A run is cut into a bounded number of parts, however common its gram.
 
 Texts are known by 128 bits of their SHA-256. Work is held for one bucket of grams at a time, not for a partition.
 """
@@ -38,6 +41,8 @@ _LONGEST = 8 << 20  # bytes of one text looked at together; longer texts are cut
 _TOGETHER = 8 << 20  # bytes of texts, or of contexts, whose rows are packed together
 _GOLD = U64(0x9E3779B97F4A7C15)
 _FINER = (8, 1)  # windows in the runs of grams that are split, and split again
+_CLASS = 1000  # contexts of a class that meet in one array, and the first of the class
+_SUFFIXES = 50_000  # in one array
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -112,6 +117,31 @@ def maximal_repeats(strings: np.ndarray, start: np.ndarray, length: np.ndarray,
             stack.append((depth, low))
 
 
+def proved(strings: np.ndarray, start: np.ndarray, size: np.ndarray, lead: np.ndarray, min_len: int, most: int = _SUFFIXES) -> np.ndarray:
+    """Which contexts are repeats as a whole, by the tree over their bytes.
+
+    ``lead`` marks the first one of each class. An array has about ``most`` contexts of whole classes; of a class that is
+    larger the first one is in each of its arrays.
+    """
+    ok = np.zeros(len(start), bool)
+    heads = np.flatnonzero(lead)
+    lo = 0
+    while lo < len(start):
+        hi = min(len(start), lo + most)
+        if hi < len(start) and not lead[hi]:
+            head = int(heads[np.searchsorted(heads, hi, "right") - 1])  # of the class that would be cut
+            hi = head if head > lo else hi
+        take = np.arange(lo, hi)
+        if not lead[lo]:
+            take = np.append(heads[np.searchsorted(heads, lo, "right") - 1], take)
+        best = np.zeros(len(take), np.int64)
+        for length, members in maximal_repeats(strings, start[take], size[take], min_len, np.zeros(len(take), bool)):
+            best[members] = np.maximum(best[members], length)
+        ok[take] |= best >= size[take]
+        lo = hi
+    return ok
+
+
 _KEY = np.dtype("V16")
 _RUNS = "bucket int, uid binary, x binary, m binary, a binary, h binary, c binary, f binary"
 
@@ -126,20 +156,30 @@ def binary_of(keys: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), raw.nbytes // 16, [None, pa.py_buffer(raw)]).cast(pa.binary())
 
 
-def _dealt(buckets: int, uid: np.ndarray, x: np.ndarray, m: np.ndarray, a: np.ndarray, h: np.ndarray, c: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Packed rows of runs by bucket of their gram; of equal contexts one goes there, the others to buckets from ``buckets`` on."""
+def _dealt(buckets: int, min_len: int, raw: np.ndarray, pos: np.ndarray, uid: np.ndarray, x: np.ndarray, m: np.ndarray, a: np.ndarray, h: np.ndarray, c: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Packed rows of runs by bucket of their gram, ``pos`` being where they begin in ``raw``.
+
+    Of contexts here that the tree proves to be equal one goes there, known to occur twice (f: 2); the others are done and
+    go to buckets from ``buckets`` on.
+    """
     if not len(h):
         return
     order = np.lexsort((c[:, 1], c[:, 0]))
-    uid, x, m, a, h, c, f = (v[order] for v in (uid, x, m, a, h, c, f))
-    lead = np.flatnonzero(np.append(True, (c[1:] != c[:-1]).any(1)))
-    far = np.ones(len(h), bool)
-    far[lead] = False
-    rest = np.flatnonzero(far)
+    pos, uid, x, m, a, h, c, f = (v[order] for v in (pos, uid, x, m, a, h, c, f))
+    lead = np.append(True, (c[1:] != c[:-1]).any(1))
+    several = ~lead | np.append(~lead[1:], False)  # contexts of classes with more than one here
+    ok = np.zeros(len(h), bool)
+    if several.any():
+        own = np.flatnonzero(several)
+        ok[own] = proved(raw, pos[own], m[own].astype(np.int64) + (min_len - 1), lead[own], min_len)
+    lost = np.flatnonzero(~lead & ~ok)
+    if len(lost):  # no class of its digest: one of its own
+        c[lost, 0] = mix(c[lost, 0] ^ mix(pos[lost].astype(np.uint64) + uid[lost].view(np.uint64).reshape(-1, 2)[:, 0]))
+    rest, go = np.flatnonzero(~lead & ok), np.flatnonzero(lead | ~ok)
     spare = buckets + int(c[0, 0] % U64(buckets))
-    bucket = np.append((h[lead] >> U64(20)).astype(np.int64) % buckets, np.full(len(rest), spare))
-    take = np.append(lead, rest)
-    seen = np.append(np.minimum(np.add.reduceat(f, lead), 2), np.zeros(len(rest), np.int64))
+    bucket = np.append((h[go] >> U64(20)).astype(np.int64) % buckets, np.full(len(rest), spare))
+    take = np.append(go, rest)
+    seen = np.where(ok[take], 2, np.minimum(f[take], 2))
     pairs = np.ascontiguousarray(c[take]).view(_KEY).ravel()
     yield from packed_rows(bucket, uid=uid[take], x=x[take].astype(np.uint32), m=m[take].astype(np.uint16), a=a[take].astype(np.uint16), h=h[take], c=pairs, f=seen.astype(np.uint8))
 
@@ -158,9 +198,11 @@ def _find_runs(min_len: int, gram: int, buckets: int) -> Callable[[Iterator[pa.R
                         mark = np.array([0, end - p]) if j == i + 1 else off[i : j + 1] - off[i]
                         x, m, a, h = anchor_runs(raw[p:end], mark, min_len, gram)
                         doc = i + np.searchsorted(mark, x, "right") - 1
-                        got.append((uid[doc], x + p - off[doc], m, a, h, digests(raw[p:end], x, m + (min_len - 1)), copies[doc]))
+                        got.append((x + p, uid[doc], x + p - off[doc], m, a, h, digests(raw[p:end], x, m + (min_len - 1)), copies[doc]))
                 if got:
-                    yield from _dealt(buckets, *(np.concatenate(v) for v in zip(*got, strict=True)))
+                    first, last = int(off[lo]), int(off[hi])
+                    pos, *rest = (np.concatenate(v) for v in zip(*got, strict=True))
+                    yield from _dealt(buckets, min_len, raw[first:last], pos - first, *rest)
 
     return find
 
@@ -187,37 +229,46 @@ def _buckets(batches: Iterator[pa.RecordBatch], **types: object) -> Iterator[tup
         yield last, taken()
 
 
-_CLASSED = "c binary, uid binary, x bigint, m int, a int, h bigint, n bigint, solid boolean"
+_CLASSED = "c binary, uid binary, x bigint, m int, a int, h bigint, n bigint, solid boolean, sure boolean, part int, parts int"
 
 
 def _classify(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Runs whose windows may be repeats. n: contexts of the gram, on one run of each context, 0 on others; solid: the context occurs twice."""
+    """Runs whose windows may be repeats.
+
+    n: classes of the gram, on the first run of each class, 0 on others; sure: proved already; solid: sure, or of a class
+    with others; part: the array in which a run has to be proved beside the first one of its class, which is in ``parts`` of them.
+    """
 
-    def rows(a: dict[str, np.ndarray], take: np.ndarray, n: np.ndarray, solid: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def rows(a: dict[str, np.ndarray], take: np.ndarray, **own: np.ndarray) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(take), 100_000):
             t, s = take[i : i + 100_000], slice(i, i + 100_000)
-            yield pa.record_batch({"c": binary_of(a["c"][t]), "uid": binary_of(a["uid"][t]), "x": a["x"][t].astype(np.int64), "m": a["m"][t].astype(np.int32), "a": a["a"][t].astype(np.int32), "h": a["h"][t].view(np.int64), "n": n[s], "solid": solid[s]})
+            yield pa.record_batch({"c": binary_of(a["c"][t]), "uid": binary_of(a["uid"][t]), "x": a["x"][t].astype(np.int64), "m": a["m"][t].astype(np.int32), "a": a["a"][t].astype(np.int32), "h": a["h"][t].view(np.int64), **{k: v[s] for k, v in own.items()}})
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, a in _buckets(batches, uid=_KEY, x=np.uint32, m=np.uint16, a=np.uint16, h=np.uint64, c=_KEY, f=np.uint8):
+            count = len(a["h"])
             if bucket >= buckets:
-                yield from rows(a, np.arange(len(a["h"])), np.zeros(len(a["h"]), np.int64), np.ones(len(a["h"]), bool))
+                yes, none = np.ones(count, bool), np.full(count, -1, np.int32)
+                yield from rows(a, np.arange(count), n=np.zeros(count, np.int64), solid=yes, sure=yes, part=none, parts=none + 1)
                 continue
             h, c = a["h"], a["c"].view(np.uint64).reshape(-1, 2)
-            order = np.lexsort((c[:, 1], c[:, 0], h))
-            h, c = h[order], c[order]
-            lead = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (c[1:] != c[:-1]).any(1)))
-            size = np.diff(np.append(lead, len(h)))
-            solid = np.add.reduceat(a["f"][order].astype(np.int64), lead) > 1
+            order = np.lexsort((a["f"] < 2, c[:, 1], c[:, 0], h))  # of a class first those that are sure
+            h, c, sure = h[order], c[order], a["f"][order] > 1
+            first = np.append(True, (h[1:] != h[:-1]) | (c[1:] != c[:-1]).any(1))
+            lead = np.flatnonzero(first)
+            size = np.diff(np.append(lead, count))
             top = np.flatnonzero(np.append(True, h[lead][1:] != h[lead][:-1]))
-            n = np.diff(np.append(top, len(lead)))
-            n = np.repeat(n, n)
-            ask = np.flatnonzero(solid | (n > 1))
-            yield from rows(a, order[lead[ask]], n[ask], solid[ask])
-            other = np.repeat(solid, size)
-            other[lead] = False
-            other = order[np.flatnonzero(other)]
-            yield from rows(a, other, np.zeros(len(other), np.int64), np.ones(len(other), bool))
+            grams = np.diff(np.append(top, len(lead)))
+            n = np.zeros(count, np.int64)
+            n[lead] = np.repeat(grams, grams)
+            within = np.arange(count) - np.repeat(lead, size)  # place in the class
+            open_ = np.logical_or.reduceat(~sure, lead) & (size > 1)  # classes with something to prove
+            parts = np.zeros(count, np.int32)
+            parts[lead] = np.where(open_, -(-(size - 1) // _CLASS), 0)
+            part = np.where(first | sure, -1, (within - 1) // _CLASS).astype(np.int32)
+            solid = sure | (np.repeat(size, size) > 1)
+            go = np.flatnonzero(sure | (part >= 0) | (parts > 0) | (n > 1))
+            yield from rows(a, order[go], n=n[go], solid=solid[go], sure=sure[go], part=part[go], parts=parts[go])
 
     return classify
 
@@ -241,6 +292,7 @@ class Asked:
         self.base = (off[lo:hi] - off[lo])[doc]
         self.x, self.m, self.a = (field(k).astype(np.int64) for k in ("x", "m", "a"))
         self.h, self.n, self.solid = field("h").view(np.uint64), field("n"), field("solid").astype(bool)
+        self.part, self.parts = field("part").astype(np.int64), field("parts").astype(np.int64)
         self.c = keys_of(flat.field("c"))
         self.raw = raw[off[lo] : off[hi]]
 
@@ -252,25 +304,33 @@ def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[Asked]:
             yield Asked(batch, raw, off, lo, hi)
 
 
-_CONTEXTS = "bucket int, uid binary, x binary, m binary, h binary, c binary, solid binary, bytes binary"
+_CONTEXTS = "bucket int, uid binary, x binary, m binary, h binary, kind binary, bytes binary"
+_PARTLY, _HELD, _FIRST, _MEMBER = range(4)  # kinds of contexts: of a gram, where parts may repeat; of a gram, solid; the first of a class; another one
 
 
 def _fetch(min_len: int, buckets: int, group: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Contexts with their bytes, by bucket of their gram. Of grams that are split only those that occur twice, each for itself."""
+    """Contexts with their bytes, for the arrays of grams with up to ``group`` classes and for those of classes, by bucket of the array's key."""
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in _asked(batches):
-            take = np.flatnonzero(s.solid | (s.n <= group))
-            own = s.c[take].view(np.uint64).reshape(-1, 2)[:, 0]
-            h = np.where(s.n[take] > group, own, s.h[take])
-            size = s.m[take] + (min_len - 1)
-            done = np.cumsum(size)
-            for part in np.split(np.arange(len(take)), np.searchsorted(done, np.arange(_TOGETHER, done[-1], _TOGETHER)) if len(take) else []):
-                t, key = take[part], h[part]
-                bucket = (key >> U64(20)).astype(np.int64) % buckets
+            whole = np.flatnonzero((s.n > 1) & (s.n <= group))
+            first = np.flatnonzero(s.parts > 0)
+            again = np.repeat(first, s.parts[first])
+            member = np.flatnonzero(s.part >= 0)
+            take = np.concatenate([whole, again, member])
+            kind = np.concatenate([np.where(s.solid[whole], _HELD, _PARTLY), np.full(len(again), _FIRST), np.full(len(member), _MEMBER)])
+            part = np.concatenate([_spread(np.zeros(len(first), np.int64), s.parts[first]), s.part[member]]).astype(np.uint64)
+            classes = np.append(again, member)
+            key = np.append(s.h[whole], mix(s.c[classes].view(np.uint64).reshape(-1, 2)[:, 0] ^ mix(s.h[classes]) ^ mix(part * _GOLD)))
+            done = np.cumsum(s.m[take] + (min_len - 1))
+            for piece in np.split(np.arange(len(take)), np.searchsorted(done, np.arange(_TOGETHER, done[-1], _TOGETHER)) if len(take) else []):
+                if not len(piece):
+                    continue
+                bucket = (key[piece] >> U64(20)).astype(np.int64) % buckets
                 order = np.argsort(bucket, kind="stable")
-                bucket, t, key = bucket[order], t[order], key[order]
-                cols = {"uid": s.uid[t], "x": s.x[t].astype(np.uint32), "m": s.m[t].astype(np.uint16), "h": key, "c": s.c[t], "solid": s.solid[t].astype(np.uint8)}
+                bucket, piece = bucket[order], piece[order]
+                t = take[piece]
+                cols = {"uid": s.uid[t], "x": s.x[t].astype(np.uint32), "m": s.m[t].astype(np.uint16), "h": key[piece], "kind": kind[piece].astype(np.uint8)}
                 (packed,) = packed_rows(bucket, **cols)
                 raw = s.raw[_spread(s.base[t] + s.x[t], s.m[t] + (min_len - 1))]
                 mark = np.append(0, np.cumsum(s.m[t] + (min_len - 1)))[np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(t))]
@@ -299,19 +359,36 @@ def _split(min_len: int, buckets: int, windows: int) -> Callable[[Iterator[pa.Re
                 c = prefix_hash(BYTE_A[s.raw])
                 h = mix((c[first + size] - c[first]) * powers(len(s.raw) + 1)[1][first]) + mix(s.h[own]) * _GOLD + q.astype(np.uint64)
                 del c
-                yield from _dealt(buckets, s.uid[own], x, m, a, mix(h), digests(s.raw, s.base[own] + x, m + (min_len - 1)), 1 + s.solid[own].astype(np.int64))
+                yield from _dealt(buckets, min_len, s.raw, s.base[own] + x, s.uid[own], x, m, a, mix(h), digests(s.raw, s.base[own] + x, m + (min_len - 1)), np.ones(len(own), np.int64))
 
     return split
 
 
-_FOUND = "uid binary, s bigint, e bigint, c binary"
+_FOUND = "uid binary, s bigint, e bigint"
 
 
 def _scan(min_len: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Spans of repeats in contexts; c: the context, where all of it is a repeat that occurs elsewhere too."""
+    """Spans of repeats in contexts; without an end: a context that is not equal to the first one of its class."""
+
+    def rows(uid: np.ndarray, start: np.ndarray, end: np.ndarray | pa.Array) -> pa.RecordBatch:
+        return pa.record_batch({"uid": binary_of(uid), "s": start, "e": end})
+
+    def classes(a: dict[str, np.ndarray], t: np.ndarray, begin: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        # a class's first context may be here for several of its parts: the same bytes, which must not be held against themselves
+        _, one = np.unique(np.rec.fromarrays([a["uid"][t].view(np.uint64).reshape(-1, 2)[:, 0], a["uid"][t].view(np.uint64).reshape(-1, 2)[:, 1], a["x"][t]]), return_index=True)
+        t = t[np.sort(one)]
+        h = a["h"][t]
+        lead = np.append(True, h[1:] != h[:-1])
+        base = np.cumsum(size[t]) - size[t]
+        ok = proved(a["bytes"][_spread(begin[t], size[t])], base, size[t], lead, min_len, most)
+        x = a["x"][t].astype(np.int64)
+        if ok.any():
+            yield rows(a["uid"][t[ok]], x[ok], x[ok] + size[t[ok]])
+        if not ok.all():
+            yield rows(a["uid"][t[~ok]], x[~ok], pa.nulls(int((~ok).sum()), pa.int64()))
 
     def chunk(a: dict[str, np.ndarray], t: np.ndarray, begin: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
-        m, h, solid = a["m"][t].astype(np.int64), a["h"][t], a["solid"][t].astype(bool)
+        m, h, solid = a["m"][t].astype(np.int64), a["h"][t], a["kind"][t] == _HELD
         size = size[t]
         raw = a["bytes"][_spread(begin[t], size)]
         base = np.cumsum(size) - size
@@ -324,43 +401,37 @@ def _scan(min_len: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
         fresh = np.bincount(inv, weights=~solid[own], minlength=len(count)) > 0
         pick = np.flatnonzero((count > 1)[inv] & fresh[inv])
         pick = pick[np.argsort(w[pick], kind="stable")]
-        twice = np.flatnonzero(solid)
         w, start, own = w[pick], start[pick], own[pick]
-        # equal windows stay together; a context that occurs twice is there twice, from its first byte
+        # equal windows stay together
         new = np.flatnonzero(np.append(True, w[1:] != w[:-1])) if len(w) else np.zeros(0, np.int64)
         cuts = [0, *new[np.flatnonzero(np.diff(new // most)) + 1].tolist(), len(w)]
         best = np.zeros(len(start), np.int64)  # the longest repeat that starts at each suffix
-        whole = np.zeros(len(t), np.int64)
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             rest = base[own[lo:hi]] + size[own[lo:hi]] - start[lo:hi]
             for length, members in maximal_repeats(raw, start[lo:hi], rest, min_len, start[lo:hi] > base[own[lo:hi]]):
                 best[lo + members] = np.maximum(best[lo + members], length)
-        for lo in range(0, len(twice), most // 2):
-            two = np.repeat(twice[lo : lo + most // 2], 2)
-            for length, members in maximal_repeats(raw, base[two], size[two], min_len, np.zeros(len(two), bool)):
-                whole[two[members]] = np.maximum(whole[two[members]], length)
-        full = np.flatnonzero(whole >= size)
-        if len(full):
-            x = a["x"][t[full]].astype(np.int64)
-            yield pa.record_batch({"uid": binary_of(a["uid"][t[full]]), "s": x, "e": x + size[full], "c": binary_of(a["c"][t[full]])})
         hit = np.flatnonzero((best > 0) & ~solid[own])
         if len(hit):
             at = start[hit] + own[hit]  # one byte between contexts
             spans = merged(np.stack([at, at + best[hit]], 1))
             mine = np.searchsorted(base + np.arange(len(t)), spans[:, 0], "right") - 1
             spans += (a["x"][t[mine]].astype(np.int64) - base[mine] - mine)[:, None]
-            yield pa.record_batch({"uid": binary_of(a["uid"][t[mine]]), "s": spans[:, 0], "e": spans[:, 1], "c": pa.nulls(len(spans), pa.binary())})
+            yield rows(a["uid"][t[mine]], spans[:, 0], spans[:, 1])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, a in _buckets(batches, uid=_KEY, x=np.uint32, m=np.uint16, h=np.uint64, c=_KEY, solid=np.uint8, bytes=np.uint8):
+        for _, a in _buckets(batches, uid=_KEY, x=np.uint32, m=np.uint16, h=np.uint64, kind=np.uint8, bytes=np.uint8):
             size = a["m"].astype(np.int64) + (min_len - 1)
             begin = np.cumsum(size) - size
-            order = np.argsort(a["h"], kind="stable")
-            lead = np.flatnonzero(np.append(True, a["h"][order][1:] != a["h"][order][:-1]))
-            done = np.append(0, np.cumsum(size[order]))[lead]
-            cut = lead[np.flatnonzero(np.diff(done // (_TOGETHER // 2))) + 1].tolist()  # whole groups
-            for lo, hi in zip([0, *cut], [*cut, len(order)], strict=True):
-                yield from chunk(a, order[lo:hi], begin, size)
+            for which, work in ((a["kind"] < _FIRST, chunk), (a["kind"] >= _FIRST, classes)):
+                rows_of = np.flatnonzero(which)
+                order = rows_of[np.lexsort((a["kind"][rows_of], a["h"][rows_of]))]
+                if not len(order):
+                    continue
+                lead = np.flatnonzero(np.append(True, a["h"][order][1:] != a["h"][order][:-1]))
+                done = np.append(0, np.cumsum(size[order]))[lead]
+                cut = lead[np.flatnonzero(np.diff(done // (_TOGETHER // 2))) + 1].tolist()  # whole groups
+                for lo, hi in zip([0, *cut], [*cut, len(order)], strict=True):
+                    yield from work(a, order[lo:hi], begin, size)
 
     return scan
 
@@ -419,27 +490,34 @@ def _classed(runs: DataFrame, buckets: int, name: str) -> DataFrame:
     return materialize(runs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(released(_classify(buckets)), _CLASSED), name)
 
 
-def repeat_spans(texts: DataFrame, *, min_len: int = 200, group: int = 1000, suffixes: int = 50_000) -> DataFrame:
+def repeat_spans(texts: DataFrame, *, min_len: int = 200, group: int = 1000, suffixes: int = _SUFFIXES) -> DataFrame:
     """(uid, s, e): byte spans of the distinct ``texts`` (uid, text, copies) that repeats cover; they may overlap."""
     spark = prepare(texts.sparkSession)
     buckets = 32 * partitions(spark)
     gram = max(1, min_len * 8 // 25)
-    asks = F.collect_list(F.struct("x", "m", "a", "h", "c", "n", "solid")).alias("asked")
     held = texts.select("uid", "text")
+
+    def scanned(classed: DataFrame, most: int) -> DataFrame:
+        asked = classed.groupBy("uid").agg(F.collect_list(F.struct("x", "m", "a", "h", "c", "n", "solid", "part", "parts")).alias("asked"))
+        contexts = held.join(asked, "uid").mapInArrow(released(_fetch(min_len, buckets, most)), _CONTEXTS)
+        return materialize(contexts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(released(_scan(min_len, suffixes)), _FOUND), "found")
+
     classed = _classed(texts.select("uid", "text", "copies").mapInArrow(released(_find_runs(min_len, gram, buckets)), _RUNS), buckets, "runs")
     spans = None
     for windows in (*(min(k, max(1, min_len // 4)) for k in _FINER), 0):
-        asked = classed.where("n > 0").groupBy("uid").agg(asks)
-        contexts = held.join(asked, "uid").mapInArrow(released(_fetch(min_len, buckets, group if windows else 2**62)), _CONTEXTS)
-        found = materialize(contexts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(released(_scan(min_len, suffixes)), _FOUND), "found")
-        same = classed.where("n = 0").join(found.where("c is not null").select("c", (F.col("e") - F.col("s")).alias("size")), "c")
-        here = found.select("uid", "s", "e").unionByName(same.select("uid", F.col("x").alias("s"), (F.col("x") + F.col("size")).alias("e")))
+        found = scanned(classed.where("n > 1 or part >= 0 or parts > 0"), group if windows else 2**62)
+        here = classed.where("sure").select("uid", F.col("x").alias("s"), (F.col("x") + F.col("m") + (min_len - 1)).alias("e")).unionByName(found.where("e is not null"))
+        lost = found.where("e is null")
+        if not lost.isEmpty():  # equal digests of different contexts: their grams' contexts, each for itself
+            grams = lost.join(classed, [lost["uid"] == classed["uid"], lost["s"] == classed["x"]]).select("h").distinct()
+            alone = classed.join(grams, "h").withColumns({"n": F.lit(2).cast("bigint"), "solid": F.lit(False), "part": F.lit(-1), "parts": F.lit(0)})
+            here = here.unionByName(scanned(alone, 2**62))
         spans = here if spans is None else spans.unionByName(here)
         split = classed.where(F.col("n") > group)
         if not windows or split.isEmpty():
             return spans
-        cut = held.join(split.groupBy("uid").agg(asks), "uid").mapInArrow(released(_split(min_len, buckets, windows)), _RUNS)
-        classed = _classed(cut, buckets, "runs")
+        asks = split.groupBy("uid").agg(F.collect_list(F.struct("x", "m", "a", "h", "c", "n", "solid", "part", "parts")).alias("asked"))
+        classed = _classed(held.join(asks, "uid").mapInArrow(released(_split(min_len, buckets, windows)), _RUNS), buckets, "runs")
     return spans
 
 
@@ -487,15 +565,21 @@ def _cut_text(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array
         yield pc.if_else(pc.is_valid(text), out, pa.scalar(None, pa.string())) if text.null_count else out
 
 
+@settled
+def _cuts(docs: DataFrame, text_col: str, min_len: int) -> DataFrame:
+    """(uid, spans) of the texts that have any."""
+    _, texts = _texts(docs, text_col, text_col)
+    return repeat_spans(texts, min_len=min_len).groupBy("uid").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+
+
 def cut_repeats(docs: DataFrame, *, text_col: str = "text", min_len: int = 200) -> DataFrame:
     """The rows and columns of ``docs``, the text without the bytes that :func:`remove_repeats` cuts (a character cut in part goes whole).
 
-    Null texts stay null. Columns may have any names.
+    Null texts stay null. Columns may have any names. What is kept meanwhile are the spans alone; the rows come from ``docs``.
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     uid = F.substring(F.unhex(F.sha2(text.cast("binary"), 256)), 1, 16)
-    _, texts = _texts(docs, text_col, text_col)
-    spans = repeat_spans(texts, min_len=min_len).groupBy("uid").agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+    spans = _cuts(docs, text_col, min_len)
     cut = F.arrow_udf(_cut_text, "string")
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     joined = docs.select(row.alias("row"), uid.alias("uid")).join(spans, "uid", "left")

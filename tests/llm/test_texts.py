@@ -492,27 +492,81 @@ def thue_morse(n):
     return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
 
 
+def spans_of_one_round(texts, min_len):
+    """(uid, s, e) of a round of the steps, run here; each text is a slice of its own."""
+    uid = np.arange(2 * len(texts), dtype=np.uint64).view(SF._KEY)
+    of = {k: uid[i : i + 1] for i, k in enumerate(x.tobytes() for x in uid)}
+    runs = []
+    for i, t in enumerate(texts):
+        batch = pa.record_batch({"uid": SF.binary_of(uid[i : i + 1]), "text": pa.array([t]), "copies": pa.array([1], pa.int64())})
+        runs += list(SF._find_runs(min_len, max(1, min_len * 8 // 25), 4)(iter([batch])))
+    held = pa.Table.from_batches(runs).sort_by("bucket").to_batches()
+    found = [r for b in SF._classify(4)(iter(held)) for r in b.to_pylist()]
+    kind = pa.list_(pa.struct([("x", pa.int64()), ("m", pa.int32()), ("a", pa.int32()), ("h", pa.int64()), ("c", pa.binary()), ("n", pa.int64()), ("solid", pa.bool_()), ("part", pa.int32()), ("parts", pa.int32())]))
+    fields = [f.name for f in kind.value_type]
+    go = [r for r in found if r["n"] > 1 or r["part"] >= 0 or r["parts"] > 0]
+    asked = [[{k: r[k] for k in fields} for r in go if r["uid"] == uid[i].tobytes()] for i in range(len(texts))]
+    batch = pa.record_batch({"uid": SF.binary_of(uid[: len(texts)]), "text": pa.array(texts), "asked": pa.array(asked, kind)})
+    contexts = pa.Table.from_batches(list(SF._fetch(min_len, 4, 10)(iter([batch])))).sort_by("bucket").to_batches()
+    out = [(r["uid"], r["s"], r["e"]) for b in SF._scan(min_len, 1000)(iter(contexts)) for r in b.to_pylist()]
+    return [r for r in out if r[2] is not None] + [(r["uid"], r["x"], None) for r in found if r["sure"]], [r for r in out if r[2] is None], of
+
+
+TWINS = ["x" * 50 + "one passage that two documents share" * 3, "y" * 20 + "one passage that two documents share" * 3, "z" * 300, "twin " * 40, "twin " * 40, "twin " * 40]
+
+
 def test_only_the_interval_tree_marks_bytes(spark, monkeypatch):
-    texts = ["x" * 50 + "one passage that two documents share" * 3, "y" * 20 + "one passage that two documents share" * 3, "z" * 300, "twin " * 40, "twin " * 40]
-    df = docs(spark, list(enumerate(texts)))
+    df = docs(spark, list(enumerate(TWINS)))
     assert SF.remove_repeats(df, min_len=60).groupBy().sum("n_removed").first()[0] > 500
-    raw = np.frombuffer(("".join(texts)).encode(), np.uint8)
-    off = np.append(0, np.cumsum([len(t) for t in texts]))
-    uid = np.arange(5, dtype=np.uint64).repeat(2).view(SF._KEY)
-
-    def spans():
-        batch = pa.record_batch({"uid": SF.binary_of(uid), "text": pa.array(texts), "copies": pa.array([1] * 5, pa.int64())})
-        runs = pa.Table.from_batches(list(SF._find_runs(60, 19, 4)(iter([batch])))).sort_by("bucket").to_batches()
-        found = [r for b in SF._classify(4)(iter(runs)) for r in b.to_pylist() if r["n"]]
-        asked = [[{k: r[k] for k in ("x", "m", "a", "h", "c", "n", "solid")} for r in found if r["uid"] == uid[i].tobytes()] for i in range(5)]
-        kind = pa.list_(pa.struct([("x", pa.int64()), ("m", pa.int32()), ("a", pa.int32()), ("h", pa.int64()), ("c", pa.binary()), ("n", pa.int64()), ("solid", pa.bool_())]))
-        fetched = SF._fetch(60, 4, 10)(iter([pa.record_batch({"uid": SF.binary_of(uid), "text": pa.array(texts), "asked": pa.array(asked, kind)})]))
-        held = pa.Table.from_batches(list(fetched)).sort_by("bucket").to_batches()
-        return sum(b.num_rows for b in SF._scan(60, 1000)(iter(held)))
-
-    assert len(raw) == off[-1] and spans() > 0
+    found, lost, _ = spans_of_one_round(TWINS, 60)
+    assert len(found) > 10 and not lost
     monkeypatch.setattr(SF, "maximal_repeats", lambda *a: iter(()))
-    assert spans() == 0
+    found, lost, _ = spans_of_one_round(TWINS, 60)
+    assert not found and lost
+
+
+def test_every_occurrence_is_in_an_array_with_its_own_bytes(monkeypatch):
+    seen = []
+    tree = SF.maximal_repeats
+
+    def watched(strings, start, length, min_len, at):
+        seen.extend((int(s), bytes(strings[s : s + n])) for s, n in zip(start, length, strict=True))
+        return tree(strings, start, length, min_len, at)
+
+    monkeypatch.setattr(SF, "maximal_repeats", watched)
+    found, _, _ = spans_of_one_round(TWINS[3:], 60)
+    twins = [b for _, b in seen if b.startswith(b"twin")]
+    assert len({u for u, _, _ in found}) == 3 and len(twins) >= 3 * len({s for u, s, _ in found if u == found[0][0]})
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_repeats_are_right_if_all_digests_are_equal(spark, monkeypatch, seed):
+    rng = random.Random(seed)
+    word = lambda k: "".join(rng.choice("abcdefgh") for _ in range(k))
+    shared = [word(150), word(40), word(39), word(90)]
+    texts = [word(120) + shared[0] + word(120) for _ in range(3)] + [word(rng.randrange(30)) + rng.choice(shared) + word(rng.randrange(30)) for _ in range(40)]
+    texts += [texts[0], texts[5][:-3], "ab" * 200, None, ""]
+    monkeypatch.setattr(SF, "digests", lambda raw, start, size: np.zeros((len(start), 2), np.uint64))
+    got = SF.remove_repeats(docs(spark, list(enumerate(texts))).repartition(4), min_len=40, keep_bytes=True).collect()
+    want = [(d, *w) for d, w in enumerate(brute_repeats(texts, 40))]
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in got) == sorted(want)
+
+
+def test_classes_are_proved_in_arrays_of_any_size():
+    rng = random.Random(5)
+    strings, start, size, lead, want = b"", [], [], [], []
+    for k in range(30):
+        first = "".join(rng.choice("abcd") for _ in range(50)).encode()
+        members = [first if rng.random() < 0.8 else bytes(rng.choice(b"efgh") for _ in range(50)) for _ in range(rng.randrange(1, 9))]
+        for i, b in enumerate([first, *members]):
+            start.append(len(strings))
+            size.append(50)
+            lead.append(i == 0)
+            want.append([first, *members].count(b) > 1)
+            strings += b
+    for most in (1, 3, 7, 1000):
+        got = SF.proved(np.frombuffer(strings, np.uint8), np.array(start), np.array(size), np.array(lead), 20, most)
+        assert all(g == w for g, w, b in zip(got, want, lead, strict=True) if most == 1000) and not any(g and not w for g, w in zip(got, want, strict=True))
 
 
 @pytest.mark.parametrize("group", [1000, 3, 1])
