@@ -1,9 +1,10 @@
-"""A corpus pipeline over ``documents``: toxicity, MinHash near-dedup, suffix-array dedup, packing."""
+"""A corpus pipeline over ``documents``: toxicity, MinHash near-dedup, suffix-array dedup, packing.
 
-from __future__ import annotations
+Stages may be chained and called again at any time: what a stage has written when it returns are its decisions, which stay
+until the program or the caller's scope ends. The rows come from the documents that it was given.
+"""
 
-import contextlib
-from collections.abc import Iterator
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,46 +13,30 @@ from foliospark.llm.minhash import drop_near_duplicates
 from foliospark.llm.queries import packed
 from foliospark.llm.suffix import cut_repeats
 from foliospark.llm.toxicity import score_toxicity
-from foliospark.session import Scope, materialize, prepare, settled
-
-_open: dict[str, Scope] = {}  # by input folder: the intermediates of the stage called last
-
-
-@contextlib.contextmanager
-def _stage(spark: SparkSession, sf_dir: str) -> Iterator[None]:
-    """A stage is called once the stage before has been written, whose intermediates then go. Nobody else's do."""
-    if sf_dir in _open:
-        _open.pop(sf_dir).close()
-    _open[sf_dir] = Scope(prepare(spark))
-    with _open[sf_dir].entered():
-        yield
+from foliospark.session import materialize, prepare, settled
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that op6 marks as toxic (0.3 or more) go; the labels come from the table beside the documents."""
-    with _stage(spark, sf_dir):
-        row = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-        scored = score_toxicity(row, spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.3, carry=("row",))
-        return scored.where("predicted = 0").select(*(F.col("row")[c].alias(c) for c in docs.columns))
+    row = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    scored = score_toxicity(row, spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.3, carry=("row",))
+    return scored.where("predicted = 0").select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8 or more) the smallest doc_id stays."""
-    with _stage(spark, sf_dir):
-        return drop_near_duplicates(docs, width=5, percent=80, coordinates=48, matches=24)
+    return drop_near_duplicates(docs, width=5, percent=80, coordinates=48, matches=24)
 
 
 def repeat_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every byte covered by a 200-byte string that occurs twice goes; documents stay, if only with an empty text."""
-    with _stage(spark, sf_dir):
-        cut = cut_repeats(docs, min_len=200)
-        return cut.withColumn("n_chars", F.length("text").cast("bigint")).select(*(F.col(f"`{c}`") for c in docs.columns))
+    cut = cut_repeats(docs, min_len=200)
+    return cut.withColumn("n_chars", F.length("text").cast("bigint")).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left as pieces in sequences of 1024 tokens."""
-    with _stage(spark, sf_dir):
-        return packed(docs)
+    return packed(docs)
 
 
 STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("repeat_dedup", repeat_dedup), ("packing", packing)]
