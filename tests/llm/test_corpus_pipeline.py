@@ -107,3 +107,18 @@ def test_results_outlive_others_and_nothing_else_is_left(spark, tmp_path):
         assert held.count() == docs.count() and pieces.count() > 0
         assert spark.sql("SHOW TABLES IN foliospark_work").where("tableName like 'texts%'").count() == 0
     assert set(os.listdir(shared)) == before
+
+
+def test_stages_can_be_chained_and_called_twice(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    tables(spark, folder)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    ids = lambda df: sorted((r.doc_id is None, r.doc_id or 0) for r in df.collect())
+    first = C.near_dedup(spark, docs, folder)
+    once = ids(first)
+    chained = C.repeat_dedup(spark, C.near_dedup(spark, C.toxicity(spark, docs, folder), folder), folder)
+    other = C.near_dedup(spark, docs.where("doc_id % 2 = 0"), folder)
+    assert ids(first) == once and len(once) < docs.count()  # a second caller on the same folder takes nothing away
+    kept = ids(chained)
+    assert kept and kept == ids(chained) and set(kept) < set(ids(docs)) and 0 < other.count() < len(once)
+    assert chained.groupBy().sum("n_chars").first()[0] < C.near_dedup(spark, C.toxicity(spark, docs, folder), folder).groupBy().sum("n_chars").first()[0]
