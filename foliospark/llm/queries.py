@@ -141,7 +141,7 @@ WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(coalesce(html,
 ), f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS least FROM p)
 SELECT page_id, octet_length(b)::BIGINT AS payload_bytes,
   array_to_string(list_transform(range(0, 32), lambda g: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, (1 + 5 * (g // 4))::INT, 5))::INT >> (15 - 5 * (g % 4))::INT) & 31), 1)), '') AS payload_digest,
-  CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> least THEN least END AS refers_to
+  CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> least THEN least END AS refers_to, NULL::VARCHAR AS error
 FROM f
 """
 

@@ -15,15 +15,15 @@ import struct
 import zlib
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
-from urllib.parse import urlsplit
+from urllib.parse import quote, unquote, urlsplit
 
 import pyarrow as pa
-import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.session import materialize, prepare, settled, work_folder
+from foliospark.sources.store import opened
 
 # Signatures of the ZIP format; fixed values.
 _LOCAL, _CENTRAL, _END, _END64, _LOCATOR64 = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
@@ -128,9 +128,12 @@ class Package:
         """A range of a stored member; a deflated one only whole."""
         if member.method == 8 and offset == 0 and size is None:
             try:
-                return zlib.decompressobj(-15).decompress(self.range(self.start(member), member.packed))
+                data = zlib.decompressobj(-15).decompress(self.range(self.start(member), member.packed), member.size + 1)
             except zlib.error as error:
                 raise PackageError("a member cannot be decompressed") from error
+            if len(data) != member.size:
+                raise PackageError("a member has another size than its directory says")
+            return data
         if member.method != 0:
             raise PackageError("ranges need a stored member")
         size = member.size - offset if size is None else size
@@ -161,14 +164,27 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def _urn(page_id: object) -> str:
+    """An id as the name of a record; whatever it is made of, it stays within its header."""
+    return "<urn:page>" if page_id is None else f"<urn:page:{quote(str(page_id), safe='')}>"
+
+
+def _named(urn: str | None) -> str | None:
+    """The id of a record's name; of names that are not this module's, the name."""
+    if urn is None or urn == "<urn:page>":
+        return None
+    inner = urn.removeprefix("<").removesuffix(">")
+    return unquote(inner.removeprefix("urn:page:")) if inner.startswith("urn:page:") else inner
+
+
 def write_record(page_id: object, url: str, payload: bytes, digest: str, refers_to: object = None, date: str = "1970-01-01T00:00:00Z") -> bytes:
     """A response record, or a revisit of record ``refers_to`` whose block has the response's headers alone."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     revisit = refers_to is not None
     block = http if revisit else http + payload
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {date}", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{digest}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_urn(page_id)}", f"WARC-Date: {date}", f"WARC-Target-URI: {_clean(url)}", f"WARC-Payload-Digest: sha1:{digest}"]
     if revisit:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {_urn(refers_to)}"]
     lines += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -201,19 +217,15 @@ def _clean(url: str | None) -> str:
     return "".join(c for c in url or "" if c not in "\r\n")
 
 
-def opened(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    """The store of a path or URI, and the path in it."""
-    return pyarrow.fs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri)
-
-
 def url_key(url: str) -> str:
-    """A URL by which an index is sorted: the host backwards, then the rest."""
+    """A URL by which an index is sorted: the host backwards, then the rest, in characters that end no field or line."""
     try:
         parts = urlsplit(url)
         host = ",".join(reversed((parts.hostname or "").split(".")))
+        key = (f"{host}){parts.path or '/'}" + (f"?{parts.query}" if parts.query else "")).lower()
     except ValueError:
-        return url.replace(" ", "%20")
-    return (f"{host}){parts.path or '/'}" + (f"?{parts.query}" if parts.query else "")).lower().replace(" ", "%20")
+        key = url
+    return quote(key, safe="!$%&'()*+,-./:;=?@_~") or "-"
 
 
 class Entry(NamedTuple):
@@ -225,19 +237,20 @@ class Entry(NamedTuple):
 def index_lines(text: str) -> Iterator[Entry]:
     """The ranges of an index: lines of key, time and JSON, or of fields that a header line names by letters."""
     order: list[str] = []
-    for line in text.splitlines():
-        if not line.strip() or line.startswith("!"):
+    for line in text.split("\n"):  # and at no other character that ends lines elsewhere: a URL may hold those
+        line = line.rstrip("\r")
+        if not line.strip(" ") or line.startswith("!"):
             continue
-        if line.lstrip().startswith("CDX "):
-            order = line.split()[1:]
+        fields = [f for f in line.split(" ") if f]
+        if fields[0] == "CDX":
+            order = fields[1:]
             continue
-        brace = line.find("{")
         try:
-            if brace >= 0:
-                at = json.loads(line[brace:])
+            if len(fields) > 2 and fields[2].startswith("{"):
+                at = json.loads(line.lstrip(" ").split(" ", 2)[2])
                 yield Entry(str(at["filename"]), int(at["offset"]), int(at["length"]))
             else:
-                at = dict(zip(order or list("NbamskrMSVg"), line.split(), strict=False))
+                at = dict(zip(order or list("NbamskrMSVg"), fields, strict=False))
                 yield Entry(at["g"], int(at["V"]), int(at["S"]))
         except (ValueError, KeyError, TypeError) as error:
             raise PackageError(f"broken index line: {line[:80]}") from error
@@ -313,15 +326,24 @@ def _row(package: str, raw: bytes) -> tuple:
     digest = record.headers.get("warc-payload-digest", f"sha1:{payload_digest(body)}").removeprefix("sha1:")
     if kind == "response" and (payload_digest(body) != digest or len(body) != size):
         raise PackageError("a payload differs from its digest")
-    ident, refers = (record.headers[k].removeprefix("<urn:page:").removesuffix(">") if k in record.headers else None for k in ("warc-record-id", "warc-refers-to"))
-    return package, None if ident == "None" else ident, size, digest, kind, refers, record.headers.get("warc-target-uri"), body, None
+    ident, refers = (_named(record.headers.get(k)) for k in ("warc-record-id", "warc-refers-to"))
+    return package, ident, size, digest, kind, refers, record.headers.get("warc-target-uri"), body, None
+
+
+_MOST = 1 << 30  # bytes of one record or index
 
 
 def _whole(raw: bytes) -> bytes:
+    if raw[:2] != b"\x1f\x8b":
+        return raw
+    inflate = zlib.decompressobj(31)
     try:
-        return zlib.decompress(raw, 31) if raw[:2] == b"\x1f\x8b" else raw
+        data = inflate.decompress(raw, _MOST)
     except zlib.error as error:
         raise PackageError("a record cannot be decompressed") from error
+    if not inflate.eof:
+        raise PackageError("a record breaks off, or is larger than a record may be")
+    return data
 
 
 def _in_order(package: Package, member: Member) -> Iterator[bytes]:
@@ -344,10 +366,12 @@ def _in_order(package: Package, member: Member) -> Iterator[bytes]:
         if zipped:
             inflate = inflate or zlib.decompressobj(31)
             try:
-                out.append(inflate.decompress(held))
+                out.append(inflate.decompress(held, _RANGE))
             except zlib.error as error:
                 raise PackageError("a record cannot be decompressed") from error
-            held = inflate.unused_data
+            if sum(map(len, out)) > _MOST:
+                raise PackageError("a record is larger than a record may be")
+            held = inflate.unused_data if inflate.eof else inflate.unconsumed_tail
             if inflate.eof:
                 yield b"".join(out)
                 inflate, out = None, []
@@ -456,11 +480,11 @@ def read_archives(packages: DataFrame) -> DataFrame:
 def archive_pages(pages: DataFrame, *, id_col: str = "page_id", **options: object) -> DataFrame:
     """Writes pages to packages in the shared folder and reads all records back.
 
-    Returns a row per page: page_id, payload_bytes, payload_digest, record_type, refers_to. Null html counts as empty,
-    a null url as an empty one. Rows that repeat the smallest id of a payload are responses too. Rows with a null id
+    Returns a row per page: page_id, payload_bytes, payload_digest, record_type, refers_to, error (null; a record that
+    cannot be read back is a row with its error alone). Null html counts as empty, a null url as an empty one; urls and ids
+    may hold any characters (line ends of a url are left out). Rows that repeat the smallest id of a payload are responses too. Rows with a null id
     are responses, or revisits if a row with an id has their payload. Extra columns are ignored; no pages, no records.
     """
     kind = pages.schema[id_col].dataType.simpleString()
     records = read_archives(write_archives(pages, id_col=id_col, **options))
-    size = F.when(F.col("error").isNull(), F.col("payload_bytes")).otherwise(F.raise_error(F.col("error")).cast("bigint"))
-    return records.select(F.col("page_id").cast(kind).alias("page_id"), size.alias("payload_bytes"), "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+    return records.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"), "error")

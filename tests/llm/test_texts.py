@@ -486,6 +486,60 @@ def test_segmentations_of_a_table(spark):
     assert len({bytes(r.ids) for r in got if r.doc_id == 1}) == 3
 
 
+ODD = ["http://x/{id}", "http://x/a b{}\u2028c", "http://x/\x0b?q={\"a\": 1}", "http://[broken", "http://x/\r\nWARC-Type: revisit", "", None, "{", "! x", " CDX N", "http://x/\x85\x1c"]
+IDS = ["None", "a\r\nWARC-Type: revisit", "a b", "{", "<urn:page:1>", "é>", "", "%41", "A", "urn:uuid:1", None]
+
+
+def test_urls_and_ids_of_any_characters_come_back(spark):
+    rows = [(i, u, f"<p>{k % 4}</p>") for k, (i, u) in enumerate(zip(IDS, ODD, strict=True))]
+    df = spark.createDataFrame(rows, "page_id STRING, url STRING, html STRING").repartition(2)
+    got = {r.page_id: r for r in W.archive_pages(df).collect()}
+    assert set(got) == set(IDS) and not any(r.error for r in got.values())
+    for i, _, html in rows:
+        same = [j for j, _, h in rows if h == html and j is not None]
+        first = min(same)
+        assert (got[i].record_type, got[i].refers_to) == (("response", None) if i == first else ("revisit", first)), i
+        assert got[i].payload_digest == W.payload_digest(html.encode())
+
+
+def test_revisits_in_a_table_are_those_of_its_sql(spark, tmp_path):
+    import duckdb
+
+    from foliospark.llm import queries as Q
+
+    rng = random.Random(31)
+    bodies = ["", "é" * 50, *("".join(rng.choice("<p> abc") for _ in range(rng.randrange(5, 3000))) for _ in range(40))]
+    rows = [(i, rng.choice(ODD) or f"http://h{i % 7}/{i}", rng.choice([None, *bodies])) for i in rng.sample(range(5000), 600)]
+    spark.createDataFrame(rows, "page_id BIGINT, url STRING, html STRING").coalesce(1).write.parquet(f"file://{tmp_path}/pages.parquet")
+    got = Q.op7_warc_zip(spark, f"file://{tmp_path}").toPandas()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(Q.OP7_SQL).df()
+    plain = lambda df: sorted(tuple(None if v != v or v is None else v for v in r) for r in df[sorted(want.columns)].astype(object).itertuples(index=False))
+    key = lambda rows_: sorted(rows_, key=str)
+    assert key(map(str, plain(got.astype({"refers_to": "Int64"}).astype(object).where(lambda d: d.notna(), None)))) == key(map(str, plain(want.astype({"refers_to": "Int64"}).astype(object).where(lambda d: d.notna(), None))))
+    assert (got.record_type == "revisit").sum() > 400
+
+
+def test_members_and_records_are_inflated_to_their_bounds(monkeypatch):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("bomb", bytes(30_000_000))
+    raw = bytearray(out.getvalue())
+    at = raw.index(b"PK\x01\x02") + 24
+    raw[at : at + 4] = (1000).to_bytes(4, "little")
+    package = W.Package(lambda s, n: bytes(raw[s : s + n]), len(raw))
+    with pytest.raises(W.PackageError, match="another size"):
+        package.read(package.members["bomb"])
+    monkeypatch.setattr(W, "_MOST", 10_000)
+    record = zlib.compressobj(9, zlib.DEFLATED, 31)
+    zipped = record.compress(bytes(20_000)) + record.flush()
+    with pytest.raises(W.PackageError, match="larger"):
+        W._whole(zipped)
+    monkeypatch.setattr(W, "_MOST", 20_001)
+    assert len(W._whole(zipped)) == 20_000
+
+
 # --- what hashes alone would not decide
 
 def thue_morse(n):
