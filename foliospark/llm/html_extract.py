@@ -36,10 +36,16 @@ _MATH = "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover
 _INLINE = frozenset(f"a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr input meta link {_MATH}".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _ASIDE = frozenset("nav header footer aside form menu dialog fieldset search".split())
-_HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|popup|modal|overlay|nav\w*|menu\w*|breadcrumbs?|side-?bar|widget\w*|footer|header|masthead|comments?|disqus|repl(?:y|ies)|respond|share|sharing|social|related|recommended|newsletter|subscri\w*|login|signup|pagination|pager|toolbar|skip-?link|copyright|legal|disclaimer)(?:$|[\s_-]|\d)",
+_HINTS = re.compile(
+    r"(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|popup|modal|overlay|nav\w*|menu\w*|breadcrumbs?|sidebar|widgets?|footer|header|masthead|comments?|disqus|repl(?:y|ies)|respond|share|sharing|social|related|recommended|newsletter|subscri\w*|login|signup|pagination|pager|toolbar|skiplink|copyright|legal|disclaimer)",
     re.I,
 )
+# What else the name of such a part is made of; with any other word it says what the text is about, as category-social does.
+_PARTS = frozenset(
+    """site page main global primary secondary top bottom left right upper lower inner outer fixed sticky mobile desktop wide full box list area section block bar row col
+    column group wrap wrapper container holder region panel zone slot unit item items link links button buttons icon icons post posts entry article articles story stories content
+    form field inline side skip google dfp js ui wp the my is new all large small thread body title""".split()
+)
 _HINT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 # Patterns are possessive and stop at the next angle bracket: none looks at a character many times.
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:\s++[^\s\"'<>=/]++(?:\s*+=\s*+(?:\"[^\"<>]*+\"|'[^'<>]*+'|[^\s\"'<>=`]++))?+)*+\s*+/?)>")
@@ -47,6 +53,9 @@ _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*+)")
 _VALUE = re.compile(r"=\s*+([\"'])")
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _MAIN = frozenset(("article", "main"))
+_BARS = 8  # one in another; a container so deep is barred if any of these is
+_STEPS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_LATIN, _LETTER = re.compile(r"[A-Za-z\u00aa-\u024f\u1e00-\u1eff]"), re.compile(r"[^\W\d_]")
 
 
 class Rules(NamedTuple):
@@ -57,6 +66,7 @@ class Rules(NamedTuple):
     stop_high: float = 0.18
     links: float = 0.33
     heading: int = 200
+    page_low: float = 0.005  # of stop words in all that is left of a page none of whose blocks is good
 
 
 class Block(NamedTuple):
@@ -72,6 +82,18 @@ class Block(NamedTuple):
 _ABOUT_PAGE = ("has-", "with-", "no-", "without-")  # names of layouts that have or lack a part
 
 
+def _hint(name: str) -> str | None:
+    """The part of a page that a class or id names, if it does."""
+    if name.lower().startswith(_ABOUT_PAGE):
+        return None
+    words = _STEPS.findall(name)
+    joined = "".join(words).lower()
+    if joined in ("sidebar", "skiplink") or _HINTS.fullmatch(joined):
+        return joined
+    found = [w for w in words if _HINTS.fullmatch(w)]
+    return found[0].lower() if found and all(w.lower() in _PARTS or w in found for w in words) else None
+
+
 def _barred(tag: str, attributes: str, main: bool) -> bool:
     """Whether a container is named as something other than the article. Inside the article, headers are its own."""
     if tag in _ASIDE:
@@ -82,14 +104,28 @@ def _barred(tag: str, attributes: str, main: bool) -> bool:
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
             for word in value.split():
-                hint = None if word.lower().startswith(_ABOUT_PAGE) else _HINT.search(word)
-                if hint and not (main and "header" in hint[0].lower()):
+                hint = _hint(word)
+                if hint and not (main and "header" in hint):
                     return True
         elif name == "role" and value.lower() in _HINT_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
     return False
 
 
+class _Bar:
+    """A container that its name, tag or role says is no article, and what it holds."""
+
+    def __init__(self, tag: str) -> None:
+        self.tag, self.text, self.holds = tag, 0, Counter()
+
+    def lifted(self, text: int, all_: Counter[str]) -> bool:
+        """Whether it holds what makes a page: its main element, all of its articles or headings with most of its text; a form, most text."""
+        if self.tag in _MAIN and self.holds[self.tag] == all_[self.tag] or self.holds["main"]:
+            return True
+        most = 2 * self.text > text
+        return most and (self.tag == "form" or any(self.holds[x] and self.holds[x] == all_[x] for x in ("article", "h1")))
+
+
 class _Scanner:
     """Tags of a page in one pass. What is not there (a quote, the end of a comment) is looked for once."""
 
@@ -135,21 +171,27 @@ class _Scanner:
             k = close + 1
 
 
-def blocks(page: str) -> Iterator[Block]:
-    """The page's blocks of text: runs between the tags of block elements."""
+def blocks(page: str) -> list[Block]:
+    """The page's blocks of text: runs between the tags of block elements. Bars are judged once all of the page is known."""
     scanner = _Scanner(page)
-    stack: list[tuple[str, bool, bool]] = []  # tag, barred, main
+    stack: list[tuple[str, tuple[_Bar, ...], bool]] = []  # tag, what bars it, main
+    found: list[tuple[Block, tuple[_Bar, ...]]] = []
+    held: Counter[str] = Counter()
+    total = 0
     open_tags: Counter[str] = Counter()
     parts: list[str] = []
     linked, in_link, heading, low = 0, False, False, 0
 
-    def flush() -> Iterator[Block]:
-        nonlocal linked, parts, low
+    def flush() -> None:
+        nonlocal linked, parts, low, total
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                barred, main = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-                yield Block(text, min(linked, len(text)), heading, barred, len(stack), min(low, len(stack)), main)
+                bars, main = (stack[-1][1], stack[-1][2]) if stack else ((), False)
+                found.append((Block(text, min(linked, len(text)), heading, False, len(stack), min(low, len(stack)), main), bars))
+                total += len(text)
+                for b in bars:
+                    b.text += len(text)
                 low = len(stack)
         parts, linked = [], 0
 
@@ -196,7 +238,7 @@ def blocks(page: str) -> Iterator[Block]:
             if tag in ("br", "img", "input"):
                 parts.append(" ")
             continue
-        yield from flush()
+        flush()
         if closing:
             if open_tags[tag]:
                 k = len(stack) - 1
@@ -210,13 +252,20 @@ def blocks(page: str) -> Iterator[Block]:
             if tag not in ("p", "html", "body") and stack and stack[-1][0] == "p":
                 close(len(stack) - 1)
             in_link = False
-            up = stack[-1] if stack else ("", False, False)
+            up = stack[-1] if stack else ("", (), False)
             main = up[2] or tag in _MAIN
-            barred = up[1] or tag not in ("html", "body") and _barred(tag, attributes, up[2])
-            stack.append((tag, barred, main))
+            bars = up[1]
+            if len(bars) < _BARS and tag not in ("html", "body") and _barred(tag, attributes, up[2]):
+                bars = (*bars, _Bar(tag))
+            if tag in ("article", "main", "h1"):
+                held[tag] += 1
+                for b in bars:
+                    b.holds[tag] += 1
+            stack.append((tag, bars, main))
             open_tags[tag] += 1
             heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-    yield from flush()
+    flush()
+    return [b._replace(barred=not all(x.lifted(total, held) for x in bars)) if bars else b for b, bars in found]
 
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -249,14 +298,19 @@ def decide(page: list[Block], first: list[str], rules: Rules) -> list[bool]:
     between equally near neighbours of different labels a block with some stop words is good, one with few or a short one
     is bad; outside an article or main that has good text, such blocks are bad. A heading shortly before good text is good. Decided are good and bad blocks; for short ones also the longer
     ambiguous ones, which this pass decides first. Where no block of the page is good by its words, those inside article or
-    main are, unless bad, and without any all that are not bad, if taken together they have some stop words.
+    main are, unless bad, and without any all that are not bad, if taken together they have some stop words; where their letters
+    are mostly of scripts other than Latin, those that are not short.
     """
     label = [x if x in ("good", "bad") else None for x in first]
     if "good" not in label:
         rest = [i for i, x in enumerate(first) if x != "bad"]
         inside = [i for i in rest if page[i].main]
-        if not inside and _share(" ".join(page[i].text for i in rest)) >= rules.stop_low:
-            inside = rest
+        if not inside:
+            text = " ".join(page[i].text for i in rest)
+            if _share(text) >= rules.page_low:
+                inside = rest
+            elif 2 * len(_LATIN.findall(text)) < len(_LETTER.findall(text)):  # a script that the lists do not know: by length
+                inside = [i for i in rest if first[i] != "short"]
         for i in inside:
             label[i] = "good"
     article = any(b.main and x == "good" for b, x in zip(page, label, strict=True))
@@ -305,7 +359,7 @@ def extract(page: str | None, rules: Rules = Rules()) -> str:
     """The main text: good blocks in page order, joined by one space."""
     if not page:
         return ""
-    found = list(blocks(page))
+    found = blocks(page)
     return " ".join(b.text for b, good in zip(found, decide(found, classify(found, rules), rules), strict=True) if good)
 
 

@@ -60,3 +60,37 @@ def test_words_decide_where_no_element_is_named_article(monkeypatch):
 def test_quotes_and_comments():
     assert H.extract(f'<article><p title="a > b">{BODY}</p><p data-x=\'<p>\'>one</p><!-- <p>two</p> --><?php x ?><p class="c>three</p></article>') == f"{BODY} one three"
     assert H.extract(f"<article><p>{BODY} 1 < 2 <3</p></article>") == f"{BODY} 1 < 2 <3"
+
+
+RUSSIAN = "Съешь же ещё этих мягких французских булок, да выпей чаю, а потом расскажи нам обо всём, что видел. " * 2
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    (f'<nav>menu</nav><article class="post category-social tag-legal type-banner"><p>{BODY}</p></article>', BODY),
+    (f'<main id="comment"><p>{BODY}</p></main><footer>x</footer>', BODY),
+    (f'<article><p>{BODY}</p><div class="legal-text share-price"><p>{BODY} more</p></div></article>', f"{BODY} {BODY} more"),
+    (f'<form id="aspnetForm"><div class="nav">x y</div><div><h1>Title</h1><p>{BODY}</p><p>{BODY}</p></div></form>', f"Title {BODY} {BODY}"),
+    (f'<div class="social-layout with-sidebar"><main><p>{BODY}</p></main></div>', BODY),
+    (f"<nav><a href=x>Меню</a></nav><div><p>{RUSSIAN}</p><p>{RUSSIAN}</p></div><footer>Подвал</footer>", f"{RUSSIAN.strip()} {RUSSIAN.strip()}"),
+    (f"<article><p>{RUSSIAN}</p></article>", RUSSIAN.strip()),
+])
+def test_names_do_not_take_articles_away(page, want):
+    assert H.extract(f"<html><body>{page}</body></html>") == want
+
+
+@pytest.mark.parametrize("name", ["comment-list", "commentsArea", "site-footer", "main-nav", "share-buttons", "social-links", "related-posts", "newsletter-signup", "sidebar", "side-bar", "cookie-notice", "ad", "ad-slot", "google-ads", "post-comments", "breadcrumbs", "skip-link", "sponsored-box", "navbar"])
+def test_names_of_other_parts_bar(name):
+    assert H.extract(f'<body><article><h1>Title</h1><p>{BODY}</p></article><div class="x {name}"><p>{BODY} other</p></div></body>') == f"Title {BODY}"
+
+
+def test_comments_stay_out_however_long_and_marked_up():
+    comment = f'<article class="comment" id="div-comment-7"><p>{BODY} said one</p></article>'
+    assert H.extract(f'<body><div class="content"><h1>T</h1><p>{BODY}</p></div><section id="comments">{comment * 5}</section></body>') == f"T {BODY}"
+    assert H.extract(f'<body><article><h1>T</h1><p>{BODY}</p></article><ol class="comment-list"><li>{comment}</li></ol></body>') == f"T {BODY}"
+    assert H.extract(f'<form class="search"><p>{BODY}</p></form><div><p>{BODY} {BODY}</p></div>') == f"{BODY} {BODY}"
+
+
+def test_pages_without_an_article_are_seldom_lost():
+    pages = [x or "" for x in pq.read_table("/root/testdata/sf0.1/pages.parquet").column("html").to_pylist()]
+    bare = [H.extract(re.sub(r"(</?)(article|main)\b", r"\1div", x)) for x in pages]
+    assert sum(not x for x in bare) < 0.01 * len(pages)
