@@ -107,11 +107,11 @@ def final_pages(sheets: DataFrame, recognizer: Recognizer, settings: Settings =
     return materialized(materialize(recognized(spread, recognizer), "recognized"))
 
 
-def convert(spark: SparkSession, path: str | list[str], recognizer: Recognizer, settings: Settings = Settings(), *, pdf: PdfRenderer | None = None, codec: Codec = decode_image) -> dict[str, DataFrame]:
-    """Every file at a path or paths (a file, a folder, a pattern; any store): tables pages, documents and manifests."""
+def convert(spark: SparkSession, path: str | list[str] | DataFrame, recognizer: Recognizer, settings: Settings = Settings(), *, pdf: PdfRenderer | None = None, codec: Codec = decode_image) -> dict[str, DataFrame]:
+    """Every file at a path or paths (a file, a folder, a pattern; any store), or of (path, content): tables pages, documents and manifests."""
     prepare(spark)
     started = datetime.now(timezone.utc)
-    found = files(spark, path)
+    found = path if isinstance(path, DataFrame) else files(spark, path)
     pages = materialize(final_pages(sheets(found, pdf), recognizer, settings, codec), "final")
     stamp = lambda t: F.lit(t.isoformat(timespec="milliseconds").replace("+00:00", "Z"))
     inputs = found.select(F.col("path").alias("doc_id"), F.regexp_replace("path", "^file:/+", "/").alias("path"), F.sha2("content", 256).alias("sha256"), stamp(started).alias("started_at"), stamp(datetime.now(timezone.utc)).alias("completed_at"))

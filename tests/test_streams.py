@@ -48,3 +48,20 @@ def test_pages_in_any_order_over_batches_and_restarts(stream):
     # half an hour after its first page was seen, c comes out as an error
     assert stream([("e", 1, 1, at(90), "e1", None)]) == [("c", 2, None, "OCR_ENGINE_TIMEOUT"), ("e", 1, text((1, "e1")), None)]
     assert stream([("e", 1, 1, at(91), "e1", None)]) == []
+
+
+def test_batches_of_files_are_reported_as_observed(spark, tmp_path):
+    import time
+
+    from foliospark.streaming import ingest
+    from tests.test_pipeline import Fake, scan, write
+
+    (tmp_path / "in").mkdir()
+    sizes = [os.path.getsize(write(tmp_path / "in" / n, scan(w, 60))) for n, w in (("a.png", 50), ("b.png", 55))]
+    events = []
+    ingest(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out", f"file://{tmp_path}/ck", Fake(), progress=events.append).awaitTermination()
+    for _ in range(100):
+        if any(e["type"] == "stream:batch" for e in events):
+            break
+        time.sleep(0.1)
+    assert {"type": "stream:batch", "batch": 0, "files": 2, "bytes": sum(sizes)} in events
