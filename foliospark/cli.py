@@ -26,7 +26,7 @@ HELP = """foliospark - scanned documents to Markdown
       --watermark <mode>      off | conservative | strong | text-safe (text-safe)
       --device <device>       cpu, gpu:0, ... (cpu)
       --paddle-command <path> recognition program (paddleocr)
-      --paddle-python <path>  Python that runs the recognition bridge
+      --paddle-python <path>  Python that runs the recognition worker
       --keep-work             keep intermediate tables
   -h, --help
   -v, --version

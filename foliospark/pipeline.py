@@ -20,7 +20,7 @@ from foliospark.operators import batch as B
 from foliospark.operators.assemble import documents, folder_names, manifests, materialized
 from foliospark.operators.codecs import decode_image
 from foliospark.operators.raster import encode_png, split_pages, suppress
-from foliospark.recognize import ProcessRecognizer, Recognizer, recognized
+from foliospark.recognize import ProcessRecognizer, Recognizer, WorkerRecognizer, recognized
 from foliospark.schemas import ERROR
 from foliospark.session import materialize, prepare
 from foliospark.sinks import write_files
@@ -119,10 +119,12 @@ def convert(spark: SparkSession, path: str | list[str] | DataFrame, recognizer:
 
 
 def default_recognizer(settings: Settings) -> Recognizer:
-    """The program that the settings name; with a Python of its own, the bundled bridge under it."""
-    bridge = settings.paddle_python is not None
-    script = (os.path.join(os.path.dirname(os.path.abspath(__file__)), "structure_bridge.py"),) if bridge else ()
-    return ProcessRecognizer(settings.paddle_python or settings.paddle_command, script, device=settings.device, recovery=settings.watermark_mode == "text-safe", bridge=bridge)
+    """The program that the settings name, run for each page; with a Python of its own, the bundled worker under it, which is kept."""
+    recovery = settings.watermark_mode == "text-safe"
+    if settings.paddle_python is None:
+        return ProcessRecognizer(settings.paddle_command, device=settings.device, recovery=recovery, bridge=False)
+    worker = os.path.join(os.path.dirname(os.path.abspath(__file__)), "recognition_worker.py")
+    return WorkerRecognizer(settings.paddle_python, (worker,), device=settings.device, recovery=recovery)
 
 
 def local_path(path: str) -> str:

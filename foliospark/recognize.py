@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import json
 import os
+import selectors
+import subprocess
 import tempfile
+import time
 from collections.abc import Iterator
 from typing import Any, Protocol
 
@@ -41,10 +46,44 @@ class ReplayRecognizer:
         return {**read_folder(folder, self.recovery), "warnings": [], "engine": self.engine}
 
 
+# The structure program's options, and those of them that it takes with each page.
+FLAGS = {
+    "use_doc_orientation_classify": True,
+    "use_doc_unwarping": True,
+    "use_textline_orientation": True,
+    "use_region_detection": True,
+    "use_table_recognition": True,
+    "use_formula_recognition": False,
+    "use_seal_recognition": False,
+    "use_chart_recognition": False,
+}
+PAGE_FLAGS = ("use_doc_orientation_classify", "use_doc_unwarping", "use_chart_recognition")
+
+
+def _laid_out(page: dict[str, Any], work: str) -> tuple[str, str, str]:
+    """(image, image for recovery, output folder) of a page in a task's own folder."""
+    image, raw, out = (os.path.join(work, n) for n in ("input.png", "raw-input.png", "ocr"))
+    os.makedirs(out)
+    for path, data in ((image, page["page_png"]), (raw, page.get("recovery_png"))):
+        if data:
+            with open(path, "wb") as file:
+                file.write(data)
+    return image, raw if page.get("recovery_png") else image, out
+
+
+def _found(out: str, recovery: bool, warnings: list[str], model: str, device: str) -> dict[str, Any]:
+    """What a program has left, its pictures by value."""
+    found = read_folder(out, recovery)
+    for a in found["assets"]:
+        with open(a["source_path"], "rb") as file:
+            a["content"] = file.read()
+    return {**found, "warnings": warnings, "engine": {"name": "PP-StructureV3", "recognition_model": model, "device": device}}
+
+
 class ProcessRecognizer:
     """Runs a structure-recognition program on each page, and reads what it leaves.
 
-    ``bridge``: the program knows --save_raw_ocr and --raw_ocr_input; a stock program does not, and is not given them.
+    Models are loaded anew for each page; :class:`WorkerRecognizer` keeps them. ``bridge``: the program knows --save_raw_ocr and --raw_ocr_input; a stock program does not, and is not given them.
     """
 
     def __init__(self, command: str = "paddleocr", arguments: tuple[str, ...] = (), *, device: str = "cpu", model: str = MODEL, recovery: bool = False, bridge: bool = True, timeout: float = 1800, runner: Runner = run_process) -> None:
@@ -52,9 +91,8 @@ class ProcessRecognizer:
         self.recovery, self.bridge, self.timeout, self.runner = recovery, bridge, timeout, runner
 
     def build(self, image: str, out: str, raw: str | None = None) -> list[str]:
-        flags = {"use_doc_orientation_classify": True, "use_doc_unwarping": True, "use_textline_orientation": True, "use_region_detection": True, "use_table_recognition": True, "use_formula_recognition": False, "use_seal_recognition": False, "use_chart_recognition": False}
         args = ["pp_structurev3", "-i", image, "--save_path", out, "--device", self.device, "--text_recognition_model_name", self.model]
-        for name, value in flags.items():
+        for name, value in FLAGS.items():
             args += [f"--{name}", str(value)]
         if self.bridge:
             args += ["--save_raw_ocr", str(self.recovery).lower()]
@@ -63,18 +101,82 @@ class ProcessRecognizer:
 
     def recognize(self, page: dict[str, Any]) -> dict[str, Any]:
         with tempfile.TemporaryDirectory() as work:  # of this task alone
-            image, raw, out = (os.path.join(work, n) for n in ("input.png", "raw-input.png", "ocr"))
-            os.makedirs(out)
-            for path, data in ((image, page["page_png"]), (raw, page.get("recovery_png"))):
-                if data:
-                    with open(path, "wb") as file:
-                        file.write(data)
-            done = self.runner(self.command, [*self.arguments, *self.build(image, out, raw if page.get("recovery_png") else image)], cwd=out, timeout=self.timeout)
-            found = read_folder(out, self.recovery)
-            for a in found["assets"]:
-                with open(a["source_path"], "rb") as file:
-                    a["content"] = file.read()
-            return {**found, "warnings": [done.stderr.strip()] if done.stderr.strip() else [], "engine": {"name": "PP-StructureV3", "recognition_model": self.model, "device": self.device}}
+            image, raw, out = _laid_out(page, work)
+            done = self.runner(self.command, [*self.arguments, *self.build(image, out, raw)], cwd=out, timeout=self.timeout)
+            return _found(out, self.recovery, [done.stderr.strip()] if done.stderr.strip() else [], self.model, self.device)
+
+
+_kept: dict[tuple[str, ...], subprocess.Popen] = {}  # of this Python worker, which Spark uses again for other tasks
+
+
+@atexit.register
+def _stop_kept() -> None:
+    for process in _kept.values():
+        process.kill()
+
+
+def _answer(process: subprocess.Popen, line: bytes, timeout: float) -> bytes | None:
+    """The program's line in answer to one; empty if it has ended, None if there is none in time."""
+    try:
+        process.stdin.write(line)
+        process.stdin.flush()
+    except OSError:
+        return b""
+    got, until = b"", time.monotonic() + timeout
+    with selectors.DefaultSelector() as ready:
+        ready.register(process.stdout, selectors.EVENT_READ)
+        while not got.endswith(b"\n"):
+            if not ready.select(max(0.0, until - time.monotonic())):
+                return None
+            part = os.read(process.stdout.fileno(), 1 << 16)
+            if not part:
+                return b""
+            got += part
+    return got
+
+
+class WorkerRecognizer:
+    """Keeps a recognition program running in each Python worker of Spark and sends it page after page, so its models are loaded once.
+
+    The program takes a line of JSON for each page and answers with one (see :mod:`foliospark.recognition_worker`). One that
+    does not answer in time, or ends, fails its page, is stopped, and is started anew for the next.
+    """
+
+    def __init__(self, command: str, arguments: tuple[str, ...] = (), *, device: str = "cpu", model: str = MODEL, recovery: bool = False, timeout: float = 1800) -> None:
+        self.command, self.arguments, self.device, self.model, self.recovery, self.timeout = command, arguments, device, model, recovery, timeout
+
+    def _process(self) -> subprocess.Popen:
+        key = (self.command, *self.arguments)
+        if key not in _kept:
+            try:
+                _kept[key] = subprocess.Popen(key, stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL)
+            except FileNotFoundError as error:
+                raise FolioError("OCR_ENGINE_NOT_FOUND", f"no such program: {self.command}") from error
+            except OSError as error:
+                raise FolioError("OCR_ENGINE_START_FAILED", f"cannot start {self.command}") from error
+        return _kept[key]
+
+    def _drop(self) -> None:
+        process = _kept.pop((self.command, *self.arguments), None)
+        if process:
+            process.kill()
+            process.wait()
+
+    def recognize(self, page: dict[str, Any]) -> dict[str, Any]:
+        with tempfile.TemporaryDirectory() as work:  # of this task alone
+            image, raw, out = _laid_out(page, work)
+            structure = {k: v for k, v in FLAGS.items() if k not in PAGE_FLAGS}
+            request = {"image": image, "folder": out, "common": {"device": self.device, "text_recognition_model_name": self.model}, "structure": structure, "page": {k: FLAGS[k] for k in PAGE_FLAGS}}
+            if self.recovery:
+                request["recovery"] = raw
+            line = _answer(self._process(), json.dumps(request).encode() + b"\n", self.timeout)
+            if not line:
+                self._drop()
+                raise FolioError("OCR_ENGINE_TIMEOUT", f"no answer after {self.timeout} s: {self.command}") if line is None else FolioError("OCR_ENGINE_FAILED", f"{self.command} has ended")
+            answer = json.loads(line)
+            if "error" in answer:
+                raise FolioError("OCR_ENGINE_FAILED", answer["error"])
+            return _found(out, self.recovery, [], self.model, self.device)
 
 
 _LINE = pa.struct([("text", pa.string()), ("box", pa.list_(pa.float64())), ("score", pa.float64())])

@@ -243,42 +243,83 @@ def test_process_recognizer():
     assert "--save_raw_ocr" not in stock and "--raw_ocr_input" not in stock
 
 
-def test_bridge(tmp_path):
-    from foliospark import structure_bridge as SB
+class Models:
+    loaded = 0
+
+    def __init__(self, common, structure):
+        type(self).loaded += 1
+        self.seen = []
+        assert common["device"] == "cpu" and structure["use_table_recognition"] and "use_chart_recognition" not in structure
+
+    def lines(self, image):
+        self.seen.append(image)
+        return [{"res": {"rec_texts": [os.path.basename(image)], "rec_boxes": [[0, 0, 1, 1]], "rec_scores": [1]}}, {"rec_texts": ["b"], "rec_boxes": [[0, 0, 1, 1]], "rec_scores": [0.5]}]
+
+    def pages(self, image, **options):
+        assert options == {"use_doc_orientation_classify": True, "use_doc_unwarping": True, "use_chart_recognition": False}
+        with open(image, "rb") as f:
+            if f.read() == b"bad":
+                raise ValueError("no page")
+        yield self
+
+    def save_to_markdown(self, folder):
+        with open(os.path.join(folder, "page.md"), "w") as f:
+            f.write(f"read by {os.getpid()}")
+
+    def save_to_json(self, folder):
+        with open(os.path.join(folder, "page_res.json"), "w") as f:
+            f.write("{}")
+
+
+def test_a_worker_answers_each_line_and_keeps_its_models(tmp_path):
+    from foliospark import recognition_worker as RW
+    from foliospark.recognize import FLAGS, PAGE_FLAGS
+
+    (tmp_path / "i.png").write_bytes(b"good")
+    (tmp_path / "bad.png").write_bytes(b"bad")
+    request = lambda name, **more: json.dumps({"image": str(tmp_path / name), "folder": str(tmp_path / "out"), "common": {"device": "cpu"}, "structure": {k: v for k, v in FLAGS.items() if k not in PAGE_FLAGS}, "page": {k: FLAGS[k] for k in PAGE_FLAGS}, **more})
+    out, Models.loaded = io.StringIO(), 0
+    RW.serve([request("i.png", recovery=str(tmp_path / "raw.png")), request("bad.png"), "no json", request("i.png")], out, Models)
+    assert [json.loads(x).get("error", "").split(":")[0] for x in out.getvalue().splitlines()] == ["", "ValueError", "JSONDecodeError", ""] and Models.loaded == 1
+    raw = json.loads((tmp_path / "out/raw_ocr.json").read_text())
+    assert {k: v["rec_texts"] for k, v in raw.items()} == {"overall_ocr_res": ["raw.png", "b"], "fallback_ocr_res": ["i.png", "b"]}
+    RW.serve([request("i.png", recovery=str(tmp_path / "i.png"))], out, Models)
+    assert json.loads((tmp_path / "out/raw_ocr.json").read_text())["fallback_ocr_res"]["rec_texts"] == []
+
+
+PROGRAM = """
+import os, sys, time
+sys.path[:0] = [{root!r}]
+from foliospark import recognition_worker as RW
+from tests.test_sources import Models
+class Slow(Models):
+    def pages(self, image, **options):
+        with open(image, "rb") as f:
+            content = f.read()
+        if content == b"slow":
+            time.sleep(60)
+        if content == b"end":
+            os._exit(3)
+        return super().pages(image, **options)
+RW.serve(sys.stdin, sys.stdout, Slow)
+"""
+
+
+def test_a_kept_program_reads_many_pages_and_is_started_anew(spark, tmp_path):
     from foliospark.pipeline import Settings, default_recognizer
+    from foliospark.recognize import WorkerRecognizer, recognized
+
+    assert default_recognizer(Settings(paddle_python="/venv/python")).arguments[0].endswith("recognition_worker.py") and default_recognizer(Settings()).arguments == ()
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    (tmp_path / "program.py").write_text(PROGRAM.format(root=root))
+    recognizer = WorkerRecognizer(sys.executable, (str(tmp_path / "program.py"),), recovery=True, timeout=8)
+    rows = [("d", k, data, None, 10, 10, None) for k, data in enumerate([b"good", b"good", b"bad", b"good", b"slow", b"good", b"end", b"good"])]
+    pages = spark.createDataFrame(rows, "doc_id STRING, page_number INT, page_png BINARY, recovery_png BINARY, page_width INT, recovery_width INT, error STRUCT<code: STRING, message: STRING>").coalesce(1)
+    got = {r.page_number: r for r in recognized(pages, recognizer).collect()}
+    assert [got[k].error and got[k].error.code for k in range(8)] == [None, None, "OCR_ENGINE_FAILED", None, "OCR_ENGINE_TIMEOUT", None, "OCR_ENGINE_FAILED", None]
+    assert len({got[k].markdown for k in (0, 1, 3)}) == 1 and len({got[k].markdown for k in (0, 5, 7)}) == 3  # one process for all, and one more after each failure
+    assert len(got[0].raw_lines) == 2 and got[2].error.message == "ValueError: no page"
+    with pytest.raises(FolioError) as e:
+        WorkerRecognizer("/no/such/program").recognize({"page_png": b"x"})
+    assert e.value.code == "OCR_ENGINE_NOT_FOUND"
 
-    recognizer = default_recognizer(Settings(paddle_python="/venv/python"))
-    assert recognizer.command == "/venv/python" and recognizer.arguments[0].endswith("structure_bridge.py")
-    assert default_recognizer(Settings()).arguments == ()
-    out = tmp_path / "out"
-    job = SB.Job.of(recognizer.build("i.png", str(out), "raw.png"))
-    assert (job.image, job.recovery, job.plain, job.options["model"]["use_table_recognition"], job.options["model"]["use_seal_recognition"]) == ("i.png", "raw.png", True, True, False)
-
-    class Page:
-        def save_to_markdown(self, folder):
-            (out / "page.md").write_text(folder)
-
-        def save_to_json(self, folder):
-            (out / "page_res.json").write_text("{}")
-
-    class Models:
-        def __init__(self):
-            self.seen = []
-
-        def lines(self, image):
-            self.seen.append(image)
-            return [{"res": {"rec_texts": [image], "rec_boxes": [[0, 0, 1, 1]], "rec_scores": [1]}}, {"rec_texts": ["b"]}]
-
-        def pages(self, image, **options):
-            self.seen.append((image, options["use_chart_recognition"]))
-            yield Page()
-
-    models = Models()
-    SB.work(job, models)
-    assert models.seen == ["raw.png", "i.png", ("i.png", False)]
-    raw = json.loads((out / "raw_ocr.json").read_text())
-    assert {k: v["rec_texts"] for k, v in raw.items()} == {"overall_ocr_res": ["raw.png", "b"], "fallback_ocr_res": ["i.png", "b"]} and (out / "page.md").read_text() == str(out)
-    for recovery in (None, "i.png"):
-        models = Models()
-        SB.work(SB.Job("i.png", str(out), recovery, True, options={"model": {}, "page": {"use_chart_recognition": True}}), models)
-        assert models.seen == ["i.png", ("i.png", True)] and json.loads((out / "raw_ocr.json").read_text())["fallback_ocr_res"]["rec_texts"] == []
