@@ -69,15 +69,23 @@ def split_column(image: np.ndarray, ratio: float | None = None, *, search: float
         return int(np.floor(width * ratio + 0.5))
     center = width / 2
     radius = max(1, int(np.floor(width * search + 0.5)))
-    xs = np.arange(max(1, int(np.floor(center - radius))), min(width - 2, int(np.ceil(center + radius))) + 1)
+    xs, ink, edge = window_costs(image, search=search, dark=dark)
     if not len(xs):
         return int(np.floor(center + 0.5))
-    lo, hi = xs[0] - 2, xs[-1] + 2
-    light = luminance(image[:, np.clip(np.arange(lo, hi + 1), 0, width - 1)])
+    return int(xs[np.argmin(ink / height * 0.7 + edge / (height * 255) * 0.25 + np.abs(xs - center) / radius * 0.05)])
+
+
+def window_costs(image: np.ndarray, *, search: float = 0.1, dark: float = 210) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(columns near the middle, their dark windows of five pixels, the sums of their edges); those of strips add up to the image's."""
+    width = image.shape[1]
+    center = width / 2
+    radius = max(1, int(np.floor(width * search + 0.5)))
+    xs = np.arange(max(1, int(np.floor(center - radius))), min(width - 2, int(np.ceil(center + radius))) + 1)
+    if not len(xs):
+        return xs, xs, xs.astype(float)
+    light = luminance(image[:, np.clip(np.arange(xs[0] - 2, xs[-1] + 3), 0, width - 1)])
     mean = sum(light[:, k : k + len(xs)] for k in range(5)) / 5
-    ink = (mean < dark).sum(0) / height
-    edge = np.abs(light[:, 1 : 1 + len(xs)] - light[:, 3 : 3 + len(xs)]).sum(0) / (height * 255)
-    return int(xs[np.argmin(ink * 0.7 + edge * 0.25 + np.abs(xs - center) / radius * 0.05)])
+    return xs, (mean < dark).sum(0), np.abs(light[:, 1 : 1 + len(xs)] - light[:, 3 : 3 + len(xs)]).sum(0)
 
 
 def split_pages(image: np.ndarray, ratio: float | None = None, *, least: float = 0.35) -> tuple[int, list[np.ndarray]]:
@@ -129,9 +137,11 @@ def encode_png(image: np.ndarray, level: int = 6) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows.tobytes(), level)) + chunk(b"IEND", b"")
 
 
-def _unfiltered(raw: bytes, height: int, stride: int, step: int) -> np.ndarray:
+def _unfiltered(raw: bytes, height: int, stride: int, step: int, above_first: np.ndarray | None = None) -> np.ndarray:
     rows = np.frombuffer(raw, np.uint8, height * (stride + 1)).reshape(height, stride + 1)
     out = np.zeros((height + 1, stride), np.uint8)
+    if above_first is not None:
+        out[0] = above_first
     for y in range(height):
         kind, line, up = rows[y, 0], rows[y, 1:], out[y]
         if kind == 0:
@@ -167,13 +177,76 @@ def _samples(raw: bytes, at: int, width: int, height: int, channels: int, depth:
     """height x width x channels of 8 bits from filtered rows that begin at ``at``, and where they end."""
     stride = (width * channels * depth + 7) // 8
     rows = _unfiltered(raw[at : at + height * (stride + 1)], height, stride, max(1, channels * depth // 8))
+    return _bytes_of(rows, width, channels, depth, color), at + height * (stride + 1)
+
+
+def _bytes_of(rows: np.ndarray, width: int, channels: int, depth: int, color: int) -> np.ndarray:
+    height = len(rows)
     if depth == 16:
         rows = rows.reshape(height, -1, 2)[:, :, 0]
     elif depth < 8:
         rows = np.unpackbits(rows, axis=1).reshape(height, -1, depth) @ (1 << np.arange(depth - 1, -1, -1))
         rows = rows[:, : width * channels]
         rows = rows if color == 3 else rows * (255 // ((1 << depth) - 1))
-    return rows.reshape(height, -1, channels)[:, :width].astype(np.uint8), at + height * (stride + 1)
+    return rows.reshape(height, -1, channels)[:, :width].astype(np.uint8)
+
+
+def _rgb(pixels: np.ndarray, color: int, palette: np.ndarray | None) -> np.ndarray:
+    if color == 3:
+        if palette is None or pixels.max() >= len(palette):
+            raise FolioError("IMAGE_DECODE_FAILED", "no palette")
+        return palette[pixels[..., 0]]
+    return np.repeat(pixels[..., :1], 3, -1) if pixels.shape[-1] < 3 else pixels[..., :3].copy()
+
+
+def png_rows(data: bytes, rows: int) -> tuple[int, int, Iterator[tuple[int, np.ndarray]] | None]:
+    """(width, height, strips) of a PNG: strips (top, RGB) of ``rows`` rows while it is inflated; None in their place if it is interlaced."""
+    if data[:8] != b"\x89PNG\r\n\x1a\n" or len(data) < 33 or data[12:16] != b"IHDR":
+        raise FolioError("IMAGE_DECODE_FAILED", "not a PNG")
+    width, height, depth, color, _, _, interlace = struct.unpack_from(">IIBBBBB", data, 16)
+    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(color)
+    if channels is None or interlace > 1 or not width or not height:
+        raise FolioError("IMAGE_DECODE_FAILED", "empty PNG, or of an unknown kind")
+    if interlace:
+        return width, height, None
+    stride = (width * channels * depth + 7) // 8
+
+    def inflated() -> Iterator[bytes | np.ndarray]:
+        """The palette, and pieces of the filtered rows."""
+        inflate, view, at = zlib.decompressobj(), memoryview(data), 8
+        while at + 8 <= len(data):
+            size, kind = struct.unpack_from(">I4s", data, at)
+            body = view[at + 8 : at + 8 + size]
+            at += size + 12
+            if kind == b"PLTE":
+                yield np.frombuffer(bytes(body), np.uint8).reshape(-1, 3)
+            while kind == b"IDAT" and len(body):
+                yield inflate.decompress(body, 1 << 20)
+                body = inflate.unconsumed_tail
+            if kind == b"IEND":
+                break
+        yield inflate.flush()
+
+    def strips() -> Iterator[tuple[int, np.ndarray]]:
+        palette, above, top, held = None, None, 0, bytearray()
+        try:
+            for piece in inflated():
+                if isinstance(piece, np.ndarray):
+                    palette = piece
+                    continue
+                held += piece
+                while top < height and len(held) >= (n := min(rows, height - top)) * (stride + 1):
+                    lines = _unfiltered(bytes(held[: n * (stride + 1)]), n, stride, max(1, channels * depth // 8), above)
+                    del held[: n * (stride + 1)]
+                    above = lines[-1].copy()
+                    yield top, _rgb(_bytes_of(lines, width, channels, depth, color), color, palette)
+                    top += n
+        except (struct.error, zlib.error, ValueError) as error:
+            raise FolioError("IMAGE_DECODE_FAILED", "broken PNG") from error
+        if top < height:
+            raise FolioError("IMAGE_DECODE_FAILED", "the PNG breaks off")
+
+    return width, height, strips()
 
 
 def decode_png(data: bytes) -> np.ndarray:
@@ -209,11 +282,7 @@ def decode_png(data: bytes) -> np.ndarray:
             pixels, _ = _samples(raw, 0, width, height, channels, depth, color)
     except (struct.error, zlib.error, KeyError, TypeError, ValueError) as error:
         raise FolioError("IMAGE_DECODE_FAILED", "broken PNG") from error
-    if color == 3:
-        if palette is None or pixels.max() >= len(palette):
-            raise FolioError("IMAGE_DECODE_FAILED", "no palette")
-        return palette[pixels[..., 0]]
-    return np.repeat(pixels[..., :1], 3, -1) if channels < 3 else pixels[..., :3].copy()
+    return _rgb(pixels, color, palette)
 
 
 def _raster_struct(arrays: list[np.ndarray | dict]) -> pa.Array:
