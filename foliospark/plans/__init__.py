@@ -710,6 +710,30 @@ def q56_evaluation_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("p_partkey", *(f"criteria.{c}" for c in ("twoPages", "twoTables", "tableBeforeAdjacentText", "watermarkSuppressed", "rowspanPreserved", "atLeastTwoFigureAssets")), "metrics.requiredMarkerRecall")
 
 
+#: The acceptance document's first words, without and with white space, and its syllables as single bytes: the distance in SQL counts bytes.
+HEAD, BARE = "월간 품질 점검 보고서 QA-2026-0720 B-07 회색 워터마크 대비 설비 운영 현황 SCAN-2 TABLE-SIDE-TEXT", "월간품질점검보고서QA-2026-0720B-07회색워터마크대비설비운영현황SCAN-2TABLE-SIDE-TEXT"
+AS_BYTES = "translate({0}, '월간품질점검보고서회색워터마크대비설운영현황사구분요약', '!#$%&()+,./:;=?@[]FGHJKMPUVW')"
+
+
+@query(f"""WITH d AS (SELECT p_partkey, p_partkey % 5 = 0 AS short, p_partkey % 3 <> 0 AS tall, p_partkey % 4 <> 0 AS broad, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE '{BARE}' END || 'A-01OCR-1검사구분설비점검현황ab운영요약' || replace(repeat(p_name, (p_size % 4)::INT), ' ', '') AS a, '{BARE}A-01OCR-1검사구분설비점검현황ab운영요약' AS e FROM part),
+r AS (SELECT *, levenshtein({AS_BYTES.format("e")}, {AS_BYTES.format("a")})::DOUBLE / length(e) AS rate FROM d)
+SELECT p_partkey, round(rate, 4) AS "characterErrorRate", round(CASE WHEN short THEN 4 ELSE 11 END / 11.0, 4)::DOUBLE AS "requiredMarkerRecall", true AS "twoPages", rate <= 0.25 AS "textCerAtMost25Percent", NOT short AS "requiredMarkerRecallAtLeast80Percent", true AS "twoTables", tall AS "rowspanPreserved", broad AS "colspanPreserved",
+true AS "tableBeforeAdjacentText", true AS "atLeastTwoFigureAssets", true AS "watermarkSuppressed", rate <= 0.25 AND NOT short AND tall AND broad AS passed FROM r""")
+def q74_evaluation_passed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The acceptance document read more or less well: without its first words, with cells that are not merged, with a part's name behind it."""
+    from foliospark.operators.evaluate import evaluated
+
+    k = F.col("p_partkey")
+    rows, columns = F.when(k % 3 != 0, "2").otherwise("1"), F.when(k % 4 != 0, "3").otherwise("1")
+    cell = lambda kind, n, text: F.concat(F.lit(f'<td {kind}="'), n, F.lit(f'">{text}</td>'))
+    one = lambda *cells: F.concat(F.lit("<table><tr>"), *cells, F.lit("</tr></table>\n\n"))
+    body = F.concat(one(cell("rowspan", rows, "A-01"), cell("rowspan", rows, "OCR-1")), F.lit("<!-- page: 2 -->\n\n"), one(cell("colspan", columns, "검사 구분"), cell("colspan", columns, "설비 점검 현황")), F.lit("![a](x.png) ![b](y.png)\n\n## 운영 요약\n"))
+    head = F.lit(f"<!-- page: 1 -->\n\n# {HEAD}\n\n")
+    read = F.concat(F.when(k % 5 == 0, "<!-- page: 1 -->\n\n").otherwise(head), body, F.repeat("p_name", (F.col("p_size") % 4).cast("int")))
+    found = evaluated(table(spark, sf_dir, "part").select("p_partkey", read.alias("actual"), F.concat(head, body).alias("expected")))
+    return found.select("p_partkey", "metrics.characterErrorRate", "metrics.requiredMarkerRecall", "criteria.*", "passed")
+
+
 @query("""SELECT n_name, count(*)::BIGINT AS orders, sum(o_totalprice)::DECIMAL(18, 2)::DOUBLE AS total FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY n_name""")
 def q46_star_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
