@@ -52,8 +52,9 @@ def distance(a: str, b: str) -> int:
         x, y = y, x
     if not len(x):
         return len(y)
-    if len(y) >= 1000:
-        near = diagonals(x, y, max(len(y) - len(x), int((len(x) * len(y)) ** 0.5) // 16))
+    most = int((len(x) * len(y)) ** 0.5) // 16  # beyond it rows are cheaper, as where the lengths alone are further apart
+    if len(y) >= 1000 and len(y) - len(x) <= most:
+        near = diagonals(x, y, most)
         if near is not None:
             return near
     # along one row at a time: insertions within the row are a running minimum

@@ -93,7 +93,7 @@ def adjacent_text(c: Column) -> Column:
     return strip(_replaced(c, [(rf"{S}+(?=\d+(?:\.\d+)+{S})", "\n\n"), (rf"{S}+(?=\d+\))", "\n\n")]))
 
 
-_LONG = 4000  # characters in two texts, beyond which their distance is not left to the built-in matrix
+_LONG = 4_000_000  # cells of the built-in matrix, beyond which the distance of two texts is not left to it
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -126,7 +126,7 @@ def _error_rates(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Ar
 
 def character_error_rate(expected: Column, actual: Column) -> Column:
     """Distance over the expected length in UTF-16 units; a UDF for long texts, which goes by diagonals, and for those with characters beyond such units."""
-    astral = (F.length(expected) + F.length(actual) > _LONG) | F.concat(expected, actual).rlike(r"[\x{10000}-\x{10FFFF}]")
+    astral = (F.length(expected).cast("bigint") * F.length(actual) > _LONG) | F.concat(expected, actual).rlike(r"[\x{10000}-\x{10FFFF}]")
     rate = F.arrow_udf(_error_rates, "double")
     plain = F.when(F.length(expected) == 0, F.when(F.length(actual) == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein(expected, actual) / F.length(expected))
     return F.when(astral, rate(F.when(astral, expected), F.when(astral, actual))).otherwise(plain)  # a UDF runs for every row: others give it null
