@@ -21,7 +21,7 @@ from foliospark.operators import lines as N
 from foliospark.operators.ordered import last_known, matches_in_order
 from foliospark.operators.raster import binarized, light_of, pixels, split_columns, suppressed, tone_lift
 from foliospark.schemas import ERROR
-from foliospark.session import prepare, work_folder
+from foliospark.session import prepare, spread, work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -589,7 +589,7 @@ def q45_raster_split(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.record_batch({"doc_id": pa.array([str(k) for k in keys]), "sheet_number": pa.array([1] * n, pa.int32()), "name": pa.array([f"{k}.png" for k in keys]), "source_name": pa.array([f"{k}.png" for k in keys]), "content": pa.array(png, pa.binary()),
                                    "page_layout": pa.nulls(n, pa.string()), "pdf_page_number": pa.nulls(n, pa.int32()), "error": pa.nulls(n, pa.struct([("code", pa.string()), ("message", pa.string())]))})
 
-    scans = table(spark, sf_dir, "supplier").select("s_suppkey").mapInArrow(draw, SHEETS)
+    scans = spread(table(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey").mapInArrow(draw, SHEETS)
     return prepared(scans, Settings(watermark_mode="text-safe")).select("doc_id", "page_number", "side", "page_layout", "split_column", "page_width", "page_height", "recovery_width", "recovery_height")
 
 

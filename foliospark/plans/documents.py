@@ -17,6 +17,7 @@ from foliospark.operators import relational as R
 from foliospark.operators.raster import cropped, decoded, pixels, upscaled
 from foliospark.plans import query, table
 from foliospark.schemas import BLOCK, BOX, LINE, SHEETS
+from foliospark.session import spread
 from foliospark.sources import sidecars
 from foliospark.sources.loader import kind_of, sheets
 
@@ -31,28 +32,32 @@ def q57_path_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", kind_of(path).alias("kind"), T.base_name(path).alias("base"), T.extension(path).alias("extension"), T.stem(path).alias("stem"))
 
 
+def suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as files, each of which is more work than its row: a split of the table would be one task's."""
+    return spread(table(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey")
+
+
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Word-processor files that show one to three images, the last first; some are broken, some lack an image."""
     from foliospark.sources.docx import BODY, LINKS, MEDIA
 
     namespace = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     for batch in batches:
-        made = []
-        for k in batch.column("s_suppkey").to_pylist():
+        for k in batch.column("s_suppkey").to_pylist():  # a file at a time, however many the batch names
             out, n = io.BytesIO(), 1 + k % 3
-            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED if k % 2 else zipfile.ZIP_STORED) as z:
-                z.writestr(BODY, f'<w:d xmlns:w="urn:w" xmlns:r="{namespace}">' + "".join(f'<w:x r:embed="rId{i}"/>' for i in range(n, 0, -1)) + "</w:d>")
-                z.writestr(LINKS, "<Relationships>" + "".join(f'<Relationship Id="rId{i}" Type="x/image" Target="./media/scan{i}.png"/>' for i in range(1, n + 1)) + "</Relationships>")
-                for i in range(1, n + 1 - (k % 7 == 0)):
-                    z.writestr(f"{MEDIA}scan{i}.png", bytes(10 * k + i))
-            made.append(b"no archive" if k % 5 == 0 else out.getvalue())
-        yield pa.record_batch({"path": pa.array([f"/in/{k}.docx" for k in batch.column("s_suppkey").to_pylist()]), "content": pa.array(made, pa.binary())})
+            if k % 5:
+                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED if k % 2 else zipfile.ZIP_STORED) as z:
+                    z.writestr(BODY, f'<w:d xmlns:w="urn:w" xmlns:r="{namespace}">' + "".join(f'<w:x r:embed="rId{i}"/>' for i in range(n, 0, -1)) + "</w:d>")
+                    z.writestr(LINKS, "<Relationships>" + "".join(f'<Relationship Id="rId{i}" Type="x/image" Target="./media/scan{i}.png"/>' for i in range(1, n + 1)) + "</Relationships>")
+                    for i in range(1, n + 1 - (k % 7 == 0)):
+                        z.writestr(f"{MEDIA}scan{i}.png", bytes(10 * k + i))
+            yield pa.record_batch({"path": pa.array([f"/in/{k}.docx"]), "content": pa.array([out.getvalue() if k % 5 else b"no archive"], pa.binary())})
 
 
 @query("""SELECT '/in/' || s_suppkey || '.docx' AS doc_id, CASE WHEN i = 0 THEN 0 ELSE 2 + s_suppkey % 3 - i END::INT AS sheet_number, CASE WHEN i > 0 THEN 'scan' || i || '.png' END AS name, CASE WHEN i > 0 THEN 10 * s_suppkey + i ELSE 0 END::INT AS size,
 CASE WHEN s_suppkey % 5 = 0 THEN 'INPUT_INVALID_ZIP' WHEN s_suppkey % 7 = 0 THEN 'INPUT_IMAGE_MISSING' END AS code FROM supplier, (VALUES (0), (1), (2), (3)) v(i) WHERE CASE WHEN s_suppkey % 5 = 0 OR s_suppkey % 7 = 0 THEN i = 0 ELSE i BETWEEN 1 AND 1 + s_suppkey % 3 END""")
 def q58_embedded_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = table(spark, sf_dir, "supplier").select("s_suppkey").mapInArrow(_documents, "path STRING, content BINARY")
+    files = suppliers(spark, sf_dir).mapInArrow(_documents, "path STRING, content BINARY")
     return sheets(files).select("doc_id", "sheet_number", "name", F.coalesce(F.octet_length("content"), F.lit(0)).alias("size"), F.col("error.code").alias("code"))
 
 
@@ -69,7 +74,7 @@ def _rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.concat(two(k * 13 + x * 37 + y * 59), two(k * 7 + x * 3), two(y * 101))
 
     data = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0).cast("bigint"), width * 4 - 1), pixel), ""))
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.struct(width.cast("int").alias("width"), F.lit(4).alias("height"), data.alias("data")).alias("image"))
+    return suppliers(spark, sf_dir).select("s_suppkey", F.struct(width.cast("int").alias("width"), F.lit(4).alias("height"), data.alias("data")).alias("image"))
 
 
 def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,6 +135,11 @@ def q62_block_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("l_orderkey", L.block_error(F.col("blocks")).alias("e")).select("l_orderkey", "e.code", "e.message")
 
 
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as pages, whose repair is dear: a split of the file would be one task's."""
+    return spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size"), "p_partkey")
+
+
 def _repaired(markdown: Column, raw: Column | None = None, fallback: Column | None = None, blocks: Column | None = None) -> Column:
     from foliospark.operators.repair import repaired
 
@@ -159,7 +169,7 @@ def q64_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = lambda volts, amperes, unit: F.concat(F.lit("The pump runs at "), (F.col("p_size") + volts).cast("string"), F.lit("V and draws "), (F.col("p_size") + amperes).cast("string"), unit, F.lit(" at most"))
     first, second = said(100, 10, F.lit("A")), said(200, 20, F.when(F.col("p_size") % 3 == 0, "W").otherwise("A"))
     block = F.struct(F.lit("text").alias("label"), F.lit("x@--").alias("content"), F.array(*map(F.lit, (70.0, 100.0, 710.0, 148.0))).alias("bbox"))
-    return table(spark, sf_dir, "part").select("p_partkey", _repaired(F.lit("x@--"), F.array(_line(first, 100.0)), F.array(_line(second, 100.0)), F.array(block)).alias("markdown"))
+    return parts(spark, sf_dir).select("p_partkey", _repaired(F.lit("x@--"), F.array(_line(first, 100.0)), F.array(_line(second, 100.0)), F.array(block)).alias("markdown"))
 
 
 @query("""SELECT p_partkey, 'Switch off the ' || p_name || chr(10) || chr(10) || CASE WHEN p_size % 3 = 0 THEN '' ELSE 'Note: ' || p_brand || ' holds its charge for a minute' || chr(10) || chr(10) END || 'Remove the cover then' || CASE WHEN p_size % 3 = 1 THEN ' and the fuse' ELSE '' END AS markdown FROM part""")
@@ -169,7 +179,7 @@ def q65_missing_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     first, last = F.concat(F.lit("Switch off the "), "p_name"), F.concat(F.lit("Remove the cover then"), F.when(size == 1, " and the fuse").otherwise(""))
     md = F.concat_ws("\n\n", first, F.when(size == 2, note), last)
     lines = F.concat(F.array(_line(first, 100.0)), F.when(size != 0, F.array(_line(note, 150.0))).otherwise(F.array().cast(f"ARRAY<{LINE}>")), F.array(_line(last, 200.0)))
-    return table(spark, sf_dir, "part").select("p_partkey", _repaired(md, lines).alias("markdown"))
+    return parts(spark, sf_dir).select("p_partkey", _repaired(md, lines).alias("markdown"))
 
 
 def _scans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +213,7 @@ def q66_converted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foliospark.operators.assemble import documents
     from foliospark.pipeline import final_pages
 
-    scans = table(spark, sf_dir, "supplier").select("s_suppkey").mapInArrow(_scans, SHEETS)
+    scans = suppliers(spark, sf_dir).mapInArrow(_scans, SHEETS)
     return documents(final_pages(scans, PageNumbers())).select("doc_id", "page_count", F.col("error.code").alias("code"), "markdown")
 
 
@@ -227,7 +237,7 @@ def q67_text_beside_tables_from_lines(spark: SparkSession, sf_dir: str) -> DataF
     empty = lambda kind: F.array().cast(f"ARRAY<{kind}>")
     even, none = F.col("p_size") % 2 == 0, empty(LINE)
     one = F.lit(1.0)
-    rows = table(spark, sf_dir, "part").withColumn("lines", lines.cast(f"ARRAY<{LINE}>"))
+    rows = parts(spark, sf_dir).withColumn("lines", lines.cast(f"ARRAY<{LINE}>"))
     return rows.select("p_partkey", repaired(md, F.when(even, F.col("lines")).otherwise(none), F.when(even, none).otherwise(F.col("lines")), empty(BLOCK), cells, one, one).alias("markdown"))
 
 
@@ -240,7 +250,7 @@ def q68_aligned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = F.array(block("alpha beta gamma delta", 100.0), block("&%", 200.0), block("omega sigma theta kappa", 300.0))
     lines = F.array(_line(F.lit("omega sigma theta kappa"), low + 200 * wide), _line(F.lit("alpha beta gamma delta"), low), _line(middle, low + 100 * wide))
     md = F.lit("alpha beta gamma delta\n\n&%\n\nomega sigma theta kappa")
-    return table(spark, sf_dir, "part").select("p_partkey", _repaired(md, lines, None, blocks).alias("markdown"))
+    return parts(spark, sf_dir).select("p_partkey", _repaired(md, lines, None, blocks).alias("markdown"))
 
 
 @query("SELECT p_partkey, '전원 스위치가 ' || CASE WHEN p_size % 2 = 0 THEN 'Off' ELSE 'Of' END || ' 위치에 있으면 ' || p_brand || ' 점등' AS markdown FROM part")
@@ -249,7 +259,7 @@ def q69_consensus_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = lambda word: F.concat(F.lit("전원 스위치가 "), word, F.lit(" 위치에 있으면 "), "p_brand", F.lit(" 점등"))
     said, first, second = text(F.lit("Of")), text(F.lit("Off")), text(F.when(F.col("p_size") % 2 == 0, "Off").otherwise("On"))
     block = F.struct(F.lit("text").alias("label"), said.alias("content"), F.array(*map(F.lit, (70.0, 100.0, 710.0, 148.0))).alias("bbox"))
-    return table(spark, sf_dir, "part").select("p_partkey", _repaired(said, F.array(_line(first, 100.0)), F.array(_line(second, 100.0)), F.array(block)).alias("markdown"))
+    return parts(spark, sf_dir).select("p_partkey", _repaired(said, F.array(_line(first, 100.0)), F.array(_line(second, 100.0)), F.array(block)).alias("markdown"))
 
 
 @query(f"""SELECT s_suppkey, (2 * x + i)::INT AS x, (2 * y + j)::INT AS y, CASE WHEN greatest(red, green, blue) - least(red, green, blue) > 18 THEN red WHEN red * 0.2126::DOUBLE + green * 0.7152::DOUBLE + blue * 0.0722::DOUBLE <= 150 THEN 0 ELSE 255 END::INT AS red,
@@ -263,7 +273,7 @@ def q70_text_safe_rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = lambda i: ((i % 4) * 60 + F.floor(i / 4) * 23 + F.col("s_suppkey")) % 256
     data = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.concat(two(base(i)), two(base(i)), two(F.least(F.lit(255), base(i) + F.col("s_suppkey") % 40)))), ""))
     image = F.struct(F.lit(4).alias("width"), F.lit(3).alias("height"), data.alias("data"))
-    rows = table(spark, sf_dir, "supplier").select("s_suppkey", suppressed(image, "text-safe").alias("image"))
+    rows = suppliers(spark, sf_dir).select("s_suppkey", suppressed(image, "text-safe").alias("image"))
     return pixels(rows, "image", "s_suppkey").select("s_suppkey", "x", "y", "red", "blue")
 
 
@@ -284,7 +294,7 @@ class CountedPages:
 @query("""SELECT '/in/' || s_suppkey || '.pdf' AS doc_id, i::INT AS sheet_number, i::INT AS size, i > 0 AS read, coalesce(CASE WHEN i > 0 THEN 'page-000' || i || '.png' END, '') AS name, CASE WHEN i = 0 THEN 'PDF_NO_PAGES' ELSE '' END AS code
 FROM supplier, range(0, 6) t(i) WHERE CASE WHEN s_suppkey % 6 = 0 THEN i = 0 ELSE i BETWEEN 1 AND s_suppkey % 6 END""")
 def q71_pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = table(spark, sf_dir, "supplier").select(F.concat(F.lit("/in/"), F.col("s_suppkey").cast("string"), F.lit(".pdf")).alias("path"), F.repeat(F.lit("%"), (F.col("s_suppkey") % 6).cast("int")).cast("binary").alias("content"))
+    files = suppliers(spark, sf_dir).select(F.concat(F.lit("/in/"), F.col("s_suppkey").cast("string"), F.lit(".pdf")).alias("path"), F.repeat(F.lit("%"), (F.col("s_suppkey") % 6).cast("int")).cast("binary").alias("content"))
     found = sheets(files, CountedPages())
     single = (F.col("page_layout") == "single") & (F.col("pdf_page_number") == F.col("sheet_number"))
     none = F.lit("")
