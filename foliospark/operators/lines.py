@@ -110,12 +110,16 @@ def numbered_paragraphs(lines: list[Line] | None) -> list[tuple[int, str]]:
 
 def anchors(lines: list[Line], blocks: list[dict]) -> list[tuple[float, float]]:
     """(line's top, block's top) of blocks and lines that begin alike, matched in order, each line once."""
+    places: dict[str, list[int]] = {}
+    for i, x in enumerate(lines):
+        if (key := pure.start_of(x["text"])) is not None:
+            places.setdefault(key, []).append(i)
     out, at = [], 0
     for b in blocks:
-        hit = next((i for i in range(at, len(lines)) if pure.same_start(b["content"], lines[i]["text"])), None)
-        if hit is not None:
-            out.append((lines[hit]["box"][1], b["bbox"][1]))
-            at = hit + 1
+        found = places.get(pure.start_of(b["content"]), ())
+        if (k := bisect_left(found, at)) < len(found):
+            out.append((lines[found[k]]["box"][1], b["bbox"][1]))
+            at = found[k] + 1
     return out
 
 

@@ -6,6 +6,7 @@ Five steps, each on the text that the one before leaves: blocks, tables, markers
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from typing import Any
 
@@ -34,14 +35,24 @@ def eligible(block: dict) -> bool:
     return block.get("label") not in NOT_TEXT and isinstance(content, str) and isinstance(box, (list, tuple)) and len(box) == 4 and not _MARKUP.search(content)
 
 
-def lines_in_block(lines: list[Line], box: list[float], slack: float = 4) -> str:
-    """The text of lines with their center in the block, read from top to bottom."""
+def by_middle(lines: list[Line]) -> tuple[list[float], list[tuple[float, tuple[float, float, int], Line]]]:
+    """Heights of the lines' centers in ascending order, and of each line there the center's x, its place from top to bottom and itself."""
     found = []
-    for x in lines:
+    for i, x in enumerate(lines):
         b = x.get("box")
-        if isinstance(b, (list, tuple)) and len(b) == 4 and box[0] - slack <= (b[0] + b[2]) / 2 <= box[2] + slack and box[1] - slack <= (b[1] + b[3]) / 2 <= box[3] + slack:
-            found.append(x)
-    return " ".join(filter(None, map(text_of, sorted(found, key=by_top))))
+        if isinstance(b, (list, tuple)) and len(b) == 4 and (y := (b[1] + b[3]) / 2) == y:
+            found.append((y, (b[0] + b[2]) / 2, (*by_top(x), i), x))
+    found.sort(key=lambda f: f[0])
+    return [f[0] for f in found], [f[1:] for f in found]
+
+
+def lines_in_block(lines: tuple[list[float], list[tuple[float, tuple[float, float, int], Line]]], box: list[float], slack: float = 4) -> str:
+    """The text of lines (of :func:`by_middle`) with their center in the block, read from top to bottom."""
+    heights, rest = lines
+    near = rest[bisect_left(heights, box[1] - slack) : bisect_right(heights, box[3] + slack)]
+    found = [(top, x) for middle, top, x in near if box[0] - slack <= middle <= box[2] + slack]
+    found.sort(key=lambda f: f[0])
+    return " ".join(filter(None, (text_of(x) for _, x in found)))
 
 
 def choose(primary: str, fallback: str) -> str:
@@ -86,7 +97,7 @@ def replacement(source: str, primary: str, fallback: str) -> str | None:
 def repair_blocks(markdown: str, primary: list[Line], fallback: list[Line], blocks: list[dict] | None) -> str:
     """Each block's text, where the page still has it, is replaced by what the lines inside the block say."""
     text_blocks = [b for b in blocks or [] if eligible(b)]
-    channels = [aligned(lines, text_blocks) for lines in (primary, fallback)]
+    channels = [by_middle(aligned(lines, text_blocks)) for lines in (primary, fallback)]
     for b in text_blocks:
         source = pure.strip(b["content"])
         if source and source in markdown:
