@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from foliospark.functions import pure
+from foliospark.functions.fold import let
 
 # Fixed values throughout: the patterns of markers, entities, references and markup define the results of the page format.
 
@@ -32,6 +33,11 @@ def _replaced(c: Column, pairs: list[tuple[str, str]]) -> Column:
     return reduce(lambda x, p: F.regexp_replace(x, *p), pairs, c)
 
 
+def _where(c: Column, sign: str, f: Callable[[Column], Column]) -> Column:
+    """``f``, which changes nothing in a text without ``sign``, of texts that have it: most have no markup, and patterns are dear."""
+    return let(c, lambda t: F.when(t.contains(sign), f(t)).otherwise(t))
+
+
 def decode_entities(c: Column) -> Column:
     """Six named entities, in any case, each once: what ``&amp;`` gives is not decoded again."""
     return _replaced(c, [(f"(?i)&{k};", v) for k, v in reversed(pure.ENTITIES.items())])
@@ -76,10 +82,11 @@ def nfkc(c: Column, plain: Column | None = None) -> Column:
 
 def comparable_text(c: Column, *, normalize: bool = True) -> Column:
     """What of Markdown is compared: no markup, NFKC (if ``normalize``), no white space."""
-    text = _replaced(decode_entities(c), [
-        (r"(?s)<!--.*?-->", " "), (r"!\[([^\]]*)\]\([^)]*\)", " $1 "), (r"\[([^\]]+)\]\([^)]*\)", " $1 "), (r"(?i)</(?:td|th)>", " "), (r"(?i)</tr>", "\n"),
-        (r"<[^>]+>", " "), (LINE_START + r"[\t ]{0,3}(?:#{1,6}|[-*+]|\d+\.)[\t ]+", ""), (r"[*_`~>|]", " "),
-    ])
+    text = _where(c, "&", decode_entities)
+    text = _where(text, "<", lambda t: F.regexp_replace(t, r"(?s)<!--.*?-->", " "))
+    text = _where(text, "[", lambda t: _replaced(t, [(r"!\[([^\]]*)\]\([^)]*\)", " $1 "), (r"\[([^\]]+)\]\([^)]*\)", " $1 ")]))
+    text = _where(text, "<", lambda t: _replaced(t, [(r"(?i)</(?:td|th)>", " "), (r"(?i)</tr>", "\n"), (r"<[^>]+>", " ")]))
+    text = _replaced(text, [(LINE_START + r"[\t ]{0,3}(?:#{1,6}|[-*+]|\d+\.)[\t ]+", ""), (r"[*_`~>|]", " ")])
     # what replaces anything is ASCII, so an ASCII text stays one
     return F.regexp_replace(nfkc(text, is_ascii(c)) if normalize else text, f"{S}+", "")
 
@@ -225,7 +232,8 @@ def image_references(c: Column) -> Column:
     """Targets of Markdown images, then of HTML images, repeats kept."""
     markdown = F.regexp_extract_all(c, F.lit(r"!\[[^\]]*\]\(([^)\s]+)(?:\s+[\"'][^\"']*[\"'])?\)"), F.lit(1))
     html = F.regexp_extract_all(c, F.lit(r"(?i)<img\b[^>]*\bsrc\s*=\s*([\"'])(.*?)\1[^>]*>"), F.lit(2))
-    return F.concat(markdown, html)
+    none = F.array().cast("array<string>")
+    return F.concat(F.when(c.contains("!["), markdown).when(c.isNotNull(), none), F.when(c.contains("<"), html).when(c.isNotNull(), none))
 
 
 def local_references(c: Column) -> Column:

@@ -14,7 +14,11 @@ TABLE_PHRASE, AFTER_PHRASE, ROW_CELLS, COLUMN_CELLS, STAMP = "설비 점검 현
 
 
 def merged_cell_has(markdown: Column, attribute: str, phrase: str) -> Column:
-    """Whether a cell whose ``attribute`` begins with 2 to 9 has the phrase."""
+    """Whether a cell whose ``attribute`` begins with 2 to 9 has the phrase; cells are only looked for in a text that has markup."""
+    return F.when(markdown.contains("<"), _merged_cell_has(markdown, attribute, phrase)).when(markdown.isNotNull(), False)
+
+
+def _merged_cell_has(markdown: Column, attribute: str, phrase: str) -> Column:
     cells = F.regexp_extract_all(markdown, F.lit(r"(?is)<t[dh]\b[^>]*>.*?</t[dh]>"), F.lit(0))
     spans = F.filter(cells, lambda c: c.rlike(rf"(?is)^<t[dh]\b[^>]*\b{attribute}\s*=\s*[\"']?[2-9]"))
     inner = F.transform(spans, lambda c: T.comparable_text(F.regexp_replace(c, r"(?is)^<t[dh]\b[^>]*>|</t[dh]>$", ""), normalize=False))
