@@ -706,7 +706,7 @@ def q56_evaluation_criteria(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = F.concat(F.lit("<table><tr>"), cell, F.lit("A-01</td>"), cell, F.lit("OCR-1</td><td>설비 점검 현황</td></tr></table>\n![f](a.png)\n"))
     tables, after = times(one, n % 3), F.lit("## 운영 요약\n")
     md = F.concat(times(F.lit("<!-- page: 1 -->\n"), n % 4), F.when(n % 5 != 0, F.concat(tables, after)).otherwise(F.concat(after, tables)), F.when(n % 7 == 0, "S A M P L E").otherwise(""))
-    found = evaluated(table(spark, sf_dir, "part").select("p_partkey", md.alias("actual"), F.lit("x").alias("expected")))
+    found = evaluated(spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", md.alias("actual"), F.lit("x").alias("expected")))
     return found.select("p_partkey", *(f"criteria.{c}" for c in ("twoPages", "twoTables", "tableBeforeAdjacentText", "watermarkSuppressed", "rowspanPreserved", "atLeastTwoFigureAssets")), "metrics.requiredMarkerRecall")
 
 
@@ -730,7 +730,7 @@ def q74_evaluation_passed(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.concat(one(cell("rowspan", rows, "A-01"), cell("rowspan", rows, "OCR-1")), F.lit("<!-- page: 2 -->\n\n"), one(cell("colspan", columns, "검사 구분"), cell("colspan", columns, "설비 점검 현황")), F.lit("![a](x.png) ![b](y.png)\n\n## 운영 요약\n"))
     head = F.lit(f"<!-- page: 1 -->\n\n# {HEAD}\n\n")
     read = F.concat(F.when(k % 5 == 0, "<!-- page: 1 -->\n\n").otherwise(head), body, F.repeat("p_name", (F.col("p_size") % 4).cast("int")))
-    found = evaluated(table(spark, sf_dir, "part").select("p_partkey", read.alias("actual"), F.concat(head, body).alias("expected")))
+    found = evaluated(spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", read.alias("actual"), F.concat(head, body).alias("expected")))
     return found.select("p_partkey", "metrics.characterErrorRate", "metrics.requiredMarkerRecall", "criteria.*", "passed")
 
 
