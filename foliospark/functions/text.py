@@ -113,7 +113,9 @@ def similar(a: Column, b: Column, least: float) -> Column:
     """Whether similarity is ``least`` or more; the distance is given up beyond what that allows."""
     a, b = normalized_text(a), normalized_text(b)
     longest = F.greatest(F.length(a), F.length(b))
-    return (longest > 0) & (F.levenshtein(a, b) <= F.floor((1 - least) * longest + 1e-9))
+    most = F.floor((1 - least) * longest + 1e-9).cast("int")
+    near = F.call_function("levenshtein", a, b, most) >= 0  # of the matrix a band of that width; -1 beyond it
+    return (longest > 0) & (F.abs(F.length(a) - F.length(b)) <= most) & near
 
 
 def _within(columns: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -156,9 +158,15 @@ def marker_place(c: Column, number: Column) -> Column:
     return F.regexp_instr(c, pattern) - 1
 
 
+def start_of(c: Column, size: int = 8) -> Column:
+    """The first ``size`` normalised characters, or all if there are fewer; what follows them is not gone through."""
+    kept = "0-9a-z가-힣"
+    return F.regexp_replace(F.regexp_extract(F.lower(c), f"^(?:[^{kept}]*[{kept}]){{0,{size}}}", 0), f"[^{kept}]", "")
+
+
 def same_start(a: Column, b: Column, size: int = 8) -> Column:
-    a, b = normalized_text(a), normalized_text(b)
-    return (F.length(a) >= size) & (F.length(b) >= size) & (F.left(a, F.lit(size)) == F.left(b, F.lit(size)))
+    a, b = start_of(a, size), start_of(b, size)
+    return (F.length(a) >= size) & (a == b)
 
 
 def escape_markers(c: Column) -> Column:
