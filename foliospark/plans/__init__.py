@@ -139,7 +139,7 @@ def q47_passage_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 ON left(b.n, 8) = left(d.n, 8) WHERE length(b.n) >= 8 AND length(d.n) >= 8 GROUP BY ALL""")
 def q08_prefix_match_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages and lines of documents that begin alike: the condition of anchors as an equi-join."""
-    key = lambda df, i, c: df.select(i, F.left(T.normalized_text(c), F.lit(8)).alias("k")).where(F.length("k") >= 8)
+    key = lambda df, i, c: df.select(i, T.start_of(c).alias("k")).where(F.length("k") >= 8)
     lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     return key(table(spark, sf_dir, "benchmark"), "item_id", F.col("text")).join(key(lines, "doc_id", F.col("line")), "k").groupBy("item_id", "doc_id").agg(F.count(F.lit(1)).alias("n_lines"))
 
