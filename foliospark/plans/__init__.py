@@ -97,7 +97,8 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(conv_id, turn, said, read, next): each turn's letters, what a poor reading makes of them, and the next turn's."""
     w = Window.partitionBy("conv_id").orderBy("turn", "text")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.regexp_replace(F.lower("text"), "[^0-9a-z]", "").alias("said"))
-    return rows.select("conv_id", "turn", "said", F.replace(F.replace(F.replace("said", F.lit("rn"), F.lit("m")), F.lit("h"), F.lit("")), F.lit("e"), F.lit("c")).alias("read"), F.coalesce(F.lead("said").over(w), F.lit("")).alias("next"))
+    dealt = spread(rows.withColumn("next", F.coalesce(F.lead("said").over(w), F.lit(""))), "conv_id", "turn")  # a distance is dear, its row small
+    return dealt.select("conv_id", "turn", "said", F.replace(F.replace(F.replace("said", F.lit("rn"), F.lit("m")), F.lit("h"), F.lit("")), F.lit("e"), F.lit("c")).alias("read"), "next")
 
 
 READINGS = f"""(SELECT conv_id, turn, said, replace(replace(replace(said, 'rn', 'm'), 'h', ''), 'e', 'c') AS read, coalesce(lead(said) OVER (PARTITION BY conv_id ORDER BY turn, text), '') AS next

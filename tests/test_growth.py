@@ -54,3 +54,33 @@ def test_a_page_of_many_blocks_and_lines_is_not_their_product():
     out = repair("gar 000007", lines, [], blocks)
     assert out == "reading number 000007 of the page"
     assert time.process_time() - began < 2
+
+
+def test_a_prefix_is_taken_without_normalising_the_rest(spark):
+    from pyspark.sql import functions as F
+
+    from foliospark.functions import text as T
+
+    for text in ("", "ab", "--A b-C.d,E f!g h i", "İK한글 12345678", "\n" * 9 + "0123456789"):
+        row = spark.createDataFrame([(text,)], "t string").select(T.start_of(F.col("t")).alias("s"), F.left(T.normalized_text(F.col("t")), F.lit(8)).alias("n")).first()
+        assert row.s == row.n, text
+
+
+def test_a_gate_looks_at_a_band_of_the_matrix(spark):
+    from foliospark.plans import readings
+
+    plan = plans.QUERIES["q07_similarity_gate"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "levenshtein(" in plan and "Some(" in plan
+    assert readings(spark, SF).rdd.getNumPartitions() >= 4
+
+
+def test_texts_without_markup_are_not_searched_for_it(spark):
+    from pyspark.sql import functions as F
+
+    from foliospark.functions import text as T
+
+    plan = spark.range(1).select(T.comparable_text(F.col("id").cast("string"), normalize=False))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("contains(") >= 4
+    texts = ["plain", "a &lt;b&gt; &amp;amp;", "<!-- x [y](z) -->![a](b) [c](d)", "<tr><td>1</td><td>2</td></tr>", "[a<b](c)>", "# h\n- i\n1. j"]
+    for t in texts:
+        assert spark.createDataFrame([(t,)], "t string").select(T.comparable_text(F.col("t"))).first()[0] == pure.comparable(t), t
