@@ -23,6 +23,7 @@ from foliospark.operators.layout import valid
 
 _S = f"[{pure.SPACE}]"
 _STARTS = re.compile(rf"[0-9]{{1,3}}\)|[0-9]+(?:\.[0-9]+)+(?:{_S}|$)|[0-9]+\.(?![0-9])")
+_DIGITS = frozenset("0123456789")
 NOTE = re.compile(rf"(?:※{_S}*)?note\b", re.I | re.A)
 
 Line = dict[str, Any]
@@ -43,6 +44,8 @@ def text_of(line: Line) -> str:
 
 def scaled_lines(lines: list[Line] | None, scale: float | None) -> list[Line]:
     by = scale if isinstance(scale, (int, float)) and math.isfinite(scale) and scale > 0 else 1
+    if by == 1:
+        return lines or []
     return [{**x, "box": [v / by for v in x["box"]] if isinstance(x.get("box"), (list, tuple)) else x.get("box")} for x in lines or []]
 
 
@@ -89,7 +92,10 @@ def numbered_paragraphs(lines: list[Line] | None) -> list[tuple[int, str]]:
     A paragraph takes the lines up to the next marker, ends at a gap of over 90, and leaves out lines that begin over
     100 to the side.
     """
-    found = [(text_of(x), x["box"]) for x in lines or [] if text_of(x) and isinstance(x.get("box"), (list, tuple)) and len(x["box"]) == 4 and all(isinstance(v, (int, float)) and math.isfinite(v) for v in x["box"])]
+    texts = [(text, x.get("box")) for x in lines or [] if (text := text_of(x))]
+    if sum(text[0] in _DIGITS for text, _ in texts) < 3:
+        return []
+    found = [(text, box) for text, box in texts if isinstance(box, (list, tuple)) and len(box) == 4 and all(isinstance(v, (int, float)) and math.isfinite(v) for v in box)]
     found.sort(key=lambda x: (x[1][1], x[1][0]))
     out: list[tuple[int, list[str]]] = []
     left = bottom = 0.0
@@ -114,6 +120,8 @@ def anchors(lines: list[Line], blocks: list[dict]) -> list[tuple[float, float]]:
     for i, x in enumerate(lines):
         if (key := pure.start_of(x["text"])) is not None:
             places.setdefault(key, []).append(i)
+    if not places:
+        return []
     out, at = [], 0
     for b in blocks:
         found = places.get(pure.start_of(b["content"]), ())
@@ -139,6 +147,8 @@ def mapped(y: float, points: list[tuple[float, float]]) -> float:
 
 def aligned(lines: list[Line], blocks: list[dict]) -> list[Line]:
     """Lines, from top to bottom, moved vertically to the coordinates of the blocks (eligible ones, in any order)."""
+    if not lines:
+        return lines
     lines = sorted(lines, key=by_top)
     points = anchors(lines, sorted(blocks, key=lambda b: (b["bbox"][1], b["bbox"][0])))
     if not points:

@@ -5,6 +5,7 @@ Five steps, each on the text that the one before leaves: blocks, tables, markers
 
 from __future__ import annotations
 
+import functools
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
@@ -15,6 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from foliospark.functions import pure
+from foliospark.functions.values import values
 from foliospark.operators.lines import NOTE, Line, aligned, by_top, numbered_paragraphs, scaled_lines, text_of
 from foliospark.operators.tables import text_beside_tables
 
@@ -26,13 +28,14 @@ _MEASURE = re.compile(rf"\b([0-9]{{1,3}}){_S}*(k?V|m?A|W|Hz|%|°C|℃)", re.I |
 _WORD = re.compile(r"\b[A-Za-z]{2,}\b", re.A)
 _WHOLE_TABLE = re.compile(r"(<table\b.*?</table>)", re.I | re.S | re.A)
 _MARKER = re.compile(r"(^|\n)([\t ]{0,3})([0-9]{1,3})\)[\t ]*")
+_LEADING = re.compile(rf"^{_S}*([0-9]{{1,3}})\){_S}*")
 _ANY_NUMBER = re.compile(rf"\b([0-9]{{1,3}}){_S}*\\?\)", re.A)
 
 
 def eligible(block: dict) -> bool:
     """Blocks of running text: with a box, of no special label, and without table or image markup."""
     box, content = block.get("bbox"), block.get("content")
-    return block.get("label") not in NOT_TEXT and isinstance(content, str) and isinstance(box, (list, tuple)) and len(box) == 4 and not _MARKUP.search(content)
+    return block.get("label") not in NOT_TEXT and isinstance(content, str) and isinstance(box, (list, tuple)) and len(box) == 4 and not ("<" in content and _MARKUP.search(content))
 
 
 def by_middle(lines: list[Line]) -> tuple[list[float], list[tuple[float, tuple[float, float, int], Line]]]:
@@ -49,6 +52,8 @@ def by_middle(lines: list[Line]) -> tuple[list[float], list[tuple[float, tuple[f
 def lines_in_block(lines: tuple[list[float], list[tuple[float, tuple[float, float, int], Line]]], box: list[float], slack: float = 4) -> str:
     """The text of lines (of :func:`by_middle`) with their center in the block, read from top to bottom."""
     heights, rest = lines
+    if not heights:
+        return ""
     near = rest[bisect_left(heights, box[1] - slack) : bisect_right(heights, box[3] + slack)]
     found = [(top, x) for middle, top, x in near if box[0] - slack <= middle <= box[2] + slack]
     found.sort(key=lambda f: f[0])
@@ -97,6 +102,8 @@ def replacement(source: str, primary: str, fallback: str) -> str | None:
 def repair_blocks(markdown: str, primary: list[Line], fallback: list[Line], blocks: list[dict] | None) -> str:
     """Each block's text, where the page still has it, is replaced by what the lines inside the block say."""
     text_blocks = [b for b in blocks or [] if eligible(b)]
+    if not text_blocks:
+        return markdown
     channels = [by_middle(aligned(lines, text_blocks)) for lines in (primary, fallback)]
     for b in text_blocks:
         source = pure.strip(b["content"])
@@ -109,16 +116,25 @@ def repair_blocks(markdown: str, primary: list[Line], fallback: list[Line], bloc
 
 def escape_markers(markdown: str) -> str:
     """``1)`` at the start of a line outside tables becomes ``1\\) ``, so that Markdown does not renumber it."""
+    if ")" not in markdown:
+        return markdown
     return "".join(part if i % 2 else _MARKER.sub(r"\1\2\3\\) ", part) for i, part in enumerate(_WHOLE_TABLE.split(markdown)))
 
 
+@functools.lru_cache(1000)
+def _marked(number: int) -> re.Pattern:
+    return re.compile(rf"(?:\n|{pure.LINE_START})[\t ]{{0,3}}{number}{_S}*\\?\)[\t ]*")
+
+
 def marker_place(markdown: str, number: int) -> int:
-    m = re.search(rf"(?:\n|{pure.LINE_START})[\t ]{{0,3}}{number}{_S}*\\?\)[\t ]*", markdown)
+    m = _marked(number).search(markdown)
     return m.start() if m else -1
 
 
 def add_notes(markdown: str, lines: list[Line]) -> str:
     """Notes that the text lacks go before the first of the lines after them that it has."""
+    if not any(NOTE.match(text_of(x)) for x in lines):
+        return markdown
     found = sorted((x for x in lines if text_of(x) and isinstance(x.get("box"), (list, tuple))), key=by_top)
     texts = [text_of(x) for x in found]
     for i, note in enumerate(texts):
@@ -131,11 +147,12 @@ def add_notes(markdown: str, lines: list[Line]) -> str:
 
 def add_numbered(markdown: str, lines: list[Line]) -> str:
     """Numbered paragraphs that the text lacks go before the next number that begins a line of it, else to its end."""
-    present = {int(n) for n in _ANY_NUMBER.findall(markdown)}
-    for number, text in numbered_paragraphs(lines):
+    numbered = numbered_paragraphs(lines)
+    present = {int(n) for n in _ANY_NUMBER.findall(markdown)} if numbered else set()
+    for number, text in numbered:
         if number in present:
             continue
-        text = re.sub(rf"^{_S}*([0-9]{{1,3}})\){_S}*", r"\1\\) ", text)
+        text = _LEADING.sub(r"\1\\) ", text)
         at = next((p for p in (marker_place(markdown, n) for n in sorted(present) if n > number) if p >= 0), -1)
         markdown = f"{markdown[:at]}{text}\n\n{markdown[at:]}" if at >= 0 else f"{markdown.rstrip(pure._STRIP)}\n\n{text}"
         present.add(number)
@@ -144,15 +161,16 @@ def add_numbered(markdown: str, lines: list[Line]) -> str:
 
 def repair(markdown: str, raw_lines: list[Line] | None = None, fallback_lines: list[Line] | None = None, structure_blocks: list[dict] | None = None, table_cell_boxes: list[Any] | None = None, raw_scale: float | None = 1, fallback_scale: float | None = 1) -> str:
     raw, fallback = scaled_lines(raw_lines, raw_scale), scaled_lines(fallback_lines, fallback_scale)
-    boxed = [[x for x in lines if isinstance(x.get("text"), str) and isinstance(x.get("box"), (list, tuple)) and len(x["box"]) == 4] for lines in (raw, fallback)]
-    markdown = repair_blocks(markdown, *boxed, structure_blocks)
+    if structure_blocks:
+        boxed = [[x for x in lines if isinstance(x.get("text"), str) and isinstance(x.get("box"), (list, tuple)) and len(x["box"]) == 4] for lines in (raw, fallback)]
+        markdown = repair_blocks(markdown, *boxed, structure_blocks)
     markdown = text_beside_tables(markdown, [raw, fallback], table_cell_boxes)
     return add_numbered(add_notes(escape_markers(markdown), raw), raw)
 
 
 def _repairing(columns: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
     for batch in columns:
-        yield pa.array([None if row[0] is None else repair(*row) for row in zip(*(c.to_pylist() for c in batch), strict=True)], pa.string())
+        yield pa.array([None if row[0] is None else repair(*row) for row in zip(*map(values, batch), strict=True)], pa.string())
 
 
 def repaired(markdown: Column, raw_lines: Column, fallback_lines: Column, structure_blocks: Column, table_cell_boxes: Column, raw_scale: Column, fallback_scale: Column) -> Column:

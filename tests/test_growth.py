@@ -84,3 +84,29 @@ def test_texts_without_markup_are_not_searched_for_it(spark):
     texts = ["plain", "a &lt;b&gt; &amp;amp;", "<!-- x [y](z) -->![a](b) [c](d)", "<tr><td>1</td><td>2</td></tr>", "[a<b](c)>", "# h\n- i\n1. j"]
     for t in texts:
         assert spark.createDataFrame([(t,)], "t string").select(T.comparable_text(F.col("t"))).first()[0] == pure.comparable(t), t
+
+
+def test_nested_values_are_made_a_level_at_a_time():
+    from foliospark.functions.values import values
+    from foliospark.operators import repair as R
+
+    kind = pa.list_(pa.struct([("text", pa.string()), ("box", pa.list_(pa.float64())), ("score", pa.float64())]))
+    line = {"text": "한 a", "box": [1.0, None, float("inf"), 2.0], "score": None}
+    some = [[line, None, {"text": None, "box": None, "score": 0.5}], None, [], [line | {"box": [1.0, 2.0, 3.0, 4.0]}]]
+    for array in (pa.array(some, kind), pa.array(some * 9, kind)[3:21], pa.array(some, kind)[1:3], pa.array([], kind), pa.array([True, None]), pa.array([1, None, 3])):
+        assert values(array) == array.to_pylist()
+    assert "to_pylist" not in R._repairing.__code__.co_names  # value by value, the same conversion was half of a page's cost
+
+
+def test_a_page_of_a_few_lines_is_repaired_in_few_steps():
+    """Steps that have nothing to do are not begun: calls are counted, as time depends on the machine."""
+    import cProfile
+    import pstats
+
+    line = lambda i, text: {"text": text, "box": [80.0, i * 50.0, 600.0, i * 50.0 + 30], "score": None}
+    lines = [line(i, f"Tighten the bolt of part {i}") for i in range(4)]
+    blocks = [{"label": "text", "content": f"~#{i}%", "bbox": [70.0, i * 50.0, 610.0, i * 50.0 + 30]} for i in range(4)]
+    profile = cProfile.Profile()
+    assert profile.runcall(repair, "~#0%\n\n~#1%\n\n~#2%\n\n~#3%", lines, [], blocks, [], 1.0, 1.0) == "\n\n".join(x["text"] for x in lines)
+    assert pstats.Stats(profile).total_calls < 520
+    assert pure.normalized("A-b_C 한 É9") == "abc한9" and pure.normalized("A-b\x7f_C 9") == "abc9" and pure.normalized(None) == ""
