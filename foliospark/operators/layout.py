@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import cmp_to_key
+from itertools import pairwise
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from foliospark.errors import FolioError, summary
 from foliospark.functions import pure
 from foliospark.functions.geometry import checked_box
+from foliospark.functions.values import values
 
 NO_CAPTION = "추출 이미지"  # fixed value: alternative text of figures that have none
 
@@ -62,18 +65,66 @@ def render(blocks: list[dict] | None, row_overlap: float = 0.3) -> str:
     return "\n\n".join(filter(None, map(block_markdown, reading_order(blocks or [], row_overlap))))
 
 
+def _orders(boxes: np.ndarray, given: np.ndarray, page: np.ndarray, pages: int, row_overlap: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
+    """(blocks in the order of their pages and in reading order, whether a page's order is certain), of all blocks of a batch at once.
+
+    It is where all blocks have a given order, or none has one and rows are apart: none shares any height with another row,
+    and what all blocks of a row share is enough for any two. :func:`reading_order` has the rest.
+    """
+    x0, y0, x1, y1 = boxes.T
+    known = np.isfinite(given)
+    sound = np.isfinite(boxes).all(1) & (x1 > x0) & (y1 > y0)
+    count = lambda of: np.bincount(page[of], minlength=pages)
+    some = count(known)
+    every = some == np.bincount(page, minlength=pages)
+    certain = (every | (some == 0)) & (count(~sound) == 0)
+    rank = np.where(every[page], given, 0.0)
+    loose = np.flatnonzero((certain & ~every)[page])
+    if len(loose):
+        down = loose[np.lexsort((y0[loose], page[loose]))]
+        first = np.ones(len(down), bool)
+        first[1:] = (page[down][1:] != page[down][:-1]) | (y0[down][1:] >= y1[down][:-1])
+        at = np.flatnonzero(first)
+        own = page[down][at]
+        low, high = np.minimum.reduceat(y1[down], at), np.maximum.reduceat(y1[down], at)
+        shared = low - np.maximum.reduceat(y0[down], at)
+        bad = shared < row_overlap * (1 + 1e-9) * np.maximum.reduceat((y1 - y0)[down], at)
+        bad[:-1] |= (own[1:] == own[:-1]) & (y0[down][at[1:]] < high[:-1])
+        certain[own[bad]] = False
+        rank[down] = np.cumsum(first)
+    beside = ~every[page]
+    return np.lexsort((np.where(beside, y0, 0.0), np.where(beside, x0, 0.0), rank, page)), certain
+
+
+def _rendered(column: pa.Array) -> pa.Array:
+    """:func:`render` of each page of a batch."""
+    ends = column.offsets.to_numpy() if len(column) else np.zeros(1, np.int32)
+    pages, blocks = len(column), column.values.slice(ends[0], ends[-1] - ends[0])
+    ends = ends - ends[0]
+    nowhere = [math.nan] * 4
+    boxes = np.array([b if b is not None and len(b) == 4 and None not in b else nowhere for b in values(blocks.field("bbox"))], float).reshape(-1, 4)
+    given = np.array(values(blocks.field("ord")), float)
+    order, certain = _orders(boxes, given, np.repeat(np.arange(pages), np.diff(ends)), pages)
+    parts = [values(blocks.field(f)) for f in ("markdown", "type", "asset_path", "alt", "content")]
+    texts = [pure.strip(m) if m else f"![{pure.strip(alt or '') or NO_CAPTION}]({path})" if kind == "figure" and path else pure.strip(text or "") for m, kind, path, alt, text in zip(*parts, strict=True)]
+    texts = [texts[i] for i in order.tolist()]
+    certain &= column.is_valid().to_numpy(zero_copy_only=False)
+    out: list[str | None] = ["\n\n".join(filter(None, texts[a:b])) for a, b in pairwise(ends.tolist())]
+    errors: list[dict | None] = [None] * pages
+    for i in np.flatnonzero(~certain).tolist():
+        try:
+            out[i] = render(column[i].as_py())
+        except FolioError as error:
+            out[i], errors[i] = None, summary(error)
+    kind = pa.struct([("code", pa.string()), ("message", pa.string())])
+    return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(errors, kind)], ["markdown", "error"])
+
+
 def rendered(blocks: Column) -> Column:
     """An array of layout blocks to a struct of Markdown and error; the order is found in a vectorised UDF."""
 
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in columns:
-            out = []
-            for value in column.to_pylist():
-                try:
-                    out.append({"markdown": render(value), "error": None})
-                except FolioError as error:
-                    out.append({"markdown": None, "error": summary(error)})
-            yield pa.array(out, pa.struct([("markdown", pa.string()), ("error", pa.struct([("code", pa.string()), ("message", pa.string())]))]))
+        yield from map(_rendered, columns)
 
     return F.arrow_udf(run, "markdown string, error struct<code: string, message: string>")(blocks)
 

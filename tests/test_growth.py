@@ -110,3 +110,45 @@ def test_a_page_of_a_few_lines_is_repaired_in_few_steps():
     assert profile.runcall(repair, "~#0%\n\n~#1%\n\n~#2%\n\n~#3%", lines, [], blocks, [], 1.0, 1.0) == "\n\n".join(x["text"] for x in lines)
     assert pstats.Stats(profile).total_calls < 520
     assert pure.normalized("A-b_C 한 É9") == "abc한9" and pure.normalized("A-b\x7f_C 9") == "abc9" and pure.normalized(None) == ""
+
+
+def test_pages_of_a_batch_are_ordered_together():
+    import random
+
+    from foliospark.errors import FolioError
+    from foliospark.operators import layout as L
+
+    r = random.Random(5)
+    kind = pa.list_(pa.struct([("bbox", pa.list_(pa.float64())), ("ord", pa.float64()), *((f, pa.string()) for f in ("type", "markdown", "content", "asset_path", "alt"))]))
+
+    def block(i, style):
+        x, y = float(r.randrange(4) * 100), float(r.randrange(5) * 60 + r.choice((0, 4, 8) if style < 3 else (0, 20, 45)))
+        box = [x, y, x + 90, y + r.choice((40.0, 44.0))]
+        if r.random() < 0.01:
+            box = r.choice((None, [1.0], [1.0, 2.0, 1.0, 3.0], [1.0, None, 3.0, 4.0], [0.0, 0.0, float("inf"), 1.0]))
+        known = r.choice((1.0, 2.0, -0.0, 0.0, float("nan"))) if style == 1 or (style == 2 and r.random() < 0.5) else float(r.randrange(3)) if style == 4 else None
+        return {"bbox": box, "ord": known, "type": r.choice(("text", "figure", None)), "markdown": r.choice((None, "", " m ")), "content": r.choice((None, f" block {i}")), "asset_path": r.choice((None, "a.png")), "alt": r.choice((None, " ", "x"))}
+
+    pages = [None if r.random() < 0.02 else [block(i, style) for i in range(r.randrange(7))] for _ in range(400) for style in range(5)]
+
+    def alone(page):
+        try:
+            return {"markdown": L.render(page), "error": None}
+        except FolioError as error:
+            return {"markdown": None, "error": L.summary(error)}
+
+    array = pa.array([None, *pages, []], kind)
+    for part in (array, array[700:1500], array[:1], array[:0]):
+        got = L._rendered(part).to_pylist()
+        assert got == [alone(p) for p in part.to_pylist()]
+
+
+def test_a_clean_page_needs_no_comparison_of_pairs(monkeypatch):
+    from foliospark.operators import layout as L
+
+    kind = pa.list_(pa.struct([("bbox", pa.list_(pa.float64())), ("ord", pa.float64()), *((f, pa.string()) for f in ("type", "markdown", "content", "asset_path", "alt"))]))
+    block = lambda i, given: {"bbox": [i % 3 * 300.0, i // 3 * 100.0 + i % 3 * 4, i % 3 * 300.0 + 200, i // 3 * 100.0 + i % 3 * 4 + 40], "ord": given, "type": "text", "markdown": None, "content": str(i), "asset_path": None, "alt": None}
+    monkeypatch.setattr(L, "overlap", None)
+    monkeypatch.setattr(L, "cmp_to_key", None)
+    got = L._rendered(pa.array([[block(i, None) for i in (4, 2, 0, 3, 1)], [block(i, -float(i)) for i in (4, 2, 0, 3, 1)]], kind)).to_pylist()
+    assert [x["markdown"] for x in got] == ["0\n\n1\n\n2\n\n3\n\n4", "4\n\n3\n\n2\n\n1\n\n0"]
