@@ -96,10 +96,12 @@ def manifests(pages: DataFrame, inputs: DataFrame, settings: dict[str, object],
         F.col("split_column").alias("splitColumn"), F.col("asset_paths").alias("assets"), "warnings",
         F.struct(F.col("engine.name").alias("name"), F.col("engine.recognition_model").alias("recognitionModel"), F.col("engine.device").alias("device")).alias("engine"),
     )
-    grouped = pages.groupBy(document).agg(F.count_distinct("sheet_number").cast("int").alias("sheets"), F.count(F.lit(1)).cast("int").alias("n"), F.array_sort(F.collect_list(page)).alias("pages"))
+    # sheets are counted in the pages: a distinct count beside them would move all pages twice, by document and sheet and by document
+    grouped = pages.groupBy(document).agg(F.sort_array(F.collect_list(page)).alias("pages"))
+    sheets = F.size(F.array_compact(F.array_distinct(F.col("pages.sheetNumber"))))
     name = T.stem(F.col("path"))
     fixed = F.struct(*(F.lit(v).cast("double" if k == "splitRatio" else "string").alias(k) for k, v in settings.items()))
     return grouped.join(inputs, document).select(document, F.struct(
         F.lit(1).alias("schemaVersion"), F.struct("path", "sha256").alias("input"), F.struct(F.concat(name, F.lit(".md")).alias("markdown"), F.concat(name, F.lit(".manifest.json")).alias("manifest")).alias("output"),
-        fixed.alias("settings"), F.col("started_at").alias("startedAt"), F.col("completed_at").alias("completedAt"), F.col("sheets").alias("sheetCount"), F.col("n").alias("pageCount"), "pages",
+        fixed.alias("settings"), F.col("started_at").alias("startedAt"), F.col("completed_at").alias("completedAt"), sheets.alias("sheetCount"), F.size("pages").alias("pageCount"), "pages",
     ).alias("manifest"))

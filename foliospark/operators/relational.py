@@ -16,8 +16,8 @@ from foliospark.functions import text as T
 
 def ordered_concat(c: Column, separator: str, *order: Column) -> Column:
     """Texts of a group joined in the order given, nulls and empty ones left out."""
-    kept = F.array_sort(F.collect_list(F.when(F.coalesce(c, F.lit("")) != "", F.struct(*order, c.alias("_text")))))
-    return F.array_join(F.transform(kept, lambda x: x["_text"]), separator)
+    kept = F.sort_array(F.collect_list(F.when(F.coalesce(c, F.lit("")) != "", F.struct(*order, c.alias("_text")))))
+    return F.array_join(kept["_text"], separator)
 
 
 def concatenated(pages: DataFrame, document: str, number: str, markdown: str) -> DataFrame:

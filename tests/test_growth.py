@@ -152,3 +152,23 @@ def test_a_clean_page_needs_no_comparison_of_pairs(monkeypatch):
     monkeypatch.setattr(L, "cmp_to_key", None)
     got = L._rendered(pa.array([[block(i, None) for i in (4, 2, 0, 3, 1)], [block(i, -float(i)) for i in (4, 2, 0, 3, 1)]], kind)).to_pylist()
     assert [x["markdown"] for x in got] == ["0\n\n1\n\n2\n\n3\n\n4", "4\n\n3\n\n2\n\n1\n\n0"]
+
+
+def _optimized(spark, name):
+    return plans.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_manifest_moves_its_pages_once(spark):
+    plan = plans.QUERIES["q12_manifest_counts"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "count(distinct" not in plan and "merge_collect_list" not in plan
+
+
+def test_a_file_is_parsed_once(spark):
+    plan = _optimized(spark, "q36_sidecar_lines")
+    assert plan.count("from_json(") == 1
+
+
+def test_attributes_of_a_relationship_are_searched_for_once(spark):
+    plan = _optimized(spark, "q35_docx_references")
+    for name in ("Id", "Target", "Type", "TargetMode"):
+        assert plan.count(f"(?<![:\\w.-]){name}\\s") == 1, name
