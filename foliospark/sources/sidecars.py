@@ -16,7 +16,8 @@ from foliospark.functions import geometry as G
 from foliospark.schemas import BLOCK, BOX, LINE
 
 _OCR = "STRUCT<rec_texts: ARRAY<STRING>, rec_boxes: ARRAY<ARRAY<DOUBLE>>, rec_scores: ARRAY<DOUBLE>>"
-_PART = f"overall_ocr_res: {_OCR}, fallback_ocr_res: {_OCR}, parsing_res_list: ARRAY<STRUCT<block_label: STRING, block_content: STRING, block_bbox: ARRAY<DOUBLE>>>, table_res_list: ARRAY<STRUCT<cell_box_list: ARRAY<ARRAY<DOUBLE>>>>"
+_READINGS = f"overall_ocr_res: {_OCR}, fallback_ocr_res: {_OCR}"
+_PART = f"{_READINGS}, parsing_res_list: ARRAY<STRUCT<block_label: STRING, block_content: STRING, block_bbox: ARRAY<DOUBLE>>>, table_res_list: ARRAY<STRUCT<cell_box_list: ARRAY<ARRAY<DOUBLE>>>>"
 JSON = f"STRUCT<res: STRUCT<{_PART}>, {_PART}>"
 RAW = "raw_ocr.json"
 
@@ -40,10 +41,15 @@ def text_lines(files: DataFrame, page: list[str]) -> DataFrame:
 
     ``files``: (page, walk_index, name, json).
     """
-    rows = parsed(files).withColumn("raw_lines", zipped_lines(F.col("j.overall_ocr_res"))).where(F.size("raw_lines") > 0)
+    j = F.from_json("json", f"STRUCT<res: STRUCT<{_READINGS}>, {_READINGS}>")
+    both = lambda j: [F.coalesce(j["res"][f], j[f]) for f in ("overall_ocr_res", "fallback_ocr_res")]
+    lines = lambda raw, fallback: F.struct(zipped_lines(raw).alias("raw_lines"), F.coalesce(zipped_lines(fallback), F.array().cast(f"ARRAY<{LINE}>")).alias("fallback_lines"))
+    # a generator, as a filter on columns beside it would parse each file again
+    kept = F.inline(F.filter(F.transform(F.array(j), lambda j: lines(*both(j))), lambda r: F.size(r["raw_lines"]) > 0))
+    rows = files.select(*page, "walk_index", "name", kept)
     first = F.row_number().over(Window.partitionBy(*page).orderBy((F.lower("name") == RAW).desc(), "walk_index"))
     found = rows.withColumn("_k", first).where("_k = 1")
-    return found.select(*page, "raw_lines", F.coalesce(zipped_lines(F.col("j.fallback_ocr_res")), F.array().cast(f"ARRAY<{LINE}>")).alias("fallback_lines"))
+    return found.select(*page, "raw_lines", "fallback_lines")
 
 
 def structure(files: DataFrame, page: list[str]) -> DataFrame:
