@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from foliospark.errors import FolioError, as_folio_error, summary
 from foliospark.functions import pure
 from foliospark.functions import text as T
+from foliospark.functions.fold import let
 from foliospark.schemas import SHEETS
 from foliospark.session import prepare
 from foliospark.sources.docx import IMAGES, scans
@@ -97,9 +98,12 @@ def sheets(files: DataFrame, pdf: PdfRenderer | None = None) -> DataFrame:
 
 def relationships(xml: DataFrame) -> DataFrame:
     """(doc_id, rel_id, target): internal image relationships of (doc_id, rels_xml), the last of an id; relational form of the reader's."""
-    value = lambda name: T.xml_decode(F.regexp_extract("tag", rf"(?s)(?<![:\w.-]){name}\s*=\s*([\"'])(.*?)\1", 2))
-    rows = xml.select("doc_id", F.posexplode(F.regexp_extract_all("rels_xml", F.lit(r"(?i)<Relationship\b[^>]*>"), F.lit(0))).alias("pos", "tag"))
-    found = rows.select("doc_id", "pos", value("Id").alias("rel_id"), value("Target").alias("target"), value("Type").alias("type"), value("TargetMode").alias("mode"))
+    value = lambda tag, name: let(F.regexp_extract(tag, rf"(?s)(?<![:\w.-]){name}\s*=\s*([\"'])(.*?)\1", 2), T.xml_decode)
+    names = (("Id", "rel_id"), ("Target", "target"), ("Type", "type"), ("TargetMode", "mode"))
+    tags = F.regexp_extract_all("rels_xml", F.lit(r"(?i)<Relationship\b[^>]*>"), F.lit(0))
+    # attributes are the generator's: as columns beside the filter they would be searched for again in it
+    rows = xml.select("doc_id", F.posexplode(F.transform(tags, lambda tag: F.struct(*(value(tag, n).alias(c) for n, c in names)))).alias("pos", "tag"))
+    found = rows.select("doc_id", "pos", "tag.*")
     kept = found.where((F.col("rel_id") != "") & (F.col("target") != "") & F.lower("type").endswith("/image") & (F.lower("mode") != "external"))
     return kept.groupBy("doc_id", "rel_id").agg(F.max_by("target", "pos").alias("target"))
 
