@@ -21,7 +21,7 @@ from foliospark.operators import lines as N
 from foliospark.operators.ordered import last_known, matches_in_order
 from foliospark.operators.raster import binarized, light_of, pixels, split_columns, suppressed, tone_lift
 from foliospark.schemas import ERROR
-from foliospark.session import prepare, spread, work_folder
+from foliospark.session import partitions, prepare, spread, work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -182,9 +182,10 @@ def q73_streamed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = rows.groupBy("conv_id").agg(F.count(F.lit(1)).cast("int").alias("page_count"))
     sent = rows.join(counts, "conv_id").select(F.col("conv_id").cast("string").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page_number"), "page_count", F.timestamp_seconds(F.lit(1_704_067_200)).alias("seen_at"), F.col("text").alias("markdown"), F.lit(None).cast(ERROR).alias("error"))
     came = work_folder(spark, "pages")
+    n = partitions(spark)  # files of a batch, all of which one trigger takes: batches are three however many pages there are
     for k in range(3):
-        sent.where(F.pmod("page_number", F.lit(3)) == (k + 1) % 3).write.mode("append").parquet(f"{came}/batch={k}")
-    pages = spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", 1).parquet(f"{came}/*")
+        sent.where(F.pmod("page_number", F.lit(3)) == (k + 1) % 3).repartition(n).write.mode("append").parquet(f"{came}/batch={k}")
+    pages = spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", n).parquet(f"{came}/*")
     out, state = work_folder(spark, "stream"), work_folder(spark, "stream-state")
     query = assembled(pages).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()

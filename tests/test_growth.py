@@ -172,3 +172,15 @@ def test_attributes_of_a_relationship_are_searched_for_once(spark):
     plan = _optimized(spark, "q35_docx_references")
     for name in ("Id", "Target", "Type", "TargetMode"):
         assert plan.count(f"(?<![:\\w.-]){name}\\s") == 1, name
+
+
+def test_a_stream_takes_three_batches_however_many_files_its_pages_have(spark, tmp_path):
+    import glob
+
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    state = lambda: set(glob.glob(f"{at.removeprefix('file:').replace('//', '/', 1)}/stream-state-*/commits/[0-9]*"))
+    spark.read.parquet(f"{SF}/conversations.parquet").repartition(8).write.parquet(f"{tmp_path}/conversations.parquet")
+    before = state()
+    found = plans.QUERIES["q73_streamed_documents"](spark, str(tmp_path)).count()
+    assert found == spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id").distinct().count()
+    assert 1 <= len(state() - before) <= 4  # three, and one for the watermark
