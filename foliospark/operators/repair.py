@@ -64,18 +64,18 @@ def choose(primary: str, fallback: str) -> str:
     """The primary reading, with measurements as the fallback reads them if the two are alike and have as many."""
     if not primary or not fallback:
         return primary or fallback
-    if len(pure.normalized(fallback)) < 0.75 * len(pure.normalized(primary)) or pure.similarity(primary, fallback) < 0.72:
+    a, b = pure.normalized(primary), pure.normalized(fallback)
+    if len(b) < 0.75 * len(a) or not pure.similar(a, b, 0.72):
         return primary
-    other = list(_MEASURE.finditer(fallback))
-    if len(_MEASURE.findall(primary)) != len(other):
+    mine, theirs = list(_MEASURE.finditer(primary)), list(_MEASURE.finditer(fallback))
+    if len(mine) != len(theirs):
         return primary
-    theirs = iter(other)
-
-    def take(m: re.Match) -> str:
-        t = next(theirs)
-        return t[0] if t[2].lower() == m[2].lower() else m[0]
-
-    return _MEASURE.sub(take, primary)
+    out, at = [], 0
+    for m, t in zip(mine, theirs, strict=True):
+        if t[2].lower() == m[2].lower():
+            out += primary[at : m.start()], t[0]
+            at = m.end()
+    return "".join([*out, primary[at:]])
 
 
 def agree(source: str, primary: str, fallback: str) -> str:

@@ -184,3 +184,21 @@ def test_a_stream_takes_three_batches_however_many_files_its_pages_have(spark, t
     found = plans.QUERIES["q73_streamed_documents"](spark, str(tmp_path)).count()
     assert found == spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id").distinct().count()
     assert 1 <= len(state() - before) <= 4  # three, and one for the watermark
+
+
+def test_readings_that_are_alike_need_no_distance(monkeypatch):
+    import random
+
+    from foliospark.operators import repair as R
+
+    r = random.Random(9)
+    for _ in range(2_000):
+        a = "".join(r.choice("abc한") for _ in range(r.randrange(14)))
+        b = "".join(c if r.random() < 0.8 else r.choice(("", "a", "bc")) for c in a)
+        for least in (0.0, 0.5, 0.65, 0.72, 0.75, 0.8, 1.0):
+            assert pure.similar(a, b, least) == (pure.similarity(a, b) >= least), (a, b, least)
+    assert R.choose("It draws 10A at 110 V of 5%", "1t draws 20 a at 210 W of 6 %") == "It draws 20 a at 110 V of 6 %"
+    assert R.choose("It draws 10A at 110V", "It draws 20A at most") == "It draws 10A at 110V"
+    monkeypatch.setattr(pure, "distance", None)
+    assert R.choose("The pump runs at 101V and draws 11A at most", "The pump runs at 201V and draws 21W at most") == "The pump runs at 201V and draws 11A at most"
+    assert R.choose("The pump runs at 101V", "The pump runs at 201V and draws 21W at most") == "The pump runs at 101V"
