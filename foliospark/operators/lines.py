@@ -114,19 +114,25 @@ def numbered_paragraphs(lines: list[Line] | None) -> list[tuple[int, str]]:
     return [(n, " ".join(t)) for n, t in out] if len(out) >= 3 else []
 
 
-def anchors(lines: list[Line], blocks: list[dict]) -> list[tuple[float, float]]:
-    """(line's top, block's top) of blocks and lines that begin alike, matched in order, each line once."""
+def starts(blocks: list[dict]) -> list[tuple[str | None, float]]:
+    """(beginning of the text, top) of blocks from top to bottom."""
+    return [(pure.start_of(b["content"]), b["bbox"][1]) for b in sorted(blocks, key=lambda b: (b["bbox"][1], b["bbox"][0]))]
+
+
+def anchors(lines: list[Line], blocks: list[tuple[str | None, float]]) -> list[tuple[float, float]]:
+    """(line's top, block's top) of blocks (of :func:`starts`) and lines that begin alike, matched in order, each line once."""
+    wanted = {key for key, _ in blocks if key is not None}
     places: dict[str, list[int]] = {}
-    for i, x in enumerate(lines):
-        if (key := pure.start_of(x["text"])) is not None:
+    for i, x in enumerate(lines) if wanted else ():
+        if (key := pure.start_of(x["text"])) in wanted:
             places.setdefault(key, []).append(i)
     if not places:
         return []
     out, at = [], 0
-    for b in blocks:
-        found = places.get(pure.start_of(b["content"]), ())
+    for key, top in blocks:
+        found = places.get(key, ())
         if (k := bisect_left(found, at)) < len(found):
-            out.append((lines[found[k]]["box"][1], b["bbox"][1]))
+            out.append((lines[found[k]]["box"][1], top))
             at = found[k] + 1
     return out
 
@@ -145,12 +151,12 @@ def mapped(y: float, points: list[tuple[float, float]]) -> float:
     return y + to0 - x0 if abs(x1 - x0) < 0.001 else to0 + (y - x0) / (x1 - x0) * (to1 - to0)
 
 
-def aligned(lines: list[Line], blocks: list[dict]) -> list[Line]:
-    """Lines, from top to bottom, moved vertically to the coordinates of the blocks (eligible ones, in any order)."""
+def aligned(lines: list[Line], blocks: list[tuple[str | None, float]]) -> list[Line]:
+    """Lines, from top to bottom, moved vertically to the coordinates of the blocks (:func:`starts` of eligible ones)."""
     if not lines:
         return lines
     lines = sorted(lines, key=by_top)
-    points = anchors(lines, sorted(blocks, key=lambda b: (b["bbox"][1], b["bbox"][0])))
+    points = anchors(lines, blocks)
     if not points:
         return lines
     out = []

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions import pure
 from foliospark.functions.values import values
-from foliospark.operators.lines import NOTE, Line, aligned, by_top, numbered_paragraphs, scaled_lines, text_of
+from foliospark.operators.lines import NOTE, Line, aligned, by_top, numbered_paragraphs, scaled_lines, starts, text_of
 from foliospark.operators.tables import text_beside_tables
 
 _S = f"[{pure.SPACE}]"
@@ -83,8 +83,13 @@ def agree(source: str, primary: str, fallback: str) -> str:
     if not primary or not fallback:
         return source
     theirs = {w.lower() for w in _WORD.findall(fallback)}
-    shared = [w for w in _WORD.findall(primary) if w.lower() in theirs]
-    return _WORD.sub(lambda m: next((w for w in shared if len(w) >= len(m[0]) and pure.distance(m[0].lower(), w.lower()) == 1), m[0]), source)
+    shared = [(w, low) for w in dict.fromkeys(_WORD.findall(primary)) if (low := w.lower()) in theirs]
+
+    def correct(m: re.Match) -> str:
+        word, size = m[0].lower(), len(m[0])
+        return next((w for w, low in shared if size <= len(w) <= size + 1 and pure.one_apart(word, low)), m[0])
+
+    return _WORD.sub(correct, source) if shared else source
 
 
 def replacement(source: str, primary: str, fallback: str) -> str | None:
@@ -104,7 +109,8 @@ def repair_blocks(markdown: str, primary: list[Line], fallback: list[Line], bloc
     text_blocks = [b for b in blocks or [] if eligible(b)]
     if not text_blocks:
         return markdown
-    channels = [by_middle(aligned(lines, text_blocks)) for lines in (primary, fallback)]
+    begun = starts(text_blocks)
+    channels = [by_middle(aligned(lines, begun)) for lines in (primary, fallback)]
     for b in text_blocks:
         source = pure.strip(b["content"])
         if source and source in markdown:

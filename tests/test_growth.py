@@ -202,3 +202,27 @@ def test_readings_that_are_alike_need_no_distance(monkeypatch):
     monkeypatch.setattr(pure, "distance", None)
     assert R.choose("The pump runs at 101V and draws 11A at most", "The pump runs at 201V and draws 21W at most") == "The pump runs at 201V and draws 11A at most"
     assert R.choose("The pump runs at 101V", "The pump runs at 201V and draws 21W at most") == "The pump runs at 101V"
+
+
+def test_words_are_corrected_without_distances(monkeypatch):
+    import random
+
+    from foliospark.operators import lines as L
+    from foliospark.operators import repair as R
+
+    r = random.Random(4)
+    for _ in range(3_000):
+        a = "".join(r.choice("ab") for _ in range(r.randrange(6)))
+        b = "".join(r.choice("ab") for _ in range(len(a) + r.randrange(-1, 3)))
+        assert pure.one_apart(a, b) == (0 <= len(b) - len(a) <= 1 and _matrix(a, b) == 1), (a, b)
+    long = "·" * 40 + "한 Αb12 İK 345678"
+    assert pure.start_of(long) == pure.normalized(long)[:8] and pure.start_of("ab" + "-" * 40) is None
+    monkeypatch.setattr(pure, "distance", None)
+    assert R.agree("Turn Of the punp at Onn xy off", "Turn Off the pump at On or OFF", "turn off the Pump on") == "Turn Off the pump at Onn xy off"
+    page = {"text": "전원 스위치가 Off 위치", "box": [80.0, 105.0, 680.0, 133.0], "score": None}
+    block = {"label": "text", "content": "전원 스위치가 Of 위치", "bbox": [70.0, 100.0, 710.0, 148.0]}
+    asked, start_of = [], pure.start_of
+    monkeypatch.setattr(pure, "start_of", lambda text: asked.append(text) or start_of(text))
+    assert repair(block["content"], [page], [page], [block]) == "전원 스위치가 Off 위치"
+    assert asked.count(block["content"]) == 1  # not once for each reading
+    assert L.anchors([page], [(None, 1.0)]) == []
