@@ -10,6 +10,7 @@ import math
 import re
 from bisect import bisect_left
 from collections.abc import Callable
+from itertools import accumulate
 from typing import Any
 
 from pyspark.sql import Column
@@ -137,15 +138,16 @@ def anchors(lines: list[Line], blocks: list[tuple[str | None, float]]) -> list[t
     return out
 
 
-def mapped(y: float, points: list[tuple[float, float]]) -> float:
-    """y carried over by the segment of anchors that holds it, or the nearest one."""
+def reach(points: list[tuple[float, float]]) -> list[float]:
+    """How far down the segments of anchors reach; anchors need not rise, so it is the running maximum of their ends."""
+    return list(accumulate((x for x, _ in points[1:]), max, initial=-math.inf))[1:]
+
+
+def mapped(y: float, points: list[tuple[float, float]], ends: list[float] | None = None) -> float:
+    """y carried over by the segment of anchors that holds it, or the nearest one; ``ends``: :func:`reach` of them."""
     if len(points) < 2:
         return y + points[0][1] - points[0][0]
-    # the first segment whose end reaches y; anchors need not rise, so the running maximum of the ends is searched
-    ends, top = [], -math.inf
-    for x, _ in points[1:]:
-        top = max(top, x)
-        ends.append(top)
+    ends = reach(points) if ends is None else ends
     k = min(bisect_left(ends, y), len(ends) - 1)
     (x0, to0), (x1, to1) = points[k], points[k + 1]
     return y + to0 - x0 if abs(x1 - x0) < 0.001 else to0 + (y - x0) / (x1 - x0) * (to1 - to0)
@@ -159,10 +161,11 @@ def aligned(lines: list[Line], blocks: list[tuple[str | None, float]]) -> list[L
     points = anchors(lines, blocks)
     if not points:
         return lines
-    out = []
+    out, ends = [], reach(points)
     for x in lines:
         x0, y0, x1, y1 = x["box"]
-        shift = mapped(middle(x), points) - middle(x)
+        y = (y0 + y1) / 2
+        shift = mapped(y, points, ends) - y
         out.append({**x, "box": [x0, y0 + shift, x1, y1 + shift]})
     return out
 

@@ -44,7 +44,7 @@ def by_middle(lines: list[Line]) -> tuple[list[float], list[tuple[float, tuple[f
     for i, x in enumerate(lines):
         b = x.get("box")
         if isinstance(b, (list, tuple)) and len(b) == 4 and (y := (b[1] + b[3]) / 2) == y:
-            found.append((y, (b[0] + b[2]) / 2, (*by_top(x), i), x))
+            found.append((y, (b[0] + b[2]) / 2, (b[1], b[0], i), x))
     found.sort(key=lambda f: f[0])
     return [f[0] for f in found], [f[1:] for f in found]
 
@@ -94,6 +94,8 @@ def agree(source: str, primary: str, fallback: str) -> str:
 
 def replacement(source: str, primary: str, fallback: str) -> str | None:
     """What to write instead of a block's text; None to leave it."""
+    if not fallback and primary in ("", source):  # nothing else is said
+        return None
     short, number = pure.normalized(source), pure.number_of(primary)
     note = bool(NOTE.match(source))
     if note or len(short) < 12 or (number is not None and number != pure.number_of(source)):

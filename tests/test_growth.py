@@ -226,3 +226,26 @@ def test_words_are_corrected_without_distances(monkeypatch):
     assert repair(block["content"], [page], [page], [block]) == "전원 스위치가 Off 위치"
     assert asked.count(block["content"]) == 1  # not once for each reading
     assert L.anchors([page], [(None, 1.0)]) == []
+
+
+def test_lines_are_moved_by_a_search_among_anchors_each(monkeypatch):
+    import cProfile
+    import pstats
+
+    from foliospark.operators import lines as L
+
+    def calls(n):
+        lines = [{"text": f"{i:06d} and on", "box": [80.0, i * 70.0, 600.0, i * 70.0 + 30], "score": None} for i in range(n)]
+        profile = cProfile.Profile()
+        got = profile.runcall(L.aligned, lines, [(pure.start_of(x["text"]), i * 35.0) for i, x in enumerate(lines)])
+        assert [x["box"][1] for x in got] == [i * 35.0 - 7.5 for i in range(n)]
+        return pstats.Stats(profile).total_calls
+
+    assert calls(600) < 2.2 * calls(300)
+    from foliospark.operators import repair as R
+
+    with monkeypatch.context() as m:
+        m.setattr(pure, "normalized", None)
+        assert R.replacement("it is so", "it is so", "") is None and R.replacement("it is so", "", "") is None
+    points = [(0.0, 5.0), (40.0, 10.0), (30.0, 90.0), (80.0, 100.0)]
+    assert [L.mapped(y, points, L.reach(points)) for y in (-3, 35, 41, 90)] == [L.mapped(y, points) for y in (-3, 35, 41, 90)]
