@@ -145,11 +145,15 @@ def add_notes(markdown: str, lines: list[Line]) -> str:
         return markdown
     found = sorted((x for x in lines if text_of(x) and isinstance(x.get("box"), (list, tuple))), key=by_top)
     texts = [text_of(x) for x in found]
+    begun = [pure.start_of(t, 12) for t in texts]
+    plain = pure.normalized(markdown)
     for i, note in enumerate(texts):
-        if NOTE.match(note) and pure.prefix_place(markdown, note) < 0:
-            at = next((p for p in (pure.prefix_place(markdown, t) for t in texts[i + 1 :]) if p >= 0), -1)
-            if at >= 0:
+        if NOTE.match(note) and (begun[i] is None or begun[i] not in plain):
+            k = next((k for t in begun[i + 1 :] if t is not None and (k := plain.find(t)) >= 0), -1)
+            if k >= 0:
+                at = pure.place_of(markdown, k)
                 markdown = f"{markdown[:at]}{note}\n\n{markdown[at:]}"
+                plain = plain[:k] + pure.normalized(note) + plain[k:]
     return markdown
 
 

@@ -249,3 +249,17 @@ def test_lines_are_moved_by_a_search_among_anchors_each(monkeypatch):
         assert R.replacement("it is so", "it is so", "") is None and R.replacement("it is so", "", "") is None
     points = [(0.0, 5.0), (40.0, 10.0), (30.0, 90.0), (80.0, 100.0)]
     assert [L.mapped(y, points, L.reach(points)) for y in (-3, 35, 41, 90)] == [L.mapped(y, points) for y in (-3, 35, 41, 90)]
+
+
+def test_a_page_is_normalised_once_for_all_its_notes(monkeypatch):
+    from foliospark.operators import repair as R
+
+    line = lambda i, text: {"text": text, "box": [80.0, i * 50.0, 600.0, i * 50.0 + 30], "score": None}
+    steps = [f"step {i:04d} of the İ work" for i in range(40)]
+    notes = [f"Note: {i:04d} holds its charge" for i in range(40)]
+    lines = [line(2 * i + k, t) for i in range(40) for k, t in enumerate((notes[i], steps[i]))]
+    page, read, normalized = "\n\n".join(steps), [], pure.normalized
+    monkeypatch.setattr(pure, "normalized", lambda text: read.append(len(text)) or normalized(text))
+    got = R.add_notes(page, lines)
+    assert got == "\n\n".join(f"{n}\n\n{s}" for n, s in zip(notes, steps, strict=True))
+    assert sum(1 for n in read if n >= len(page)) == 1
