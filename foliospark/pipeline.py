@@ -20,7 +20,7 @@ from foliospark.operators import batch as B
 from foliospark.operators.assemble import documents, folder_names, manifests, materialized
 from foliospark.operators.codecs import decode_image
 from foliospark.operators.raster import encode_png, split_pages, suppress
-from foliospark.recognize import ProcessRecognizer, Recognizer, WorkerRecognizer, recognized
+from foliospark.recognize import MOST_BYTES, MOST_PAGES, ProcessRecognizer, Recognizer, WorkerRecognizer, recognized
 from foliospark.schemas import ERROR
 from foliospark.session import materialize, prepare
 from foliospark.sinks import write_files
@@ -54,6 +54,10 @@ _PAGE = {
 PAGES = f"doc_id STRING, sheet_number INT, side_index INT, side STRING, source_image STRING, source_document STRING, pdf_page_number INT, page_layout STRING, source_width INT, source_height INT, split_column INT, page_png BINARY, recovery_png BINARY, page_width INT, page_height INT, recovery_width INT, recovery_height INT, error {ERROR}"
 
 
+def _batch(rows: list[dict[str, Any]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([row.get(k) for row in rows], t) for k, t in _PAGE.items()], list(_PAGE))
+
+
 def sheet_pages(sheet: dict[str, Any], settings: Settings, codec: Codec) -> Iterator[dict[str, Any]]:
     """A sheet's pages: decoded, cut in two if it shows two, and preprocessed; in mode text-safe for structure and for recovery apart."""
     row = {"doc_id": sheet["doc_id"], "sheet_number": sheet["sheet_number"], "source_image": sheet["name"], "source_document": sheet["source_name"], "pdf_page_number": sheet["pdf_page_number"]}
@@ -75,10 +79,12 @@ def sheet_pages(sheet: dict[str, Any], settings: Settings, codec: Codec) -> Iter
 
 
 def prepared(sheets: DataFrame, settings: Settings = Settings(), codec: Codec = decode_image) -> DataFrame:
-    """Sheets to numbered, preprocessed pages; a sheet that fails is one page with its error. One image is in memory at a time."""
+    """Sheets to numbered, preprocessed pages; a sheet that fails is one page with its error. One image is in memory at a time; encoded pages go on in batches, by count and bytes."""
     prepare(sheets.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: list[dict[str, Any]] = []
+        size = 0
         for batch in batches:
             for i in range(batch.num_rows):
                 sheet = batch.slice(i, 1).to_pylist()[0]
@@ -90,8 +96,13 @@ def prepared(sheets: DataFrame, settings: Settings = Settings(), codec: Codec =
                     except FolioError as e:
                         error = summary(e)
                 rows = rows or [{"doc_id": sheet["doc_id"], "sheet_number": sheet["sheet_number"], "side_index": 0, "side": "single", "source_image": sheet["name"], "source_document": sheet["source_name"], "error": error}]
-                for row in rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([row.get(k)], t) for k, t in _PAGE.items()], list(_PAGE))
+                made += rows
+                size += sum(len(row.get(k) or b"") for row in rows for k in ("page_png", "recovery_png"))
+                if len(made) >= MOST_PAGES or size >= MOST_BYTES:
+                    yield _batch(made)
+                    made, size = [], 0
+        if made:
+            yield _batch(made)
 
     # written once, so that numbering looks at keys alone and no picture goes through the window
     found = materialize(sheets.mapInArrow(run, PAGES), "prepared")

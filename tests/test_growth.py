@@ -263,3 +263,40 @@ def test_a_page_is_normalised_once_for_all_its_notes(monkeypatch):
     got = R.add_notes(page, lines)
     assert got == "\n\n".join(f"{n}\n\n{s}" for n, s in zip(notes, steps, strict=True))
     assert sum(1 for n in read if n >= len(page)) == 1
+
+
+def test_small_pages_share_a_batch_and_large_ones_do_not(spark, monkeypatch):
+    from foliospark import pipeline, recognize
+    from foliospark.operators.raster import encode_png, solid
+    from foliospark.plans.documents import PageNumbers
+    from foliospark.schemas import SHEETS
+
+    png = bytes(encode_png(solid(120, 60, 255)))
+    rows = [(f"/in/{k}.png", 1, f"{k}.png", f"{k}.png", b"none" if k % 9 == 0 else png, None, None, None) for k in range(300)]
+    got = {}
+
+    class Frame:  # takes the function that a batch is given to
+        sparkSession, columns, schema = spark, pipeline.PAGES.split(), ()
+
+        def mapInArrow(self, run, schema):
+            got["run"] = run
+            raise StopIteration
+
+    def counts(make, batches):
+        try:
+            make()
+        except StopIteration:
+            return [b.num_rows for b in got["run"](iter(batches))]
+
+    sheets = spark.createDataFrame(rows, SHEETS).toArrow().to_batches()
+    assert max(counts(lambda: pipeline.prepared(Frame()), sheets)) >= 200
+    pages = list(got["run"](iter(sheets)))
+    assert sum(b.num_rows for b in pages) == 300 + 300 - len(range(0, 300, 9))
+    frame = Frame()
+    frame.columns = pages[0].schema.names
+    read = counts(lambda: recognize.recognized(frame, PageNumbers()), pages)
+    assert sum(read) == sum(b.num_rows for b in pages) and max(read) >= 200
+    whole = [r for b in got["run"](iter(pages)) for r in b.select(["doc_id", "side_index"]).to_pylist()]
+    assert [(r["doc_id"], r["side_index"]) for r in whole] == [(r["doc_id"], r["side_index"]) for b in pages for r in b.to_pylist()]
+    monkeypatch.setattr(pipeline, "MOST_BYTES", 1)
+    assert max(counts(lambda: pipeline.prepared(Frame()), sheets)) <= 3  # those of one sheet, and of one without pictures before it
