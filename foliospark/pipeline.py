@@ -22,7 +22,7 @@ from foliospark.operators.codecs import decode_image
 from foliospark.operators.raster import encode_png, split_pages, suppress
 from foliospark.recognize import MOST_BYTES, MOST_PAGES, ProcessRecognizer, Recognizer, WorkerRecognizer, recognized
 from foliospark.schemas import ERROR
-from foliospark.session import materialize, prepare
+from foliospark.session import materialize, prepare, spread
 from foliospark.sinks import write_files
 from foliospark.sources.loader import files, image_files, sheets
 from foliospark.sources.pdf import PdfRenderer
@@ -114,8 +114,8 @@ def prepared(sheets: DataFrame, settings: Settings = Settings(), codec: Codec =
 def final_pages(sheets: DataFrame, recognizer: Recognizer, settings: Settings = Settings(), codec: Codec = decode_image) -> DataFrame:
     """All stages up to final pages. Preprocessed pages are written first: recognition is dear, and a lost task repeats only its own pages."""
     pages = prepared(sheets, settings, codec)
-    spread = pages.repartition("doc_id", "page_number")  # a page is a task's unit of work, whatever file it came from
-    return materialized(materialize(recognized(spread, recognizer), "recognized"))
+    dealt = spread(pages, "doc_id", "page_number")  # a page is a task's unit of work, whatever file it came from and however few bytes it has
+    return materialized(materialize(recognized(dealt, recognizer), "recognized"))
 
 
 def convert(spark: SparkSession, path: str | list[str] | DataFrame, recognizer: Recognizer, settings: Settings = Settings(), *, pdf: PdfRenderer | None = None, codec: Codec = decode_image) -> dict[str, DataFrame]:

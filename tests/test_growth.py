@@ -300,3 +300,21 @@ def test_small_pages_share_a_batch_and_large_ones_do_not(spark, monkeypatch):
     assert [(r["doc_id"], r["side_index"]) for r in whole] == [(r["doc_id"], r["side_index"]) for b in pages for r in b.to_pylist()]
     monkeypatch.setattr(pipeline, "MOST_BYTES", 1)
     assert max(counts(lambda: pipeline.prepared(Frame()), sheets)) <= 3  # those of one sheet, and of one without pictures before it
+
+
+def test_pages_are_dealt_to_the_recogniser_however_few_bytes_they_have(spark, monkeypatch):
+    from foliospark import pipeline
+
+    seen = []
+
+    def recognized(pages, recognizer):
+        seen.append(pages._jdf.queryExecution().optimizedPlan().toString().splitlines()[0])
+        raise StopIteration
+
+    monkeypatch.setattr(pipeline, "recognized", recognized)
+    monkeypatch.setattr(pipeline, "prepared", lambda sheets, settings, codec: sheets)
+    try:
+        pipeline.final_pages(spark.range(3).selectExpr("string(id) AS doc_id", "1 AS page_number"), None)
+    except StopIteration:
+        pass
+    assert "RepartitionByExpression" in seen[0] and seen[0].rstrip().split(", ")[-1].strip("]").isdigit(), seen  # a number that is given is not coalesced
