@@ -87,6 +87,12 @@ def paragraphs(rows: list[str]) -> str:
     return "\n\n".join(out)
 
 
+def _finite(box: Any) -> bool:
+    if not isinstance(box, (list, tuple)) or len(box) != 4:
+        return False
+    return all(map(math.isfinite, box)) if set(map(type, box)) == {float} else all(isinstance(v, (int, float)) and math.isfinite(v) for v in box)
+
+
 def numbered_paragraphs(lines: list[Line] | None) -> list[tuple[int, str]]:
     """(number, text) of paragraphs that begin with a marker; none if the page has fewer than three markers.
 
@@ -96,7 +102,7 @@ def numbered_paragraphs(lines: list[Line] | None) -> list[tuple[int, str]]:
     texts = [(text, x.get("box")) for x in lines or [] if (text := text_of(x))]
     if sum(text[0] in _DIGITS for text, _ in texts) < 3:
         return []
-    found = [(text, box) for text, box in texts if isinstance(box, (list, tuple)) and len(box) == 4 and all(isinstance(v, (int, float)) and math.isfinite(v) for v in box)]
+    found = [(text, box) for text, box in texts if _finite(box)]
     found.sort(key=lambda x: (x[1][1], x[1][0]))
     out: list[tuple[int, list[str]]] = []
     left = bottom = 0.0

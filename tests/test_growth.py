@@ -318,3 +318,12 @@ def test_pages_are_dealt_to_the_recogniser_however_few_bytes_they_have(spark, mo
     except StopIteration:
         pass
     assert "RepartitionByExpression" in seen[0] and seen[0].rstrip().split(", ")[-1].strip("]").isdigit(), seen  # a number that is given is not coalesced
+
+
+def test_a_numbered_page_is_grouped_as_one_list(spark):
+    from foliospark.operators import lines as L
+
+    plan = plans.QUERIES["q43_repair_markdown"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list(") == 1
+    boxes = ([1.0, 2.0, 3.0, 4.0], [1, 2, 3, True], [1.0, None, 3.0, 4.0], [1.0, 2.0, float("nan"), 4.0], [1e308] * 4, [1.0, 2.0, "3", 4.0], [1.0], None)
+    assert [L._finite(b) for b in boxes] == [True, True, False, False, True, False, False, False]
