@@ -60,7 +60,9 @@ def _nfkc(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
     import unicodedata
 
     for column in columns:
-        yield pa.array([None if x is None else unicodedata.normalize("NFKC", x) for x in column.to_pylist()], pa.string())
+        # some texts at a time: as Python's strings a batch is several times as large
+        parts = (column.slice(i, 64).to_pylist() for i in range(0, len(column), 64))
+        yield pa.concat_arrays([pa.array([], pa.string()), *(pa.array([None if x is None else unicodedata.normalize("NFKC", x) for x in part], pa.string()) for part in parts)])
 
 
 def is_ascii(c: Column) -> Column:

@@ -327,3 +327,20 @@ def test_a_numbered_page_is_grouped_as_one_list(spark):
     assert plan.count("collect_list(") == 1
     boxes = ([1.0, 2.0, 3.0, 4.0], [1, 2, 3, True], [1.0, None, 3.0, 4.0], [1.0, 2.0, float("nan"), 4.0], [1e308] * 4, [1.0, 2.0, "3", 4.0], [1.0], None)
     assert [L._finite(b) for b in boxes] == [True, True, False, False, True, False, False, False]
+
+
+def test_few_texts_of_a_batch_are_strings_at_once():
+    import tracemalloc
+    import unicodedata
+
+    from foliospark.functions import text as T
+
+    texts = [None, "", *(f"{i} ﬁ 한 " * 2_000 for i in range(1_000))]
+    column = pa.array(texts, pa.string())
+    tracemalloc.start()
+    (got,) = T._nfkc(iter([column]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 << 20  # all of them are over 30 MB
+    assert got.to_pylist() == [x and unicodedata.normalize("NFKC", x) for x in texts]
+    assert [x.to_pylist() for x in T._nfkc(iter([column[:0], column[1:3]]))] == [[], texts[1:2] + [unicodedata.normalize("NFKC", texts[2])]]
