@@ -5,18 +5,17 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import cmp_to_key
-from itertools import pairwise
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from foliospark.errors import FolioError, summary
 from foliospark.functions import pure
 from foliospark.functions.geometry import checked_box
-from foliospark.functions.values import values
 
 NO_CAPTION = "추출 이미지"  # fixed value: alternative text of figures that have none
 
@@ -93,7 +92,29 @@ def _orders(boxes: np.ndarray, given: np.ndarray, page: np.ndarray, pages: int,
         certain[own[bad]] = False
         rank[down] = np.cumsum(first)
     beside = ~every[page]
-    return np.lexsort((np.where(beside, y0, 0.0), np.where(beside, x0, 0.0), rank, page)), certain
+    places = (np.where(beside, y0, 0.0), np.where(beside, x0, 0.0)) if beside.any() else ()
+    return np.lexsort((*places, rank, page)), certain
+
+
+def _boxes(column: pa.Array) -> np.ndarray:
+    """Four numbers a block; not numbers where a box has not four."""
+    ends, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    four = (np.diff(ends) == 4) & column.is_valid().to_numpy(zero_copy_only=False)
+    if len(four) and four.all():
+        return flat[ends[0] : ends[-1]].astype(float).reshape(-1, 4)
+    boxes = np.full((len(column), 4), math.nan)
+    boxes[four] = flat[ends[:-1][four][:, None] + np.arange(4)]
+    return boxes
+
+
+def _texts(blocks: pa.Array) -> pa.Array:
+    """:func:`block_markdown` of all blocks of a batch at once."""
+    markdown, alt, path, content = (pc.fill_null(blocks.field(f).cast(pa.string()), "") for f in ("markdown", "alt", "asset_path", "content"))
+    strip = lambda c: pc.utf8_trim(c, characters=pure._STRIP)
+    alt = strip(alt)
+    figure = pc.binary_join_element_wise("![", pc.if_else(pc.equal(alt, ""), NO_CAPTION, alt), "](", path, ")", "")
+    shown = pc.and_(pc.fill_null(pc.equal(blocks.field("type"), "figure"), False), pc.not_equal(path, ""))
+    return pc.if_else(pc.not_equal(markdown, ""), strip(markdown), pc.if_else(shown, figure, strip(content)))
 
 
 def _rendered(column: pa.Array) -> pa.Array:
@@ -101,23 +122,26 @@ def _rendered(column: pa.Array) -> pa.Array:
     ends = column.offsets.to_numpy() if len(column) else np.zeros(1, np.int32)
     pages, blocks = len(column), column.values.slice(ends[0], ends[-1] - ends[0])
     ends = ends - ends[0]
-    nowhere = [math.nan] * 4
-    boxes = np.array([b if b is not None and len(b) == 4 and None not in b else nowhere for b in values(blocks.field("bbox"))], float).reshape(-1, 4)
-    given = np.array(values(blocks.field("ord")), float)
-    order, certain = _orders(boxes, given, np.repeat(np.arange(pages), np.diff(ends)), pages)
-    parts = [values(blocks.field(f)) for f in ("markdown", "type", "asset_path", "alt", "content")]
-    texts = [pure.strip(m) if m else f"![{pure.strip(alt or '') or NO_CAPTION}]({path})" if kind == "figure" and path else pure.strip(text or "") for m, kind, path, alt, text in zip(*parts, strict=True)]
-    texts = [texts[i] for i in order.tolist()]
+    given = blocks.field("ord").to_numpy(zero_copy_only=False).astype(float)
+    order, certain = _orders(_boxes(blocks.field("bbox")), given, np.repeat(np.arange(pages), np.diff(ends)), pages)
+    texts = _texts(blocks).take(pa.array(order))
+    said = pc.not_equal(texts, "")
+    before = np.concatenate([[0], np.cumsum(said.to_numpy(zero_copy_only=False))]).astype(np.int32)
+    out = pc.binary_join(pa.ListArray.from_arrays(pa.array(before[ends]), texts.filter(said)), "\n\n")
+    kind = pa.struct([("code", pa.string()), ("message", pa.string())])
     certain &= column.is_valid().to_numpy(zero_copy_only=False)
-    out: list[str | None] = ["\n\n".join(filter(None, texts[a:b])) for a, b in pairwise(ends.tolist())]
+    if certain.all():
+        return pa.StructArray.from_arrays([out, pa.nulls(pages, kind)], ["markdown", "error"])
+    alone: list[str | None] = []
     errors: list[dict | None] = [None] * pages
     for i in np.flatnonzero(~certain).tolist():
         try:
-            out[i] = render(column[i].as_py())
+            alone.append(render(column[i].as_py()))
         except FolioError as error:
-            out[i], errors[i] = None, summary(error)
-    kind = pa.struct([("code", pa.string()), ("message", pa.string())])
-    return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(errors, kind)], ["markdown", "error"])
+            alone.append(None)
+            errors[i] = summary(error)
+    out = pc.replace_with_mask(out, pa.array(~certain), pa.array(alone, pa.string()))
+    return pa.StructArray.from_arrays([out, pa.array(errors, kind)], ["markdown", "error"])
 
 
 def rendered(blocks: Column) -> Column:

@@ -344,3 +344,26 @@ def test_few_texts_of_a_batch_are_strings_at_once():
     assert peak < 8 << 20  # all of them are over 30 MB
     assert got.to_pylist() == [x and unicodedata.normalize("NFKC", x) for x in texts]
     assert [x.to_pylist() for x in T._nfkc(iter([column[:0], column[1:3]]))] == [[], texts[1:2] + [unicodedata.normalize("NFKC", texts[2])]]
+
+
+def test_blocks_of_a_batch_are_rendered_in_as_many_steps_as_one_page():
+    import cProfile
+    import pstats
+
+    from foliospark.operators import layout as L
+
+    kind = pa.list_(pa.struct([("bbox", pa.list_(pa.float64())), ("ord", pa.float64()), *((f, pa.string()) for f in ("type", "markdown", "content", "asset_path", "alt"))]))
+    odd = (None, "", " ", "x", "\u3000\ufeff\n x  y \u00a0\u2003", "\u180e", "\u200b x", "\U0001f600 ", "\x85\x1c x \x1f")
+    texts = [(k, m, c, p, a) for k in ("figure", "text", None) for m in odd for c in odd for p in (None, "", " a b.png ") for a in odd]
+    block = lambda i, t: {"bbox": [0.0, 9.0 - i, 8.0, 20.0], "ord": float(-i), **dict(zip(("type", "markdown", "content", "asset_path", "alt"), t, strict=True))}
+    pages = [[block(i, t) for i, t in enumerate(texts[at : at + 7])] for at in range(0, len(texts), 7)]
+
+    def steps(column):
+        profile = cProfile.Profile()
+        got = profile.runcall(L._rendered, column)
+        return pstats.Stats(profile).total_calls, got.to_pylist()
+
+    steps(pa.array(pages[:1], kind))  # imports
+    few, many = steps(pa.array(pages[:1], kind)), steps(pa.array(pages, kind))
+    assert many[1] == [{"markdown": L.render(p), "error": None} for p in pages]
+    assert len(pages) > 900 and many[0] <= few[0] + 20, (few[0], many[0])
