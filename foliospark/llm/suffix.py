@@ -37,8 +37,9 @@ from foliospark.llm.common import BASE_A, BYTE_A, U64, distinct_texts, mix, pack
 from foliospark.session import materialize, partitions, prepare, settled
 
 _PLACE = U64((1 << 24) - 1)
-_LONGEST = 8 << 20  # bytes of one text looked at together; longer texts are cut into overlapping pieces
+_LONGEST = 1 << 20  # bytes of one text looked at together; longer texts are cut into overlapping pieces
 _TOGETHER = 8 << 20  # bytes of texts, or of contexts, whose rows are packed together
+_AT_ONCE = 1 << 18  # bytes for which there are words of 64 bits at a time
 _GOLD = U64(0x9E3779B97F4A7C15)
 _FINER = (8, 1)  # windows in the runs of grams that are split, and split again
 _CLASS = 1000  # contexts of a class that meet in one array, and the first of the class
@@ -97,12 +98,17 @@ def maximal_repeats(strings: np.ndarray, start: np.ndarray, length: np.ndarray,
     if n < 2:
         return
     view = np.lib.stride_tricks.sliding_window_view(np.append(strings, np.zeros(width, np.uint8)), width)
-    rows = view[start]
-    rows[np.arange(width)[None, :] >= length[:, None]] = 0
+    rows, some = np.empty((n, width), np.uint8), max(1, _AT_ONCE // width)
+    for i in range(0, n, some):
+        rows[i : i + some] = view[start[i : i + some]]
+        rows[i : i + some][np.arange(width)[None, :] >= length[i : i + some, None]] = 0
     order = np.argsort(rows.reshape(-1).view(f"S{width}"), kind="stable")
-    rows, rest = rows[order], length[order]
-    differs = rows[1:] != rows[:-1]
-    lcp = np.where(differs.any(1), differs.argmax(1), width)
+    rest, lcp = length[order], np.empty(n - 1, np.int64)
+    for i in range(0, n - 1, some):
+        sorted_ = rows[order[i : i + some + 1]]
+        differs = sorted_[1:] != sorted_[:-1]
+        lcp[i : i + some] = np.where(differs.any(1), differs.argmax(1), width)
+    del rows
     lcp = np.minimum(lcp, np.minimum(rest[1:], rest[:-1]))
     left = np.where(at, strings[np.maximum(start - 1, 0)].astype(np.int64), -1)[order]
     split = np.append(0, np.cumsum((left[1:] != left[:-1]) | (left[1:] < 0)))  # changes of the left extension up to a place
@@ -191,7 +197,7 @@ def _find_runs(min_len: int, gram: int, buckets: int) -> Callable[[Iterator[pa.R
             uid, copies = keys_of(batch.column("uid")), np.minimum(batch.column("copies").to_numpy(), 2)
             for lo, hi in slices(off, _TOGETHER):
                 got = []
-                for i, j in slices(off[lo : hi + 1]):
+                for i, j in slices(off[lo : hi + 1], _AT_ONCE):
                     i, j = lo + i, lo + j
                     for p in range(int(off[i]), int(off[j]), _LONGEST) if j == i + 1 else [int(off[i])]:
                         end = min(int(off[j]), p + _LONGEST + min_len - 1) if j == i + 1 else int(off[j])
@@ -202,6 +208,7 @@ def _find_runs(min_len: int, gram: int, buckets: int) -> Callable[[Iterator[pa.R
                 if got:
                     first, last = int(off[lo]), int(off[hi])
                     pos, *rest = (np.concatenate(v) for v in zip(*got, strict=True))
+                    got.clear()
                     yield from _dealt(buckets, min_len, raw[first:last], pos - first, *rest)
 
     return find
@@ -279,6 +286,15 @@ def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - at, size) + np.arange(int(size.sum()))
 
 
+def _gathered(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """raw[start[i] : start[i] + size[i]] one after the other, for each i."""
+    at = np.append(0, np.cumsum(size))
+    out = np.empty(int(at[-1]), raw.dtype)
+    for i, j in slices(at, _AT_ONCE):
+        out[at[i] : at[j]] = raw[_spread(start[i:j], size[i:j])]
+    return out
+
+
 class Asked:
     """The asks of a slice of texts, in order of the texts; ``x`` is a place in ``raw``."""
 
@@ -332,7 +348,7 @@ def _fetch(min_len: int, buckets: int, group: int) -> Callable[[Iterator[pa.Reco
                 t = take[piece]
                 cols = {"uid": s.uid[t], "x": s.x[t].astype(np.uint32), "m": s.m[t].astype(np.uint16), "h": key[piece], "kind": kind[piece].astype(np.uint8)}
                 (packed,) = packed_rows(bucket, **cols)
-                raw = s.raw[_spread(s.base[t] + s.x[t], s.m[t] + (min_len - 1))]
+                raw = _gathered(s.raw, s.base[t] + s.x[t], s.m[t] + (min_len - 1))
                 mark = np.append(0, np.cumsum(s.m[t] + (min_len - 1)))[np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(t))]
                 yield packed.append_column("bytes", pa.array([raw[i:j].tobytes() for i, j in zip(mark[:-1].tolist(), mark[1:].tolist(), strict=True)], pa.binary()))
 
@@ -380,7 +396,7 @@ def _scan(min_len: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
         h = a["h"][t]
         lead = np.append(True, h[1:] != h[:-1])
         base = np.cumsum(size[t]) - size[t]
-        ok = proved(a["bytes"][_spread(begin[t], size[t])], base, size[t], lead, min_len, most)
+        ok = proved(_gathered(a["bytes"], begin[t], size[t]), base, size[t], lead, min_len, most)
         x = a["x"][t].astype(np.int64)
         if ok.any():
             yield rows(a["uid"][t[ok]], x[ok], x[ok] + size[t[ok]])
@@ -390,7 +406,7 @@ def _scan(min_len: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
     def chunk(a: dict[str, np.ndarray], t: np.ndarray, begin: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
         m, h, solid = a["m"][t].astype(np.int64), a["h"][t], a["kind"][t] == _HELD
         size = size[t]
-        raw = a["bytes"][_spread(begin[t], size)]
+        raw = _gathered(a["bytes"], begin[t], size)
         base = np.cumsum(size) - size
         own = np.repeat(np.arange(len(t)), m)  # the context of each window
         start = _spread(base, m)
@@ -429,7 +445,7 @@ def _scan(min_len: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
                     continue
                 lead = np.flatnonzero(np.append(True, a["h"][order][1:] != a["h"][order][:-1]))
                 done = np.append(0, np.cumsum(size[order]))[lead]
-                cut = lead[np.flatnonzero(np.diff(done // (_TOGETHER // 2))) + 1].tolist()  # whole groups
+                cut = lead[np.flatnonzero(np.diff(done // (4 * _AT_ONCE))) + 1].tolist()  # whole groups
                 for lo, hi in zip([0, *cut], [*cut, len(order)], strict=True):
                     yield from work(a, order[lo:hi], begin, size)
 
@@ -475,7 +491,7 @@ def _cut(keep_bytes: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
         for batch in batches:
             raw, off = text_buffer(batch.column("text"))
             pairs, at = _spans_of(batch.column("spans"))
-            for lo, hi in slices(off, _TOGETHER // 2):
+            for lo, hi in slices(off, _AT_ONCE):
                 keep, n = _kept(raw, off, pairs, at, lo, hi)
                 left = np.append(0, np.cumsum(keep))[off[lo : hi + 1] - off[lo]]
                 rest = memoryview(raw[off[lo] : off[hi]][keep])
@@ -552,7 +568,7 @@ def _cut_text(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array
         raw, off = text_buffer(text)
         pairs, at = _spans_of(lists)
         left, parts, total = [np.zeros(1, np.int64)], [], 0
-        for lo, hi in slices(off, _TOGETHER // 2):
+        for lo, hi in slices(off, _AT_ONCE):
             keep, _ = _kept(raw, off, pairs, at, lo, hi)
             part = raw[off[lo] : off[hi]]
             char = np.flatnonzero((part & 0xC0) != 0x80)
@@ -580,7 +596,7 @@ def cut_repeats(docs: DataFrame, *, text_col: str = "text", min_len: int = 200)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     uid = F.substring(F.unhex(F.sha2(text.cast("binary"), 256)), 1, 16)
     spans = _cuts(docs, text_col, min_len)
-    cut = F.arrow_udf(_cut_text, "string")
+    cut = F.arrow_udf(released(_cut_text), "string")
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     joined = docs.select(row.alias("row"), uid.alias("uid")).join(spans, "uid", "left")
     return joined.select(*(cut(F.col("row")[c].cast("string"), F.col("spans")).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))

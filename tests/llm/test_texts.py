@@ -623,6 +623,59 @@ def test_classes_are_proved_in_arrays_of_any_size():
         assert all(g == w for g, w, b in zip(got, want, lead, strict=True) if most == 1000) and not any(g and not w for g, w in zip(got, want, strict=True))
 
 
+def peak_of(work):
+    import tracemalloc
+
+    tracemalloc.start()
+    out = work()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return out, peak
+
+
+def test_a_batch_of_repeats_has_few_words_of_64_bits_at_once():
+    rng = np.random.default_rng(3)
+    raw = rng.integers(97, 123, 8 << 20, dtype=np.uint8)
+    start = np.arange(0, len(raw) - 300, 300)
+    size = np.full(len(start), 300)
+    got, peak = peak_of(lambda: SF._gathered(raw, start, size))
+    assert np.array_equal(got, raw[: len(got)]) and peak < 16 << 20  # an index of all of its bytes has 67 MB
+
+    twice = np.concatenate([raw[: 6 << 20], raw[: 6 << 20]])
+    start = np.arange(0, len(twice), 256)
+    found, peak = peak_of(lambda: list(SF.maximal_repeats(twice, start, np.full(len(start), 256), 200, np.zeros(len(start), bool))))
+    assert len(found) == len(start) // 2 and all(n == 256 and len(m) == 2 for n, m in found) and peak < 3 * len(twice)  # rows of all suffixes once, not again in order
+
+    texts = ["".join(map(chr, x)) for x in raw.reshape(-1, 4096)[:2000]]
+    spans = pa.array([[{"s": 100, "e": 300}, {"s": 250, "e": 400}] if i % 2 else None for i in range(len(texts))], pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])))
+    column = pa.array(texts, pa.string())
+    (cut,), peak = peak_of(lambda: list(SF._cut_text(iter([(column, spans)]))))
+    assert cut.to_pylist() == [t[:100] + t[400:] if i % 2 else t for i, t in enumerate(texts)] and peak < 32 << 20
+
+    batch = pa.record_batch({"uid": pa.array([i.to_bytes(16, "big") for i in range(len(texts))], pa.binary()), "text": column, "copies": pa.array(np.ones(len(texts), np.int64))})
+    _, peak = peak_of(lambda: sum(x.num_rows for x in SF._find_runs(200, 64, 10_000)(iter([batch]))))
+    assert peak < 60 << 20
+
+
+def test_long_texts_may_be_looked_at_in_pieces(monkeypatch):
+    rng = np.random.default_rng(9)
+    raw = rng.integers(97, 105, 4000, dtype=np.uint8)
+    batch = pa.record_batch({"uid": pa.array([b"u" * 16], pa.binary()), "text": pa.array([raw.tobytes().decode()]), "copies": pa.array([1])})
+
+    def windows():
+        found = []
+        for out in SF._find_runs(40, 12, 8)(iter([batch])):
+            for row in out.to_pylist():
+                h, x, m, a = (np.frombuffer(row[k], t).tolist() for k, t in (("h", np.uint64), ("x", np.uint32), ("m", np.uint16), ("a", np.uint16)))
+                found += [(y[1] + k, y[0], y[3] - k) for y in zip(h, x, m, a, strict=True) for k in range(y[2])]
+        return sorted(found)
+
+    whole = windows()
+    monkeypatch.setattr(SF, "_LONGEST", 512)
+    monkeypatch.setattr(SF, "_AT_ONCE", 256)
+    assert windows() == whole and [x for x, _, _ in whole] == list(range(4000 - 39))
+
+
 @pytest.mark.parametrize("group", [1000, 3, 1])
 def test_grams_of_many_contexts_are_split(spark, group):
     rng = random.Random(4)
